@@ -156,12 +156,14 @@ def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds
             offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield record([nodes, sizes, sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))])
 
-    lists = C.materialise(texts.mapInArrow(prefixes, schema), "jaccard-prefixes")
-    entries = lists.select("node", "n", "sign", F.posexplode("tokens").alias("at", "token"))
+    lists, lists_path = C.materialise_at(texts.mapInArrow(prefixes, schema), "jaccard-prefixes")
+    entries = lists.select("node", "n", F.posexplode("tokens").alias("at", "token"))
     common = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
-    entries = C.materialise(entries.join(common, "token").dropDuplicates(["token", "node"]), "jaccard-entries")
+    entries = C.materialise(entries.join(common, "token").dropDuplicates(["token", "node"]), "jaccard-shared")
+    # the signs, eight numbers a node, follow the few shingles that are shared
+    entries = C.materialise(entries.join(lists.select("node", "sign").dropDuplicates(["node"]), "node"), "jaccard-entries")
+    C.discard(spark, lists_path)
 
-    sets = node_sets(texts, entries.select("node").distinct(), k)
     links, checked, comps = None, None, None
     for r in range(rounds):
         held = with_components(entries, comps)
@@ -175,7 +177,7 @@ def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        judged = C.materialise(verify(pairs, sets, percent), "jaccard-judged")
+        judged = verify(pairs, texts, k, percent)
         checked = judged if checked is None else checked.unionByName(judged)
         links = checked.where("linked").select("a", "b")
         comps = connect(links)
@@ -183,7 +185,7 @@ def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds
     pairs = across(held, percent)
     if checked is not None:
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    judged = C.materialise(verify(pairs, sets, percent), "jaccard-judged")
+    judged = verify(pairs, texts, k, percent)
     last = judged.where("linked").select("a", "b")
     return last if links is None else links.unionByName(last)
 
@@ -235,8 +237,10 @@ def node_sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return C.materialise(texts.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"]), "jaccard-sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair (a, b), from the sets themselves."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked) of each pair (a, b), from the sets themselves, which are made again for the nodes of these pairs only."""
+    pairs = C.materialise(pairs, "jaccard-pairs")
+    sets = node_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def rows(batch: pa.RecordBatch) -> dict:
@@ -249,4 +253,4 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked.append(100 * same >= percent * (len(x) + len(y) - same))
         return {"a": batch.column(0), "b": batch.column(1), "linked": linked}
 
-    return C.map_batches(full.select("a", "b", "sa", "sb"), rows, "a bigint, b bigint, linked boolean")
+    return C.materialise(C.map_batches(full.select("a", "b", "sa", "sb"), rows, "a bigint, b bigint, linked boolean"), "jaccard-judged")
