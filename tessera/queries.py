@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.natural import natural_key
+from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
 
 WIDTH, SIZE = 25, 8
@@ -23,7 +25,98 @@ def a01_overlap_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("i", "j", "direction").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("b") - F.col("a"), 2))), 6).alias("rmse"), F.round(F.coalesce(F.nullif(F.corr("a", "b"), F.lit(float("nan"))), F.lit(-1.0)), 6).alias("ncc"))
 
 
-QUERIES = {"a01_overlap_rmse": a01_overlap_rmse}
+def pixels_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tiles(spark, sf_dir)
+    return O.shared_pixels(O.neighbour_pairs(t), t, SIZE, F.lit(1), F.lit(2))
+
+
+def overlap_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.global_ssim(pixels_shared(spark, sf_dir), ["i", "j", "direction"])
+    return out.withColumn("ssim", F.round("ssim", 6))
+
+
+def overlap_nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = pixels_shared(spark, sf_dir).withColumn("a", F.floor(F.col("a") * 4).cast("int")).withColumn("b", F.floor(F.col("b") * 4).cast("int"))
+    return metrics.nmi(grey, ["i", "j", "direction"]).withColumn("nmi", F.round("nmi", 6))
+
+
+def average_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels_shared(spark, sf_dir).groupBy("i", "j", "direction").agg(metrics.rmse().alias("rmse"))
+    out = metrics.mean_of_means(px.withColumn("dataset", F.lit("embeddings")), ["dataset"], "direction", ["rmse"])
+    return out.withColumn("average_rmse", F.round("average_rmse", 6))
+
+
+def mutual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of pixels of each tile are its descriptors."""
+    t = tiles(spark, sf_dir)
+    rows = t.select("tile_id", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("kp"), "pixels").withColumn("f", F.slice("pixels", F.col("kp") * SIZE + 1, F.lit(SIZE))).drop("pixels")
+    pairs = O.neighbour_pairs(t)
+    on = ["i", "j", "direction"]
+    left = pairs.join(rows.select(F.col("tile_id").alias("prev"), F.col("kp").alias("kp1"), F.col("f").alias("f1")), "prev").select(*on, "kp1", "f1")
+    right = pairs.join(rows.select(F.col("tile_id").alias("cur"), F.col("kp").alias("kp2"), F.col("f").alias("f2")), "cur").select(*on, "kp2", "f2")
+    return matching.mutual_nearest(matching.distances(left, right, on), on).withColumn("d2", F.round("d2", 6))
+
+
+def order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as matches: whole numbers as places, moved by (0 to 2, 0 or 1)."""
+    n = lambda c: F.round(F.expr(c)).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", F.col("l_linenumber").alias("m"), n("l_quantity").alias("x1"), n("l_discount * 100").alias("y1"), n("l_quantity + l_suppkey % 3").alias("x2"), (n("l_discount * 100") + n("l_linenumber % 2")).alias("y2"))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def shift_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(robust.least_squares_shift(order_matches(spark, sf_dir), ["l_orderkey"]), "tx", "ty")
+
+
+def shift_msac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(robust.msac_shift(order_matches(spark, sf_dir), ["l_orderkey"]), "tx", "ty", "error")
+
+
+def shift_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(robust.ransac_shift(order_matches(spark, sf_dir), ["l_orderkey"]), "tx", "ty", "error")
+
+
+def affine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    points = rows.select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.col("l_extendedprice").alias("u"))
+    return rounded(robust.affine_fit(points, ["l_returnflag"]), "a", "b", "c", places=3)
+
+
+def natural_sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    runs = F.transform(natural_key(F.col("url")), lambda x: F.concat_ws(":", x["t"], x["n"].cast("string")))
+    return pages.select("page_id", F.array_join(runs, "|").alias("key"))
+
+
+def aligned(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    t = tiles(spark, sf_dir)
+    pairs = O.neighbour_pairs(t).join(t.select(F.col("tile_id").alias("prev"), F.col("pixels").alias("pa")), "prev").join(t.select(F.col("tile_id").alias("cur"), F.col("pixels").alias("pb")), "cur")
+    return spectral.align(pairs, SIZE, SIZE, "i int, j int, direction string", method)
+
+
+def align_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(spark, sf_dir, "phase")
+
+
+def align_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(spark, sf_dir, "ncc")
+
+
+def keypoints(method: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return detect.detect(tiles(spark, sf_dir), SIZE, SIZE, method)
+
+    return run
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (a01_overlap_rmse, overlap_ssim, overlap_nmi, average_rmse, mutual_matches, shift_least_squares, shift_msac, shift_ransac, affine_rows, natural_sort_keys, align_phase, align_ncc)
+} | {f"keypoints_{m}": keypoints(m) for m in detect.DETECTORS}
 
 TILES = "t AS (SELECT vec_id AS tile_id, (vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, embedding::DOUBLE[] AS px FROM embeddings)"
 PAIRS = (
@@ -34,3 +127,71 @@ SHARED = "px AS (SELECT pairs.*, r, c, pa[r * 8 + c + 1] AS a, pb[(r - 2) * 8 +
 SQL = {
     "a01_overlap_rmse": f"WITH {TILES}, {PAIRS}, {SHARED} SELECT i, j, direction, count(*) AS n, round(sqrt(avg((b - a) ** 2)), 6) AS rmse, round(CASE WHEN isfinite(corr(a, b)) THEN corr(a, b) ELSE -1 END, 6) AS ncc FROM px GROUP BY i, j, direction",
 }
+
+KEYS = "i, j, direction"
+SQL["overlap_ssim"] = f"""
+WITH {TILES}, {PAIRS}, {SHARED},
+m AS (SELECT {KEYS}, max(a) AS ma, max(b) AS mb, avg(a) AS ua, avg(b) AS ub, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cab FROM px GROUP BY {KEYS}),
+s AS (SELECT {KEYS}, ma, mb, ua / ma AS x, ub / mb AS y, va / ma ** 2 AS vx, vb / mb ** 2 AS vy, cab / (ma * mb) AS cxy FROM m)
+SELECT {KEYS}, round(CASE WHEN ma <> 0 AND mb <> 0 AND (x * x + y * y) * (vx + vy) <> 0 THEN 4 * x * y * cxy / ((x * x + y * y) * (vx + vy)) END, 6) AS ssim FROM s
+"""
+SQL["overlap_nmi"] = f"""
+WITH {TILES}, {PAIRS}, {SHARED},
+g AS (SELECT {KEYS}, floor(a * 4)::INT AS a, floor(b * 4)::INT AS b FROM px),
+h AS (
+  SELECT {KEYS}, 'ab' AS what, count(*) AS n FROM g GROUP BY {KEYS}, a, b UNION ALL
+  SELECT {KEYS}, 'a', count(*) FROM g GROUP BY {KEYS}, a UNION ALL SELECT {KEYS}, 'b', count(*) FROM g GROUP BY {KEYS}, b),
+e AS (SELECT {KEYS}, what, n / sum(n) OVER (PARTITION BY {KEYS}, what) AS p FROM h),
+s AS (SELECT {KEYS}, -sum(p * log2(p)) FILTER (what = 'ab') AS hab, -sum(p * log2(p)) FILTER (what = 'a') AS ha, -sum(p * log2(p)) FILTER (what = 'b') AS hb FROM e GROUP BY {KEYS})
+SELECT {KEYS}, round(CASE WHEN ha + hb <> 0 THEN 2 * (ha + hb - hab) / (ha + hb) END, 6) AS nmi FROM s
+"""
+SQL["average_rmse"] = f"""
+WITH {TILES}, {PAIRS}, {SHARED},
+r AS (SELECT {KEYS}, sqrt(avg((b - a) ** 2)) AS rmse FROM px GROUP BY {KEYS}),
+d AS (SELECT direction, avg(rmse) AS rmse FROM r GROUP BY direction)
+SELECT 'embeddings' AS dataset, round(avg(rmse), 6) AS average_rmse FROM d HAVING count(*) > 0
+"""
+SQL["mutual_matches"] = f"""
+WITH {TILES}, {PAIRS},
+d AS (SELECT {KEYS}, kp1, kp2, list_sum(list_transform(range(1, 9), lambda q: (pa[kp1 * 8 + q] - pb[kp2 * 8 + q]) ** 2)) AS d2 FROM pairs, range(8) x(kp1), range(8) y(kp2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, kp1 ORDER BY d2, kp2) AS r1, row_number() OVER (PARTITION BY {KEYS}, kp2 ORDER BY d2, kp1) AS r2 FROM d)
+SELECT {KEYS}, kp1::INT AS kp1, kp2::INT AS kp2, round(d2, 6) AS d2 FROM r WHERE r1 = 1 AND r2 = 1
+"""
+MOVES = (
+    "m AS (SELECT l_orderkey, l_linenumber AS m, round(l_quantity + l_suppkey % 3) - round(l_quantity) AS dx, (l_linenumber % 2)::DOUBLE AS dy FROM lineitem)"
+)
+SQL["shift_least_squares"] = f"WITH {MOVES} SELECT l_orderkey, round(avg(dx), 6) AS tx, round(avg(dy), 6) AS ty, count(*) AS n_match FROM m GROUP BY l_orderkey"
+REFIT = """
+f AS (
+  SELECT l_orderkey, count(*) AS n_match, count(*) FILTER ({inside}) AS n_in, avg(dx) FILTER ({inside}) AS tx, avg(dy) FILTER ({inside}) AS ty,
+    avg(dx * dx + dy * dy) FILTER ({inside}) AS sq FROM m JOIN best USING (l_orderkey) GROUP BY l_orderkey),
+g AS (SELECT *, CASE WHEN n_match < {least} THEN 1 WHEN n_in < 1 THEN 2 ELSE 0 END AS status FROM f)
+SELECT l_orderkey, CASE WHEN status = 0 THEN round(tx, 6) END AS tx, CASE WHEN status = 0 THEN round(ty, 6) END AS ty, n_match,
+  CASE WHEN status = 0 THEN n_in ELSE 0 END AS n_inlier, status, CASE WHEN status = 0 THEN round(sqrt(greatest(0, sq - tx * tx - ty * ty)), 6) END AS error FROM g
+"""
+SQL["shift_msac"] = f"""
+WITH {MOVES},
+cost AS (SELECT m.l_orderkey, h.m AS h, h.dx AS hx, h.dy AS hy, sum(least((m.dx - h.dx) ** 2 + (m.dy - h.dy) ** 2, 2.25)) AS cost FROM m JOIN m h ON m.l_orderkey = h.l_orderkey GROUP BY ALL),
+best AS (SELECT l_orderkey, hx, hy FROM cost QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY round(cost, 9), h, hx, hy) = 1),
+{REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 <= 2.25", least=1)}
+"""
+SQL["shift_ransac"] = f"""
+WITH {MOVES},
+hyp AS (SELECT a.l_orderkey, a.m AS m1, b.m AS m2, (a.dx + b.dx) / 2 AS hx, (a.dy + b.dy) / 2 AS hy FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.m < b.m),
+res AS (SELECT hyp.*, (dx - hx) ** 2 + (dy - hy) ** 2 AS r FROM m JOIN hyp USING (l_orderkey)),
+score AS (SELECT l_orderkey, m1, m2, hx, hy, count(*) FILTER (r < 1) AS n, sum(CASE WHEN r < 1 THEN r ELSE 0 END) AS ssr FROM res GROUP BY ALL),
+best AS (SELECT l_orderkey, hx, hy FROM score QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, round(ssr, 9), m1, m2, hx, hy) = 1),
+{REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 < 1", least=2)}
+"""
+SQL["affine_rows"] = """
+WITH p AS (SELECT l_returnflag, l_quantity AS x, l_discount * 100 AS y, l_extendedprice AS u FROM lineitem),
+s AS (SELECT l_returnflag, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, u) AS xu, covar_pop(y, u) AS yu, count(*) AS n FROM p GROUP BY 1),
+f AS (SELECT *, n >= 3 AND abs(xx * yy - xy * xy) > 1e-9 AS ok, xx * yy - xy * xy AS det FROM s),
+g AS (SELECT *, CASE WHEN ok THEN (xu * yy - yu * xy) / det END AS a, CASE WHEN ok THEN (yu * xx - xu * xy) / det END AS b FROM f)
+SELECT l_returnflag, round(a, 3) AS a, round(b, 3) AS b, round(mu - a * mx - b * my, 3) AS c, n FROM g
+"""
+SQL["natural_sort_keys"] = r"""
+WITH r AS (SELECT page_id, url, regexp_extract_all(lower(url), '(?s).*?[0-9]+|.+$') AS runs FROM pages)
+SELECT page_id, CASE WHEN url IS NOT NULL THEN array_to_string(list_transform(runs, lambda x: regexp_replace(x, '[0-9]+$', '') || ':' ||
+  CASE WHEN regexp_matches(x, '[0-9]+$') THEN regexp_extract(x, '[0-9]+$')::DECIMAL(38, 0)::VARCHAR ELSE '-1' END), '|') END AS key FROM r
+"""
