@@ -12,16 +12,17 @@ def rmse() -> Column:
 
 def ncc() -> Column:
     """Correlation; -1 where it is undefined."""
-    return F.coalesce(F.nullif(F.corr("a", "b"), F.lit(float("nan"))), F.lit(-1.0))
+    return F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(-1.0))
 
 
 def global_ssim(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ssim) without constants, each region divided by its own maximum, sample moments."""
     top = rows.groupBy(*keys).agg(F.max("a").alias("ma"), F.max("b").alias("mb"), F.avg("a").alias("ua"), F.avg("b").alias("ub"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab"))
-    a, b = F.col("ua") / F.col("ma"), F.col("ub") / F.col("mb")
-    va, vb, cab = F.col("va") / F.col("ma") ** 2, F.col("vb") / F.col("mb") ** 2, F.col("cab") / (F.col("ma") * F.col("mb"))
+    part = lambda x, y: F.try_divide(F.col(x), y)
+    a, b = part("ua", F.col("ma")), part("ub", F.col("mb"))
+    va, vb, cab = part("va", F.col("ma") ** 2), part("vb", F.col("mb") ** 2), part("cab", F.col("ma") * F.col("mb"))
     whole = (a * a + b * b) * (va + vb)
-    return top.select(*keys, F.when((F.col("ma") != 0) & (F.col("mb") != 0) & (whole != 0), 4 * a * b * cab / whole).alias("ssim"))
+    return top.select(*keys, F.try_divide(4 * a * b * cab, whole).alias("ssim"))
 
 
 def nmi(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def nmi(rows: DataFrame, keys: list[str]) -> DataFrame:
     share = F.col("n") / F.col("na") * F.log2(pa)
     other = F.col("n") / F.col("nb") * F.log2(pb)
     sums = joint.groupBy(*keys).agg(F.sum(p * F.log2(p)).alias("hab"), F.sum(F.col("na") / F.col("t") * share).alias("ha"), F.sum(F.col("nb") / F.col("t") * other).alias("hb"))
-    return sums.select(*keys, F.when(F.col("ha") + F.col("hb") != 0, 2 * (F.col("ha") + F.col("hb") - F.col("hab")) / (F.col("ha") + F.col("hb"))).alias("nmi"))
+    return sums.select(*keys, F.try_divide(2 * (F.col("ha") + F.col("hb") - F.col("hab")), F.col("ha") + F.col("hb")).alias("nmi"))
 
 
 def mean_of_means(rows: DataFrame, keys: list[str], direction: str, values: list[str]) -> DataFrame:

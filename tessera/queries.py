@@ -22,7 +22,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a01_overlap_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiles(spark, sf_dir)
     px = O.shared_pixels(O.neighbour_pairs(t), t, SIZE, F.lit(1), F.lit(2))
-    return px.groupBy("i", "j", "direction").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("b") - F.col("a"), 2))), 6).alias("rmse"), F.round(F.coalesce(F.nullif(F.corr("a", "b"), F.lit(float("nan"))), F.lit(-1.0)), 6).alias("ncc"))
+    return px.groupBy("i", "j", "direction").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.rmse(), 6).alias("rmse"), F.round(metrics.ncc(), 6).alias("ncc"))
 
 
 def pixels_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def overlap_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = pixels_shared(spark, sf_dir).withColumn("a", F.floor(F.col("a") * 4).cast("int")).withColumn("b", F.floor(F.col("b") * 4).cast("int"))
-    return metrics.nmi(grey, ["i", "j", "direction"]).withColumn("nmi", F.round("nmi", 6))
+    return metrics.nmi(grey, ["i", "j", "direction"]).withColumn("nmi", F.round("nmi", 6) + 0.0)
 
 
 def average_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ h AS (
   SELECT {KEYS}, 'a', count(*) FROM g GROUP BY {KEYS}, a UNION ALL SELECT {KEYS}, 'b', count(*) FROM g GROUP BY {KEYS}, b),
 e AS (SELECT {KEYS}, what, n / sum(n) OVER (PARTITION BY {KEYS}, what) AS p FROM h),
 s AS (SELECT {KEYS}, -sum(p * log2(p)) FILTER (what = 'ab') AS hab, -sum(p * log2(p)) FILTER (what = 'a') AS ha, -sum(p * log2(p)) FILTER (what = 'b') AS hb FROM e GROUP BY {KEYS})
-SELECT {KEYS}, round(CASE WHEN ha + hb <> 0 THEN 2 * (ha + hb - hab) / (ha + hb) END, 6) AS nmi FROM s
+SELECT {KEYS}, round(CASE WHEN ha + hb <> 0 THEN 2 * (ha + hb - hab) / (ha + hb) END, 6) + 0.0 AS nmi FROM s
 """
 SQL["average_rmse"] = f"""
 WITH {TILES}, {PAIRS}, {SHARED},
