@@ -6,8 +6,9 @@ run are unique and go no further. For each shard, a suffix automaton of the refe
 is built where the shard lies and the runs are streamed through it: the matching statistic of a word is the length of the
 longest suffix that occurs twice or more, and a window that it spans is a repeat. Each word under such a window goes.
 
-Equal runs are joined within a batch before they are shuffled. A shard whose reference outgrows `most_words` is not held
-in memory: its windows are counted one by one by hash, in a shuffle of their own.
+Equal runs are joined within a batch before they are shuffled. A shard of more than `hot_runs` runs is split by run over many
+tasks, and its windows are counted one by one by hash, in a shuffle of their own with partial counts. So are those of a shard
+whose reference outgrows `most_words`: an automaton takes some 400 bytes a word, so a task holds 100 MB of it at most.
 
 Nulls, ties and odd rows: a null or empty text has no words and loses none; every occurrence of a repeat goes, the first
 too; repeated rows repeat each other; rows are told apart by id and text; other columns are never read.
@@ -120,7 +121,7 @@ def repeats(sequences: list[tuple[list[int], int]], window: int) -> list[list[tu
     return out
 
 
-def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k: int, most_words: int) -> DataFrame:
+def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k: int, most_words: int, hot_runs: int) -> DataFrame:
     """(id, text_key, spans): runs of words under repeated windows, for the rows that have any."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -137,6 +138,8 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
         return {"shard": pa.array(np.concatenate(shard).view(np.int64)), "weight": pa.array(np.concatenate(weight))}
 
     shared = C.map_batches(keyed.select("text"), shards, "shard bigint, weight bigint").groupBy("shard").agg(F.sum("weight").alias("n")).where("n > 1")
+    shared = C.materialise(shared, "substring-shards")
+    hot = C.Shared(spark, C.Bitmap(shared.where(F.col("n") > hot_runs), "shard"))
     shared = C.Shared(spark, C.Bitmap(shared, "shard"))
 
     def emit(batch: pa.RecordBatch) -> dict:
@@ -152,11 +155,14 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
                 s, n = int(starts[j]), int(sizes[j])
                 body = tokens[s : s + n + window - 1].tobytes()
                 at.setdefault((int(low[j]), xxhash.xxh3_64_intdigest(body)), [body, []])[1].append({"id": ids[i], "text_key": keys[i], "start": s})
+        shard = np.fromiter((x for x, _ in at), np.uint64, len(at))
+        run = np.fromiter((x for _, x in at), np.uint64, len(at))
         return {
-            "shard": pa.array(np.fromiter((x for x, _ in at), np.uint64, len(at)).view(np.int64)),
-            "run": pa.array(np.fromiter((x for _, x in at), np.uint64, len(at)).view(np.int64)),
+            "shard": pa.array(shard.view(np.int64)),
+            "run": pa.array(run.view(np.int64)),
             "words": [x for x, _ in at.values()],
             "places": [x for _, x in at.values()],
+            "salt": pa.array(np.where(hot.value.holds(shard), 1 + (run >> np.uint64(48)).astype(np.int64), 0).astype(np.int32)),
         }
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +196,10 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
             return rows
 
         for batch in batches:
-            for x, run, words, where in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for x, run, words, where, salt in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if x != shard:
                     flush()
-                    shard, over, size = x, False, 0
+                    shard, over, size = x, salt > 0, 0
                 size += len(words) // 4 * (run not in held) + 4 * len(where)
                 if not over and size > most_words:
                     over = True
@@ -217,8 +223,8 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
     schema = f"id {kind}, text_key bigint, start bigint, n bigint, hash bigint"
     target = to_arrow_schema(_parse_datatype_string(schema))
     place = f"array<struct<id: {kind}, text_key: bigint, start: bigint>>"
-    emitted = C.map_batches(keyed, emit, f"shard bigint, run bigint, words binary, places {place}")
-    found = emitted.repartition("shard").sortWithinPartitions("shard", "run").mapInArrow(resolve, schema)
+    emitted = C.map_batches(keyed, emit, f"shard bigint, run bigint, words binary, places {place}, salt int")
+    found = emitted.repartition("shard", "salt").sortWithinPartitions("shard", "run").mapInArrow(resolve, schema)
     found = C.materialise(found, "substrings")
     rest = found.where("hash is not null")
     twice = rest.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
@@ -226,10 +232,10 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
     return spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1).alias("end"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, most_words: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, most_words: int = 250_000, hot_runs: int = 10_000) -> DataFrame:
     """One row per document: id, n_words, n_removed and kept (the words that stay, joined by one space)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, k=k, most_words=most_words)
+    spans = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, k=k, most_words=most_words, hot_runs=hot_runs)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     both = texts.alias("t").join(spans.alias("s"), F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.text_key") == F.col("s.text_key")), "left").select("t.id", "t.text", "s.spans")
 
