@@ -8,7 +8,7 @@ longest suffix that occurs twice or more, and a window that it spans is a repeat
 
 Equal runs are joined within a batch before they are shuffled. A shard of more than `hot_runs` runs is split by run over many
 tasks, and its windows are counted one by one by hash, in a shuffle of their own with partial counts. So are those of a shard
-whose reference outgrows `most_words`: an automaton takes some 400 bytes a word, so a task holds 100 MB of it at most.
+whose reference outgrows `most_words`: an automaton takes hundreds of bytes a word (an estimate, not measured).
 
 Nulls, ties and odd rows: a null or empty text has no words and loses none; every occurrence of a repeat goes, the first
 too; repeated rows repeat each other; rows are told apart by id and text; other columns are never read.
