@@ -16,11 +16,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five words, similarity 0.8 or more) the document with the smallest id."""
-    classes = jaccard.components(docs, k=5, percent=80)
-    gone = classes.where("doc_id <> component_id").select("doc_id")
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class of near copies (five words, similarity 0.8 or more): the one with the smallest id, an id before a null.
+
+    Rows, not ids, are kept or dropped: rows of one id or of a null id are told apart by hashes of their text and of their other
+    columns, which also decide between rows of one id within a class. Rows of null or wordless texts are in no class and all stay.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit(0), *rest).alias("rest"))
+    keyed = docs.withColumn("__key", key)
+    classes = jaccard.components(keyed, id_col="__key", k=5, percent=80)
+    gone = classes.where("__key <> component_id").select("__key")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = keyed.where(worded).dropDuplicates(["__key"]).join(gone, "__key", "left_anti")
+    return once.select(docs.columns).unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and n_chars counted again."""
-    out = secrets.redact(docs, secrets.scan(docs))
+    """All documents, with secrets replaced in their texts and n_chars counted again. Rows, not ids, meet their findings."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    out = secrets.redact(keyed, secrets.scan(keyed, id_col="__key"), id_col="__key")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

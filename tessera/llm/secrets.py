@@ -128,4 +128,4 @@ def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text
     values = findings.where("secret").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("__values"))
     text = F.aggregate(F.coalesce("__values", F.expr("cast(array() as array<struct<n: int, value: string>>)")), F.col(text_col), lambda t, v: F.replace(t, v["value"], F.lit(mark)))
     kept = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
-    return docs.join(values, docs[id_col] == values["__id"], "left").select(*kept)
+    return docs.join(values, docs[id_col].eqNullSafe(values["__id"]), "left").select(*kept)
