@@ -3,8 +3,9 @@
 URLs that a rule allows or blocks train two variable-order Markov models (contexts of 0 to 4 bytes, Witten-Bell smoothing:
 each order falls back on the next lower one by its number of distinct continuations). A URL's score is the difference of its
 log-likelihoods under both, divided by its length; the threshold is the one that best separates a fifth of the rule-decided
-URLs that the models have not seen. All URLs are counted; grams and contexts meet exactly, by 64-bit hash, and are then folded into
-2**20 cells a model, the bound of what is broadcast.
+URLs that the models have not seen; all others of them are counted. The models are tables of exact counts by 64-bit hash that grow
+with the input. URLs are scored in blocks: the distinct grams and contexts of a block are joined with the tables, and what
+is found goes to the block. No model is broadcast or sent to the driver.
 
 Nulls, ties and odd rows: a null URL or one without `://` has empty host and path and fits no rule; of rules of equal length
 that fit, the first wins; without URLs of both kinds the method allows; URLs are judged row by row; other columns are never read.
@@ -18,12 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import common as C
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-ORDERS, CELLS = 5, 1 << 20
+ORDERS = 5
+#: URLs of a block, and base-2 logarithm of the most rows that a partition's numbers leave room for.
+BLOCK, ROOM = 4096, 33
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS, REACH = 2048, 8.0
 
@@ -81,35 +86,78 @@ def count_grams(urls: DataFrame) -> DataFrame:
     return counted.groupBy("side", "gram", "context").agg(F.sum("n").alias("n"))
 
 
-class Models:
-    """Both models as tables of cells: counts of grams, counts of contexts, distinct continuations of contexts."""
+def models(counts: DataFrame) -> DataFrame:
+    """(key, what, m0, n0, m1, n1) for the sides 0 and 1: of a gram (what = 0) its count as m; of a context (1) its count as m and its distinct continuations as n."""
+    of = lambda side, x: F.sum(F.when(F.col("side") == side, x).otherwise(0))
+    one, n = F.lit(1).cast("bigint"), F.col("n")
+    whole = counts.groupBy(F.col("gram").alias("key")).agg(F.lit(0).alias("what"), of(0, n).alias("m0"), F.lit(0).cast("bigint").alias("n0"), of(1, n).alias("m1"), F.lit(0).cast("bigint").alias("n1"))
+    context = counts.groupBy(F.col("context").alias("key")).agg(F.lit(1).alias("what"), of(0, n).alias("m0"), of(0, one).alias("n0"), of(1, n).alias("m1"), of(1, one).alias("n1"))
+    return whole.unionByName(context)
 
-    def __init__(self, counts: DataFrame):
-        counts = C.materialise(counts, "url-grams")
-        cell = lambda c: F.pmod(F.col(c), F.lit(CELLS)).cast("int")
-        table = (
-            counts.groupBy("side", cell("gram").alias("cell"), F.lit(0).alias("what")).agg(F.sum("n").alias("n"))
-            .unionByName(counts.groupBy("side", cell("context").alias("cell"), F.lit(1).alias("what")).agg(F.sum("n").alias("n")))
-            .unionByName(counts.groupBy("side", cell("context").alias("cell"), F.lit(2).alias("what")).agg(F.count(F.lit(1)).alias("n")))
-            .toArrow()
-        )
-        self.tables = np.zeros((2, 3, CELLS), np.float32)
-        self.tables[table["side"].to_numpy(), table["what"].to_numpy(), table["cell"].to_numpy()] = table["n"].to_numpy()
-        self.both = bool((self.tables[:, 0].sum(axis=1) > 0).all())
+
+def block_keys(urls: DataFrame) -> DataFrame:
+    """(block, key, what) of (block, url): the distinct grams (what = 0) and contexts (1), within batches first."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: list[list[np.ndarray]] = [[], [], []]
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        every = [grams(u) for u in batch.column(1).to_pylist()]
+        for block in np.unique(blocks):
+            some = [every[i] for i in np.flatnonzero(blocks == block)]
+            for what in (0, 1):
+                keys = np.unique(np.concatenate([np.unique(np.concatenate([g[o][what] for g in some])) for o in range(ORDERS)]))
+                for column, value in zip(out, (np.full(len(keys), block), keys.view(np.int64), np.full(len(keys), what, np.int32)), strict=True):
+                    column.append(value)
+        return {name: pa.array(np.concatenate(x)) for name, x in zip(("block", "key", "what"), out, strict=True)}
+
+    return C.map_batches(urls, rows, "block bigint, key bigint, what int").distinct()
+
+
+class Found:
+    """What the models hold of the grams and contexts of a block."""
+
+    def __init__(self, rows: pa.Table):
+        self.keys, self.values = [], []
+        what = rows["what"].to_numpy()
+        for w in (0, 1):
+            keys = rows["key"].to_numpy()[what == w].view(np.uint64)
+            order = np.argsort(keys)
+            values = np.stack([rows[c].to_numpy()[what == w][order] for c in ("m0", "n0", "m1", "n1")]).astype(np.float64)
+            # the last column stands for what is missing
+            self.keys.append(keys[order])
+            self.values.append(np.concatenate((values, np.zeros((4, 1))), axis=1))
+
+    def get(self, what: int, keys: np.ndarray) -> np.ndarray:
+        have = self.keys[what]
+        at = np.searchsorted(have, keys)
+        some = at < len(have)
+        some[some] = have[at[some]] == keys[some]
+        return self.values[what][:, np.where(some, at, len(have))]
 
     def score(self, url: str | None) -> float:
-        log = []
         every = grams(url)
-        for side in (1, 0):
-            count, total, kinds = self.tables[side]
-            p = np.full(len(every[0][0]), 1 / 257)
-            for gram, context in every:
-                at = (context % np.uint64(CELLS)).astype(np.int64)
-                n, t = total[at], kinds[at]
-                mixed = (np.minimum(count[(gram % np.uint64(CELLS)).astype(np.int64)], n) + t * p) / np.maximum(n + t, 1)
-                p = np.where(n > 0, mixed, p)
-            log.append(float(np.log(p).mean()))
-        return log[0] - log[1]
+        p = [np.full(len(every[0][0]), 1 / 257)] * 2
+        for gram, context in every:
+            count, (n0, t0, n1, t1) = self.get(0, gram), self.get(1, context)
+            for side, c, n, t in ((0, count[0], n0, t0), (1, count[2], n1, t1)):
+                p[side] = np.where(n > 0, (c + t * p[side]) / np.maximum(n + t, 1), p[side])
+        return float(np.log(p[1]).mean()) - float(np.log(p[0]).mean())
+
+
+def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """urls (block, url and others) with score."""
+    found = block_keys(urls.select("block", "url")).join(model, ["key", "what"])
+    out = pa.schema([*to_arrow_schema(urls.schema), pa.field("score", pa.float64())])
+
+    def score(rows: pa.Table, held: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return out.empty_table()
+        have = Found(held)
+        every = {u: have.score(u) for u in set(rows["url"].to_pylist())}
+        return pa.Table.from_arrays([*rows.columns, pa.array([every[u] for u in rows["url"].to_pylist()], pa.float64())], schema=out)
+
+    schema = StructType([*urls.schema, StructField("score", DoubleType())])
+    return urls.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)
 
 
 def threshold(scores: DataFrame) -> float:
@@ -129,17 +177,14 @@ def threshold(scores: DataFrame) -> float:
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per page: id, host, path, rule, score (allowed against blocked) and verdict."""
     urls = with_rule(parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url"), rules)
-    said = urls.where("__said is not null").select("url", (F.col("__said") == "allow").cast("int").alias("side"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("later"))
-    found = Models(count_grams(said.where("not later").select("url", "side")))
-    models = C.Shared(pages.sparkSession, found)
-
-    def scores(batch: pa.RecordBatch) -> dict:
-        at = batch.schema.names.index("url")
-        return {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | {"score": [models.value.score(u) for u in batch.column(at).to_pylist()]}
-
-    held = C.map_batches(said.where("later").select("url", "side"), scores, "url string, side int, score double")
-    cut = threshold(held) if found.both else None
-    kind = pages.schema[id_col].dataType.simpleString()
-    out = C.map_batches(urls, scores, f"id {kind}, url string, host string, path string, rule string, __said string, score double")
+    # rows are numbered within their partition, and so many in a row make a block; written, so that they stay in it
+    no = F.monotonically_increasing_id()
+    block = F.shiftright(no, ROOM) * (1 << 21) + F.floor((no % (1 << ROOM)) / BLOCK)
+    urls = urls.withColumn("side", (F.col("__said") == "allow").cast("int")).withColumn("later", F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
+    urls = C.materialise(urls.withColumn("block", block.cast("bigint")), "url-rows")
+    counts = C.materialise(count_grams(urls.where("side is not null and not later").select("url", "side")), "url-grams")
+    out = C.materialise(scored(urls, models(counts)), "url-scores")
+    both = counts.select("side").distinct().count() == 2
+    cut = threshold(out.where("side is not null and later").select("score", "side")) if both else None
     method = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("__said", method).alias("verdict"), "score")
