@@ -1,7 +1,8 @@
 """Secret scans: candidates by rule, false positives removed by a random forest, in DataFrame and SQL functions only.
 
 A candidate is a word with a value of 12 or more key characters that holds a digit or symbol, or any value of 6 or more that is
-assigned to a credential's name. Its features are its length, character transitions (classes and common letter pairs),
+assigned to a credential's name: `name=value` in one word (quotes allowed, as in JSON; a word with several assignments has a finding
+for each), or with blanks before or after the sign. Its features are its length, character transitions (classes and common letter pairs),
 dictionary coverage, the path it stands in, and the words beside it. The forest is trained from labelled findings: any table of
 that form, or the `findings()` made here by rule from seeded hashes (real keys are not published, so none are copied).
 
@@ -27,6 +28,13 @@ FEATURES = ("length", "transitions", "digits", "distinct", "common_pairs", "dict
 
 WORD = r"[A-Za-z0-9+/_=.~-]"
 
+#: Assignments: a name, the quotes or brackets that may close it, a sign as a word, a word that starts or ends with one, and
+#: where the next assignment of a word starts.
+NAME, QUOTES, SIGN, OPENS = r"[A-Za-z_][A-Za-z0-9_.-]{0,60}(?:\x5B[\x22\x27]?[A-Za-z0-9_.-]{1,60})?", r"[\x22\x27\x5D\x5C]*", "^(:?=>?|:)$", "^(:?=>?|:)[^=:/].{5}"
+ASSIGNED = CREDENTIAL + r"[A-Za-z0-9_.-]*" + QUOTES + "[=:].{6}"
+ENDS = CREDENTIAL + r"[A-Za-z0-9_.-]*" + QUOTES + r"[=:]>?[\x22\x27(]*$"
+NEXT = r"[,;&?{]+(?=[\x22\x27]?" + NAME + QUOTES + "[=:](?!//))"
+
 
 def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """(id, word_no, name, value, before, before2, after, place) of each candidate."""
@@ -34,16 +42,22 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str | N
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")
     # short words fail by their length alone; neighbours are looked at for the few that pass
     key = r"w[i] rlike '[0-9_+/]' and w[i] rlike '[A-Za-z0-9+/_-]{12,}'"
-    joined = rf"(instr(w[i], '=') > 0 or instr(w[i], ':') > 0) and w[i] rlike r'{CREDENTIAL}[a-zA-Z_]*[=:].{{6}}'"
-    apart = rf"i > 1 and w[i - 1] in ('=', ':') and w[i - 2] rlike r'{CREDENTIAL}'"
+    joined = rf"(instr(w[i], '=') > 0 or instr(w[i], ':') > 0) and w[i] rlike r'{ASSIGNED}'"
+    signed = rf"w[i - 1] rlike r'[=:]>?[\x22\x27(]*$' and w[i - 1] rlike r'{ENDS}'"
+    apart = rf"i > 0 and ({signed} or w[i] rlike r'{OPENS}' and w[i - 1] rlike r'{CREDENTIAL}') or i > 1 and w[i - 1] rlike r'{SIGN}' and w[i - 2] rlike r'{CREDENTIAL}'"
     test = f"i -> length(w[i]) >= 6 and ((length(w[i]) >= 12 and {key}) or ({joined}) or ({apart}))"
     taken = "i -> struct(i as word_no, w[i] as word, get(w, i - 1) as before, get(w, i - 2) as before2, get(w, i + 1) as after)"
     rows = docs.select(F.col(id_col).alias("id"), path.alias("place"), F.array(words).alias("t"))
     # the words are bound once as a lambda's variable; a plain column would be split again for each word
     rows = rows.select("id", "place", F.expr(f"transform(t, w -> transform(filter(sequence(0, size(w) - 1), {test}), {taken}))[0]").alias("x"))
     rows = rows.select("id", "place", F.inline("x"))
-    name = F.regexp_extract("word", r"^\W*([A-Za-z_][A-Za-z0-9_.-]{0,60})[=:]", 1)
-    value = F.regexp_replace(F.regexp_replace("word", r"^\W*[A-Za-z_][A-Za-z0-9_.-]{0,60}[=:](?!//)", ""), r"^[^A-Za-z0-9+/_~-]+|[^A-Za-z0-9+/_=~-]+$", "")
+    # a word with several assignments, one of them to a credential's name, is parted before each
+    several = F.col("word").rlike(ASSIGNED) & F.col("word").rlike(NEXT)
+    parts = F.filter(F.split("word", NEXT), lambda w: w.rlike(ASSIGNED) | (w.rlike("[0-9_+/]") & w.rlike("[A-Za-z0-9+/_-]{12,}")))
+    rows = rows.withColumn("word", F.explode(F.when(several, parts).otherwise(F.array("word"))))
+    opens = F.col("word").rlike(OPENS) & F.coalesce(F.col("before").rlike(CREDENTIAL), F.lit(False))
+    name = F.when(opens, F.regexp_extract("before", r"([A-Za-z_][A-Za-z0-9_.-]{0,60})\W*$", 1)).otherwise(F.regexp_extract("word", rf"^\W*({NAME}){QUOTES}[=:]", 1))
+    value = F.regexp_replace(F.regexp_replace("word", rf"^\W*{NAME}{QUOTES}[=:](?!//)", ""), r"^[^A-Za-z0-9+/_~-]+|[^A-Za-z0-9+/_=~-]+$", "")
     return rows.withColumn("name", name).withColumn("value", value).where(F.length("value") >= 6).drop("word")
 
 
@@ -52,7 +66,7 @@ def measured(found: DataFrame) -> DataFrame:
     v, low = F.col("value"), F.lower("value")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "-")
     n = F.length(v)
-    near = F.concat_ws(" ", F.when(F.col("before").isin("=", ":"), F.concat_ws(" ", "before2")).otherwise(F.col("before")), "name")
+    near = F.concat_ws(" ", F.when(F.col("before").rlike(SIGN), F.concat_ws(" ", "before2")).otherwise(F.col("before")), "name")
     share = lambda x: x.cast("double") / F.greatest(n, F.lit(1))
     pairs = F.expr(f"size(filter(sequence(1, greatest(length(value) - 1, 1)), i -> instr('{COMMON_PAIRS}', concat(' ', substr(lower(value), i, 2), ' ')) > 0))")
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -67,14 +81,14 @@ def measured(found: DataFrame) -> DataFrame:
         yes(v.rlike(r"(^[~.]?/|://|/.*/|\.[a-z]{2,4}$)")).alias("in_path"),
         yes(F.col("place").rlike("(?i)(test|example|sample|mock|fixture|docs?/|lock)")).alias("odd_place"),
         yes(near.rlike(CREDENTIAL)).alias("credential"),
-        yes((F.length("name") > 0) | F.col("before").isin("=", ":") | F.col("before").rlike("[=:]$")).alias("assigned"),
+        yes((F.length("name") > 0) | F.col("before").rlike(r"[=:]>?[\x22\x27(]*$")).alias("assigned"),
         yes(F.concat_ws(" ", v, near, "after").rlike(PLACEHOLDER)).alias("placeholder"),
         yes(F.regexp_extract(near, r"(\S*)\s*$", 1).rlike(REFERENCE)).alias("reference"),
     )
 
 
 def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Labelled findings by rule: keys of several makes beside credential words; commits, paths, numbers, placeholders and words."""
+    """Labelled findings by rule: keys and short passwords beside credential words; commits, paths, numbers, placeholders and words, also beside such."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}-"), F.col("id")), 256)
     letters = lambda k: F.translate(F.substr(h(k), F.lit(1), F.lit(24)), "0123456789", "thernosial")
     base = F.regexp_replace(F.base64(F.unhex(h(1))), "=+$", "")
@@ -83,6 +97,7 @@ def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     name = pick(["token", "password", "api_key", "secret", "auth_token", "access_key", "passwd", "client_secret"], 2)
     ref = pick(["commit", "sha256", "md5:", "revision", "uuid", "checksum", "id", "version"], 3)
     size = pick([16, 20, 32, 40, 64], 4)
+    short = pick([4, 5, 6, 7, 8], 9)
     none = F.lit("")
     kinds = (
         (1, F.substr(h(0), F.lit(1), size), name, F.lit("=")),
@@ -95,6 +110,9 @@ def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (0, F.concat_ws("-", F.substr(F.translate(h(7), "abcdef", "102938"), F.lit(1), F.lit(3)), F.substr(F.translate(h(8), "abcdef", "102938"), F.lit(1), F.lit(3)), F.substr(F.translate(h(9), "abcdef", "102938"), F.lit(1), F.lit(8))), word, none),
         (0, pick(["your_api_key_here", "xxxxxxxxxxxxxxxx", "example_token_123", "changeme_please_1"], 8), name, F.lit("=")),
         (0, F.concat(letters(10), F.lit("_"), letters(11)), word, none),
+        (1, F.concat(F.substr(base, F.lit(1), short), F.substr(F.translate(h(12), "abcdef", "102938"), F.lit(1), F.lit(2))), name, F.lit("=")),
+        (0, F.substr(letters(13), F.lit(1), short + 4), name, F.lit(":")),
+        (0, F.initcap(F.substr(letters(14), F.lit(1), short + 4)), name, F.lit(":")),
     )
     every = spark.range(rows).withColumn("kind", F.pmod("id", F.lit(len(kinds))))
     made = F.array(*(F.struct(F.lit(k[0]).alias("label"), k[1].alias("value"), k[2].alias("near"), k[3].alias("sign")) for k in kinds))
