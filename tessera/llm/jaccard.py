@@ -5,10 +5,12 @@
 2. A set's shingles are ordered by (count of their cell, hash), rare first: one order for all. Two sets of Jaccard
    similarity t share a shingle in their first n - ceil(t n) + 1, so only prefixes are joined, and only shingles that are in
    the prefix of two nodes go on.
-3. Within the nodes of a shingle no pairs are listed at first: each node is held against one centre (length filter),
+3. join() lists all pairs of nodes that share a prefix shingle (length, positional and suffix filter), verifies each once from
+   the sets themselves, and gives each row its class and its number of links. Its pairs grow with the square of a group's size.
+4. components() gives the classes only, with fewer pairs: each node of a shingle is held against one centre (length filter),
    the pairs are verified once, and linked nodes fall into one component. Then the pairs of nodes in different components
-   that share a prefix shingle are listed (length, positional and suffix filter), verified once each, and linked. Pairs within
-   a component can't change the classes; no link between components is lost.
+   that share a prefix shingle are listed, verified once each, and linked. Pairs within a component can't change the classes; no
+   link between components is lost.
 
 Nulls, ties and odd rows: a null or wordless text has the empty set and links with nothing; a text of fewer than k words
 is one shingle; equal sets always link; rows of one id stay separate rows; a null id takes part, but a class is named
@@ -61,6 +63,12 @@ def may_link(percent: int) -> str:
     return f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * ({apart}) <= {100 - percent} * (n + n2)"
 
 
+def alike(percent: int) -> str:
+    """may_link() and the positional filter: at the first shingle that two sets share (one row of the pair is that), they share it and what follows at most."""
+    most = "least(n - at, n2 - at2)"
+    return f"100 * ({most}) >= {percent} * (n + n2 - ({most})) and {may_link(percent)}"
+
+
 def need(n: int, percent: int) -> int:
     """ceil(percent / 100 * n)"""
     return (percent * n + 99) // 100
@@ -123,8 +131,32 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return tagged.join(names, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id"))
 
 
-def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds: int) -> DataFrame:
-    """(a, b): verified links that join nodes into the same components as all links do."""
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id as in components(), and n_links, the number of other rows it is linked with."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, cells = measure(texts, k)
+    links = all_links(texts.select("text"), cells, k, percent)
+    sizes = C.materialise(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+    others = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("others"))
+    nodes = sizes.join(connect(links), "node", "left").join(others, "node", "left")
+    nodes = nodes.select("node", F.coalesce("comp", "node").alias("comp"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    tagged = C.materialise(rows.join(nodes, "node", "left").select("id", "n", "comp", "n_links"), "jaccard-rows")
+    names = tagged.where("comp is not null").groupBy("comp").agg(F.min("id").alias("name"))
+    component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id")
+    return tagged.join(names, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def all_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(a, b): all links between distinct nodes, each verified."""
+    held = shared_prefixes(texts, cells, k, percent)
+    other = held.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sign").alias("sign2"))
+    pairs = held.join(other, "token").where(f"node < node2 and {alike(percent)}").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    return verify(pairs, texts, k, percent).where("linked").select("a", "b")
+
+
+def shared_prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(node, n, at, token, sign) of each prefix shingle that several nodes have."""
     spark = texts.sparkSession
     shared_cells = C.Shared(spark, cells)
     schema = "node bigint, n int, sign array<bigint>, tokens array<bigint>"
@@ -163,7 +195,12 @@ def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds
     # the signs, eight numbers a node, follow the few shingles that are shared
     entries = C.materialise(entries.join(lists.select("node", "sign").dropDuplicates(["node"]), "node"), "jaccard-entries")
     C.discard(spark, lists_path)
+    return entries
 
+
+def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds: int) -> DataFrame:
+    """(a, b): verified links that join nodes into the same components as all links do."""
+    entries = shared_prefixes(texts, cells, k, percent)
     links, checked, comps = None, None, None
     for r in range(rounds):
         held = with_components(entries, comps)
@@ -206,10 +243,7 @@ def across(held: DataFrame, percent: int) -> DataFrame:
     other = cells.select("token", F.col("comp").alias("comp2"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
     cells = cells.join(other, "token").where(f"comp < comp2 and 100 * n1 >= {percent} * m0 and 100 * m1 >= {percent} * n0").select("token", "comp", "comp2")
     right = held.select("token", F.col("comp").alias("comp2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sign").alias("sign2"))
-    # at the first shingle that two sets share (one row of the pair is that), they share it and what follows at most
-    most = "least(n - at, n2 - at2)"
-    alike = f"100 * ({most}) >= {percent} * (n + n2 - ({most})) and {may_link(percent)}"
-    pairs = cells.join(held.select("token", "comp", "node", "n", "at", "sign"), ["token", "comp"]).join(right, ["token", "comp2"]).where(alike)
+    pairs = cells.join(held.select("token", "comp", "node", "n", "at", "sign"), ["token", "comp"]).join(right, ["token", "comp2"]).where(alike(percent))
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
