@@ -1,31 +1,34 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, each pair verified once.
 
 1. One pass gives each text its set of k-word shingles (64-bit hashes) and the set's fingerprint; texts of equal sets are
    one node. The same pass counts all shingles of the corpus in 2**22 cells (16 MB whatever the input).
 2. A set's shingles are ordered by (count of their cell, hash), rare first: one order for all. Two sets of Jaccard
    similarity t share a shingle in their first n - ceil(t n) + 1, so only prefixes are joined, and only shingles that are in
    the prefix of two nodes go on.
-3. join() lists all pairs of nodes that share a prefix shingle (length, positional and suffix filter), verifies each once from
-   the sets themselves, and gives each row its class and its number of links. Its pairs grow with the square of a group's size.
-4. components() gives the classes only, with fewer pairs: each node of a shingle is held against one centre (length filter),
-   the pairs are verified once, and linked nodes fall into one component. Then the pairs of nodes in different components
-   that share a prefix shingle are listed, verified once each, and linked. Pairs within a component can't change the classes; no
-   link between components is lost.
+3. A shingle of at most `hot` nodes is joined with itself. A pair is passed over where both nodes have the same shingle just
+   before, as it is listed there or earlier; the others meet the length, positional and suffix filter, and each that is left is
+   verified once, from the sets themselves. Pairs are dealt to homes, so that a family of near copies brings each set once.
+4. The pairs of a shingle of more nodes are never listed. Its nodes are cut by length into bands (linked sets lie in one band or
+   in neighbouring ones) and by hash into blocks; each two blocks are one piece of work, in which the shared shingles of all pairs are
+   counted at once. A pair is judged at the first such shingle that it shares, and never in step 3. A piece gives each
+   node's number of links and a spanning forest of them, so what it gives grows with its nodes, not with its pairs.
+5. Numbers of links are added up; forests and links make the components.
 
 Nulls, ties and odd rows: a null or wordless text has the empty set and links with nothing; a text of fewer than k words
 is one shingle; equal sets always link; rows of one id stay separate rows; a null id takes part, but a class is named
-by its smallest id that isn't null; other columns are never read.
+by its smallest id that isn't null; other columns are never read; an empty table gives no rows; a text of any length is one set.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -33,9 +36,11 @@ from pyspark.sql.types import _parse_datatype_string
 from tessera.llm import common as C
 from tessera.llm.components import connect
 
-CELLS, SLICES = 1 << 22, 64
+CELLS, SLICES = 1 << 22, 1024
 #: The suffix filter parts the hashes of a set into 64 * SIGNS classes and keeps the parity of each class.
 SIGNS = 8
+#: Shingles of the sets that one piece of work holds, about, and columns of the tables in which shared ones are counted.
+PIECE, COLUMNS = 1 << 21, 8192
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -57,16 +62,21 @@ def signs(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def may_link(percent: int) -> str:
-    """Length and suffix filter of two rows (n, sign) and (n2, sign2): linked sets differ in (100 - t)/(100 + t) of n + n2 at most."""
-    apart = " + ".join(f"bit_count(sign[{i}] ^ sign2[{i}])" for i in range(SIGNS))
-    return f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * ({apart}) <= {100 - percent} * (n + n2)"
+def near_size(percent: int) -> str:
+    """Length filter of two rows of sizes n and n2."""
+    return f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
 
 
-def alike(percent: int) -> str:
-    """may_link() and the positional filter: at the first shingle that two sets share (one row of the pair is that), they share it and what follows at most."""
+def near_place(percent: int) -> str:
+    """Positional filter: at the first shingle that two sets share (one row of the pair is that), they share it and what follows at most."""
     most = "least(n - at, n2 - at2)"
-    return f"100 * ({most}) >= {percent} * (n + n2 - ({most})) and {may_link(percent)}"
+    return f"100 * ({most}) >= {percent} * (n + n2 - ({most}))"
+
+
+def near_sign(percent: int) -> str:
+    """Suffix filter: linked sets differ in (100 - t)/(100 + t) of n + n2 at most."""
+    apart = " + ".join(f"bit_count(sign[{i}] ^ sign2[{i}])" for i in range(SIGNS))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * (n + n2)"
 
 
 def need(n: int, percent: int) -> int:
@@ -74,6 +84,11 @@ def need(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
+def band(percent: int) -> Column:
+    """Sizes of linked sets lie in one band or in two next to each other; a little wider, so that rounding can't part them."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
+
+
 def batched(schema: str):
     target = to_arrow_schema(_parse_datatype_string(schema))
     return lambda columns: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(target, columns, strict=True)], schema=target)
@@ -109,60 +124,23 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
         for i, x in total.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
     both = C.materialise(docs.mapInArrow(run, schema), "jaccard-nodes")
     cells = np.zeros(CELLS, np.uint32)
     parts = both.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
     for i, x in parts:
-        cells[i * CELLS // SLICES : (i + 1) * CELLS // SLICES] = np.frombuffer(x, np.uint32)
+        cells[i * CELLS // SLICES : (i + 1) * CELLS // SLICES] = np.frombuffer(zlib.decompress(x), np.uint32)
     return both.where("slice is null").select("id", "n", "node"), cells
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = 1) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (smallest id of the class that links make, its own included)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows, cells = measure(texts, k)
-    links = node_links(texts.select("text"), cells, k, percent, rounds)
-    comps = connect(links)
-    tagged = rows.join(comps, "node", "left").select("id", "n", F.coalesce("comp", "node").alias("comp"))
-    tagged, _ = C.materialise_at(tagged, "jaccard-rows")
-    names = tagged.where("comp is not null").groupBy("comp").agg(F.min("id").alias("name"))
-    return tagged.join(names, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id"))
-
-
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id as in components(), and n_links, the number of other rows it is linked with."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows, cells = measure(texts, k)
-    links = all_links(texts.select("text"), cells, k, percent)
-    sizes = C.materialise(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
-    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-    others = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("others"))
-    nodes = sizes.join(connect(links), "node", "left").join(others, "node", "left")
-    nodes = nodes.select("node", F.coalesce("comp", "node").alias("comp"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    tagged = C.materialise(rows.join(nodes, "node", "left").select("id", "n", "comp", "n_links"), "jaccard-rows")
-    names = tagged.where("comp is not null").groupBy("comp").agg(F.min("id").alias("name"))
-    component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id")
-    return tagged.join(names, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def all_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(a, b): all links between distinct nodes, each verified."""
-    held = shared_prefixes(texts, cells, k, percent)
-    other = held.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sign").alias("sign2"))
-    pairs = held.join(other, "token").where(f"node < node2 and {alike(percent)}").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    return verify(pairs, texts, k, percent).where("linked").select("a", "b")
-
-
-def shared_prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(node, n, at, token, sign) of each prefix shingle that several nodes have."""
-    spark = texts.sparkSession
-    shared_cells = C.Shared(spark, cells)
+def prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(node, n, sign, tokens: prefix shingles in order) of each node, maybe more than once."""
+    shared_cells = C.Shared(texts.sparkSession, cells)
     schema = "node bigint, n int, sign array<bigint>, tokens array<bigint>"
     record = batched(schema)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             nodes, sizes, sign, tokens = [], [], [], []
@@ -188,63 +166,49 @@ def shared_prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -
             offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield record([nodes, sizes, sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))])
 
-    lists, lists_path = C.materialise_at(texts.mapInArrow(prefixes, schema), "jaccard-prefixes")
-    entries = lists.select("node", "n", F.posexplode("tokens").alias("at", "token"))
+    return C.materialise(texts.mapInArrow(run, schema), "jaccard-prefixes")
+
+
+def shared_entries(lists: DataFrame, hot: int) -> DataFrame:
+    """(token, node, n, at, prev, hot) of each prefix shingle that several nodes have; prev is the shingle before it, or the node itself at
+    the first place; hot if more than `hot` nodes have it."""
+    before = F.concat(F.array("node"), F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))))
+    entries = lists.select("node", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("prev"))).alias("at", "x")).select("node", "n", "at", "x.token", "x.prev")
     common = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
     entries = C.materialise(entries.join(common, "token").dropDuplicates(["token", "node"]), "jaccard-shared")
-    # the signs, eight numbers a node, follow the few shingles that are shared
-    entries = C.materialise(entries.join(lists.select("node", "sign").dropDuplicates(["node"]), "node"), "jaccard-entries")
-    C.discard(spark, lists_path)
-    return entries
-
-
-def node_links(texts: DataFrame, cells: np.ndarray, k: int, percent: int, rounds: int) -> DataFrame:
-    """(a, b): verified links that join nodes into the same components as all links do."""
-    entries = shared_prefixes(texts, cells, k, percent)
-    links, checked, comps = None, None, None
-    for r in range(rounds):
-        held = with_components(entries, comps)
-        # the node's hash, turned by a number of the round, is its priority as a centre
-        turn = F.lit(int(C.mix(np.array([r + 1], np.uint64)).view(np.int64)[0]))
-        centres = held.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        centres = centres.where("c0 <> c1").select("token", F.col("x").bitwiseXOR(turn).alias("centre"))
-        of = held.select(F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("sign").alias("sign2"), F.col("comp").alias("comp2")).dropDuplicates(["centre"])
-        stars = held.join(centres, "token").where("node <> centre").dropDuplicates(["node", "centre"])
-        pairs = stars.join(of, "centre").where(f"comp <> comp2 and {may_link(percent)}")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        judged = verify(pairs, texts, k, percent)
-        checked = judged if checked is None else checked.unionByName(judged)
-        links = checked.where("linked").select("a", "b")
-        comps = connect(links)
-    held = with_components(entries, comps)
-    pairs = across(held, percent)
-    if checked is not None:
-        pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    judged = verify(pairs, texts, k, percent)
-    last = judged.where("linked").select("a", "b")
-    return last if links is None else links.unionByName(last)
-
-
-def with_components(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return entries.withColumn("comp", F.col("node"))
-    return entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def across(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in different components that share a prefix shingle and pass the length and positional filters.
-
-    Components, not nodes, are paired per shingle, so a shingle whose nodes are all of one component makes no row."""
-    cells = held.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    several = cells.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    cells = cells.join(several, "token")
-    other = cells.select("token", F.col("comp").alias("comp2"), F.col("n0").alias("m0"), F.col("n1").alias("m1"))
-    cells = cells.join(other, "token").where(f"comp < comp2 and 100 * n1 >= {percent} * m0 and 100 * m1 >= {percent} * n0").select("token", "comp", "comp2")
-    right = held.select("token", F.col("comp").alias("comp2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sign").alias("sign2"))
-    pairs = cells.join(held.select("token", "comp", "node", "n", "at", "sign"), ["token", "comp"]).join(right, ["token", "comp2"]).where(alike(percent))
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    many = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.lit(True).alias("hot"))
+    return C.materialise(entries.join(many, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "jaccard-entries")
+
+
+def listed_pairs(entries: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, home, part): the pairs of nodes that share a shingle of few nodes and pass the filters, dealt out by home and part."""
+    few = entries.where("not hot").select("token", "node", "n", "at", "prev")
+    other = few.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("prev").alias("prev2"))
+    pairs = few.join(other, "token").where(f"node < node2 and prev <> prev2 and {near_size(percent)} and {near_place(percent)}")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    sign = lists.select("node", "n", "sign").dropDuplicates(["node"])
+    pairs = pairs.join(sign.withColumnRenamed("node", "a"), "a").join(sign.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sign").alias("sign2")), "b")
+    pairs = C.materialise(pairs.where(near_sign(percent)).select("a", "b", (F.col("n") + F.col("n2")).alias("size")), "jaccard-pairs")
+    # the least neighbour's home: in a family of near copies that is one home for all
+    ends = pairs.select("a", "b").union(pairs.select("b", "a"))
+    homes = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("home"))
+    pairs = pairs.join(homes, "a")
+    parts = pairs.groupBy("home").agg(F.ceil(F.sum("size") / PIECE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int").alias("part")
+    return C.materialise(pairs.join(parts, "home").select("a", "b", "home", part), "jaccard-homes")
+
+
+def block_pieces(entries: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, token, band, i, j, low, own): each node of a hot shingle in every piece of work that needs it; low: it lies in the piece's own
+    band, else in the next; own: its block, i or j."""
+    rows = entries.where("hot").select("token", "node", "n", band(percent).alias("own_band"))
+    rows = rows.withColumn("low", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.col("own_band") - F.when(F.col("low"), 0).otherwise(1))
+    groups = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.max("low").alias("any"))
+    # a band that has no nodes of its own has no work
+    groups = groups.where("any and m > 1").select("token", "band", F.ceil(F.greatest(F.col("m") / block, F.col("size") / PIECE)).cast("int").alias("blocks"))
+    rows = rows.join(groups, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("node", "token", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "low", "own")
 
 
 def node_sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -255,36 +219,179 @@ def node_sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            sets = [s for s in (shingles(t, k) for t in C.text_bytes(batch.column(0))) if len(s)]
+            nodes = [node_of(s) for s in sets]
+            wanted = some.value.holds(np.array(nodes, np.int64).view(np.uint64)).tolist()
             out: list[list] = [[], []]
-            for t in C.text_bytes(batch.column(0)):
-                s = shingles(t, k)
-                node = node_of(s)
-                if node is None or node in seen or node % (1 << 64) not in some.value:
-                    continue
-                seen.add(node)
-                for column, value in zip(out, (node, s.tobytes()), strict=True):
-                    column.append(value)
+            for node, s, w in zip(nodes, sets, wanted, strict=True):
+                if w and node not in seen:
+                    seen.add(node)
+                    out[0].append(node)
+                    out[1].append(s.tobytes())
             if len(seen) > 1_000_000:
                 seen.clear()
             yield record(out)
 
-    return C.materialise(texts.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"]), "jaccard-sets")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair (a, b), from the sets themselves, which are made again for the nodes of these pairs only."""
-    pairs = C.materialise(pairs, "jaccard-pairs")
-    sets = node_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        linked = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate((x, y))
+    return texts.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"])
+
+
+class Piece:
+    """Sets of nodes that meet in one place: the pairs to verify, or two blocks of a hot shingle."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple[int, int]] = []
+        self.nodes: dict[int, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.size: list[int] = []
+        self.hot: list[np.ndarray] = []
+        self.low: list[bool] = []
+        self.own: list[int] = []
+
+    def add(self, node: int, s: bytes, size: int, hot: list[int], low: bool, own: int) -> None:
+        if node not in self.nodes:
+            self.nodes[node] = len(self.sets)
+            self.sets.append(np.frombuffer(s, np.uint64))
+            self.size.append(size)
+            self.hot.append(np.array(hot or [], np.int64))
+            self.low.append(low)
+            self.own.append(own)
+
+    def verified(self, percent: int) -> Iterator[tuple[int, int | None, int]]:
+        """(node, None, rows it is linked with) and (node, node, 0) of each link."""
+        count: dict[int, int] = {}
+        for a, b in self.pairs:
+            i, j = self.nodes[a], self.nodes[b]
+            if len(np.intersect1d(self.hot[i], self.hot[j], True)):
+                continue  # judged with the hot shingle's blocks
+            both = np.concatenate((self.sets[i], self.sets[j]))
             both.sort(kind="stable")
             same = int((both[1:] == both[:-1]).sum())
-            linked.append(100 * same >= percent * (len(x) + len(y) - same))
-        return {"a": batch.column(0), "b": batch.column(1), "linked": linked}
+            if 100 * same >= percent * (len(both) - same):
+                count[a] = count.get(a, 0) + self.size[j]
+                count[b] = count.get(b, 0) + self.size[i]
+                yield a, b, 0
+        for a, n in count.items():
+            yield a, None, n
+
+    def blocks(self, token: int, i: int, j: int, percent: int) -> Iterator[tuple[int, int | None, int]]:
+        """The same for all pairs of block i with block j whose first hot shingle in common is this token; a spanning forest in place of all links."""
+        own, low, n = np.array(self.own), np.array(self.low), np.array([len(s) for s in self.sets])
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(x) or not len(y):
+            return
+        may = (low[x][:, None] | low[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+        if i == j:
+            may &= x[:, None] < y
+        ahead = [h[: int(np.flatnonzero(h == token)[0])] for h in self.hot]
+        may &= shared(ahead, x, y) == 0
+        x, y, may = x[rows := may.any(axis=1)], y[columns := may.any(axis=0)], may[rows][:, columns]
+        if not may.any():
+            return
+        same = shared(self.sets, x, y)
+        linked = may & (100 * same >= percent * (n[x][:, None] + n[y] - same))
+        size, nodes = np.array(self.size, np.int64), list(self.nodes)
+        total = np.zeros(len(n), np.int64)
+        total[x] += linked @ size[y]
+        total[y] += size[x] @ linked
+        root = np.arange(len(n))
+        while True:
+            old = root.copy()
+            root[x] = np.minimum(root[x], np.where(linked, root[y], len(n)).min(axis=1))
+            root[y] = np.minimum(root[y], np.where(linked, root[x][:, None], len(n)).min(axis=0))
+            if (old == root).all():
+                break
+        for v in np.flatnonzero(total).tolist():
+            yield nodes[v], None, int(total[v])
+            if root[v] != v:
+                yield nodes[v], nodes[root[v]], 0
+
+
+def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many members each set of x has in common with each of y: products of 0/1 tables, some columns at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    members, inside = np.concatenate([sets[i] for i in x]), np.concatenate([sets[i] for i in y])
+    both = np.intersect1d(members, inside)
+    if not len(both):
+        return out.astype(np.int64)
+
+    def cells(flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        row = np.repeat(np.arange(len(which)), [len(sets[i]) for i in which])
+        there = both[at] == flat
+        at, row = at[there], row[there]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    (ax, rx), (ay, ry) = cells(members, x), cells(inside, y)
+    for start in range(0, len(both), COLUMNS):
+        tables = []
+        for at, row, m in ((ax, rx, len(x)), (ay, ry, len(y))):
+            lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+            table = np.zeros((m, min(COLUMNS, len(both) - start)), np.float32)
+            table[row[lo:hi], at[lo:hi] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, n): of each node a the numbers of rows n that it is linked with, to be added up (b null), and links (a, b) that join what is linked."""
+    home = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("low"), F.lit(0).alias("own")).distinct()
+    work = C.materialise(home.unionByName(pieces.withColumnRenamed("token", "key")), "jaccard-work")
+    sets = node_sets(texts, work.select("node"), k)
+    rows = work.join(nodes, "node").join(sets, "node").withColumn("b", F.lit(None).cast("bigint"))
+    listed = pairs.select(F.col("a").alias("node"), "b", F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"))
+    key = ["key", "band", "i", "j"]
+    columns = [*key, "node", "b", "s", "size", "hot", "low", "own"]
+    rows = rows.select(columns).unionByName(listed, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key)
+    record = batched("a bigint, b bigint, n bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, piece, out = None, Piece(), []
+
+        def judge() -> None:
+            if at is not None:
+                out.extend(piece.verified(percent) if at[1] < 0 else piece.blocks(at[0], at[2], at[3], percent))
 
-    return C.materialise(C.map_batches(full.select("a", "b", "sa", "sb"), rows, "a bigint, b bigint, linked boolean"), "jaccard-judged")
+        for batch in batches:
+            for *this, node, b, s, size, hot, low, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if this != at:
+                    judge()
+                    at, piece = this, Piece()
+                    if len(out) > 20_000:
+                        yield record(list(zip(*out, strict=True)))
+                        out.clear()
+                if s is None:
+                    piece.pairs.append((node, b))
+                else:
+                    piece.add(node, s, size, hot, low, own)
+        judge()
+        if out:
+            yield record(list(zip(*out, strict=True)))
+
+    return C.materialise(rows.mapInArrow(run, "a bigint, b bigint, n bigint"), "jaccard-judged")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hot: int = 32, block: int = 512) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id of the class that links make, its own included) and n_links, the
+    number of other rows it is linked with."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, cells = measure(texts, k)
+    lists = prefixes(texts.select("text"), cells, k, percent)
+    entries = shared_entries(lists, hot)
+    several = entries.where("hot").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("hot"))
+    every = C.materialise(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("name")), "jaccard-sizes")
+    nodes = every.select("node", "size").join(several, "node", "left")
+    found = judged(texts.select("text"), listed_pairs(entries, lists, percent), block_pieces(entries, percent, block), nodes, k, percent)
+    others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    comps = connect(found.where("b is not null").select("a", "b"))
+    every = every.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(others, "node", "left")
+    names = every.groupBy("comp").agg(F.min("name").alias("component_id"))
+    every = C.materialise(every.join(names, "comp").select("node", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-classes")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(every, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def components(docs: DataFrame, **how) -> DataFrame:
+    """join() without the numbers of links."""
+    return join(docs, **how).drop("n_links")

@@ -17,5 +17,18 @@ def test_every_link_counts(spark):
     sets = [brute.shingles(t, 4) for _, t in rows]
     links = [sum(i != j and 100 * len(s & z) >= 85 * len(s | z) for j, z in enumerate(sets)) if s else 0 for i, s in enumerate(sets)]
     want = sorted(((i, *c, n) for (i, _), c, n in zip(rows, brute.classes(rows, 4, 85), links, strict=True)), key=repr)
-    out = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
-    assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in out.collect()), key=repr) == want
+    for how in ({}, {"hot": 2, "block": 4}, {"hot": 5, "block": 512}, {"hot": 1000}):
+        out = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), **how)
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in out.collect()), key=repr) == want
+
+
+def test_one_shingle_in_many_unlike_texts(spark):
+    r = random.Random(10)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = [(i, f"one very common line {word()} {word()}") for i in range(2000)]
+    rows += [(5000 + i, f"one very common line of a family of texts with a different end {i % 4}") for i in range(40)]
+    sets = [brute.shingles(t, 4) for _, t in rows]
+    links = [sum(i != j and 100 * len(s & z) >= 85 * len(s | z) for j, z in enumerate(sets)) if i >= 2000 else 0 for i, s in enumerate(sets)]
+    out = {x.doc_id: (x.component_id, x.n_links) for x in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(out[i] == (i, 0) for i in range(2000))
+    assert [out[5000 + i][1] for i in range(40)] == links[2000:]

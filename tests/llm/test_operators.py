@@ -67,8 +67,8 @@ def test_jaccard_many_near_copies(spark):
             w[r.randrange(60)] = f"n{r.randrange(3)}"
         rows.append((i, " ".join(w)))
     want = sorted(((i, *c) for (i, _), c in zip(rows, brute.classes(rows, 4, 85), strict=True)), key=repr)
-    for rounds in (0, 1, 2):
-        assert got(jaccard.components(frame(spark, rows), rounds=rounds), "doc_id", "n_shingles", "component_id") == want
+    for hot, block in ((32, 512), (3, 7), (1000, 512)):
+        assert got(jaccard.components(frame(spark, rows), hot=hot, block=block), "doc_id", "n_shingles", "component_id") == want
 
 
 def test_decontaminate(spark, docs):
