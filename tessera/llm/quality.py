@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio of counts (symbols, repeated lines, repeated words, capitals), cut into fixed bins. All labelled rows
-are the holdout. For each stratum and rule, cutoffs are tried from the mildest on (a fixed sequence, so the steps need no
-correction among themselves); a step stands while the exact binomial bound says that at most `risk / rules` of good rows are
-lost, at a level of `delta / (strata * rules)` (Bonferroni). Of the cutoffs that stand, the one with the best balance of bad
-rows found against good rows lost is used, or none. A row is rejected if any rule's ratio lies above its stratum's cutoff.
+Each rule is a ratio of counts (symbols, repeated lines, repeated words, capitals), cut into fixed bins. One in four labelled rows
+of a stratum orders joint cutoffs of all rules, from mild to strict; the others are the holdout. There these steps are tried
+as a fixed sequence (so they need no correction among themselves), and a step stands while the exact binomial bound says that at most
+`risk` of good rows are lost by all rules together, at a level of `delta / strata` (Bonferroni). Of the steps that stand, the one with
+the best balance of bad rows found against good rows lost is used, or none: a stratum of fewer than log(delta / strata) / log(1 - risk)
+good rows can show nothing. A row is rejected if any rule's ratio lies above its stratum's cutoff.
 
 Nulls, ties and odd rows: a null text has no words and fails the base rule; a null stratum is a stratum of its own; a stratum
 without labels rejects by the base rule only; rows with a null id take part but have no label; labels repeated for one
-id count once, as bad if any of them says so; a null label is no label; other columns are kept apart and never read.
+id count once, as bad if any of them says so; a null label is no label; other columns are kept apart and never read; empty tables
+give no rows; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars"),
 }
 BINS = 256
+#: Bad rows that must be found for a good one that is lost.
+WEIGHT = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
@@ -99,52 +103,101 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, level: float, weight: float = 10.0) -> int | None:
-    """The bin above which rows go, or None. The bound is the exact (Clopper-Pearson) one: upper(k, n) <= risk just if
-    P(X <= k | risk) <= level."""
+def ladder(cells: pd.DataFrame) -> list[tuple[str, int]]:
+    """Steps (rule, cut) from the mildest joint cutoffs to the strictest: each lowers one rule's cut to where it finds most bad rows for a
+    good row that it loses, by the counts (rule, bin, good, bad) of rows that are not in the holdout."""
+    counts = {}
+    for rule in RULES:
+        x = cells[cells["rule"] == rule]
+        good, bad = (np.bincount(np.clip(x["bin"], 0, BINS + 1), x[c], BINS + 2) for c in ("good", "bad"))
+        counts[rule] = [good, bad, BINS + 1]
+    steps: list[tuple[str, int]] = []
+    while True:
+        best = (0.0, 0.0, "", 0)
+        for rule, (good, bad, cut) in counts.items():
+            found, lost = np.cumsum(bad[1 : cut + 1][::-1]), np.cumsum(good[1 : cut + 1][::-1])
+            if len(found) and found[-1]:
+                ratio = found / (1 + WEIGHT * lost)
+                at = int(np.flatnonzero(ratio == ratio.max())[-1])
+                best = max(best, (float(ratio[at]), float(found[at]), rule, cut - 1 - at))
+        if not best[0]:
+            return steps
+        steps.append(best[2:])
+        counts[best[2]][2] = best[3]
+
+
+def step_arrays(steps: list[tuple[str, int]]) -> dict[str, list[int]]:
+    """For each rule and bin, the number of the first step (from 1) that rejects it; len(steps) + 1 if none does."""
+    out = {rule: np.full(BINS + 2, len(steps) + 1, np.int32) for rule in RULES}
+    for i, (rule, cut) in reversed(list(enumerate(steps, 1))):
+        out[rule][cut + 1 :] = i
+    return {rule: x.tolist() for rule, x in out.items()}
+
+
+def choose_step(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int:
+    """How many steps stand, of the holdout's good and bad rows by first step that rejects them (from 1; the last is for those that none does).
+
+    A fixed sequence: steps are tried from the mildest on, each at the whole level, until one fails. The bound is the exact
+    (Clopper-Pearson) one: upper(k, n) <= risk just if P(X <= k | n, risk) <= level. Of those that stand, the one with the best balance
+    of bad rows found against good rows lost is taken, the strictest of equals."""
     n_good, n_bad = int(good.sum()), int(bad.sum())
     if not n_good or not n_bad:
-        return None
-    best, chosen = 0.0, None
-    lost = np.zeros(BINS + 2, np.int64)
-    found = np.zeros(BINS + 2, np.int64)
-    np.add.at(lost, np.clip(bins, 0, BINS + 1), good)
-    np.add.at(found, np.clip(bins, 0, BINS + 1), bad)
-    above_good, above_bad = 0, 0
-    for cut in range(BINS, -1, -1):
-        above_good += int(lost[cut + 1])
-        above_bad += int(found[cut + 1])
-        if above_good > risk * n_good or binomial_tail(above_good, n_good, risk) > level:
+        return 0
+    lost, found, best, chosen = 0, 0, 0.0, 0
+    for i in range(len(good) - 1):
+        lost, found = lost + int(good[i]), found + int(bad[i])
+        if lost > risk * n_good or binomial_tail(lost, n_good, risk) > level:
             break
-        gain = above_bad / n_bad - weight * above_good / n_good
-        if gain > best:
-            best, chosen = gain, cut
+        gain = found / n_bad - WEIGHT * lost / n_good
+        if gain >= best and found:
+            best, chosen = gain, i + 1
     return chosen
 
 
-def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, a cutoff for each rule or null), from all labelled rows: counted per stratum, rule and bin, then tested per stratum."""
+def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.02, delta: float = 0.05, tune: int = 4) -> DataFrame:
+    """(stratum, a cutoff for each rule or null, and of the holdout: n_good, lost_good, n_bad, found_bad), from all labelled rows that pass the
+    base rule. One in `tune`, by hash of the id, orders the steps; the others are the holdout."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), rule_bin(r).alias("bin")) for r in RULES)))
-    cells = (
-        counts.where(~base_failed())
-        .join(known, counts[id_col] == known["__id"])
-        .select(F.col(stratum_col).alias("stratum"), "__label", pairs.alias("x"))
-        .groupBy("stratum", "x.rule", "x.bin")
-        .agg(F.sum((F.col("__label") > 0).cast("bigint")).alias("good"), F.sum((F.col("__label") <= 0).cast("bigint")).alias("bad"))
-    )
-    cells = C.materialise(cells, "quality-cells")
-    tests = max(1, cells.select("stratum").distinct().count() * len(RULES))
-
-    def learn(cells: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {"stratum": [cells["stratum"].iloc[0]]}
-        for rule in RULES:
-            x = cells[cells["rule"] == rule]
-            out[f"cut_{rule}"] = [choose_cutoff(x["bin"].to_numpy(), x["good"].to_numpy(), x["bad"].to_numpy(), risk / len(RULES), delta / tests)]
-        return pd.DataFrame(out).astype({f"cut_{r}": "Int32" for r in RULES})
-
+    rows = counts.where(~base_failed()).join(known, counts[id_col] == known["__id"])
+    rows = rows.select(F.col(stratum_col).alias("stratum"), (F.col("__label") > 0).alias("good"), (F.pmod(F.xxhash64("__id"), F.lit(tune)) == 0).alias("tuning"), *(rule_bin(r).alias(f"bin_{r}") for r in RULES))
+    rows = C.materialise(rows, "quality-labelled")
+    many = [F.sum(F.col("good").cast("bigint")).alias("good"), F.sum((~F.col("good")).cast("bigint")).alias("bad")]
+    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES)))
+    cells = rows.where("tuning").select("stratum", "good", pairs.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(*many)
     kind = counts.schema[stratum_col].dataType.simpleString()
-    return cells.groupBy("stratum").applyInPandas(learn, f"stratum {kind}, " + ", ".join(f"cut_{r} int" for r in RULES))
+
+    def ladders(cells: pd.DataFrame) -> pd.DataFrame:
+        steps = ladder(cells)
+        found = {"stratum": [cells["stratum"].iloc[0]], "rules": [[r for r, _ in steps]], "cuts": [[c for _, c in steps]]}
+        return pd.DataFrame(found | {f"steps_{r}": [x] for r, x in step_arrays(steps).items()})
+
+    lists = ", ".join(f"steps_{r} array<int>" for r in RULES)
+    steps = C.materialise(cells.groupBy("stratum").applyInPandas(ladders, f"stratum {kind}, rules array<string>, cuts array<int>, {lists}"), "quality-ladders")
+    held = rows.where("not tuning").alias("h").join(C.if_small(steps, 100_000).alias("s"), F.col("h.stratum").eqNullSafe(F.col("s.stratum")))
+    first = F.least(*(F.element_at(f"steps_{r}", F.least(F.col(f"bin_{r}"), F.lit(BINS + 1)) + 1) for r in RULES))
+    tried = held.select("s.stratum", "good", first.alias("step")).groupBy("stratum", "step").agg(*many)
+    tried = tried.groupBy("stratum").agg(F.collect_list(F.struct("step", "good", "bad")).alias("tried"))
+    tried = steps.select("stratum", "rules", "cuts").alias("s").join(tried.alias("t"), F.col("s.stratum").eqNullSafe(F.col("t.stratum"))).select("s.*", "t.tried")
+    tried = C.materialise(tried, "quality-steps")
+    level = delta / max(1, C.count_rows(tried))
+
+    def choose(batches):
+        for batch in batches:
+            out: dict = {"stratum": batch["stratum"]} | {x: [] for x in (*(f"cut_{r}" for r in RULES), "n_good", "lost_good", "n_bad", "found_bad")}
+            for rules, cuts, tried in zip(batch["rules"], batch["cuts"], batch["tried"], strict=True):
+                good, bad = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
+                for x in tried:
+                    good[x["step"] - 1], bad[x["step"] - 1] = x["good"], x["bad"]
+                n = choose_step(good, bad, risk, level)
+                last = dict(zip(rules[:n], cuts[:n], strict=True))
+                for r in RULES:
+                    out[f"cut_{r}"].append(last.get(r))
+                for name, x, part in (("n_good", good, len(good)), ("lost_good", good, n), ("n_bad", bad, len(bad)), ("found_bad", bad, n)):
+                    out[name].append(int(x[:part].sum()))
+            yield pd.DataFrame(out).astype({f"cut_{r}": "Int32" for r in RULES})
+
+    columns = ", ".join([*(f"cut_{r} int" for r in RULES), "n_good bigint, lost_good bigint, n_bad bigint, found_bad bigint"])
+    return tried.mapInPandas(choose, f"stratum {kind}, {columns}")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = 0.02, delta: float = 0.05) -> DataFrame:

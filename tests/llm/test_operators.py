@@ -129,16 +129,65 @@ def test_binomial_bound():
         assert quality.binomial_tail(k, n, p) == pytest.approx(min(plain, 1.0), rel=1e-9)
 
 
-def test_cutoff_holds_its_risk():
+def test_steps_hold_their_risk():
     import numpy as np
 
-    bins = np.array([2, 3, 100, 200, 250])
-    good, bad = np.array([900, 900, 0, 0, 0]), np.array([5, 5, 50, 50, 50])
-    cut = quality.choose_cutoff(bins, good, bad, 0.01, 0.01)
-    assert cut is not None and 3 <= cut < 100
+    good, bad = np.array([0, 5, 40, 900]), np.array([50, 50, 50, 20])
+    assert quality.choose_step(good, bad, 0.02, 0.0125) == 2
     # too few good rows: the bound can't be shown, so nothing is rejected
-    assert quality.choose_cutoff(bins, np.array([10, 10, 0, 0, 0]), bad, 0.01, 0.01) is None
-    assert quality.choose_cutoff(bins, good * 0, bad, 0.01, 0.01) is None
+    assert quality.choose_step(np.array([0, 0, 0, 200]), bad, 0.02, 0.0125) == 0
+    assert quality.choose_step(np.array([0, 0, 0, 220]), bad, 0.02, 0.0125) == 3
+    assert quality.choose_step(good * 0, bad, 0.02, 0.0125) == 0
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """Enough labels that strata reject; all steps again in plain Python."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        lang, good = ("en", "de", None)[i % 3], r.random() < 0.7
+        words = [f"w{r.randrange(10**6)}" for _ in range(30)]
+        if not good and r.random() < 0.8:
+            kind = r.randrange(3)
+            words = [w + "##$$"[: r.randrange(1, 5)] for w in words] if kind == 0 else [w.upper() * 2 for w in words] if kind == 1 else words + ["\nsame line here"] * 8
+        elif r.random() < 0.001:
+            words[0] = "#" * 40
+        rows.append((i, " ".join(words).replace(" \n", "\n"), lang, "s", 1, "x", 1, None, 7, "s", 3, 4))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    out = quality.judge(docs, table).collect()
+    tuning = {x.doc_id for x in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+    good, risk, level = dict(labels), 0.02, 0.05 / 3
+    for lang in ("en", "de", None):
+        mine = [x for x in out if x.lang == lang and not x.base_failed]
+        bins = {x.doc_id: {rule: 256 * x[a] // x[b] if x[b] else 0 for rule, (a, b) in quality.RULES.items()} for x in mine}
+        cut = dict.fromkeys(quality.RULES, 257)
+        held = [i for i in bins if i not in tuning]
+        goods, bads = sum(good[i] for i in held), sum(1 - good[i] for i in held)
+        best, chosen = 0.0, dict(cut)
+        while True:
+            moves = []
+            for rule in quality.RULES:
+                for c in range(cut[rule] - 1, -1, -1):
+                    hit = [i for i in bins if i in tuning and c < min(bins[i][rule], 257) <= cut[rule]]
+                    found, lost = sum(1 - good[i] for i in hit), sum(good[i] for i in hit)
+                    moves.append((found / (1 + 10 * lost), found, rule, c))
+            top = max((m for m in moves if m[1]), key=lambda m: (m[0], m[1], m[2], -m[3]), default=None)
+            if top is None:
+                break
+            cut[top[2]] = top[3]
+            gone = [i for i in held if any(bins[i][rule] > cut[rule] for rule in cut)]
+            lost = sum(good[i] for i in gone)
+            tail = sum(math.comb(goods, k) * risk**k * (1 - risk) ** (goods - k) for k in range(lost + 1))
+            if lost > risk * goods or tail > level:
+                break
+            gain = (len(gone) - lost) / bads - 10 * lost / goods
+            if gain >= best and len(gone) > lost:
+                best, chosen = gain, dict(cut)
+        want = {i: all(bins[i][rule] <= chosen[rule] for rule in chosen) for i in bins}
+        assert not all(want.values())
+        assert {x.doc_id: x.kept for x in mine} == want
 
 
 def test_shards(spark):
