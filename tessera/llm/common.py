@@ -24,9 +24,11 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), one is made and set."""
+    """The folder that driver and executors share. Where the session names none, one is made and set in local mode, and it is an error elsewhere."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", given) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext._conf.set("spark.checkpoint.dir", given)
@@ -53,8 +55,27 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables of the shared folder that live until clear()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise_at(df, name)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths.clear()
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of data frames that are no longer referenced."""
+    """Let Spark drop the shuffle files of data frames that are no longer referenced.
+
+    Its cleaner follows the driver's garbage collection, which a small driver heap may not need for a long time: without this, the files of
+    all steps so far stay on the executors' disks."""
     import gc
 
     gc.collect()

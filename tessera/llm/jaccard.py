@@ -134,7 +134,7 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("slice is null").select("id", "n", "node"), cells
 
 
-def prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
+def prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
     """(node, n, sign, tokens: prefix shingles in order) of each node, maybe more than once."""
     shared_cells = C.Shared(texts.sparkSession, cells)
     schema = "node bigint, n int, sign array<bigint>, tokens array<bigint>"
@@ -166,21 +166,23 @@ def prefixes(texts: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataF
             offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield record([nodes, sizes, sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))])
 
-    return C.materialise(texts.mapInArrow(run, schema), "jaccard-prefixes")
+    return scratch.table(texts.mapInArrow(run, schema), "jaccard-prefixes")
 
 
-def shared_entries(lists: DataFrame, hot: int) -> DataFrame:
+def shared_entries(lists: DataFrame, hot: int, scratch: C.Scratch) -> DataFrame:
     """(token, node, n, at, prev, hot) of each prefix shingle that several nodes have; prev is the shingle before it, or the node itself at
     the first place; hot if more than `hot` nodes have it."""
     before = F.concat(F.array("node"), F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))))
     entries = lists.select("node", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("prev"))).alias("at", "x")).select("node", "n", "at", "x.token", "x.prev")
     common = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
-    entries = C.materialise(entries.join(common, "token").dropDuplicates(["token", "node"]), "jaccard-shared")
+    entries, path = C.materialise_at(entries.join(common, "token").dropDuplicates(["token", "node"]), "jaccard-shared")
     many = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.lit(True).alias("hot"))
-    return C.materialise(entries.join(many, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "jaccard-entries")
+    marked = scratch.table(entries.join(many, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "jaccard-entries")
+    C.discard(lists.sparkSession, path)
+    return marked
 
 
-def listed_pairs(entries: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+def listed_pairs(entries: DataFrame, lists: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     """(a, b, home, part): the pairs of nodes that share a shingle of few nodes and pass the filters, dealt out by home and part."""
     few = entries.where("not hot").select("token", "node", "n", "at", "prev")
     other = few.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("prev").alias("prev2"))
@@ -188,14 +190,14 @@ def listed_pairs(entries: DataFrame, lists: DataFrame, percent: int) -> DataFram
     pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     sign = lists.select("node", "n", "sign").dropDuplicates(["node"])
     pairs = pairs.join(sign.withColumnRenamed("node", "a"), "a").join(sign.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sign").alias("sign2")), "b")
-    pairs = C.materialise(pairs.where(near_sign(percent)).select("a", "b", (F.col("n") + F.col("n2")).alias("size")), "jaccard-pairs")
+    pairs = scratch.table(pairs.where(near_sign(percent)).select("a", "b", (F.col("n") + F.col("n2")).alias("size")), "jaccard-pairs")
     # the least neighbour's home: in a family of near copies that is one home for all
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
     homes = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("home"))
     pairs = pairs.join(homes, "a")
     parts = pairs.groupBy("home").agg(F.ceil(F.sum("size") / PIECE).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int").alias("part")
-    return C.materialise(pairs.join(parts, "home").select("a", "b", "home", part), "jaccard-homes")
+    return scratch.table(pairs.join(parts, "home").select("a", "b", "home", part), "jaccard-homes")
 
 
 def block_pieces(entries: DataFrame, percent: int, block: int) -> DataFrame:
@@ -334,10 +336,10 @@ def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
     """(a, b, n): of each node a the numbers of rows n that it is linked with, to be added up (b null), and links (a, b) that join what is linked."""
     home = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("low"), F.lit(0).alias("own")).distinct()
-    work = C.materialise(home.unionByName(pieces.withColumnRenamed("token", "key")), "jaccard-work")
+    work = scratch.table(home.unionByName(pieces.withColumnRenamed("token", "key")), "jaccard-work")
     sets = node_sets(texts, work.select("node"), k)
     rows = work.join(nodes, "node").join(sets, "node").withColumn("b", F.lit(None).cast("bigint"))
     listed = pairs.select(F.col("a").alias("node"), "b", F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"))
@@ -369,25 +371,26 @@ def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFra
         if out:
             yield record(list(zip(*out, strict=True)))
 
-    return C.materialise(rows.mapInArrow(run, "a bigint, b bigint, n bigint"), "jaccard-judged")
+    return scratch.table(rows.mapInArrow(run, "a bigint, b bigint, n bigint"), "jaccard-judged")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hot: int = 32, block: int = 512) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id of the class that links make, its own included) and n_links, the
     number of other rows it is linked with."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts, scratch = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), C.Scratch(docs.sparkSession)
     rows, cells = measure(texts, k)
-    lists = prefixes(texts.select("text"), cells, k, percent)
-    entries = shared_entries(lists, hot)
+    lists = prefixes(texts.select("text"), cells, k, percent, scratch)
+    entries = shared_entries(lists, hot, scratch)
     several = entries.where("hot").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("hot"))
-    every = C.materialise(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("name")), "jaccard-sizes")
+    every = scratch.table(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("name")), "jaccard-sizes")
     nodes = every.select("node", "size").join(several, "node", "left")
-    found = judged(texts.select("text"), listed_pairs(entries, lists, percent), block_pieces(entries, percent, block), nodes, k, percent)
+    found = judged(texts.select("text"), listed_pairs(entries, lists, percent, scratch), block_pieces(entries, percent, block), nodes, k, percent, scratch)
     others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     comps = connect(found.where("b is not null").select("a", "b"))
     every = every.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(others, "node", "left")
     names = every.groupBy("comp").agg(F.min("name").alias("component_id"))
     every = C.materialise(every.join(names, "comp").select("node", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-classes")
+    scratch.clear()
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     return rows.join(every, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
