@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import queries_pixels
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -195,3 +196,6 @@ WITH r AS (SELECT page_id, url, regexp_extract_all(lower(url), '(?s).*?[0-9]+|.+
 SELECT page_id, CASE WHEN url IS NOT NULL THEN array_to_string(list_transform(runs, lambda x: regexp_replace(x, '[0-9]+$', '') || ':' ||
   CASE WHEN regexp_matches(x, '[0-9]+$') THEN regexp_extract(x, '[0-9]+$')::DECIMAL(38, 0)::VARCHAR ELSE '-1' END), '|') END AS key FROM r
 """
+
+QUERIES |= queries_pixels.QUERIES
+SQL |= queries_pixels.SQL
