@@ -12,6 +12,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Keeps digits, letters (lower-cased) and every byte of a non-ASCII character; all else separates words.
 ALNUM = bytes(
@@ -122,18 +123,18 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def map_batches(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list | pa.Array]], schema: str
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list | pa.Array]], schema: str | StructType, at_once: int = 10_000
 ) -> DataFrame:
-    """mapInArrow with a function from a batch to columns."""
+    """mapInArrow with a function from a batch of at most `at_once` rows to columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                out = rows(whole.slice(i, at_once))
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for f in target for x in [out[f.name]]],
                     schema=target,

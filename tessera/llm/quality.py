@@ -18,10 +18,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import common as C
 
@@ -74,14 +74,15 @@ def count_text(text: bytes) -> tuple[int, ...]:
 
 
 def text_counts(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep` and the counts of each text."""
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    """The columns in `keep` and the counts of each text; the text may be one of them and then crosses over once."""
+    sent = docs.select(*keep, *([text_col] if text_col not in keep else []))
+    at = sent.columns.index(text_col)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        counts = [count_text(t or b"") for t in C.text_bytes(batch.column(len(keep)))]
+        counts = [count_text(t or b"") for t in C.text_bytes(batch.column(at))]
         return {c: batch.column(i) for i, c in enumerate(keep)} | dict(zip(COUNTS, (list(x) for x in zip(*counts, strict=True)), strict=True))
 
-    return C.map_batches(docs.select(*keep, F.col(text_col).alias("__text")), rows, f"{kept}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return C.map_batches(sent, rows, StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in COUNTS)]), at_once=1000)
 
 
 def base_failed() -> F.Column:
@@ -103,13 +104,13 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def ladder(cells: pd.DataFrame) -> list[tuple[str, int]]:
+def ladder(cells: dict[str, np.ndarray]) -> list[tuple[str, int]]:
     """Steps (rule, cut) from the mildest joint cutoffs to the strictest: each lowers one rule's cut to where it finds most bad rows for a
     good row that it loses, by the counts (rule, bin, good, bad) of rows that are not in the holdout."""
     counts = {}
     for rule in RULES:
-        x = cells[cells["rule"] == rule]
-        good, bad = (np.bincount(np.clip(x["bin"], 0, BINS + 1), x[c], BINS + 2) for c in ("good", "bad"))
+        some = cells["rule"] == rule
+        good, bad = (np.bincount(np.clip(cells["bin"][some], 0, BINS + 1), cells[c][some], BINS + 2) for c in ("good", "bad"))
         counts[rule] = [good, bad, BINS + 1]
     steps: list[tuple[str, int]] = []
     while True:
@@ -166,13 +167,14 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum_col: str = "l
     cells = rows.where("tuning").select("stratum", "good", pairs.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(*many)
     kind = counts.schema[stratum_col].dataType.simpleString()
 
-    def ladders(cells: pd.DataFrame) -> pd.DataFrame:
-        steps = ladder(cells)
-        found = {"stratum": [cells["stratum"].iloc[0]], "rules": [[r for r, _ in steps]], "cuts": [[c for _, c in steps]]}
-        return pd.DataFrame(found | {f"steps_{r}": [x] for r, x in step_arrays(steps).items()})
+    def ladders(cells: pa.Table) -> pa.Table:
+        steps = ladder({n: cells[n].to_numpy() for n in ("rule", "bin", "good", "bad")})
+        found = {"stratum": cells["stratum"].slice(0, 1), "rules": [[r for r, _ in steps]], "cuts": [[c for _, c in steps]]}
+        found |= {f"steps_{r}": [x] for r, x in step_arrays(steps).items()}
+        return pa.table({n: x if n == "stratum" else pa.array(x, pa.list_(pa.string() if n == "rules" else pa.int32())) for n, x in found.items()})
 
     lists = ", ".join(f"steps_{r} array<int>" for r in RULES)
-    steps = C.materialise(cells.groupBy("stratum").applyInPandas(ladders, f"stratum {kind}, rules array<string>, cuts array<int>, {lists}"), "quality-ladders")
+    steps = C.materialise(cells.groupBy("stratum").applyInArrow(ladders, f"stratum {kind}, rules array<string>, cuts array<int>, {lists}"), "quality-ladders")
     held = rows.where("not tuning").alias("h").join(C.if_small(steps, 100_000).alias("s"), F.col("h.stratum").eqNullSafe(F.col("s.stratum")))
     first = F.least(*(F.element_at(f"steps_{r}", F.least(F.col(f"bin_{r}"), F.lit(BINS + 1)) + 1) for r in RULES))
     tried = held.select("s.stratum", "good", first.alias("step")).groupBy("stratum", "step").agg(*many)
@@ -181,23 +183,22 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum_col: str = "l
     tried = C.materialise(tried, "quality-steps")
     level = delta / max(1, C.count_rows(tried))
 
-    def choose(batches):
-        for batch in batches:
-            out: dict = {"stratum": batch["stratum"]} | {x: [] for x in (*(f"cut_{r}" for r in RULES), "n_good", "lost_good", "n_bad", "found_bad")}
-            for rules, cuts, tried in zip(batch["rules"], batch["cuts"], batch["tried"], strict=True):
-                good, bad = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
-                for x in tried:
-                    good[x["step"] - 1], bad[x["step"] - 1] = x["good"], x["bad"]
-                n = choose_step(good, bad, risk, level)
-                last = dict(zip(rules[:n], cuts[:n], strict=True))
-                for r in RULES:
-                    out[f"cut_{r}"].append(last.get(r))
-                for name, x, part in (("n_good", good, len(good)), ("lost_good", good, n), ("n_bad", bad, len(bad)), ("found_bad", bad, n)):
-                    out[name].append(int(x[:part].sum()))
-            yield pd.DataFrame(out).astype({f"cut_{r}": "Int32" for r in RULES})
+    def choose(batch: pa.RecordBatch) -> dict:
+        out: dict = {"stratum": batch.column(0)} | {x: [] for x in (*(f"cut_{r}" for r in RULES), "n_good", "lost_good", "n_bad", "found_bad")}
+        for rules, cuts, tried in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            good, bad = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
+            for x in tried:
+                good[x["step"] - 1], bad[x["step"] - 1] = x["good"], x["bad"]
+            n = choose_step(good, bad, risk, level)
+            last = dict(zip(rules[:n], cuts[:n], strict=True))
+            for r in RULES:
+                out[f"cut_{r}"].append(last.get(r))
+            for name, x, part in (("n_good", good, len(good)), ("lost_good", good, n), ("n_bad", bad, len(bad)), ("found_bad", bad, n)):
+                out[name].append(int(x[:part].sum()))
+        return out
 
     columns = ", ".join([*(f"cut_{r} int" for r in RULES), "n_good bigint, lost_good bigint, n_bad bigint, found_bad bigint"])
-    return tried.mapInPandas(choose, f"stratum {kind}, {columns}")
+    return C.map_batches(tried.select("stratum", "rules", "cuts", "tried"), choose, f"stratum {kind}, {columns}")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -223,6 +224,8 @@ def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of docs that judge() keeps, with all their columns."""
     counts = C.materialise(text_counts(docs, text_col=text_col, keep=(id_col, stratum_col)), "quality-counts")
     cuts = known_cutoffs(counts, labels, stratum_col=stratum_col, id_col=id_col, label_col=label_col, risk=risk, delta=delta)
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(stratum_col).alias("__stratum"), F.col(text_col).alias("__body"))
-    rows = text_counts(whole, text_col="__body", keep=("__doc", "__stratum"))
-    return verdicts(rows.join(cuts, rows["__stratum"].eqNullSafe(cuts["stratum"]), "left")).where("kept").select("__doc.*")
+    # columns by number, so that no name clashes with a count's
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = text_counts(docs.toDF(*names), text_col=names[docs.columns.index(text_col)], keep=tuple(names))
+    kept = verdicts(rows.join(cuts, rows[names[docs.columns.index(stratum_col)]].eqNullSafe(cuts["stratum"]), "left")).where("kept")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
