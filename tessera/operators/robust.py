@@ -1,10 +1,25 @@
-"""Translations and affine maps from matches (key, m, x1, y1, x2, y2), robustly and without chance: every hypothesis is tried."""
+"""Translations and affine maps from matches (keys, m, x1, y1, x2, y2), robustly and without chance.
+
+A group's matches become one array, and all hypotheses are scored inside its row: one shuffle, and no row for a pair of matches. Groups are meant to
+be the matches of a pair of tiles, which a quota of keypoints bounds.
+
+Nulls, ties and odd rows: matches with a null coordinate are left out; a group without any match left has no row; ties go to the smaller match number m,
+then the smaller shift; repeated matches count each; an empty table gives no rows. Failures have a status and nulls, never NaN.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Statuses of a fit.
+FITTED, FEW_MATCHES, FEW_INLIERS = 0, 1, 2
+
 
 def shifts(matches: DataFrame) -> DataFrame:
     return matches.withColumn("dx", F.col("x2") - F.col("x1")).withColumn("dy", F.col("y2") - F.col("y1"))
@@ -14,43 +29,87 @@ def least_squares_shift(matches: DataFrame, keys: list[str]) -> DataFrame:
     return shifts(matches).groupBy(*keys).agg(F.avg("dx").alias("tx"), F.avg("dy").alias("ty"), F.count(F.lit(1)).alias("n_match"))
 
 
-def refit(matches: DataFrame, best: DataFrame, keys: list[str], inlier: Column, least: int) -> DataFrame:
-    """Shift refitted from the inliers of the best hypothesis (hx, hy): tx, ty, counts, inlier error, status (0, 1 too few matches, 2 too few inliers)."""
-    marked = shifts(matches).join(best, keys).withColumn("inlier", inlier)
-    mean = marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_match"), F.count_if("inlier").alias("n_in"),
-        F.avg(F.when(F.col("inlier"), F.col("dx"))).alias("tx"), F.avg(F.when(F.col("inlier"), F.col("dy"))).alias("ty"),
-        F.avg(F.when(F.col("inlier"), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("sq"),
-    )
-    status = F.when(F.col("n_match") < least, 1).when(F.col("n_in") < 1, 2).otherwise(0)
-    error = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("tx") * F.col("tx") - F.col("ty") * F.col("ty")))
-    out = mean.withColumn("status", status)
-    ok = lambda c: F.when(F.col("status") == 0, c)
-    return out.select(*keys, ok(F.col("tx")).alias("tx"), ok(F.col("ty")).alias("ty"), "n_match", ok(F.col("n_in")).otherwise(0).alias("n_inlier"), "status", ok(error).alias("error"))
+def gathered(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s): the shifts (m, dx, dy) of each group, sorted."""
+    some = shifts(matches).where("dx is not null and dy is not null")
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")))).alias("s"))
+
+
+def squared(s: Column, hx: Column, hy: Column) -> Column:
+    return (s["dx"] - hx) * (s["dx"] - hx) + (s["dy"] - hy) * (s["dy"] - hy)
+
+
+def mean(values: Column, of: Callable[[Column], Column]) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda t, x: t + of(x)), F.size(values).cast("double"))
+
 
+def refit(groups: DataFrame, keys: list[str], inlier: Callable[[Column, Column, Column], Column], least: int) -> DataFrame:
+    """Shift refitted from the inliers of the best hypothesis b (hx, hy): tx, ty, counts, status and the inliers' error (root of the mean squared residual)."""
+    inside = F.filter("s", lambda x: inlier(x, F.col("b.hx"), F.col("b.hy")))
+    out = groups.withColumn("i", F.when(F.col("b").isNull(), F.slice("s", F.lit(1), F.lit(0))).otherwise(inside))
+    out = out.withColumn("tx", mean(F.col("i"), lambda x: x["dx"])).withColumn("ty", mean(F.col("i"), lambda x: x["dy"]))
+    status = F.when(F.size("s") < least, FEW_MATCHES).when(F.size("i") < 1, FEW_INLIERS).otherwise(FITTED)
+    out = out.withColumn("status", status).withColumn("error", F.sqrt(mean(F.col("i"), lambda x: squared(x, F.col("tx"), F.col("ty")))))
+    ok = lambda c: F.when(F.col("status") == FITTED, F.col(c)).alias(c)
+    n = F.when(F.col("status") == FITTED, F.size("i")).otherwise(0).cast("bigint").alias("n_inlier")
+    return out.select(*keys, ok("tx"), ok("ty"), F.size("s").cast("bigint").alias("n_match"), n, "status", ok("error"))
 
-def residual() -> Column:
-    return F.pow(F.col("dx") - F.col("hx"), 2) + F.pow(F.col("dy") - F.col("hy"), 2)
 
+def msac_shift(matches: DataFrame, keys: list[str], *, max_distance: float = 1.5, least: int = 1) -> DataFrame:
+    """Each match is a hypothesis; the least sum of squared distances capped at max_distance wins. Fewer than `least` matches are too few."""
+    if max_distance <= 0 or least < 1:
+        raise ValueError("max_distance and least must be positive")
+    cap = F.lit(float(max_distance) ** 2)
+    cost = lambda h: F.aggregate("s", F.lit(0.0), lambda t, x: t + F.least(squared(x, h["dx"], h["dy"]), cap))
+    tried = F.transform("s", lambda h: F.struct(F.round(cost(h), 9).alias("cost"), h["m"].alias("m"), h["dx"].alias("hx"), h["dy"].alias("hy")))
+    best = gathered(matches, keys).withColumn("b", F.array_min(tried))
+    return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) <= cap, least)
 
-def msac_shift(matches: DataFrame, keys: list[str], *, max_distance: float = 1.5) -> DataFrame:
-    """Each match is a hypothesis; the least sum of squared distances capped at max_distance wins (ties: smaller match)."""
-    s = shifts(matches)
-    hypothesis = s.select(*keys, F.col("m").alias("h"), F.col("dx").alias("hx"), F.col("dy").alias("hy"))
-    cost = s.join(hypothesis, keys).groupBy(*keys, "h", "hx", "hy").agg(F.sum(F.least(residual(), F.lit(max_distance**2))).alias("cost"))
-    best = cost.groupBy(*keys).agg(F.min(F.struct(F.round("cost", 9), "h", "hx", "hy")).alias("b")).select(*keys, "b.hx", "b.hy")
-    return refit(matches, best, keys, residual() <= max_distance**2, 1)
 
+def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0, least: int = 2, trials: int = 2000, valid: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each two matches are a hypothesis (their mean shift); most inliers wins, then least squared residuals, then the first.
 
-def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0, least: int = 2) -> DataFrame:
-    """Each two matches are a hypothesis (their mean shift); most inliers wins, then least squared residuals, then the first."""
-    s = shifts(matches)
-    a, b = s.select(*keys, F.col("m").alias("m1"), F.col("dx").alias("ax"), F.col("dy").alias("ay")), s.select(*keys, F.col("m").alias("m2"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
-    hypothesis = a.join(b, keys).where("m1 < m2").select(*keys, "m1", "m2", ((F.col("ax") + F.col("bx")) / 2).alias("hx"), ((F.col("ay") + F.col("by")) / 2).alias("hy"))
-    inside = residual() < threshold**2
-    score = s.join(hypothesis, keys).groupBy(*keys, "m1", "m2", "hx", "hy").agg(F.count_if(inside).alias("n"), F.sum(F.when(inside, residual()).otherwise(0.0)).alias("ssr"))
-    best = score.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.round("ssr", 9).alias("ssr"), "m1", "m2", "hx", "hy")).alias("b")).select(*keys, "b.hx", "b.hy")
-    return refit(matches, best, keys, inside, least)
+    A group with more than `trials` pairs tries as many of them, picked by hash: that is the method's bound, and all matches vote on each.
+    valid: a condition on a hypothesis (m1, m2, hx, hy), for maps that can't be."""
+    if threshold <= 0 or least < 2 or trials < 1:
+        raise ValueError("threshold, trials must be positive and least 2 or more")
+    n = F.size("s")
+    at = lambda i: F.get("s", i)
+    both = lambda a, b: F.struct(a["m"].alias("m1"), b["m"].alias("m2"), ((a["dx"] + b["dx"]) / 2).alias("hx"), ((a["dy"] + b["dy"]) / 2).alias("hy"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: both(at(i), at(j)))))
+
+    def picked(t: Column) -> Column:
+        i = F.pmod(F.xxhash64(t), n).cast("int")
+        j = F.pmod(i + 1 + F.pmod(F.xxhash64(t, F.lit(1)), n - 1), n).cast("int")
+        return both(at(F.least(i, j)), at(F.greatest(i, j)))
+
+    some = F.transform(F.sequence(F.lit(1), F.lit(trials)), picked)
+    pairs = F.when(n < 2, F.slice(F.transform("s", lambda x: both(x, x)), F.lit(1), F.lit(0))).when(n * (n - 1) / 2 <= trials, every).otherwise(some)
+    groups = gathered(matches, keys).withColumn("h", pairs)
+    if valid is not None:
+        groups = groups.withColumn("h", F.filter("h", valid))
+    most = F.lit(float(threshold) ** 2)
+
+    def score(h: Column) -> Column:
+        def vote(t: Column, x: Column) -> Column:
+            r = squared(x, h["hx"], h["hy"])
+            return F.struct((t["n"] - F.when(r < most, 1).otherwise(0)).alias("n"), (t["ssr"] + F.when(r < most, r).otherwise(0.0)).alias("ssr"))
+
+        total = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ssr")), vote)
+        return F.struct(total["n"].alias("n"), F.round(total["ssr"], 9).alias("ssr"), h["m1"].alias("m1"), h["m2"].alias("m2"), h["hx"].alias("hx"), h["hy"].alias("hy"))
+
+    best = groups.withColumn("b", F.array_min(F.transform("h", score)))
+    return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) < most, least)
+
+
+def needed_trials(inliers: Column, total: Column, samples: int, probability: float) -> Column:
+    """Trials after which a sample without outliers has been drawn with this probability: none if there are no inliers (null: no number is
+    enough), one if all are."""
+    eps = np.finfo(float).eps
+    share = inliers.cast("double") / total
+    miss = F.greatest(F.lit(1 - probability), F.lit(eps))
+    bad = F.greatest(F.lit(eps), F.least(1 - F.pow(share, F.lit(float(samples))), F.lit(1 - eps)))
+    return F.when(inliers > 0, F.ceil(F.log(miss) / F.log(bad)))
 
 
 def affine_fit(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,3 +120,65 @@ def affine_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     ok = (F.col("n") >= 3) & (F.abs(det) > 1e-9)
     s = s.withColumn("a", F.when(ok, (F.col("xu") * F.col("yy") - F.col("yu") * F.col("xy")) / det)).withColumn("b", F.when(ok, (F.col("yu") * F.col("xx") - F.col("xu") * F.col("xy")) / det))
     return s.select(*keys, "a", "b", (F.col("mu") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"), "n")
+
+
+def fitted_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """2 x 3 map of p to q by the pseudo-inverse."""
+    return (np.linalg.pinv(np.column_stack((p, np.ones(len(p))))) @ q).T
+
+
+def affine_inliers(p: np.ndarray, q: np.ndarray, *, threshold: float = 3.0, trials: int = 512, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(map, inliers): the best of `trials` triples, all tried at once, then refitted from its inliers while their number grows. Fewer than three
+    points: no motion, all inliers."""
+    if len(p) < 3:
+        return np.eye(2, 3), np.ones(len(p), bool)
+    triples = np.argsort(np.random.default_rng(seed).random((trials, len(p))), axis=1)[:, :3] if len(p) > 3 else np.array([[0, 1, 2]])
+    h = np.column_stack((p, np.ones(len(p))))
+    maps = np.linalg.pinv(h[triples]) @ q[triples]
+    near = np.linalg.norm(h @ maps - q, axis=2) < threshold
+    inliers = near[near.sum(axis=1).argmax()]
+    count = -1
+    while inliers.sum() > max(count, 2):
+        count = int(inliers.sum())
+        m = fitted_affine(p[inliers], q[inliers])
+        grown = np.linalg.norm(h @ m.T - q, axis=1) < threshold
+        if grown.sum() <= count:
+            return m, grown
+        inliers = grown
+    return fitted_affine(p[inliers], q[inliers]) if inliers.sum() >= 3 else np.eye(2, 3), inliers
+
+
+def affine_clusters(matches: DataFrame, keys: list[str], *, clusters: int = 1, threshold: float = 3.0, trials: int = 512, least: int = 3) -> DataFrame:
+    """(keys, cluster, n_match, n_inlier, m00 to m12, members: match numbers): affine maps found one after the other, each without the inliers of those before, until
+    fewer than `least` matches or inliers are left. Triples are picked by a seed, after sorting by m. A group's matches meet in one task."""
+    names = ["m00", "m01", "m02", "m10", "m11", "m12"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows.dropna(subset=["x1", "y1", "x2", "y2"]).sort_values(["m", "x1", "y1", "x2", "y2"])
+        total, out = len(left), []
+        for k in range(clusters):
+            if len(left) < least:
+                break
+            m, inside = affine_inliers(left[["x1", "y1"]].to_numpy(float), left[["x2", "y2"]].to_numpy(float), threshold=threshold, trials=trials)
+            if inside.sum() < least:
+                break
+            out.append([*rows[keys].iloc[0], k, total, int(inside.sum()), *m.ravel().tolist(), left["m"].to_numpy()[inside].tolist()])
+            left = left[~inside]
+        return pd.DataFrame(out, columns=[*keys, "cluster", "n_match", "n_inlier", *names, "members"])
+
+    kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in keys)
+    kind = matches.schema["m"].dataType.simpleString()
+    return matches.groupBy(*keys).applyInPandas(run, f"{kinds}, cluster int, n_match bigint, n_inlier bigint, " + ", ".join(f"{n} double" for n in names) + f", members array<{kind}>")
+
+
+def kept_clusters(clusters: DataFrame, *, least: int = 10, percent: float = 2.0) -> DataFrame:
+    """Clusters with enough inliers, in number and as a share of their matches."""
+    return clusters.where((F.col("n_inlier") >= least) & (100.0 * F.col("n_inlier") >= percent * F.col("n_match")))
+
+
+def chance(inliers: int, total: int, samples: int, probability: float) -> float:
+    """needed_trials() of plain numbers."""
+    if not inliers:
+        return math.inf
+    eps = np.finfo(float).eps
+    return math.ceil(math.log(max(1 - probability, eps)) / math.log(max(eps, min(1 - (inliers / total) ** samples, 1 - eps))))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import queries_pixels
+from tessera import queries_geometry, queries_pixels
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -77,6 +77,11 @@ def shift_msac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robust.msac_shift(order_matches(spark, sf_dir), ["l_orderkey"]), "tx", "ty", "error")
 
 
+def shift_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer than five matches are too few."""
+    return rounded(robust.msac_shift(order_matches(spark, sf_dir), ["l_orderkey"], least=5), "tx", "ty", "error")
+
+
 def shift_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robust.ransac_shift(order_matches(spark, sf_dir), ["l_orderkey"]), "tx", "ty", "error")
 
@@ -116,7 +121,7 @@ def keypoints(method: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (a01_overlap_rmse, overlap_ssim, overlap_nmi, average_rmse, mutual_matches, shift_least_squares, shift_msac, shift_ransac, affine_rows, natural_sort_keys, align_phase, align_ncc)
+    for f in (a01_overlap_rmse, overlap_ssim, overlap_nmi, average_rmse, mutual_matches, shift_least_squares, shift_msac, shift_guarded, shift_ransac, affine_rows, natural_sort_keys, align_phase, align_ncc)
 } | {f"keypoints_{m}": keypoints(m) for m in detect.DETECTORS}
 
 TILES = "t AS (SELECT vec_id AS tile_id, (vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, embedding::DOUBLE[] AS px FROM embeddings)"
@@ -159,28 +164,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, kp1 ORDER BY d2, kp2) AS
 SELECT {KEYS}, kp1::INT AS kp1, kp2::INT AS kp2, round(d2, 6) AS d2 FROM r WHERE r1 = 1 AND r2 = 1
 """
 MOVES = (
-    "m AS (SELECT l_orderkey, l_linenumber AS m, round(l_quantity + l_suppkey % 3) - round(l_quantity) AS dx, (l_linenumber % 2)::DOUBLE AS dy FROM lineitem)"
+    "m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY m, dx, dy) AS k FROM "
+    "(SELECT l_orderkey, l_linenumber AS m, round(l_quantity + l_suppkey % 3) - round(l_quantity) AS dx, (l_linenumber % 2)::DOUBLE AS dy FROM lineitem))"
 )
 SQL["shift_least_squares"] = f"WITH {MOVES} SELECT l_orderkey, round(avg(dx), 6) AS tx, round(avg(dy), 6) AS ty, count(*) AS n_match FROM m GROUP BY l_orderkey"
 REFIT = """
 f AS (
-  SELECT l_orderkey, count(*) AS n_match, count(*) FILTER ({inside}) AS n_in, avg(dx) FILTER ({inside}) AS tx, avg(dy) FILTER ({inside}) AS ty,
-    avg(dx * dx + dy * dy) FILTER ({inside}) AS sq FROM m JOIN best USING (l_orderkey) GROUP BY l_orderkey),
-g AS (SELECT *, CASE WHEN n_match < {least} THEN 1 WHEN n_in < 1 THEN 2 ELSE 0 END AS status FROM f)
+  SELECT l_orderkey, count(*) AS n_match, count(*) FILTER ({inside}) AS n_in, avg(dx) FILTER ({inside}) AS tx, avg(dy) FILTER ({inside}) AS ty
+  FROM m LEFT JOIN best USING (l_orderkey) GROUP BY l_orderkey),
+e AS (SELECT l_orderkey, sqrt(avg((dx - tx) ** 2 + (dy - ty) ** 2)) AS error FROM m JOIN best USING (l_orderkey) JOIN f USING (l_orderkey) WHERE {inside} GROUP BY l_orderkey),
+g AS (SELECT f.*, error, CASE WHEN n_match < {least} THEN 1 WHEN n_in < 1 THEN 2 ELSE 0 END AS status FROM f LEFT JOIN e USING (l_orderkey))
 SELECT l_orderkey, CASE WHEN status = 0 THEN round(tx, 6) END AS tx, CASE WHEN status = 0 THEN round(ty, 6) END AS ty, n_match,
-  CASE WHEN status = 0 THEN n_in ELSE 0 END AS n_inlier, status, CASE WHEN status = 0 THEN round(sqrt(greatest(0, sq - tx * tx - ty * ty)), 6) END AS error FROM g
+  CASE WHEN status = 0 THEN n_in ELSE 0 END AS n_inlier, status, CASE WHEN status = 0 THEN round(error, 6) END AS error FROM g
 """
-SQL["shift_msac"] = f"""
+MSAC = f"""
 WITH {MOVES},
-cost AS (SELECT m.l_orderkey, h.m AS h, h.dx AS hx, h.dy AS hy, sum(least((m.dx - h.dx) ** 2 + (m.dy - h.dy) ** 2, 2.25)) AS cost FROM m JOIN m h ON m.l_orderkey = h.l_orderkey GROUP BY ALL),
+cost AS (SELECT m.l_orderkey, h.k, h.m AS h, h.dx AS hx, h.dy AS hy, sum(least((m.dx - h.dx) ** 2 + (m.dy - h.dy) ** 2, 2.25)) AS cost FROM m JOIN m h ON m.l_orderkey = h.l_orderkey GROUP BY ALL),
 best AS (SELECT l_orderkey, hx, hy FROM cost QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY round(cost, 9), h, hx, hy) = 1),
-{REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 <= 2.25", least=1)}
 """
+SQL["shift_msac"] = MSAC + REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 <= 2.25", least=1)
+SQL["shift_guarded"] = MSAC + REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 <= 2.25", least=5)
 SQL["shift_ransac"] = f"""
 WITH {MOVES},
-hyp AS (SELECT a.l_orderkey, a.m AS m1, b.m AS m2, (a.dx + b.dx) / 2 AS hx, (a.dy + b.dy) / 2 AS hy FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.m < b.m),
+hyp AS (SELECT a.l_orderkey, a.k AS k1, b.k AS k2, a.m AS m1, b.m AS m2, (a.dx + b.dx) / 2 AS hx, (a.dy + b.dy) / 2 AS hy FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.k < b.k),
 res AS (SELECT hyp.*, (dx - hx) ** 2 + (dy - hy) ** 2 AS r FROM m JOIN hyp USING (l_orderkey)),
-score AS (SELECT l_orderkey, m1, m2, hx, hy, count(*) FILTER (r < 1) AS n, sum(CASE WHEN r < 1 THEN r ELSE 0 END) AS ssr FROM res GROUP BY ALL),
+score AS (SELECT l_orderkey, k1, k2, m1, m2, hx, hy, count(*) FILTER (r < 1) AS n, sum(CASE WHEN r < 1 THEN r ELSE 0 END) AS ssr FROM res GROUP BY ALL),
 best AS (SELECT l_orderkey, hx, hy FROM score QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, round(ssr, 9), m1, m2, hx, hy) = 1),
 {REFIT.format(inside="(dx - hx) ** 2 + (dy - hy) ** 2 < 1", least=2)}
 """
@@ -197,5 +205,6 @@ SELECT page_id, CASE WHEN url IS NOT NULL THEN array_to_string(list_transform(ru
   CASE WHEN regexp_matches(x, '[0-9]+$') THEN regexp_extract(x, '[0-9]+$')::DECIMAL(38, 0)::VARCHAR ELSE '-1' END), '|') END AS key FROM r
 """
 
-QUERIES |= queries_pixels.QUERIES
-SQL |= queries_pixels.SQL
+for part in (queries_pixels, queries_geometry):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
