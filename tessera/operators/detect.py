@@ -1,4 +1,11 @@
-"""Keypoint detectors by name, suppression and descriptors, as vectorised functions over tiles."""
+"""Keypoint detectors by name, suppression and descriptors, as vectorised functions over stacks of tiles.
+
+A detector maps a stack (n, height, width) to scores of the same shape. register() adds one. The names stand for the response that each
+method is built on, at the scales that a tile holds; none is a copy of a library's implementation.
+
+Nulls, ties and odd sizes: a tile whose pixel array is null, of another length or holds a null has no keypoints; equal scores go by y, then x; a
+constant tile has no keypoints above 0; `most` is None unless points are to be limited to the best of a tile; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +15,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tessera.operators.spectral import stacked, window_sums
+
+
+def padded(v: np.ndarray, r: int) -> np.ndarray:
+    return np.pad(v, ((0, 0), (r, r), (r, r)), mode="edge")
+
 
 def box(v: np.ndarray, r: int = 1) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(np.pad(v, r, mode="edge"), (2 * r + 1, 2 * r + 1)).sum(axis=(2, 3))
+    return window_sums(padded(v, r), 2 * r + 1, 2 * r + 1)
+
+
+def gradients(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along y and x; one-sided at the edges."""
+    return np.gradient(v, axis=1), np.gradient(v, axis=2)
+
+
+def blurred(v: np.ndarray, sigma: float) -> np.ndarray:
+    r = max(1, round(3 * sigma))
+    g = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    g /= g.sum()
+    p = padded(v, r)
+    p = sum(w * p[:, i : i + v.shape[1]] for i, w in enumerate(g))
+    return sum(w * p[:, :, i : i + v.shape[2]] for i, w in enumerate(g))
 
 
 def structure(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gy, gx = np.gradient(v)
+    gy, gx = gradients(v)
     return box(gx * gx), box(gy * gy), box(gx * gy)
 
 
@@ -28,18 +55,25 @@ def min_eigen(v: np.ndarray) -> np.ndarray:
     return (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
 
 
+def hessian_of(v: np.ndarray, weight: float = 0.9) -> np.ndarray:
+    gy, gx = gradients(v)
+    (yy, xy), xx = gradients(gy), gradients(gx)[1]
+    return xx * yy - (weight * xy) ** 2
+
+
 def hessian(v: np.ndarray) -> np.ndarray:
     """Determinant of the Hessian of the smoothed tile, the response that SURF approximates by boxes."""
-    gy, gx = np.gradient(box(v) / 9)
-    (yy, xy), xx = np.gradient(gy), np.gradient(gx)[1]
-    return xx * yy - (0.9 * xy) ** 2
+    return hessian_of(box(v) / 9)
+
+
+#: The circle of radius 3 around a pixel, as (x, y), clockwise from the top.
+RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 
 
 def fast(v: np.ndarray, threshold: float = 0.1, arc: int = 9) -> np.ndarray:
     """Score of pixels with `arc` adjacent pixels of the circle all brighter or all darker by threshold."""
-    ring = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
-    pad = np.pad(v, 3, mode="edge")
-    diff = np.stack([pad[3 + y : 3 + y + v.shape[0], 3 + x : 3 + x + v.shape[1]] - v for x, y in ring])
+    pad = padded(v, 3)
+    diff = np.stack([pad[:, 3 + y : 3 + y + v.shape[1], 3 + x : 3 + x + v.shape[2]] - v for x, y in RING])
     out = np.zeros_like(v)
     for sign in (1, -1):
         over = sign * diff > threshold
@@ -49,37 +83,94 @@ def fast(v: np.ndarray, threshold: float = 0.1, arc: int = 9) -> np.ndarray:
     return out
 
 
-DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast}
+def sift(v: np.ndarray, sigma: float = 1.0, scales: int = 4) -> np.ndarray:
+    """Size of the strongest difference of Gaussians that is an extremum of its 26 neighbours in place and scale."""
+    levels = np.stack([blurred(v, sigma * 2 ** (i / 2)) for i in range(scales + 1)])
+    d = np.diff(levels, axis=0)
+    out = np.zeros_like(v)
+    for s in range(1, len(d) - 1):
+        cube = np.stack([np.lib.stride_tricks.sliding_window_view(padded(x, 1), (3, 3), axis=(1, 2)) for x in d[s - 1 : s + 2]])
+        top, low = cube.max(axis=(0, 4, 5)), cube.min(axis=(0, 4, 5))
+        out = np.maximum(out, np.where((d[s] >= top) | (d[s] <= low), np.abs(d[s]), 0))
+    return out
+
+
+def kaze(v: np.ndarray, steps: int = 4, contrast: float = 0.1) -> np.ndarray:
+    """Hessian after diffusion that stops at edges (Perona and Malik)."""
+    u = v.copy()
+    for _ in range(steps):
+        gy, gx = gradients(u)
+        g = 1 / (1 + (gx * gx + gy * gy) / contrast**2)
+        u = u + 0.2 * (gradients(g * gy)[0] + gradients(g * gx)[1])
+    return hessian_of(u, 1.0)
+
+
+def brisk(v: np.ndarray) -> np.ndarray:
+    """Best circle score of the tile and of the tile smoothed."""
+    return np.maximum(fast(v), fast(box(v) / 9))
+
+
+def orb(v: np.ndarray) -> np.ndarray:
+    """Corners of the circle test, scored by the Harris response."""
+    return np.where(fast(v) > 0, np.maximum(harris(v), 0), 0)
+
+
+DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast, "sift": sift, "kaze": kaze, "brisk": brisk, "orb": orb}
+
+
+def register(name: str, response: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Add a detector: a function from a stack of tiles to scores."""
+    if not callable(response):
+        raise TypeError("a detector is a function")
+    DETECTORS[name] = response
 
 
 def suppress(points: np.ndarray, scores: np.ndarray, radius: int) -> np.ndarray:
     """Indexes of the points (x, y) that stay, best first: a point falls to a better one within radius in both axes."""
     order = np.lexsort((points[:, 0], points[:, 1], -scores))
+    if not len(order):
+        return order
+    taken = np.zeros(points.max(axis=0) + 2 * radius + 1, bool)
     stay: list[int] = []
-    for i in order:
-        if not stay or (np.abs(points[stay] - points[i]).max(axis=1) > radius).all():
-            stay.append(int(i))
+    for i in order.tolist():
+        x, y = points[i]
+        if not taken[x + radius, y + radius]:
+            stay.append(i)
+            taken[x : x + 2 * radius + 1, y : y + 2 * radius + 1] = True
     return np.array(stay, int)
 
 
-def detect(tiles: DataFrame, height: int, width: int, method: str, *, least: float = 0.0, radius: int = 1, most: int = 1000, patch: int = 3) -> DataFrame:
-    """(tile_id, kp_id, x, y, score, descriptor) of each tile's best points; the descriptor is the normalised patch around it."""
+def responses(tiles: DataFrame, height: int, width: int, methods: list[str]) -> DataFrame:
+    """(tile_id, r, c, a column of scores for each method)."""
+    found = {m: DETECTORS[m] for m in methods}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good, v = stacked(batch["pixels"].tolist(), height, width)
+            p = np.arange(height * width)
+            out = {"tile_id": np.repeat(batch["tile_id"].to_numpy()[good], len(p)), "r": np.tile(p // width, len(v)), "c": np.tile(p % width, len(v))}
+            yield pd.DataFrame(out | {m: (f(v) if len(v) else v).ravel() for m, f in found.items()})
+
+    return tiles.select("tile_id", "pixels").mapInPandas(run, "tile_id bigint, r int, c int, " + ", ".join(f"{m} double" for m in methods))
+
+
+def detect(tiles: DataFrame, height: int, width: int, method: str, *, least: float = 0.0, radius: int = 1, most: int | None = None, patch: int = 3) -> DataFrame:
+    """(tile_id, kp_id, x, y, score, descriptor) of each tile's points above `least`, best first; the descriptor is the normalised patch around it."""
     response = DETECTORS[method]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            good, v = stacked(batch["pixels"].tolist(), height, width)
             rows = []
-            for tile, px in zip(batch["tile_id"], batch["pixels"], strict=True):
-                v = np.asarray(px, float).reshape(height, width)
-                s = response(v)
+            scores, pads = response(v) if len(v) else v, padded(v, patch) if len(v) else v
+            for tile, s, pad in zip(batch["tile_id"].to_numpy()[good].tolist(), scores, pads, strict=True):
                 y, x = np.nonzero(s > least)
                 points, score = np.stack((x, y), axis=1), s[y, x]
-                pad = np.pad(v, patch, mode="edge")
-                for n, i in enumerate(suppress(points, score, radius)[:most]):
-                    px_, py_ = points[i]
-                    d = pad[py_ : py_ + 2 * patch + 1, px_ : px_ + 2 * patch + 1].ravel()
+                for n, i in enumerate(suppress(points, score, radius)[:most].tolist()):
+                    px, py = points[i]
+                    d = pad[py : py + 2 * patch + 1, px : px + 2 * patch + 1].ravel()
                     d = d - d.mean()
-                    rows.append((tile, n, float(px_), float(py_), round(float(score[i]), 6), (d / (np.linalg.norm(d) or 1)).tolist()))
+                    rows.append((tile, n, float(px), float(py), round(float(score[i]), 6), (d / (np.linalg.norm(d) or 1)).tolist()))
             yield pd.DataFrame(rows, columns=["tile_id", "kp_id", "x", "y", "score", "descriptor"])
 
     return tiles.select("tile_id", "pixels").mapInPandas(run, "tile_id bigint, kp_id int, x double, y double, score double, descriptor array<double>")

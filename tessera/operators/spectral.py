@@ -1,4 +1,9 @@
-"""Correlation of tiles: normalised cross-correlation and phase correlation by numpy FFT in Arrow batches of pairs."""
+"""Correlation of tiles: normalised cross-correlation and phase correlation by numpy FFT, a whole Arrow batch of pairs at once.
+
+Nulls, ties and odd sizes: a pair whose pixel array is null, of another length than height * width or holds a null gets null shift and correlation;
+peaks are compared to 9 places and ties go to the first in column-major order; a correlation that is undefined (constant or too few pixels) is -1, in a
+surface 0; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +13,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+EPS = np.finfo(float).eps
+
+
+def window_sums(images: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Sums over all height x width windows of the last two axes, from running sums."""
+    s = np.zeros((*images.shape[:-2], images.shape[-2] + 1, images.shape[-1] + 1))
+    s[..., 1:, 1:] = images.cumsum(axis=-2).cumsum(axis=-1)
+    return s[..., height:, width:] - s[..., :-height, width:] - s[..., height:, :-width] + s[..., :-height, :-width]
+
 
 def normxcorr2(template: np.ndarray, search: np.ndarray) -> np.ndarray:
-    """Correlation of the template with each whole placement in search; 0 where either is constant."""
-    th, tw = template.shape
-    views = np.lib.stride_tricks.sliding_window_view(search, (th, tw))
-    t = template - template.mean()
-    shape = (search.shape[0] + th, search.shape[1] + tw)
-    product = np.fft.irfft2(np.fft.rfft2(search - search.mean(), shape) * np.conj(np.fft.rfft2(t, shape)), shape)[: views.shape[0], : views.shape[1]]
-    spread = np.sqrt(np.maximum(views.var(axis=(2, 3)) * th * tw * (t * t).sum(), 0))
+    """Correlation of each template with each whole placement in its search image (last two axes); 0 where either is constant."""
+    th, tw = template.shape[-2:]
+    t = template - template.mean(axis=(-2, -1), keepdims=True)
+    s = search - search.mean(axis=(-2, -1), keepdims=True)
+    shape = (s.shape[-2] + th, s.shape[-1] + tw)
+    product = np.fft.irfft2(np.fft.rfft2(s, shape) * np.conj(np.fft.rfft2(t, shape)), shape)[..., : s.shape[-2] - th + 1, : s.shape[-1] - tw + 1]
+    total, squares = window_sums(s, th, tw), window_sums(s * s, th, tw)
+    spread = np.sqrt(np.maximum(squares - total * total / (th * tw), 0) * (t * t).sum(axis=(-2, -1))[..., None, None])
     return np.where(spread > 1e-12, product / np.where(spread > 1e-12, spread, 1), 0.0)
 
 
@@ -27,9 +42,10 @@ def first_peak(surface: np.ndarray) -> tuple[int, int]:
 
 
 def phase_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inverse transform of the cross-power spectrum, each bin divided by its size; an empty bin counts as 1. Over the last two axes."""
     cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    size = np.abs(cross)
-    return np.real(np.fft.ifft2(cross / np.where(size == 0, np.finfo(float).eps, size)))
+    cross = np.where(cross == 0, EPS, cross)
+    return np.real(np.fft.ifft2(cross / np.abs(cross)))
 
 
 def subregion(image: np.ndarray, x: int, y: int) -> np.ndarray:
@@ -60,35 +76,59 @@ def disambiguate(a: np.ndarray, b: np.ndarray, row: int, col: int, direction: st
     return (*places[best], values[best])
 
 
-def pciam(a: np.ndarray, b: np.ndarray, direction: str, peaks: int = 2) -> tuple[int, int, float]:
-    """Shift (x, y) of b against a by phase correlation: the best of the strongest peaks."""
-    surface = np.round(phase_correlation(a, b), 9)
-    order = np.argsort(-surface.T.ravel(), kind="stable")[:peaks]
+def peak_shift(surface: np.ndarray, a: np.ndarray, b: np.ndarray, direction: str, peaks: int = 2) -> tuple[int, int, float]:
+    """Shift (x, y) of b against a: the best of the surface's strongest peaks."""
+    order = np.argsort(-np.round(surface, 9).T.ravel(), kind="stable")[:peaks]
     found = [disambiguate(a, b, int(p) % surface.shape[0], int(p) // surface.shape[0], direction) for p in order]
     return max(found, key=lambda x: x[2])
 
 
+def pciam(a: np.ndarray, b: np.ndarray, direction: str, peaks: int = 2) -> tuple[int, int, float]:
+    """Shift (x, y) of b against a by phase correlation."""
+    return peak_shift(phase_correlation(a, b), a, b, direction, peaks)
+
+
+def ncc_shifts(a: np.ndarray, b: np.ndarray, direction: str, overlap: float) -> list[tuple[int, int, float]]:
+    """Shifts of pairs of one direction: the strip of b that should overlap is looked for in a somewhat wider strip of a."""
+    h, w = a.shape[1:]
+    if direction == "north":
+        top = max(0, h - round(h * (overlap + 0.1)))
+        off, surfaces = (0, top), normxcorr2(b[:, : max(1, round(h * overlap))], a[:, top:])
+    else:
+        left = max(0, w - round(w * (overlap + 0.1)))
+        off, surfaces = (left, 0), normxcorr2(b[:, :, : max(1, round(w * overlap))], a[:, :, left:])
+    peaks = [first_peak(s) for s in surfaces]
+    return [(c + off[0], r + off[1], float(s[r, c])) for s, (r, c) in zip(surfaces, peaks, strict=True)]
+
+
+def stacked(arrays: list, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the pixel arrays are whole, those as a stack of images)."""
+    flat = [None if x is None or len(x) != height * width else np.asarray(x, float) for x in arrays]
+    good = np.array([x is not None and np.isfinite(x).all() for x in flat], bool)
+    return good, np.array([x for x, g in zip(flat, good, strict=True) if g]).reshape(-1, height, width)
+
+
 def align(pairs: DataFrame, height: int, width: int, keys: str, method: str = "phase", overlap: float = 0.5) -> DataFrame:
     """(keys, tx, ty, ncc) of pairs with pixel arrays pa (of prev) and pb (of cur) and a direction."""
     names = [k.split()[0] for k in keys.split(",")]
 
-    def ncc_shift(a: np.ndarray, b: np.ndarray, direction: str) -> tuple[int, int, float]:
-        if direction == "north":
-            t, s = b[: max(1, round(height * overlap))], a[max(0, height - round(height * (overlap + 0.1))) :]
-            off = (0, height - s.shape[0])
-        else:
-            t, s = b[:, : max(1, round(width * overlap))], a[:, max(0, width - round(width * (overlap + 0.1))) :]
-            off = (width - s.shape[1], 0)
-        surface = normxcorr2(t, s)
-        r, c = first_peak(surface)
-        return c + off[0], r + off[1], float(surface[r, c])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = pciam if method == "phase" else ncc_shift
         for x in batches:
-            got = [step(np.asarray(a, float).reshape(height, width), np.asarray(b, float).reshape(height, width), d) for a, b, d in zip(x["pa"], x["pb"], x["direction"], strict=True)]
+            good, both = stacked([None if a is None or b is None or len(a) != len(b) else np.concatenate((a, b)) for a, b in zip(x["pa"], x["pb"], strict=True)], 2 * height, width)
+            a, b, directions = both[:, :height], both[:, height:], x["direction"].to_numpy()[good]
+            got: list = [None] * len(a)
+            if method == "phase":
+                got = [peak_shift(s, p, q, d) for s, p, q, d in zip(phase_correlation(a, b), a, b, directions, strict=True)]
+            else:
+                for d in ("north", "west"):
+                    at = np.flatnonzero(directions == d)
+                    for i, g in zip(at.tolist(), ncc_shifts(a[at], b[at], d, overlap) if len(at) else [], strict=True):
+                        got[i] = g
             out = x[names].copy()
-            out["tx"], out["ty"], out["ncc"] = [g[0] for g in got], [g[1] for g in got], [round(g[2], 6) for g in got]
+            for n, (column, kind) in enumerate((("tx", "Int32"), ("ty", "Int32"), ("ncc", "float64"))):
+                values = np.full(len(x), None, object)
+                values[good] = [None if g is None else round(g[n], 6) for g in got]
+                out[column] = pd.array(values, kind) if kind == "Int32" else pd.Series(values, out.index, dtype=kind)
             yield out
 
     return pairs.mapInPandas(run, f"{keys}, tx int, ty int, ncc double")

@@ -112,6 +112,12 @@ def align_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(spark, sf_dir, "ncc")
 
 
+def detector_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = ["harris", "min_eigen", "hessian", "fast"]
+    out = detect.responses(tiles(spark, sf_dir), SIZE, SIZE, methods)
+    return out.withColumns({m: F.round(m, 6) + 0.0 for m in methods})
+
+
 def keypoints(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return detect.detect(tiles(spark, sf_dir), SIZE, SIZE, method)
@@ -121,7 +127,7 @@ def keypoints(method: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (a01_overlap_rmse, overlap_ssim, overlap_nmi, average_rmse, mutual_matches, shift_least_squares, shift_msac, shift_guarded, shift_ransac, affine_rows, natural_sort_keys, align_phase, align_ncc)
+    for f in (a01_overlap_rmse, overlap_ssim, overlap_nmi, average_rmse, mutual_matches, shift_least_squares, shift_msac, shift_guarded, shift_ransac, affine_rows, natural_sort_keys, align_phase, align_ncc, detector_responses)
 } | {f"keypoints_{m}": keypoints(m) for m in detect.DETECTORS}
 
 TILES = "t AS (SELECT vec_id AS tile_id, (vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, embedding::DOUBLE[] AS px FROM embeddings)"
@@ -205,6 +211,60 @@ SELECT page_id, CASE WHEN url IS NOT NULL THEN array_to_string(list_transform(ru
   CASE WHEN regexp_matches(x, '[0-9]+$') THEN regexp_extract(x, '[0-9]+$')::DECIMAL(38, 0)::VARCHAR ELSE '-1' END), '|') END AS key FROM r
 """
 
+SQL["align_ncc"] = f"""
+WITH {TILES}, {PAIRS},
+pl AS (SELECT {KEYS}, d, CASE WHEN direction = 'north' THEN pb[r * 8 + c + 1] ELSE pb[c * 8 + r + 1] END AS t, CASE WHEN direction = 'north' THEN pa[(3 + d + r) * 8 + c + 1] ELSE pa[c * 8 + 3 + d + r + 1] END AS s
+  FROM pairs, range(2) x(d), range(4) y(r), range(8) z(c)),
+k AS (SELECT {KEYS}, d, CASE WHEN isfinite(corr(t, s)) THEN corr(t, s) ELSE 0 END AS ncc FROM pl GROUP BY {KEYS}, d),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY round(ncc, 9) DESC, d) = 1)
+SELECT {KEYS}, CASE WHEN direction = 'north' THEN 0 ELSE (3 + d)::INT END AS tx, CASE WHEN direction = 'north' THEN (3 + d)::INT ELSE 0 END AS ty, round(ncc, 6) AS ncc FROM b
+"""
+SQL["align_phase"] = f"""
+WITH {TILES}, {PAIRS},
+w AS (SELECT u, x, cos(pi() * u * x / 4) AS co, -sin(pi() * u * x / 4) AS si FROM range(8) a(u), range(8) b(x)),
+px AS (SELECT tile_id, p // 8 AS r, p % 8 AS c, px[p + 1] AS v FROM t, range(64) x(p)),
+f1 AS (SELECT tile_id, r, u AS q, sum(v * co) AS re, sum(v * si) AS im FROM px JOIN w ON x = c GROUP BY ALL),
+f2 AS (SELECT tile_id, u AS p, q, sum(re * co - im * si) AS re, sum(re * si + im * co) AS im FROM f1 JOIN w ON x = r GROUP BY ALL),
+cr AS (SELECT {KEYS}, a.p, a.q, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im FROM pairs JOIN f2 a ON a.tile_id = prev JOIN f2 b ON b.tile_id = cur AND a.p = b.p AND a.q = b.q),
+un AS (SELECT {KEYS}, p, q, CASE WHEN re = 0 AND im = 0 THEN 1 ELSE re / sqrt(re * re + im * im) END AS re, CASE WHEN re = 0 AND im = 0 THEN 0 ELSE im / sqrt(re * re + im * im) END AS im FROM cr),
+g1 AS (SELECT {KEYS}, p, x AS c, sum(re * co + im * si) AS re, sum(im * co - re * si) AS im FROM un JOIN w ON u = q GROUP BY ALL),
+g2 AS (SELECT {KEYS}, x AS r, c, round(sum(re * co + im * si) / 64, 9) AS v FROM g1 JOIN w ON u = p GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY v DESC, c, r) AS peak FROM g2 QUALIFY peak <= 2),
+b4 AS (SELECT {KEYS}, peak, o, CASE WHEN o % 2 = 0 THEN c ELSE 8 - c END AS x, CASE WHEN o < 2 THEN r ELSE 8 - r END AS y FROM pk, range(4) z(o)),
+b8 AS (SELECT * FROM b4 UNION ALL SELECT {KEYS}, peak, o + 4, CASE WHEN direction = 'north' THEN -x ELSE x END, CASE WHEN direction = 'north' THEN y ELSE -y END FROM b4),
+ov AS (SELECT {KEYS}, peak, o, x, y, pa[r * 8 + c + 1] AS a, pb[(r - y) * 8 + c - x + 1] AS b FROM b8 JOIN pairs USING ({KEYS}), range(8) m(r), range(8) n(c)
+  WHERE r - y BETWEEN 0 AND 7 AND c - x BETWEEN 0 AND 7),
+cc AS (SELECT {KEYS}, peak, o, count(*) AS n, corr(a, b) AS k, stddev_pop(a) * stddev_pop(b) * count(*) AS spread FROM ov GROUP BY ALL),
+al AS (SELECT b8.*, CASE WHEN n >= 2 AND spread > 1e-12 THEN round(k, 9) ELSE -1 END AS ncc FROM b8 LEFT JOIN cc USING ({KEYS}, peak, o)),
+be AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY ncc DESC, peak, o) = 1)
+SELECT {KEYS}, x::INT AS tx, y::INT AS ty, round(ncc, 6) AS ncc FROM be
+"""
+AROUND = "range(-1, 2) dy(y), range(-1, 2) dx(x)"
+CLAMP = "least(greatest(r + y, 0), 7) * 8 + least(greatest(c + x, 0), 7) + 1"
+GRAD_X = "(v[r * 8 + least(c + 1, 7) + 1] - v[r * 8 + greatest(c - 1, 0) + 1]) / (least(c + 1, 7) - greatest(c - 1, 0))"
+GRAD_Y = "(v[least(r + 1, 7) * 8 + c + 1] - v[greatest(r - 1, 0) * 8 + c + 1]) / (least(r + 1, 7) - greatest(r - 1, 0))"
+
+
+def grown(name: str, source: str, column: str, formula: str) -> str:
+    """SQL of a CTE that adds to tiles an array made of a formula at each place (r, c) of the array v = column."""
+    return f"{name} AS (SELECT {source}.*, q.x AS {column} FROM {source} JOIN (SELECT tile_id, list({formula} ORDER BY r, c) AS x FROM {source}, range(8) a(r), range(8) b(c) GROUP BY tile_id) q USING (tile_id))"
+
+
+box = lambda v: f"list_sum([{', '.join(f'{v}[least(greatest(r + {y}, 0), 7) * 8 + least(greatest(c + {x}, 0), 7) + 1]' for y in (-1, 0, 1) for x in (-1, 0, 1))}])"
+along = lambda formula, v: formula.replace("v[", f"{v}[")
+at = lambda v: f"{v}[r * 8 + c + 1]"
+ring = ", ".join(f"px[least(greatest(r + {y}, 0), 7) * 8 + least(greatest(c + {x}, 0), 7) + 1] - {at('px')}" for x, y in detect.RING)
+side = lambda sign: f"CASE WHEN len(list_filter(range(16), lambda i: len(list_filter(range(9), lambda k: {sign} * d[(i + k) % 16 + 1] > 0.1)) = 9)) > 0 THEN coalesce(list_sum(list_transform(list_filter(d, lambda z: {sign} * z > 0.1), lambda z: abs(z) - 0.1::DOUBLE)), 0) ELSE 0 END"
+SQL["detector_responses"] = f"""
+WITH {TILES},
+{grown('s1', 't', 'gx', along(GRAD_X, 'px'))}, {grown('s2', 's1', 'gy', along(GRAD_Y, 'px'))}, {grown('s3', 's2', 'sm', box('px') + ' / 9')},
+{grown('s4', 's3', 'sx', along(GRAD_X, 'sm'))}, {grown('s5', 's4', 'sy', along(GRAD_Y, 'sm'))},
+l AS (SELECT tile_id, r::INT AS r, c::INT AS c, {box('list_transform(gx, lambda z: z * z)')} AS xx, {box('list_transform(gy, lambda z: z * z)')} AS yy, {box('list_transform(list_zip(gx, gy), lambda z: z[1] * z[2])')} AS xy,
+  {along(GRAD_X, 'sx')} AS hxx, {along(GRAD_Y, 'sy')} AS hyy, {along(GRAD_X, 'sy')} AS hxy, [{ring}] AS d FROM s5, range(8) a(r), range(8) b(c))
+SELECT tile_id, r, c, round(xx * yy - xy * xy - 0.04::DOUBLE * (xx + yy) ** 2, 6) + 0.0 AS harris, round((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy), 6) + 0.0 AS min_eigen,
+  round(hxx * hyy - (0.9::DOUBLE * hxy) ** 2, 6) + 0.0 AS hessian, round(greatest({side('1')}, {side('-1')}), 6) + 0.0 AS fast FROM l
+"""
+
 for part in (queries_pixels, queries_geometry):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
