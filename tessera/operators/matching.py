@@ -1,4 +1,8 @@
-"""Descriptor matching within pairs: equi-joins on the pair, ranks both ways."""
+"""Descriptor matching within pairs: equi-joins on the pair, ranks both ways.
+
+All keypoints of a pair of tiles meet, which a quota of keypoints bounds. Nulls and ties: a null descriptor or a null within it gives no distance, and
+that candidate is left out; descriptors of different lengths too; equal distances go to the smaller id; a pair without candidates has no matches.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +14,30 @@ def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
 
 
-def distances(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """(on, kp1, kp2, d2) of left (on, kp1, d1) and right (on, kp2, d2)."""
-    return left.join(right, on).select(*on, "kp1", "kp2", squared_distance(F.col("f1"), F.col("f2")).alias("d2"))
+def unit_distance(x: Column, y: Column) -> Column:
+    """The same for vectors of length 1: 2 - 2 x.y"""
+    return 2 - 2 * F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+
+def normal(x: Column) -> Column:
+    """The vector at length 1; null if it has none."""
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
+    return F.transform(x, lambda v: F.try_divide(v, length))
+
 
+def distances(left: DataFrame, right: DataFrame, on: list[str], *, normalised: bool = False) -> DataFrame:
+    """(on, kp1, kp2, d2) of left (on, kp1, f1) and right (on, kp2, f2)."""
+    d2 = (unit_distance if normalised else squared_distance)(F.col("f1"), F.col("f2"))
+    return left.join(right, on).select(*on, "kp1", "kp2", d2.alias("d2")).where("d2 is not null")
 
-def mutual_nearest(dist: DataFrame, on: list[str], *, max_ratio: float | None = None, threshold: float | None = None) -> DataFrame:
-    """Matches that are each other's nearest (ties: smaller ids); max_ratio bounds d2 of the nearest against the second nearest of kp1."""
+
+def mutual_nearest(dist: DataFrame, on: list[str], *, max_ratio: float | None = None, threshold: float | None = None, mutual: bool = True) -> DataFrame:
+    """Matches that are each other's nearest (ties: smaller ids); max_ratio bounds d2 of the nearest against the second nearest of kp1, threshold d2
+    itself. Without mutual, each kp1 has its nearest."""
     ahead = Window.partitionBy(*on, "kp1").orderBy("d2", "kp2")
     back = Window.partitionBy(*on, "kp2").orderBy("d2", "kp1")
-    out = dist.withColumn("r1", F.row_number().over(ahead)).withColumn("second", F.lead("d2").over(ahead)).withColumn("r2", F.row_number().over(back)).where("r1 = 1 and r2 = 1")
+    out = dist.withColumn("r1", F.row_number().over(ahead)).withColumn("second", F.lead("d2").over(ahead)).withColumn("r2", F.row_number().over(back))
+    out = out.where("r1 = 1 and r2 = 1" if mutual else "r1 = 1")
     if max_ratio is not None:
         out = out.where(F.col("second").isNull() | (F.col("d2") <= max_ratio * F.greatest("second", F.lit(1e-3))))
     if threshold is not None:
@@ -34,3 +52,24 @@ def within_radius(left: DataFrame, right: DataFrame, on: list[str], radius: floa
     two = right.withColumn("o", near).withColumn("cx", F.floor(F.col("x2") / radius) + F.col("o.i")).withColumn("cy", F.floor(F.col("y2") / radius) + F.col("o.j")).drop("o")
     gap = F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)
     return one.join(two, [*on, "cx", "cy"]).where(gap <= radius * radius).drop("cx", "cy")
+
+
+#: What stands for the second nearest where there is none.
+FAR = 1e30
+
+
+def radius_matches(left: DataFrame, right: DataFrame, on: list[str], radius: float, *, mutual: bool = True) -> DataFrame:
+    """(on, kp1, kp2, ratio): of points (kp1, x1, y1, f1) and (kp2, x2, y2, f2) within the radius, the nearest by descriptor; ratio is its squared
+    distance by the second nearest's, that one at least 1e-3. Points without any other in reach have no match."""
+    d = within_radius(left, right, on, radius).select(*on, "kp1", "kp2", squared_distance(F.col("f1"), F.col("f2")).alias("d2")).where("d2 is not null")
+    ahead = Window.partitionBy(*on, "kp1").orderBy("d2", "kp2")
+    back = Window.partitionBy(*on, "kp2").orderBy("d2", "kp1")
+    out = d.withColumn("r1", F.row_number().over(ahead)).withColumn("second", F.coalesce(F.lead("d2").over(ahead), F.lit(FAR))).withColumn("r2", F.row_number().over(back))
+    out = out.where("r1 = 1 and r2 = 1" if mutual else "r1 = 1")
+    return out.select(*on, "kp1", "kp2", (F.col("d2") / F.greatest("second", F.lit(1e-3))).alias("ratio"))
+
+
+def gathered_points(matches: DataFrame, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """(on, m, x1, y1, x2, y2) of matches (on, kp1, kp2) and points (on, kp1, x1, y1), (on, kp2, x2, y2); m is kp1."""
+    both = matches.join(left.select(*on, "kp1", "x1", "y1"), [*on, "kp1"]).join(right.select(*on, "kp2", "x2", "y2"), [*on, "kp2"])
+    return both.select(*on, F.col("kp1").alias("m"), "x1", "y1", "x2", "y2")

@@ -1,8 +1,12 @@
-"""Neighbouring pairs of tiles and the pixels that they share under a shift."""
+"""Neighbouring pairs of tiles and the pixels that they share under a shift.
+
+Nulls, ties and odd sizes: a tile without a place in the grid has no neighbours; two tiles at one place are both neighbours; a pixel array that is null
+or too short gives null values where it has none; an empty table gives no rows; other columns of tiles are kept by grid() alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +16,25 @@ def grid(tiles: DataFrame, width: int, *, height: int | None = None, flipped: bo
     return tiles.withColumn("i", F.lit(height - 1) - i if flipped else i).withColumn("j", (F.col("seq") % width).cast("int"))
 
 
+def numbered(tiles: DataFrame, height: int, width: int) -> DataFrame:
+    """Adds index_im (1-based, row-major), row_major and column_major (0-based) of tiles with row i and column j."""
+    row_major = F.col("i") * width + F.col("j")
+    return tiles.withColumn("index_im", row_major + 1).withColumn("row_major", row_major).withColumn("column_major", F.col("j") * height + F.col("i"))
+
+
+def sliced(files: DataFrame, key: Column, *, start: int = 1, hop: int = 1, end: int | None = None) -> DataFrame:
+    """(dataset, name, seq): of each data set's files in the order of the key, those at places start, start + hop, ... up to end (1-based), numbered from 0."""
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy(key, "name"))
+    some = files.withColumn("place", place).where((F.col("place") >= start) & ((F.col("place") - start) % hop == 0))
+    some = some if end is None else some.where(F.col("place") <= end)
+    return some.select("dataset", "name", F.floor((F.col("place") - start) / hop).cast("int").alias("seq"))
+
+
+def natural_ranks(rows: DataFrame, keys: list[str], key: Column, *, descending: bool = False) -> DataFrame:
+    """Adds place: the dense rank by the key within each group, equal keys alike."""
+    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy(key.desc() if descending else key)))
+
+
 def neighbour_pairs(tiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, j, direction, prev, cur): each tile with the one above it (north) and the one left of it (west), by equi-joins."""
     cur = tiles.select(*keys, "i", "j", F.col("tile_id").alias("cur"))
@@ -39,6 +62,6 @@ def shared_pixels(pairs: DataFrame, tiles: DataFrame, size: int, dx: Column, dy:
     both = both.where((F.abs("dx") < size) & (F.abs("dy") < size))
     both = both.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(0), F.col("dy")), F.least(F.lit(size - 1), size - 1 + F.col("dy")))))
     both = both.withColumn("c", F.explode(F.sequence(F.greatest(F.lit(0), F.col("dx")), F.least(F.lit(size - 1), size - 1 + F.col("dx")))))
-    a = F.element_at("pa", F.col("r") * size + F.col("c") + 1)
-    b = F.element_at("pb", (F.col("r") - F.col("dy")) * size + F.col("c") - F.col("dx") + 1)
+    a = F.get("pa", F.col("r") * size + F.col("c"))
+    b = F.get("pb", (F.col("r") - F.col("dy")) * size + F.col("c") - F.col("dx"))
     return both.withColumn("a", a.cast("double")).withColumn("b", b.cast("double")).drop("pa", "pb")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import queries_geometry, queries_pixels
+from tessera import queries_features, queries_geometry, queries_pixels
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -37,7 +37,7 @@ def overlap_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grey = pixels_shared(spark, sf_dir).withColumn("a", F.floor(F.col("a") * 4).cast("int")).withColumn("b", F.floor(F.col("b") * 4).cast("int"))
+    grey = pixels_shared(spark, sf_dir).withColumn("a", F.floor((F.col("a") + 1) * 127.5).cast("int")).withColumn("b", F.floor((F.col("b") + 1) * 127.5).cast("int"))
     return metrics.nmi(grey, ["i", "j", "direction"]).withColumn("nmi", F.round("nmi", 6) + 0.0)
 
 
@@ -94,7 +94,7 @@ def affine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def natural_sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    runs = F.transform(natural_key(F.col("url")), lambda x: F.concat_ws(":", x["t"], x["n"].cast("string")))
+    runs = F.transform(natural_key(F.col("url")), lambda x: F.concat_ws(":", x["t"], F.when(x["has"] == 1, x["digits"]).otherwise("-1")))
     return pages.select("page_id", F.array_join(runs, "|").alias("key"))
 
 
@@ -149,7 +149,7 @@ SELECT {KEYS}, round(CASE WHEN ma <> 0 AND mb <> 0 AND (x * x + y * y) * (vx + v
 """
 SQL["overlap_nmi"] = f"""
 WITH {TILES}, {PAIRS}, {SHARED},
-g AS (SELECT {KEYS}, floor(a * 4)::INT AS a, floor(b * 4)::INT AS b FROM px),
+g AS (SELECT {KEYS}, floor((a + 1) * 127.5)::INT AS a, floor((b + 1) * 127.5)::INT AS b FROM px),
 h AS (
   SELECT {KEYS}, 'ab' AS what, count(*) AS n FROM g GROUP BY {KEYS}, a, b UNION ALL
   SELECT {KEYS}, 'a', count(*) FROM g GROUP BY {KEYS}, a UNION ALL SELECT {KEYS}, 'b', count(*) FROM g GROUP BY {KEYS}, b),
@@ -265,6 +265,6 @@ SELECT tile_id, r, c, round(xx * yy - xy * xy - 0.04::DOUBLE * (xx + yy) ** 2, 6
   round(hxx * hyy - (0.9::DOUBLE * hxy) ** 2, 6) + 0.0 AS hessian, round(greatest({side('1')}, {side('-1')}), 6) + 0.0 AS fast FROM l
 """
 
-for part in (queries_pixels, queries_geometry):
+for part in (queries_pixels, queries_geometry, queries_features):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
