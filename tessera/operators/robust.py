@@ -30,9 +30,9 @@ def least_squares_shift(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gathered(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, s): the shifts (m, dx, dy) of each group, sorted."""
+    """(keys, __s): the shifts (m, dx, dy) of each group, sorted."""
     some = shifts(matches).where("dx is not null and dy is not null")
-    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")))).alias("s"))
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")))).alias("__s"))
 
 
 def squared(s: Column, hx: Column, hy: Column) -> Column:
@@ -44,15 +44,15 @@ def mean(values: Column, of: Callable[[Column], Column]) -> Column:
 
 
 def refit(groups: DataFrame, keys: list[str], inlier: Callable[[Column, Column, Column], Column], least: int) -> DataFrame:
-    """Shift refitted from the inliers of the best hypothesis b (hx, hy): tx, ty, counts, status and the inliers' error (root of the mean squared residual)."""
-    inside = F.filter("s", lambda x: inlier(x, F.col("b.hx"), F.col("b.hy")))
-    out = groups.withColumn("i", F.when(F.col("b").isNull(), F.slice("s", F.lit(1), F.lit(0))).otherwise(inside))
-    out = out.withColumn("tx", mean(F.col("i"), lambda x: x["dx"])).withColumn("ty", mean(F.col("i"), lambda x: x["dy"]))
-    status = F.when(F.size("s") < least, FEW_MATCHES).when(F.size("i") < 1, FEW_INLIERS).otherwise(FITTED)
-    out = out.withColumn("status", status).withColumn("error", F.sqrt(mean(F.col("i"), lambda x: squared(x, F.col("tx"), F.col("ty")))))
+    """Shift refitted from the inliers of the best hypothesis __b (hx, hy): tx, ty, counts, status and the inliers' error (root of the mean squared residual)."""
+    inside = F.filter("__s", lambda x: inlier(x, F.col("__b.hx"), F.col("__b.hy")))
+    out = groups.withColumn("__i", F.when(F.col("__b").isNull(), F.slice("__s", F.lit(1), F.lit(0))).otherwise(inside))
+    out = out.withColumn("tx", mean(F.col("__i"), lambda x: x["dx"])).withColumn("ty", mean(F.col("__i"), lambda x: x["dy"]))
+    status = F.when(F.size("__s") < least, FEW_MATCHES).when(F.size("__i") < 1, FEW_INLIERS).otherwise(FITTED)
+    out = out.withColumn("status", status).withColumn("error", F.sqrt(mean(F.col("__i"), lambda x: squared(x, F.col("tx"), F.col("ty")))))
     ok = lambda c: F.when(F.col("status") == FITTED, F.col(c)).alias(c)
-    n = F.when(F.col("status") == FITTED, F.size("i")).otherwise(0).cast("bigint").alias("n_inlier")
-    return out.select(*keys, ok("tx"), ok("ty"), F.size("s").cast("bigint").alias("n_match"), n, "status", ok("error"))
+    n = F.when(F.col("status") == FITTED, F.size("__i")).otherwise(0).cast("bigint").alias("n_inlier")
+    return out.select(*keys, ok("tx"), ok("ty"), F.size("__s").cast("bigint").alias("n_match"), n, "status", ok("error"))
 
 
 def msac_shift(matches: DataFrame, keys: list[str], *, max_distance: float = 1.5, least: int = 1) -> DataFrame:
@@ -60,9 +60,9 @@ def msac_shift(matches: DataFrame, keys: list[str], *, max_distance: float = 1.5
     if max_distance <= 0 or least < 1:
         raise ValueError("max_distance and least must be positive")
     cap = F.lit(float(max_distance) ** 2)
-    cost = lambda h: F.aggregate("s", F.lit(0.0), lambda t, x: t + F.least(squared(x, h["dx"], h["dy"]), cap))
-    tried = F.transform("s", lambda h: F.struct(F.round(cost(h), 9).alias("cost"), h["m"].alias("m"), h["dx"].alias("hx"), h["dy"].alias("hy")))
-    best = gathered(matches, keys).withColumn("b", F.array_min(tried))
+    cost = lambda h: F.aggregate("__s", F.lit(0.0), lambda t, x: t + F.least(squared(x, h["dx"], h["dy"]), cap))
+    tried = F.transform("__s", lambda h: F.struct(F.round(cost(h), 9).alias("cost"), h["m"].alias("m"), h["dx"].alias("hx"), h["dy"].alias("hy")))
+    best = gathered(matches, keys).withColumn("__b", F.array_min(tried))
     return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) <= cap, least)
 
 
@@ -73,8 +73,8 @@ def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0,
     valid: a condition on a hypothesis (m1, m2, hx, hy), for maps that can't be."""
     if threshold <= 0 or least < 2 or trials < 1:
         raise ValueError("threshold, trials must be positive and least 2 or more")
-    n = F.size("s")
-    at = lambda i: F.get("s", i)
+    n = F.size("__s")
+    at = lambda i: F.get("__s", i)
     both = lambda a, b: F.struct(a["m"].alias("m1"), b["m"].alias("m2"), ((a["dx"] + b["dx"]) / 2).alias("hx"), ((a["dy"] + b["dy"]) / 2).alias("hy"))
     every = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: both(at(i), at(j)))))
 
@@ -84,10 +84,10 @@ def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0,
         return both(at(F.least(i, j)), at(F.greatest(i, j)))
 
     some = F.transform(F.sequence(F.lit(1), F.lit(trials)), picked)
-    pairs = F.when(n < 2, F.slice(F.transform("s", lambda x: both(x, x)), F.lit(1), F.lit(0))).when(n * (n - 1) / 2 <= trials, every).otherwise(some)
-    groups = gathered(matches, keys).withColumn("h", pairs)
+    pairs = F.when(n < 2, F.slice(F.transform("__s", lambda x: both(x, x)), F.lit(1), F.lit(0))).when(n * (n - 1) / 2 <= trials, every).otherwise(some)
+    groups = gathered(matches, keys).withColumn("__h", pairs)
     if valid is not None:
-        groups = groups.withColumn("h", F.filter("h", valid))
+        groups = groups.withColumn("__h", F.filter("__h", valid))
     most = F.lit(float(threshold) ** 2)
 
     def score(h: Column) -> Column:
@@ -95,10 +95,10 @@ def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0,
             r = squared(x, h["hx"], h["hy"])
             return F.struct((t["n"] - F.when(r < most, 1).otherwise(0)).alias("n"), (t["ssr"] + F.when(r < most, r).otherwise(0.0)).alias("ssr"))
 
-        total = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ssr")), vote)
+        total = F.aggregate("__s", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ssr")), vote)
         return F.struct(total["n"].alias("n"), F.round(total["ssr"], 9).alias("ssr"), h["m1"].alias("m1"), h["m2"].alias("m2"), h["hx"].alias("hx"), h["hy"].alias("hy"))
 
-    best = groups.withColumn("b", F.array_min(F.transform("h", score)))
+    best = groups.withColumn("__b", F.array_min(F.transform("__h", score)))
     return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) < most, least)
 
 

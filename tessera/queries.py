@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import queries_features, queries_geometry, queries_pixels
+from tessera import queries_features, queries_geometry, queries_pixels, queries_register, queries_warp
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -265,6 +265,7 @@ SELECT tile_id, r, c, round(xx * yy - xy * xy - 0.04::DOUBLE * (xx + yy) ** 2, 6
   round(hxx * hyy - (0.9::DOUBLE * hxy) ** 2, 6) + 0.0 AS hessian, round(greatest({side('1')}, {side('-1')}), 6) + 0.0 AS fast FROM l
 """
 
-for part in (queries_pixels, queries_geometry, queries_features):
+queries_register.add_sql(SQL)
+for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
