@@ -25,7 +25,7 @@ def test_query_against_sql(spark, name):
 
     def rows(df):
         df = df[columns].astype(object)
-        return sorted(map(repr, df.where(df.notna(), None).itertuples(index=False, name=None)))
+        return sorted("|".join(map(str, x)) for x in df.where(df.notna(), None).itertuples(index=False, name=None))
 
     assert [x for x in zip(rows(mine), rows(want), strict=True) if x[0] != x[1]] == []
 
