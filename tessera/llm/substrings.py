@@ -6,17 +6,16 @@ run are unique and go no further. For each shard, a suffix automaton of the refe
 is built where the shard lies and the runs are streamed through it: the matching statistic of a word is the length of the
 longest suffix that occurs twice or more, and a window that it spans is a repeat. Each word under such a window goes.
 
-Equal runs are joined within a batch before they are shuffled. A shard of more than `hot_runs` runs is split by run over many
-tasks, and its windows are counted one by one by hash, in a shuffle of their own with partial counts. So are those of a shard
-whose reference outgrows `most_words`: an automaton takes hundreds of bytes a word (an estimate, not measured).
+The reference goes to its shard without the places where it occurs, equal runs joined within a batch; the places meet what was found
+in a join on the run, whose hot keys Spark splits. A shard of more than `hot_runs` runs is split by the leading bits of its windows' hashes,
+8 bits for each factor of 256 above that, and takes windows one by one: equal windows still meet, and each part has an automaton of its own.
 
 Nulls, ties and odd rows: a null or empty text has no words and loses none; every occurrence of a repeat goes, the first
-too; repeated rows repeat each other; rows are told apart by id and text; other columns are never read.
+too; repeated rows repeat each other; rows are told apart by id and text; other columns are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
+#: How often a shard can be split by 256: up to hot_runs * 256**3 runs a shard, parts hold about hot_runs windows.
+LEVELS = 3
+
 
 class Automaton:
     """Suffix automaton of several weighted sequences."""
@@ -121,7 +123,7 @@ def repeats(sequences: list[tuple[list[int], int]], window: int) -> list[list[tu
     return out
 
 
-def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k: int, most_words: int, hot_runs: int) -> DataFrame:
+def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k: int, hot_runs: int) -> DataFrame:
     """(id, text_key, spans): runs of words under repeated windows, for the rows that have any."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -137,105 +139,95 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
                 weight.append(1 + np.isin(low, repeated_grams(h, k)))
         return {"shard": pa.array(np.concatenate(shard).view(np.int64)), "weight": pa.array(np.concatenate(weight))}
 
-    shared = C.map_batches(keyed.select("text"), shards, "shard bigint, weight bigint").groupBy("shard").agg(F.sum("weight").alias("n")).where("n > 1")
-    shared = C.materialise(shared, "substring-shards")
-    hot = C.Shared(spark, C.Bitmap(shared.where(F.col("n") > hot_runs), "shard"))
-    shared = C.Shared(spark, C.Bitmap(shared, "shard"))
-
-    def emit(batch: pa.RecordBatch) -> dict:
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at: dict[tuple[int, int], list] = {}
-        for i, text in enumerate(C.text_bytes(batch.column(2))):
-            h = C.word_hashes(text.split())
-            starts, sizes, low = runs(h, window, k)
-            if not len(low):
-                continue
-            tokens = h.astype(np.uint32)
-            for j in np.flatnonzero(shared.value.holds(low)).tolist():
-                s, n = int(starts[j]), int(sizes[j])
-                body = tokens[s : s + n + window - 1].tobytes()
-                at.setdefault((int(low[j]), xxhash.xxh3_64_intdigest(body)), [body, []])[1].append({"id": ids[i], "text_key": keys[i], "start": s})
-        shard = np.fromiter((x for x, _ in at), np.uint64, len(at))
-        run = np.fromiter((x for _, x in at), np.uint64, len(at))
+    counted = C.map_batches(keyed.select("text"), shards, "shard bigint, weight bigint").groupBy("shard").agg(F.sum("weight").alias("n")).where("n > 1")
+    counted, counted_path = C.materialise_at(counted, "substring-shards")
+    levels = C.Shared(spark, [C.Bitmap(counted.where(F.col("n") > hot_runs * 256**i), "shard") for i in range(LEVELS)])
+    shared = C.Shared(spark, C.Bitmap(counted, "shard"))
+    C.discard(spark, counted_path)
+
+    def pieces(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+        """(shard, hash, first word, words as 64-bit hashes) of the text's runs in shared shards, and of each window in split ones."""
+        h = C.word_hashes(text.split())
+        starts, sizes, low = runs(h, window, k)
+        some = shared.value.holds(low) if len(low) else np.empty(0, bool)
+        starts, sizes, low = starts[some], sizes[some], low[some]
+        if not len(low):
+            return
+        bits = np.sum([level.holds(low) for level in levels.value], axis=0).astype(np.uint64) * np.uint64(8)
+        if bits.any():
+            # windows one by one: each run repeated as often as it has windows
+            times = np.where(bits > 0, sizes, 1)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            starts, sizes, low, bits = np.repeat(starts, times) + nth, np.repeat(np.where(bits > 0, 1, sizes), times), np.repeat(low, times), np.repeat(bits, times)
+            part = C.gram_hashes(h, window)[starts] >> (np.uint64(63) - np.maximum(bits, np.uint64(1)) + np.uint64(1))
+            low = np.where(bits > 0, C.mix(low + (part + np.uint64(1)) * C.MULT), low)
+        for shard, start, n in zip(low.view(np.int64).tolist(), starts.tolist(), sizes.tolist(), strict=True):
+            words = h[start : start + n + window - 1].tobytes()
+            yield shard, xxhash.xxh3_64_intdigest(words), start, words
+
+    def references(batch: pa.RecordBatch) -> dict:
+        held: dict[tuple[int, int], list] = {}
+        for text in C.text_bytes(batch.column(0)):
+            for shard, run, _, words in pieces(text):
+                held.setdefault((shard, run), [words, 0])[1] += 1
         return {
-            "shard": pa.array(shard.view(np.int64)),
-            "run": pa.array(run.view(np.int64)),
-            "words": [x for x, _ in at.values()],
-            "places": [x for _, x in at.values()],
-            "salt": pa.array(np.where(hot.value.holds(shard), 1 + (run >> np.uint64(48)).astype(np.int64), 0).astype(np.int32)),
+            "shard": pa.array([x for x, _ in held], pa.int64()), "run": pa.array(np.fromiter((x for _, x in held), np.uint64, len(held)).view(np.int64)),
+            "words": [x for x, _ in held.values()], "weight": [n for _, n in held.values()],
         }
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"id": [], "text_key": [], "start": [], "n": [], "hash": []}
-        shard, held, places, over, size = None, {}, [], False, 0
+    def places(batch: pa.RecordBatch) -> dict:
+        row, runs_, start = [], [], []
+        for i, text in enumerate(C.text_bytes(batch.column(2))):
+            for _, run, first, _ in pieces(text):
+                row.append(i)
+                runs_.append(run)
+                start.append(first)
+        row = pa.array(row, pa.int64())
+        return {"id": batch.column(0).take(row), "text_key": batch.column(1).take(row), "run": pa.array(np.array(runs_, np.uint64).view(np.int64)), "start": pa.array(start, pa.int64())}
 
-        def put(place: dict, start: int, n: int, whole: int | None) -> None:
-            for key, value in zip(out, (place["id"], place["text_key"], place["start"] + start, n, whole), strict=True):
-                out[key].append(value)
+    spans = "array<struct<first: bigint, n: bigint>>"
+    target = pa.schema([("run", pa.int64()), ("found", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))])
 
-        def one_by_one(words: bytes, where: list[dict]) -> None:
-            for j, x in enumerate(C.gram_hashes(np.frombuffer(words, np.uint32).astype(np.uint64), window).view(np.int64).tolist()):
-                for place in where:
-                    put(place, j, 1, x)
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, out = None, {}, ([], [])
 
         def flush() -> None:
             if held:
-                for found, run in zip(repeats([(np.frombuffer(words, np.uint32).tolist(), weight) for words, weight in held.values()], window), list(held), strict=True):
-                    held[run] = found
-                for run, where in places:
-                    for start, n in held[run]:
-                        for place in where:
-                            put(place, start, n, None)
+                for run, found in zip(held, repeats([(np.frombuffer(words, np.uint64).tolist(), weight) for words, weight in held.values()], window), strict=True):
+                    if found:
+                        out[0].append(run)
+                        out[1].append([{"first": start, "n": n} for start, n in found])
             held.clear()
-            places.clear()
 
         def ready() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-            for x in out.values():
+            rows = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, target, strict=True)], schema=target)
+            for x in out:
                 x.clear()
             return rows
 
         for batch in batches:
-            for x, run, words, where, salt in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for x, run, words, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if x != shard:
                     flush()
-                    shard, over, size = x, salt > 0, 0
-                size += len(words) // 4 * (run not in held) + 4 * len(where)
-                if not over and size > most_words:
-                    over = True
-                    for r, w in places:
-                        one_by_one(held[r][0], w)
-                    held.clear()
-                    places.clear()
-                if over:
-                    one_by_one(words, where)
-                else:
-                    held[run] = (words, held[run][1] + len(where) if run in held else len(where))
-                    places.append((run, where))
-                if len(out["id"]) > 20_000:
+                    shard = x
+                held[run] = (words, held[run][1] + weight if run in held else weight)
+                if len(out[0]) > 20_000:
                     yield ready()
         flush()
         yield ready()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    sent = C.map_batches(keyed.select("text"), references, "shard bigint, run bigint, words binary, weight bigint").repartition("shard").sortWithinPartitions("shard", "run")
+    found = C.materialise(sent.mapInArrow(resolve, f"run bigint, found {spans}"), "substrings")
+    # a window of a split shard may be resolved in one part only, so a run has one row
+    where = C.map_batches(keyed, places, f"id {kind}, text_key bigint, run bigint, start bigint")
+    hits = where.join(found, "run").select("id", "text_key", F.transform("found", lambda x: F.struct((F.col("start") + x["first"]).alias("start"), (F.col("start") + x["first"] + x["n"] + window - 1).alias("end"))).alias("spans"))
+    return hits.groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-    schema = f"id {kind}, text_key bigint, start bigint, n bigint, hash bigint"
-    target = to_arrow_schema(_parse_datatype_string(schema))
-    place = f"array<struct<id: {kind}, text_key: bigint, start: bigint>>"
-    emitted = C.map_batches(keyed, emit, f"shard bigint, run bigint, words binary, places {place}, salt int")
-    found = emitted.repartition("shard", "salt").sortWithinPartitions("shard", "run").mapInArrow(resolve, schema)
-    found = C.materialise(found, "substrings")
-    rest = found.where("hash is not null")
-    twice = rest.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
-    spans = found.where("hash is null").unionByName(rest.join(twice, "hash").select(found.columns))
-    return spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1).alias("end"))).alias("spans"))
 
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, most_words: int = 250_000, hot_runs: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, hot_runs: int = 10_000) -> DataFrame:
     """One row per document: id, n_words, n_removed and kept (the words that stay, joined by one space)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, k=k, most_words=most_words, hot_runs=hot_runs)
+    spans = find_repeats(docs, id_col=id_col, text_col=text_col, window=window, k=k, hot_runs=hot_runs)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     both = texts.alias("t").join(spans.alias("s"), F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.text_key") == F.col("s.text_key")), "left").select("t.id", "t.text", "s.spans")
 
@@ -256,6 +248,3 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     return C.map_batches(both, cut, f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
 
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -88,11 +88,12 @@ def test_decontaminate(spark, docs):
         assert got(kept, "doc_id", "text") == sorted(((i, t) for i, t in rows if not brute.contaminated(t, items)[1]), key=repr)
 
 
-@pytest.mark.parametrize(("most_words", "hot_runs"), [(250_000, 10_000), (10, 10_000), (250_000, 2)])
-def test_substrings(docs, most_words, hot_runs):
+@pytest.mark.parametrize(("hot_runs", "levels"), [(10_000, 3), (2, 3), (0.01, 1), (0.001, 3)])
+def test_substrings(docs, monkeypatch, hot_runs, levels):
+    monkeypatch.setattr(substrings, "LEVELS", levels)
     rows = corpus()
     want = sorted(((i, *x) for (i, _), x in zip(rows, brute.repeats_removed([t for _, t in rows]), strict=True)), key=repr)
-    assert got(substrings.remove_repeats(docs, most_words=most_words, hot_runs=hot_runs), "doc_id", "n_words", "n_removed", "kept") == want
+    assert got(substrings.remove_repeats(docs, hot_runs=hot_runs), "doc_id", "n_words", "n_removed", "kept") == want
 
 
 def test_automaton_against_counting():
