@@ -3,11 +3,13 @@
 A candidate is a word with a value of 12 or more key characters that holds a digit or symbol, or any value of 6 or more that is
 assigned to a credential's name: `name=value` in one word (quotes allowed, as in JSON; a word with several assignments has a finding
 for each), or with blanks before or after the sign. Its features are its length, character transitions (classes and common letter pairs),
-dictionary coverage, the path it stands in, and the words beside it. The forest is trained from labelled findings: any table of
-that form, or the `findings()` made here by rule from seeded hashes (real keys are not published, so none are copied).
+dictionary coverage, the path it stands in, and the words beside it. The dictionary is the corpus's own: the words that stand in five
+documents or more and in a share of them. The forest is trained from labelled findings: any table of that form, or the `findings()` made here by
+rule from seeded hashes and words of the dictionary (real keys are not published, so none are copied).
 
 Nulls, ties and odd rows: a null or empty text has no findings; each occurrence is a finding with its word's number; a null
-path counts as none; repeated rows are scanned each; other columns are never read.
+path counts as none; repeated rows are scanned each; other columns are never read; an empty table has no findings; texts of any length are scanned
+whole. Words are numbered from 0, white space at the start makes none.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
+
 #: Words by which values are told apart.
 CREDENTIAL = "(?i)(key|token|secret|passw|pwd|credential|auth|bearer)"
 PLACEHOLDER = "(?i)(example|sample|dummy|your|changeme|placeholder|xxxx|redacted|test)"
 REFERENCE = "(?i)^.{0,2}(commit|sha|sha1|sha256|md5|checksum|digest|hash|revision|uuid|id|version|build|isbn|phone|tel)\\W{0,2}$"
 COMMON_PAIRS = " th he in er an re nd on en at ou ed ha to or it is hi es ng as te et of al de se le sa si ar ve ra ld ur ei ch un ie ti io ai eu oi au em nt ue ad os ci qu "
-DICTIONARY = "(the|and|ing|tion|ent|key|user|name|file|path|test|data|main|java|src|com|www|http|html|index|config|value|class|page|home|lib|bin|doc|image|version|service|server|client|project|module|build|release|example|change|your|here|api|token|secret|password)"
+#: Letter runs of a value that the dictionary is asked for, and words of the dictionary that labelled findings are made of at most.
+RUNS, SAMPLE = "[A-Z]?[a-z]{3,}|[A-Z]{4,}", 500
 FEATURES = ("length", "transitions", "digits", "distinct", "common_pairs", "dictionary", "in_path", "odd_place", "credential", "assigned", "placeholder", "reference")
 
 WORD = r"[A-Za-z0-9+/_=.~-]"
@@ -46,7 +51,7 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str | N
     signed = rf"w[i - 1] rlike r'[=:]>?[\x22\x27(]*$' and w[i - 1] rlike r'{ENDS}'"
     apart = rf"i > 0 and ({signed} or w[i] rlike r'{OPENS}' and w[i - 1] rlike r'{CREDENTIAL}') or i > 1 and w[i - 1] rlike r'{SIGN}' and w[i - 2] rlike r'{CREDENTIAL}'"
     test = f"i -> length(w[i]) >= 6 and ((length(w[i]) >= 12 and {key}) or ({joined}) or ({apart}))"
-    taken = "i -> struct(i as word_no, w[i] as word, get(w, i - 1) as before, get(w, i - 2) as before2, get(w, i + 1) as after)"
+    taken = "i -> struct(i - if(w[0] = '', 1, 0) as word_no, w[i] as word, get(w, i - 1) as before, get(w, i - 2) as before2, get(w, i + 1) as after)"
     rows = docs.select(F.col(id_col).alias("id"), path.alias("place"), F.array(words).alias("t"))
     # the words are bound once as a lambda's variable; a plain column would be split again for each word
     rows = rows.select("id", "place", F.expr(f"transform(t, w -> transform(filter(sequence(0, size(w) - 1), {test}), {taken}))[0]").alias("x"))
@@ -61,9 +66,25 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str | N
     return rows.withColumn("name", name).withColumn("value", value).where(F.length("value") >= 6).drop("word")
 
 
+def dictionary(docs: DataFrame, *, text_col: str = "text", least: int = 5, share: float = 2e-5) -> DataFrame:
+    """(word): runs of four letters or more, lower-cased, that stand in at least `least` documents and in this share of all."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    return counted.where(F.col("n") >= least).crossJoin(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("word")
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds covered: how many characters of the value are words of the dictionary. Distinct values meet it, not rows."""
+    runs = F.transform(F.regexp_extract_all("value", F.lit(RUNS), F.lit(0)), F.lower)
+    parts = found.select("value").distinct().select("value", F.explode(runs).alias("word"))
+    sums = parts.join(words, "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    return found.join(sums, "value", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
 def measured(found: DataFrame) -> DataFrame:
-    """Adds the FEATURES."""
-    v, low = F.col("value"), F.lower("value")
+    """Adds the FEATURES to rows that covered() has seen."""
+    v = F.col("value")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "-")
     n = F.length(v)
     near = F.concat_ws(" ", F.when(F.col("before").rlike(SIGN), F.concat_ws(" ", "before2")).otherwise(F.col("before")), "name")
@@ -77,7 +98,7 @@ def measured(found: DataFrame) -> DataFrame:
         share(F.length(F.regexp_replace(v, "[^0-9]", ""))).alias("digits"),
         share(F.size(F.array_distinct(F.split(v, "")))).alias("distinct"),
         share(pairs).alias("common_pairs"),
-        share(n - F.length(F.regexp_replace(low, DICTIONARY, ""))).alias("dictionary"),
+        share(F.col("covered")).alias("dictionary"),
         yes(v.rlike(r"(^[~.]?/|://|/.*/|\.[a-z]{2,4}$)")).alias("in_path"),
         yes(F.col("place").rlike("(?i)(test|example|sample|mock|fixture|docs?/|lock)")).alias("odd_place"),
         yes(near.rlike(CREDENTIAL)).alias("credential"),
@@ -87,12 +108,14 @@ def measured(found: DataFrame) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Labelled findings by rule: keys and short passwords beside credential words; commits, paths, numbers, placeholders and words, also beside such."""
+def findings(spark: SparkSession, rows: int = 4000, words: list[str] | None = None) -> DataFrame:
+    """Labelled findings by rule: keys and short passwords beside credential words; commits, paths, numbers, placeholders and words, also beside such. words:
+    some of the dictionary, of which paths and names are made; without any, letters in their place."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}-"), F.col("id")), 256)
-    letters = lambda k: F.translate(F.substr(h(k), F.lit(1), F.lit(24)), "0123456789", "thernosial")
     base = F.regexp_replace(F.base64(F.unhex(h(1))), "=+$", "")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(names))) + 1).cast("int"))
+    made_up = lambda k: F.translate(F.substr(h(k), F.lit(1), F.lit(8)), "0123456789", "thernosial")
+    letters = lambda k: pick(words, k + 100) if words else made_up(k)
     word = pick(["the", "of", "is", "and", "with", "see", "from", "for"], 1)
     name = pick(["token", "password", "api_key", "secret", "auth_token", "access_key", "passwd", "client_secret"], 2)
     ref = pick(["commit", "sha256", "md5:", "revision", "uuid", "checksum", "id", "version"], 3)
@@ -111,9 +134,14 @@ def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (0, pick(["your_api_key_here", "xxxxxxxxxxxxxxxx", "example_token_123", "changeme_please_1"], 8), name, F.lit("=")),
         (0, F.concat(letters(10), F.lit("_"), letters(11)), word, none),
         (1, F.concat(F.substr(base, F.lit(1), short), F.substr(F.translate(h(12), "abcdef", "102938"), F.lit(1), F.lit(2))), name, F.lit("=")),
-        (0, F.substr(letters(13), F.lit(1), short + 4), name, F.lit(":")),
-        (0, F.initcap(F.substr(letters(14), F.lit(1), short + 4)), name, F.lit(":")),
+        (0, F.rpad(letters(13), 6, "s"), name, F.lit(":")),
+        (0, F.initcap(F.rpad(letters(14), 6, "e")), name, F.lit(":")),
+        (0, F.concat_ws("-", F.substr(h(15), F.lit(1), F.lit(8)), *(F.substr(h(16), F.lit(1 + 4 * i), F.lit(4)) for i in range(3)), F.substr(h(17), F.lit(1), F.lit(12))), ref, none),
+        (0, F.concat(letters(18), F.initcap(letters(19)), F.initcap(letters(20)), pick(["1", "2", "_v3", "_10"], 21)), word, none),
     )
+    # where labelled findings stand: placeholders mostly in tests and examples, the others anywhere
+    fixtures, sources = ["tests/fixtures/a.json", "docs/example.md", "sample/config.yml", "src/app.py"], ["src/app.py", "conf/live.ini", "web", "deploy/run.sh", "docs/notes.md"]
+    place = F.when(F.col("value").rlike(PLACEHOLDER), pick(fixtures, 22)).otherwise(pick(sources, 23))
     every = spark.range(rows).withColumn("kind", F.pmod("id", F.lit(len(kinds))))
     made = F.array(*(F.struct(F.lit(k[0]).alias("label"), k[1].alias("value"), k[2].alias("near"), k[3].alias("sign")) for k in kinds))
     every = every.withColumn("k", F.element_at(made, (F.col("kind") + 1).cast("int"))).select("id", "k.*")
@@ -121,29 +149,36 @@ def findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return every.select(
         "label", "value", F.when(joined, F.col("near")).otherwise("").alias("name"),
         F.when(joined, word).when(F.col("sign") != "", F.col("sign")).otherwise(F.col("near")).alias("before"),
-        F.when(~joined & (F.col("sign") != ""), F.col("near")).otherwise(word).alias("before2"), word.alias("after"), F.lit(None).cast("string").alias("place"),
+        F.when(~joined & (F.col("sign") != ""), F.col("near")).otherwise(word).alias("before2"), word.alias("after"), place.alias("place"),
     )
 
 
-def train(labelled: DataFrame, *, trees: int = 20, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
+def train(labelled: DataFrame, words: DataFrame, *, trees: int = 20, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings: label (0 or 1) and the columns of candidates(). The table is meant to be a bounded one."""
-    rows = measured(labelled).select(F.col("label").cast("double").alias("label"), *FEATURES).coalesce(2)
+    rows = measured(covered(labelled, words)).select(F.col("label").cast("double").alias("label"), *FEATURES).coalesce(2)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", cacheNodeIds=False).fit(vectors)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """One row per candidate: id, word_no, name, value, score, secret."""
-    forest = train(findings(docs.sparkSession) if labelled is None else labelled)
-    found = measured(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col))
+    words = C.materialise(dictionary(docs, text_col=text_col), "secret-words")
+    if labelled is None:
+        some = words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
+        labelled = findings(docs.sparkSession, words=[r.word for r in some])
+    forest = train(labelled, words)
+    found = measured(covered(C.materialise(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col), "secret-candidates"), words))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     scored = forest.transform(vectors).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     return scored.select(F.col("id").alias(id_col), F.col("word_no").cast("bigint").alias("word_no"), "name", "value", "score", (F.col("score") >= least).alias("secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every value found to be a secret replaced in the texts of its id, the longest first."""
+    """docs with every value found to be a secret replaced in the texts of its id, the longest first, but not where it is part of a longer word."""
     values = findings.where("secret").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("__values"))
-    text = F.aggregate(F.coalesce("__values", F.expr("cast(array() as array<struct<n: int, value: string>>)")), F.col(text_col), lambda t, v: F.replace(t, v["value"], F.lit(mark)))
-    kept = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
-    return docs.join(values, docs[id_col].eqNullSafe(values["__id"]), "left").select(*kept)
+    pattern = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    none = F.expr("cast(array() as array<struct<n: int, value: string>>)")
+    docs_in = docs.select(F.struct(*docs.columns).alias("d"))
+    both = docs_in.join(values, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    text = F.aggregate(F.coalesce("__values", none), F.col(f"d.`{text_col}`"), lambda t, v: F.regexp_replace(t, pattern(v["value"]), F.lit(mark)))
+    return both.select(*((text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

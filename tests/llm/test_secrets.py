@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.llm import secrets
@@ -30,3 +32,31 @@ def test_plain_words_after_a_name_are_left(spark):
     texts = ["author: Johnson", "password: required", "keyword: science", "secret: nobody", "token: string", "the key: understanding", "Authors: Matthews"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [r.value for r in secrets.scan(docs, path_col=None).where("secret").collect()] == []
+
+
+def test_held_out_findings(spark):
+    """Secrets and decoys in contexts that the labelled findings don't hold: other names, other places."""
+    r = random.Random(21)
+    words = ["".join(r.choice("bdklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, secret = [], {}
+    for i in range(400):
+        w = [r.choice(words) for _ in range(40)]
+        kind = i % 8
+        value = [key(32, letters), key(40, "0123456789abcdef"), key(10, letters) + "7", key(40, "0123456789abcdef"), f"{r.choice(words)}_{r.choice(words)}_2", "/" + "/".join(r.sample(words, 3)) + "/x1.html", r.choice(words).title(), key(24, letters) + "9"][kind]
+        w[20:20] = [[f"svc_token={value}"], ["dbSecret:", value], [f"login_pwd={value}"], ["commit", value], ["see", value], ["at", value], ["password:", value], [f"bearer={value}"]][kind]
+        rows.append((i, "  " + " ".join(w), "notes"))
+        secret[i, value] = kind in (0, 1, 2, 7)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    said = {(x.doc_id, x.value): (x.secret, x.word_no) for x in secrets.scan(docs).collect()}
+    hit = [k for k, yes in secret.items() if yes and said.get(k, (False,))[0]]
+    wrong = [k for k, yes in secret.items() if not yes and said.get(k, (False,))[0]]
+    assert len(hit) >= 0.9 * sum(secret.values()) and len(wrong) <= 0.1 * len(hit)
+    assert all(said[k][1] in (20, 21) for k in hit)
+
+
+def test_a_value_inside_a_longer_word_stays(spark):
+    docs = spark.createDataFrame([(1, "password=Zx81qp and aZx81qpb Zx81qp.", 1, 2)], "doc_id bigint, text string, __id int, __values int")
+    found = spark.createDataFrame([(1, "Zx81qp", True)], "doc_id bigint, value string, secret boolean")
+    assert secrets.redact(docs, found).collect() == [(1, "password=[SECRET] and aZx81qpb [SECRET].", 1, 2)]
