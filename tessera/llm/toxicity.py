@@ -2,12 +2,13 @@
 
 Logistic regression on the presence of hashed words and word beginnings. In labelled texts identity terms are swapped for
 other terms of their kind, and the squared change of the logit is penalised, so a neutral mention of a group carries no weight.
-The classifier is fitted on at most `most_rows` labelled rows (by hash of the id, so the choice is stable) that are not
-held out; its weights are 2**18 numbers, whatever the input.
+The classifier is fitted on at most about `most_rows` labelled rows of about `most_bytes` of text (by hash of the id, so the choice is stable; each text
+whole) that are not held out; its weights are 2**18 numbers, whatever the input.
 
 Nulls, ties and odd rows: a null or empty text is scored by the bias alone; labels repeated for one id count once, as toxic if any
 says so; null labels are none; without both classes in the labels every score is the share of toxic ones (0 without any);
-rows of one id are each scored by their own text; other columns are never read.
+rows of one id are each scored by their own text; a null id is not held out and has no label; other columns are never read; texts of any length
+are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,15 +112,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.nd
 
 
 def held_out(id_col: str) -> F.Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
+    """Whether the id is kept for testing; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_rows: int, penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_rows: int, most_bytes: int, penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("__label"))
-    there = C.count_rows(known)
-    if there > most_rows:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / there))
-    texts = docs.join(C.if_small(known, 2 * most_rows), docs[id_col] == known["__id"]).select(F.col(text_col).alias("text"), "__label")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    known = C.if_small(known, 2 * most_rows)
+    there, size = texts.select("__id", F.octet_length("text").alias("size")).join(known, "__id").agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if there > most_rows or size > most_bytes:
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * min(most_rows / there, most_bytes / size)))
+    texts = texts.join(known, "__id").select("text", "__label")
 
     def rows(batch: pa.RecordBatch) -> dict:
         features, out = Features(), {"cells": [], "swapped": [], "label": batch.column(1)}
@@ -138,9 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     return fit(cells, np.array([y for _, _, y in got], np.float64), swaps, penalty=penalty, ridge=ridge, steps=steps)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 10_000, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 120) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 10_000, most_bytes: int = 64 << 20, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 120) -> DataFrame:
     """One row per document: id, score (0 to 1)."""
-    weights, bias = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows, penalty=penalty, ridge=ridge, steps=steps)
+    weights, bias = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows, most_bytes=most_bytes, penalty=penalty, ridge=ridge, steps=steps)
     model = C.Shared(docs.sparkSession, (weights, bias, Features()))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -149,4 +153,4 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         z = [bias + float(weights[features.text(set((t or b"").translate(C.LOWER).split()))].sum(dtype=np.float64)) for t in C.text_bytes(batch.column(1))]
         return {"id": batch.column(0), "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
 
-    return C.map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return C.map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, f"id {kind}, score double", at_once=1000).withColumnRenamed("id", id_col)
