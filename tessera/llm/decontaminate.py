@@ -8,7 +8,8 @@ Benchmarks are taken in blocks of bounded bytes, each broadcast and held against
 
 Nulls, ties and odd rows: a null or empty text has no words (n_words 0, no hits); a null item text is no item; items
 of equal text all count; a null item id marks words but is never listed; repeated item ids are listed once;
-documents are never merged, each row is judged alone; other columns of both tables are ignored.
+documents are never merged, each row is judged alone; other columns of both tables are ignored; an empty table gives no rows, an empty
+benchmark no hits; texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -146,13 +147,13 @@ def decontaminate(
     spark = docs.sparkSession
     items, blocks = blocked(benchmark, item_col, item_text_col, block_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<struct<start: bigint, end: bigint>>"
-    parts = []
+    schema = f"id {kind}, text_key bigint, n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<struct<start: bigint, end: bigint>>"
+    parts, keyed = [], docs.select(id_col, text_col, F.xxhash64(text_col))
     for b in range(blocks):
         index = C.Shared(spark, Index(block_of(items, blocks, b), window, k))
 
         def rows(batch: pa.RecordBatch, index=index) -> dict:
-            out: dict = {"id": batch.column(0), "n_words": [], "n_hit": [], "item_ids": [], "hit_spans": []}
+            out: dict = {"id": batch.column(0), "text_key": batch.column(2), "n_words": [], "n_hit": [], "item_ids": [], "hit_spans": []}
             for text in C.text_bytes(batch.column(1)):
                 h = C.word_hashes((text or b"").translate(C.ALNUM).split())
                 spans, found = index.value.hits(h)
@@ -168,25 +169,24 @@ def decontaminate(
                 out["hit_spans"].append([{"start": s, "end": e} for s, e in merged])
             return out
 
-        part = C.map_batches(docs.select(id_col, text_col), rows, schema)
+        part = C.map_batches(keyed, rows, schema)
         if blocks > 1:
             part = C.materialise(part.withColumn("row", F.lit(b)), "decontaminate")
             index.unpersist()
         parts.append(part)
     if blocks == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    return merge_blocks(parts, kind).withColumnRenamed("id", id_col)
+        return parts[0].drop("text_key").withColumnRenamed("id", id_col)
+    return merge_blocks(parts).withColumnRenamed("id", id_col)
 
 
-def merge_blocks(parts: list[DataFrame], kind: str) -> DataFrame:
-    """One row per document of what each block of items found. Documents with equal ids are told apart by their rows' order."""
+def merge_blocks(parts: list[DataFrame]) -> DataFrame:
+    """One row per document of what each block of items found. Rows of one id are told apart by their texts; rows of one text are alike in every block."""
     from pyspark.sql import Window
 
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    # rows of one id and block are numbered by what is the same in each block
-    every = every.withColumn("nth", F.row_number().over(Window.partitionBy("id", "row").orderBy("n_words")))
+    every = every.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text_key", "row").orderBy("n_words")))
 
     def union(spans: F.Column) -> F.Column:
         return F.aggregate(
@@ -195,5 +195,5 @@ def merge_blocks(parts: list[DataFrame], kind: str) -> DataFrame:
             lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
         )
 
-    merged = every.groupBy("id", "nth").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), union(F.collect_list("hit_spans")).alias("hit_spans"))
+    merged = every.groupBy("id", "text_key", "nth").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), union(F.collect_list("hit_spans")).alias("hit_spans"))
     return merged.select("id", "n_words", F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), "item_ids", "hit_spans")
