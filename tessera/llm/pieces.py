@@ -8,7 +8,8 @@ than the model means; there each step merges, in all words at once, the adjacent
 Characters without a piece become byte pieces, or the unknown id where a model has none.
 
 Nulls and odd rows: a null text has null ids, an empty text none; words of any length are whole words; decoding is exact
-but for ▁ itself, which SentencePiece reads as a space; repeated rows are encoded alike.
+but for ▁ itself, which SentencePiece reads as a space; repeated rows are encoded alike; of ways of equal score within a word
+the one whose last piece starts first is taken, as are the leftmost of equal merges; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
