@@ -120,7 +120,9 @@ def detector_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keypoints(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return detect.detect(tiles(spark, sf_dir), SIZE, SIZE, method)
+        out = detect.detect(tiles(spark, sf_dir), SIZE, SIZE, method)
+        corner = {n: F.round(F.get("descriptor", F.lit(i)), 6) + 0.0 for n, i in (("d_first", 0), ("d_centre", 24), ("d_last", 48))}
+        return out.withColumn("score", F.col("score") + 0.0).withColumns(corner).drop("descriptor")
 
     return run
 
@@ -255,16 +257,25 @@ along = lambda formula, v: formula.replace("v[", f"{v}[")
 at = lambda v: f"{v}[r * 8 + c + 1]"
 ring = ", ".join(f"px[least(greatest(r + {y}, 0), 7) * 8 + least(greatest(c + {x}, 0), 7) + 1] - {at('px')}" for x, y in detect.RING)
 side = lambda sign: f"CASE WHEN len(list_filter(range(16), lambda i: len(list_filter(range(9), lambda k: {sign} * d[(i + k) % 16 + 1] > 0.1)) = 9)) > 0 THEN coalesce(list_sum(list_transform(list_filter(d, lambda z: {sign} * z > 0.1), lambda z: abs(z) - 0.1::DOUBLE)), 0) ELSE 0 END"
-SQL["detector_responses"] = f"""
+RESPONSES = f"""
 WITH {TILES},
 {grown('s1', 't', 'gx', along(GRAD_X, 'px'))}, {grown('s2', 's1', 'gy', along(GRAD_Y, 'px'))}, {grown('s3', 's2', 'sm', box('px') + ' / 9')},
 {grown('s4', 's3', 'sx', along(GRAD_X, 'sm'))}, {grown('s5', 's4', 'sy', along(GRAD_Y, 'sm'))},
 l AS (SELECT tile_id, r::INT AS r, c::INT AS c, {box('list_transform(gx, lambda z: z * z)')} AS xx, {box('list_transform(gy, lambda z: z * z)')} AS yy, {box('list_transform(list_zip(gx, gy), lambda z: z[1] * z[2])')} AS xy,
-  {along(GRAD_X, 'sx')} AS hxx, {along(GRAD_Y, 'sy')} AS hyy, {along(GRAD_X, 'sy')} AS hxy, [{ring}] AS d FROM s5, range(8) a(r), range(8) b(c))
-SELECT tile_id, r, c, round(xx * yy - xy * xy - 0.04::DOUBLE * (xx + yy) ** 2, 6) + 0.0 AS harris, round((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy), 6) + 0.0 AS min_eigen,
-  round(hxx * hyy - (0.9::DOUBLE * hxy) ** 2, 6) + 0.0 AS hessian, round(greatest({side('1')}, {side('-1')}), 6) + 0.0 AS fast FROM l
+  {along(GRAD_X, 'sx')} AS hxx, {along(GRAD_Y, 'sy')} AS hyy, {along(GRAD_X, 'sy')} AS hxy, [{ring}] AS d FROM s5, range(8) a(r), range(8) b(c)),
+rs AS (SELECT tile_id, r, c, xx * yy - xy * xy - 0.04::DOUBLE * (xx + yy) ** 2 AS harris, (xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS min_eigen,
+  hxx * hyy - (0.9::DOUBLE * hxy) ** 2 AS hessian, greatest({side('1')}, {side('-1')}) AS fast FROM l)
 """
-
+SQL["detector_responses"] = RESPONSES + "SELECT tile_id, r, c, round(harris, 6) + 0.0 AS harris, round(min_eigen, 6) + 0.0 AS min_eigen, round(hessian, 6) + 0.0 AS hessian, round(fast, 6) + 0.0 AS fast FROM rs"
+# points are taken best first, each unless one within a pixel stands already: a fold over the tile's sorted points
+for m in ("harris", "min_eigen", "hessian", "fast"):
+    SQL[f"keypoints_{m}"] = RESPONSES + f""",
+pt AS (SELECT tile_id, list([{{'x': c, 'y': r, 's': {m}}}] ORDER BY {m} DESC, r, c) AS pts FROM rs WHERE {m} > 0 GROUP BY tile_id),
+kp AS (SELECT tile_id, list_reduce(pts, lambda acc, q: CASE WHEN len(list_filter(acc, lambda z: abs(z.x - q[1].x) <= 1 AND abs(z.y - q[1].y) <= 1)) > 0 THEN acc ELSE acc || q END) AS kept FROM pt),
+k AS (SELECT tile_id, n::INT AS kp_id, kept[n + 1].x AS x, kept[n + 1].y AS y, kept[n + 1].s AS s FROM (SELECT tile_id, kept, unnest(range(len(kept))) AS n FROM kp)),
+w AS (SELECT k.*, list_transform(range(49), lambda i: px[least(greatest(y + i // 7 - 3, 0), 7) * 8 + least(greatest(x + i % 7 - 3, 0), 7) + 1]) AS v FROM k JOIN t USING (tile_id)),
+u AS (SELECT *, list_transform(v, lambda z: z - list_avg(v)) AS d FROM w), f AS (SELECT *, sqrt(list_inner_product(d, d)) AS len FROM u)
+SELECT tile_id, kp_id, x::DOUBLE AS x, y::DOUBLE AS y, round(s, 6) + 0.0 AS score, round(d[1] / len, 6) + 0.0 AS d_first, round(d[25] / len, 6) + 0.0 AS d_centre, round(d[49] / len, 6) + 0.0 AS d_last FROM f"""
 queries_register.add_sql(SQL)
 for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register):
     QUERIES |= part.QUERIES
