@@ -1,4 +1,7 @@
-"""Measures of two overlapping regions, as aggregates of rows with values a and b. Failures are NULL or the stated value, never NaN."""
+"""Measures of two overlapping regions, as aggregates of rows with values a and b.
+
+Nulls and ties: failures are NULL or the stated value, never NaN; rows with a null value count in no measure of it; an empty region has no row; repeated rows count each.
+"""
 
 from __future__ import annotations
 
@@ -15,14 +18,22 @@ def ncc() -> Column:
     return F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(-1.0))
 
 
-def global_ssim(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ssim) without constants, each region divided by its own maximum, sample moments."""
-    top = rows.groupBy(*keys).agg(F.max("a").alias("ma"), F.max("b").alias("mb"), F.avg("a").alias("ua"), F.avg("b").alias("ub"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab"))
+def ssim_moments() -> list[Column]:
+    """The aggregates of rows with values a and b that ssim_of() needs."""
+    return [F.max("a").alias("ma"), F.max("b").alias("mb"), F.avg("a").alias("ua"), F.avg("b").alias("ub"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab")]
+
+
+def ssim_of() -> Column:
+    """Similarity without constants, each region divided by its own maximum, sample moments; null where it is undefined."""
     part = lambda x, y: F.try_divide(F.col(x), y)
     a, b = part("ua", F.col("ma")), part("ub", F.col("mb"))
     va, vb, cab = part("va", F.col("ma") ** 2), part("vb", F.col("mb") ** 2), part("cab", F.col("ma") * F.col("mb"))
-    whole = (a * a + b * b) * (va + vb)
-    return top.select(*keys, F.try_divide(4 * a * b * cab, whole).alias("ssim"))
+    return F.try_divide(4 * a * b * cab, (a * a + b * b) * (va + vb))
+
+
+def global_ssim(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ssim)"""
+    return rows.groupBy(*keys).agg(*ssim_moments()).select(*keys, ssim_of().alias("ssim"))
 
 
 def nmi(rows: DataFrame, keys: list[str]) -> DataFrame:

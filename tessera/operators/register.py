@@ -54,15 +54,17 @@ def by_features(tiles: DataFrame, height: int, width: int, method: str, overlap:
     return out.select(*KEYS, "tx", "ty", *(v.alias(c) for c, v in zero.items()), F.coalesce("status", F.lit(robust.FEW_MATCHES)).alias("status"), "error")
 
 
-def overlap_measures(tiles: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
-    """(keys, rmse, ssim) of the pixels that the tiles of each pair share under its shift (tx, ty), rounded to whole pixels."""
-    both = neighbours(tiles).join(shifts.where("tx is not null").select(*KEYS, F.round("tx").cast("int").alias("dx"), F.round("ty").cast("int").alias("dy")), KEYS)
-    both = both.where((F.abs("dx") < width) & (F.abs("dy") < height))
-    span = lambda n, d: F.sequence(F.greatest(F.lit(0), F.col(d)), F.least(F.lit(n - 1), n - 1 + F.col(d)))
-    px = both.withColumn("r", F.explode(span(height, "dy"))).withColumn("c", F.explode(span(width, "dx")))
-    px = px.select(*KEYS, F.get("pa", F.col("r") * width + F.col("c")).cast("double").alias("a"), F.get("pb", (F.col("r") - F.col("dy")) * width + F.col("c") - F.col("dx")).cast("double").alias("b"))
-    px = px.where("a is not null and b is not null")
-    return px.groupBy(*KEYS).agg(metrics.rmse().alias("rmse"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").join(metrics.global_ssim(px, KEYS), KEYS)
+def measured(found: DataFrame, tiles: DataFrame, height: int, width: int) -> DataFrame:
+    """Adds rmse and ssim of the pixels that the tiles of each pair share under its shift (tx, ty), rounded to whole pixels; found is read once."""
+    others = [c for c in found.columns if c not in KEYS]
+    both = found.join(neighbours(tiles).select(*KEYS, "pa", "pb"), KEYS).withColumn("dx", F.round("tx").cast("int")).withColumn("dy", F.round("ty").cast("int"))
+    span = lambda n, d: F.when(F.abs(d) < n, F.sequence(F.greatest(F.lit(0), F.col(d)), F.least(F.lit(n - 1), n - 1 + F.col(d))))
+    px = both.withColumn("r", F.explode_outer(span(height, "dy"))).withColumn("c", F.explode_outer(span(width, "dx")))
+    a, b = F.get("pa", F.col("r") * width + F.col("c")).cast("double"), F.get("pb", (F.col("r") - F.col("dy")) * width + F.col("c") - F.col("dx")).cast("double")
+    whole = a.isNotNull() & b.isNotNull()
+    px = px.select(*KEYS, *others, F.when(whole, a).alias("a"), F.when(whole, b).alias("b"))
+    out = px.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in others), metrics.rmse().alias("rmse"), F.count("a").alias("n"), *metrics.ssim_moments())
+    return out.select(*KEYS, *others, F.when(F.col("n") > 1, F.col("rmse")).alias("rmse"), F.when(F.col("n") > 1, metrics.ssim_of()).alias("ssim"))
 
 
 def register(tiles: DataFrame, height: int, width: int, method: str, *, overlap: float | None = 0.25, **how) -> DataFrame:
@@ -75,8 +77,7 @@ def register(tiles: DataFrame, height: int, width: int, method: str, *, overlap:
         found = by_features(tiles, height, width, method, overlap, **how).withColumn("ncc", F.lit(None).cast("double"))
     else:
         raise ValueError(f"unknown method {method!r}; there are phase, ncc, {', '.join(detect.DETECTORS)}")
-    out = found.join(overlap_measures(tiles, found, height, width), KEYS, "left")
-    return out.select(*KEYS, F.lit(method).alias("method"), "tx", "ty", "ncc", *COLUMNS, "status", "error", "rmse", "ssim")
+    return measured(found, tiles, height, width).select(*KEYS, F.lit(method).alias("method"), "tx", "ty", "ncc", *COLUMNS, "status", "error", "rmse", "ssim")
 
 
 def summary(results: DataFrame) -> DataFrame:
