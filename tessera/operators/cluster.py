@@ -22,18 +22,22 @@ def distance() -> Column:
     return F.hypot(F.col("c") - F.col("x"), F.col("r") - F.col("y"))
 
 
-def density_weights(pixels: DataFrame, points: DataFrame, k: int = 5, measured: Column | None = None) -> DataFrame:
-    """(tile_id, r, c, cluster, weight): how dense the cluster's points (tile_id, cluster, kp, x, y) lie around a pixel, (k / n) / (d_k**2 + 1e-30) with the k-th nearest
-    of its n points, as a share of all clusters. measured: a distance to use in place of the straight one. All points of a tile meet its pixels."""
-    some = points.dropna(subset=["cluster", "x", "y"])
-    sizes = some.groupBy("tile_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    near = pixels.select("tile_id", "r", "c").join(some, "tile_id").withColumn("d", distance() if measured is None else measured)
-    kth = rank.kth_nearest(near, ["tile_id", "r", "c", "cluster"], k).join(sizes, ["tile_id", "cluster"])
+def shares(kth: DataFrame, k: int) -> DataFrame:
+    """(tile_id, r, c, cluster, weight) of (tile_id, r, c, cluster, n, nearest): densities as shares of all clusters."""
     kth = kth.withColumn("w", (k / F.col("n")) / (F.col("nearest") * F.col("nearest") + 1e-30))
     total = F.sum("w").over(Window.partitionBy("tile_id", "r", "c"))
     return kth.select("tile_id", "r", "c", "cluster", (F.col("w") / (total + 1e-30)).alias("weight"))
 
 
+def density_weights(pixels: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
+    """(tile_id, r, c, cluster, weight): how dense the cluster's points (tile_id, cluster, kp, x, y) lie around a pixel, (k / n) / (d_k**2 + 1e-30) with the k-th nearest
+    of its n points, as a share of all clusters. All points of a tile meet its pixels."""
+    some = points.dropna(subset=["cluster", "x", "y"])
+    sizes = some.groupBy("tile_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    near = pixels.select("tile_id", "r", "c").join(some, "tile_id").withColumn("d", distance())
+    return shares(rank.kth_nearest(near, ["tile_id", "r", "c", "cluster"], k).join(sizes, ["tile_id", "cluster"]), k)
+
+
 def vote_weights(pixels: DataFrame, points: DataFrame, width: float, k: int = 5) -> DataFrame:
     """The same by votes: each of the k points nearest to a pixel votes for its cluster with exp(-d**2 / width**2)."""
     near = pixels.select("tile_id", "r", "c").join(points.dropna(subset=["cluster", "x", "y"]), "tile_id").withColumn("d", distance())

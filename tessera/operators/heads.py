@@ -7,9 +7,13 @@ Nulls and odd sizes: a cell whose array is null or of another length than 65 has
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import rank
+from tessera.operators.detect import suppress
+
 CELL = 8
 
 
@@ -33,3 +37,22 @@ def sampled_descriptors(points: DataFrame, coarse: DataFrame, width: int, height
     whole = sums.groupBy("tile_id", "kp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("d"))
     length = F.sqrt(F.aggregate("d", F.lit(0.0), lambda t, v: t + v * v))
     return whole.select("tile_id", "kp_id", F.transform("d", lambda v: F.try_divide(v, length)).alias("descriptor"))
+
+
+def suppressed(points: DataFrame, radius: int = 4) -> DataFrame:
+    """(tile_id, kp_id, x, y, score) of points (tile_id, r, c, score): best first, each unless a better one stands within radius in both axes. A tile's points meet
+    in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        spots, score = rows[["c", "r"]].to_numpy(int), rows["score"].to_numpy(float)
+        stay = suppress(spots, score, radius)
+        return pd.DataFrame({"tile_id": rows["tile_id"].iloc[0], "kp_id": range(len(stay)), "x": spots[stay, 0], "y": spots[stay, 1], "score": score[stay]})
+
+    kind = points.schema["tile_id"].dataType.simpleString()
+    return points.dropna(subset=["r", "c", "score"]).select("tile_id", "r", "c", "score").groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, kp_id int, x int, y int, score double")
+
+
+def heat_keypoints(cells: DataFrame, height: int, width: int, *, least: float = 0.015, radius: int = 4, border: int = 4) -> DataFrame:
+    """(tile_id, kp_id, x, y, score): the points of the heat map of cells that are confident, not suppressed and off the border."""
+    points = suppressed(rank.confident(heat_map(cells), least), radius)
+    return points.where(F.col("x").between(border, width - border - 1) & F.col("y").between(border, height - border - 1))

@@ -118,3 +118,28 @@ def wavefront(sources: DataFrame, height: int, width: int, alpha: float = 1.0) -
             })
 
     return sources.select("tile_id", "kp", "row", "column", "walls").mapInPandas(run, "tile_id bigint, kp bigint, r int, c int, dist double")
+
+
+def inverse_field(sources: DataFrame, height: int, width: int) -> DataFrame:
+    """(tile_id, r, c, x, y): the field that undoes another, in an image of height x width.
+
+    The places (x, y) of four neighbouring pixels make two triangles; a pixel of the result that lies in one gets the linear interpolation of its corners. Where triangles
+    overlap, the one of the smaller row, column and number counts; pixels that none covers have no row, and flat triangles cover none."""
+    v = sources.select("tile_id", "r", "c", F.struct("x", "y", (F.col("c") + 0.5).alias("u"), (F.col("r") + 0.5).alias("w")).alias("p"))
+    corner = lambda name, dr, dc: v.select("tile_id", (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.col("p").alias(name))
+    on = ["tile_id", "r", "c"]
+    quads = v.withColumnRenamed("p", "a").join(corner("b", 0, 1), on).join(corner("d", 1, 0), on).join(corner("e", 1, 1), on)
+    halves = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(o).alias("o"), F.col("b").alias("p"), F.col("d").alias("q")) for k, o in ((0, "a"), (1, "e")))))
+    t = quads.select("tile_id", F.struct("r", "c").alias("cell"), halves.alias("t")).select("tile_id", F.struct("cell.r", "cell.c", "t.k").alias("id"), "t.o", "t.p", "t.q")
+    ends = lambda f, most: (F.greatest(F.ceil(F.least(*(F.col(f"{k}.{f}") for k in "opq")) - 0.5), F.lit(0)), F.least(F.floor(F.greatest(*(F.col(f"{k}.{f}") for k in "opq")) - 0.5), F.lit(most - 1)))
+    (x0, x1), (y0, y1) = ends("x", width), ends("y", height)
+    spots = t.withColumn("j", F.explode(F.when(x0 <= x1, F.sequence(x0, x1)))).withColumn("i", F.explode(F.when(y0 <= y1, F.sequence(y0, y1))))
+    g = lambda k, f: F.col(f"{k}.{f}")
+    area = (g("p", "x") - g("o", "x")) * (g("q", "y") - g("o", "y")) - (g("q", "x") - g("o", "x")) * (g("p", "y") - g("o", "y"))
+    px, py = F.col("j") + 0.5 - g("o", "x"), F.col("i") + 0.5 - g("o", "y")
+    area = F.when(F.abs(area) > 1e-9, area)
+    spots = spots.withColumn("s", (px * (g("q", "y") - g("o", "y")) - (g("q", "x") - g("o", "x")) * py) / area).withColumn("z", ((g("p", "x") - g("o", "x")) * py - px * (g("p", "y") - g("o", "y"))) / area)
+    spots = spots.where((F.col("s") >= -1e-9) & (F.col("z") >= -1e-9) & (F.col("s") + F.col("z") <= 1 + 1e-9))
+    value = lambda f: g("o", f) + F.col("s") * (g("p", f) - g("o", f)) + F.col("z") * (g("q", f) - g("o", f))
+    best = spots.groupBy("tile_id", F.col("i").cast("int").alias("r"), F.col("j").cast("int").alias("c")).agg(F.min(F.struct("id", value("u").alias("x"), value("w").alias("y"))).alias("m"))
+    return best.select("tile_id", "r", "c", "m.x", "m.y")

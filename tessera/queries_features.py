@@ -78,6 +78,12 @@ def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(heads.heat_map(cells(spark, sf_dir)).drop("tile_id"), "score", places=8)
 
 
+def heat_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a tile of its own: one cell of 8 x 8 pixels."""
+    own = cells(spark, sf_dir).select((F.col("i") * WIDTH + F.col("j")).cast("bigint").alias("tile_id"), F.lit(0).alias("i"), F.lit(0).alias("j"), "semi")
+    return rounded(heads.heat_keypoints(own, SIZE, SIZE, least=0.0158, radius=2, border=1), "score", places=8)
+
+
 def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors at places made from part keys, in a map of 200 x 160 pixels and 25 x 20 vectors."""
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(0).alias("tile_id"), F.col("p_partkey").alias("kp_id"), (F.col("p_partkey") * 7 % 200 + 0.25).alias("x"), (F.col("p_partkey") * 11 % 160 + 0.5).alias("y"))
@@ -104,7 +110,7 @@ def name_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.natural_ranks(c.select("c_custkey", "c_nationkey", F.concat_ws("", F.lit("x"), (F.col("c_custkey") % 13).cast("string"), F.lit("y")).alias("name")), ["c_nationkey"], natural.natural_key(F.col("name")), descending=True)
 
 
-QUERIES = {f.__name__: f for f in (unit_matches, radius_matches, matched_points, windowed_ssim, average_ssim, heat_map, sampled_descriptors, natural_options, sliced_files, name_ranks)}
+QUERIES = {f.__name__: f for f in (unit_matches, radius_matches, matched_points, windowed_ssim, average_ssim, heat_map, heat_keypoints, sampled_descriptors, natural_options, sliced_files, name_ranks)}
 
 TILES = "t AS (SELECT vec_id AS tile_id, (vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, embedding::DOUBLE[] AS px FROM embeddings)"
 PAIRS = (
@@ -150,6 +156,14 @@ SQL["heat_map"] = f"""
 WITH {TILES}, s AS (SELECT *, list_sum(list_transform(px, lambda v: exp(v))) + exp(0.5::DOUBLE) + 0.00001::DOUBLE AS total FROM t)
 SELECT (i * 8 + k // 8)::INT AS r, (j * 8 + k % 8)::INT AS c, round(exp(px[k + 1]) / total, 8) + 0.0 AS score FROM s, range(64) x(k)
 """
+SQL["heat_keypoints"] = f"""
+WITH {TILES}, s AS (SELECT *, list_sum(list_transform(px, lambda v: exp(v))) + exp(0.5::DOUBLE) + 0.00001::DOUBLE AS total FROM t),
+h AS (SELECT tile_id, (k // 8)::INT AS r, (k % 8)::INT AS c, exp(px[k + 1]) / total AS s FROM s, range(64) x(k)),
+p AS (SELECT tile_id, list([{{'x': c, 'y': r, 's': s}}] ORDER BY s DESC, r, c) AS pts FROM h WHERE s >= 0.0158 GROUP BY tile_id),
+f AS (SELECT tile_id, list_reduce(pts, lambda acc, q: CASE WHEN len(list_filter(acc, lambda z: abs(z.x - q[1].x) <= 2 AND abs(z.y - q[1].y) <= 2)) > 0 THEN acc ELSE acc || q END) AS kept FROM p),
+k AS (SELECT tile_id, n::INT AS kp_id, kept[n + 1] AS z FROM (SELECT tile_id, kept, unnest(range(len(kept))) AS n FROM f))
+SELECT tile_id, kp_id, z.x AS x, z.y AS y, round(z.s, 8) + 0.0 AS score FROM k WHERE z.x BETWEEN 1 AND 6 AND z.y BETWEEN 1 AND 6
+"""
 SQL["sampled_descriptors"] = f"""
 WITH {TILES}, p AS (SELECT p_partkey AS kp_id, (p_partkey * 7 % 200 + 0.25::DOUBLE) * 25 / 200 - 0.5 AS px, (p_partkey * 11 % 160 + 0.5::DOUBLE) * 20 / 160 - 0.5 AS py FROM part),
 o AS (SELECT kp_id, floor(px)::INT + a AS j, floor(py)::INT + b AS i, (1 - abs(px - floor(px) - a)) * (1 - abs(py - floor(py) - b)) AS w FROM p, range(2) x(a), range(2) y(b)),

@@ -102,6 +102,12 @@ def flow_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.flow_colours(warp.flow(turned(spark, sf_dir)))
 
 
+def inverse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a turn with a bend that grows with the row."""
+    bent = turned(spark, sf_dir).where("tile_id < 200").withColumn("x", F.col("x") + 0.013 * F.col("r") * F.col("r") + F.col("tile_id") / 977)
+    return rounded(warp.inverse_field(bent, SIZE, SIZE), "x", "y")
+
+
 def wavefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the corner (0, 0) and from (7, 3), around pixels of 0.1 or more; a source in a wall reaches nothing."""
     t = arrays(spark, sf_dir).withColumn("walls", F.transform("pixels", lambda v: v >= 0.1))
@@ -109,7 +115,7 @@ def wavefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.wavefront(t.select("tile_id", "walls", F.inline(ends)), SIZE, SIZE).withColumn("dist", F.col("dist").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (density_weights, vote_weights, visible_pixels, kth_distances, nearest_clusters, cluster_medoids, weighted_field, affine_warp, affine_warp_bound, field_warp, flow_vectors, flow_colours, wavefronts)}
+QUERIES = {f.__name__: f for f in (density_weights, vote_weights, visible_pixels, kth_distances, nearest_clusters, cluster_medoids, weighted_field, affine_warp, affine_warp_bound, field_warp, flow_vectors, flow_colours, inverse_fields, wavefronts)}
 
 PX = "px AS (SELECT vec_id AS tile_id, (p // 8)::INT AS r, (p % 8)::INT AS c, embedding[p + 1]::DOUBLE AS v FROM embeddings, range(64) x(p))"
 POINTS = f"{PX}, pt AS (SELECT tile_id, (c >= 4)::INT AS cluster, r * 8 + c AS kp, c::DOUBLE AS x, r::DOUBLE AS y FROM px WHERE v >= 0.1)"
@@ -176,3 +182,12 @@ go(tile_id, kp, r, c, d) AS (
 best AS (SELECT tile_id, kp, r, c, min(d) AS d FROM go GROUP BY ALL)
 SELECT px.tile_id, k.kp::BIGINT AS kp, px.r, px.c, coalesce(d, 99999)::INT AS dist FROM px CROSS JOIN range(2) k(kp) LEFT JOIN best ON best.tile_id = px.tile_id AND best.kp = k.kp AND best.r = px.r AND best.c = px.c
 """
+SQL["inverse_fields"] = f"""
+WITH {TURN}, v AS (SELECT tile_id, r, c, x + 0.013::DOUBLE * r * r + tile_id / 977 AS x, y, c + 0.5::DOUBLE AS u, r + 0.5::DOUBLE AS w FROM fl WHERE tile_id < 200),
+t AS (SELECT o.tile_id, p.r AS tr, d.c AS tc, k, o.x AS ox, o.y AS oy, o.u AS ou, o.w AS ow, p.x AS px, p.y AS py, p.u AS pu, p.w AS pw, d.x AS qx, d.y AS qy, d.u AS qu, d.w AS qw
+  FROM v p JOIN v d ON d.tile_id = p.tile_id AND d.r = p.r + 1 AND d.c = p.c - 1, range(2) z(k) JOIN v o ON o.tile_id = p.tile_id AND o.r = p.r + k AND o.c = d.c + k),
+s AS (SELECT t.*, i, j, (px - ox) * (qy - oy) - (qx - ox) * (py - oy) AS area, j + 0.5 - ox AS dx, i + 0.5 - oy AS dy FROM t, range(8) a(i), range(8) b(j)),
+b AS (SELECT *, (dx * (qy - oy) - (qx - ox) * dy) / area AS s, ((px - ox) * dy - dx * (py - oy)) / area AS z FROM s WHERE abs(area) > 1e-9),
+m AS (SELECT * FROM b WHERE s >= -1e-9 AND z >= -1e-9 AND s + z <= 1 + 1e-9 QUALIFY row_number() OVER (PARTITION BY tile_id, i, j ORDER BY tr, tc, k) = 1)
+SELECT tile_id, i::INT AS r, j::INT AS c, round(ou + s * (pu - ou) + z * (qu - ou), 6) + 0.0 AS x, round(ow + s * (pw - ow) + z * (qw - ow), 6) + 0.0 AS y FROM m
+"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.natural import natural_key
-from tessera.operators import cluster, detect, geometry, pixels, register, robust, spectral, warp
+from tessera.operators import cluster, detect, elastic, geometry, pixels, register, robust, spectral, warp
 from tessera.plans import overlap
 from tessera.sources import images
 
@@ -222,3 +222,44 @@ def test_a_failed_pair_has_a_row(spark):
         assert x.status == 1 and x.tx is None and x.rmse is None
     with pytest.raises(ValueError):
         register.register(tiles, 8, 8, "unknown")
+
+
+def test_elastic_clusters_and_fields(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for k, (centre, move) in enumerate((((15, 15), (4.0, 1.0)), ((80, 80), (-6.0, 3.0)))):
+        for _ in range(25):
+            x, y = r.normal(centre, 5)
+            rows.append((len(rows), float(x), float(y), float(x + move[0]), float(y + move[1])))
+    matches = spark.createDataFrame([*rows, (99, None, 1.0, 1.0, 1.0)], "m int, x1 double, y1 double, x2 double, y2 double")
+    labelled, maps = elastic.clusters(matches, 2)
+    found = {x.cluster: x for x in maps.collect()}
+    assert len(found) == 2 and sorted(round(x.m02) for x in found.values()) == [-6, 4] and all(x.n_inlier == 25 for x in found.values())
+    points = elastic.inliers(labelled, maps).withColumn("tile_id", F.lit(1).cast("bigint"))
+    assert points.count() == 50
+    pixels_ = spark.createDataFrame([(1, 15, 15), (1, 80, 80)], "tile_id bigint, r int, c int")
+    field = {(x.r, x.c): (x.x, x.y) for x in elastic.generated_field(pixels_, points, maps).collect()}
+    assert field[15, 15] == pytest.approx((19.5, 16.5), abs=0.2) and field[80, 80] == pytest.approx((74.5, 83.5), abs=0.2)
+
+
+def test_fields_around_walls(spark):
+    """A wall cuts the left half off: beyond it only the right cluster counts."""
+    wall = np.zeros((6, 9), bool)
+    wall[:, 4] = True
+    points = spark.createDataFrame([(1, c, 10 * c + i, float(x), float(y)) for c, x in ((0, 1), (1, 7)) for i, y in enumerate((1, 3, 5))], "tile_id bigint, cluster int, kp int, x double, y double")
+    maps = spark.createDataFrame([(0, 1.0, 0.0, 2.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, -2.0, 0.0, 1.0, 0.0)], "cluster int, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double")
+    spots = spark.createDataFrame([(1, r, c) for r in range(6) for c in range(9)], "tile_id bigint, r int, c int")
+    walls = spark.createDataFrame([(1, wall.ravel().tolist())], "tile_id bigint, walls array<boolean>")
+    out = {(x.r, x.c): x.x - x.c - 0.5 for x in elastic.generated_field_around_walls(spots, points, maps, walls, 6, 9, k=2).collect()}
+    assert set(out) == {(r, c) for r in range(6) for c in range(9) if c != 4}
+    assert all(v == pytest.approx(2.0 if c < 4 else -2.0) for (_, c), v in out.items())
+    straight = {(x.r, x.c): x.x - x.c - 0.5 for x in elastic.generated_field(spots, points, maps, k=2).collect()}
+    assert 0 < straight[3, 3] < 2
+
+
+def test_an_inverse_undoes_a_field(spark):
+    tiles = spark.createDataFrame([(1, [0.0] * 400)], "tile_id bigint, pixels array<double>")
+    one = F.struct(*(F.lit(v).alias(n) for n, v in (("m00", 0.9), ("m01", 0.1), ("m02", 0.6), ("m10", -0.1), ("m11", 1.0), ("m12", 0.7))))
+    there = warp.affine_field(tiles, one, 20, 20)
+    for x in warp.inverse_field(there, 20, 20).collect():
+        assert (0.9 * x.x + 0.1 * x.y + 0.6, -0.1 * x.x + x.y + 0.7) == pytest.approx((x.c + 0.5, x.r + 0.5), abs=1e-9)
