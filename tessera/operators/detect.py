@@ -115,7 +115,45 @@ def orb(v: np.ndarray) -> np.ndarray:
     return np.where(fast(v) > 0, np.maximum(harris(v), 0), 0)
 
 
-DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast, "sift": sift, "kaze": kaze, "brisk": brisk, "orb": orb}
+def component_labels(mask: np.ndarray) -> np.ndarray:
+    """For each pixel of a stack of masks the smallest place in its 4-connected component; mask.size outside."""
+    none = mask.size
+    labels = np.where(mask, np.arange(none).reshape(mask.shape), none)
+    while True:
+        p = np.pad(labels, ((0, 0), (1, 1), (1, 1)), constant_values=none)
+        near = np.minimum.reduce([p[:, 1:-1, 1:-1], p[:, :-2, 1:-1], p[:, 2:, 1:-1], p[:, 1:-1, :-2], p[:, 1:-1, 2:]])
+        new = np.where(mask, np.append(near.ravel(), none)[near], none)
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def mser(v: np.ndarray, levels: int = 16, most: float = 0.25) -> np.ndarray:
+    """Centres of regions below or above a level that hardly grow from the level before to the one after, from 3 pixels to half a tile: 1 / (1 + growth)."""
+    n, h, w = v.shape
+    out = np.zeros_like(v)
+    rows, columns = np.indices((h, w))
+    for u in (v, -v):
+        low, high = u.min(axis=(1, 2)), u.max(axis=(1, 2))
+        steps = low + (high - low) * (np.arange(levels)[:, None] + 0.5) / levels
+        masks = u <= steps[:, :, None, None]
+        labels = [component_labels(m) for m in masks]
+        sizes = [np.bincount(x.ravel(), minlength=u.size + 1) for x in labels]
+        areas = [np.where(m, s[x], 0) for m, s, x in zip(masks, sizes, labels, strict=True)]
+        for t in range(1, levels - 1):
+            before = np.zeros(u.size + 1)
+            np.maximum.at(before, labels[t].ravel(), areas[t - 1].ravel())
+            tops = np.flatnonzero(masks[t].ravel() & (labels[t].ravel() == np.arange(u.size)))
+            size = areas[t].ravel()[tops]
+            growth = (areas[t + 1].ravel()[tops] - before[tops]) / size
+            total = lambda x, t=t: np.bincount(labels[t].ravel(), np.broadcast_to(x, u.shape).ravel(), u.size + 1)[tops]  # noqa: B023, E731
+            good = (growth <= most) & (size >= 3) & (size <= h * w / 2)
+            r, c = (np.rint(total(x)[good] / size[good]).astype(int) for x in (rows, columns))
+            np.maximum.at(out, (tops[good] // (h * w), r, c), 1 / (1 + growth[good]))
+    return out
+
+
+DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast, "sift": sift, "kaze": kaze, "brisk": brisk, "orb": orb, "mser": mser}
 
 
 def register(name: str, response: Callable[[np.ndarray], np.ndarray]) -> None:
