@@ -36,6 +36,19 @@ def buckets(rows: int) -> int:
     return max(16, rows // 100_000)
 
 
+def allowed(asked: DataFrame, room: DataFrame, parts: int) -> DataFrame:
+    """Of demands (key, g, shard, target, n) how many may go (go > 0): what two shards ask of each other is swapped, the rest goes as far as the receiving shard has room."""
+    # demands between shards: at most n_shards squared rows
+    ask = asked.groupBy("shard", "target").agg(F.sum("n").alias("m"))
+    back = ask.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("m").alias("w"))
+    ask = ask.join(back, ["shard", "target"], "left").withColumn("swap", F.least("m", F.coalesce("w", F.lit(0)))).withColumn("more", F.col("m") - F.col("swap"))
+    earlier = Window.partitionBy("target").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ask = ask.withColumn("taken", F.coalesce(F.sum("more").over(earlier), F.lit(0))).join(room.select(F.col("shard").alias("target"), "room"), "target")
+    quota = ask.select("shard", "target", (F.col("swap") + F.greatest(F.lit(0), F.least(F.col("more"), F.col("room") - F.col("taken")))).alias("quota"))
+    ranked = before(asked, ["shard", "target"], F.pmod(F.xxhash64("key"), F.lit(parts)), [F.col("key")], F.col("n"), "ahead")
+    return ranked.join(F.broadcast(quota), ["shard", "target"]).withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("ahead")))).where("go > 0")
+
+
 def propagate(cells: DataFrame, shards: DataFrame, parts: int, rounds: int) -> DataFrame:
     """Moves of (key, g, shard, n) cells until none is left or allowed. shards: (shard, cap)."""
     spark = cells.sparkSession
@@ -46,15 +59,7 @@ def propagate(cells: DataFrame, shards: DataFrame, parts: int, rounds: int) -> D
         rank = F.struct((F.col("room") >= F.col("g") - F.col("n")).alias("fits"), (F.col("room") > 0).alias("some"), F.col("n").alias("most"), F.xxhash64("key", "shard").alias("tie"), F.col("shard").alias("target"))
         pick = seen.groupBy("key").agg(F.max(rank).alias("p")).select("key", "p.*")
         asked = cells.join(pick, "key").where("shard <> target and (fits or most >= n)").select("key", "g", "shard", "target", "n")
-        # demands between shards: at most n_shards squared rows
-        ask = asked.groupBy("shard", "target").agg(F.sum("n").alias("m"))
-        back = ask.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("m").alias("w"))
-        ask = ask.join(back, ["shard", "target"], "left").withColumn("swap", F.least("m", F.coalesce("w", F.lit(0)))).withColumn("more", F.col("m") - F.col("swap"))
-        earlier = Window.partitionBy("target").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        ask = ask.withColumn("taken", F.coalesce(F.sum("more").over(earlier), F.lit(0))).join(room.select(F.col("shard").alias("target"), "room"), "target")
-        quota = ask.select("shard", "target", (F.col("swap") + F.greatest(F.lit(0), F.least(F.col("more"), F.col("room") - F.col("taken")))).alias("quota"))
-        ranked = before(asked, ["shard", "target"], F.pmod(F.xxhash64("key"), F.lit(parts)), [F.col("key")], F.col("n"), "ahead")
-        moves = ranked.join(F.broadcast(quota), ["shard", "target"]).withColumn("go", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("ahead")))).where("go > 0")
+        moves = allowed(asked, room, parts)
         moves, moves_path = C.materialise_at(moves.select("key", "g", "shard", "target", "go"), "moves")
         if not moves.agg(F.sum("go")).first()[0]:
             C.discard(spark, moves_path)
@@ -114,3 +119,41 @@ def shard_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pool = pool.select("id", "size", "crc", F.col("place.shard").alias("shard"), (F.col("place.from") + F.col("rank") - F.col("place.lo")).alias("slot"))
     out = ranked.where("fixed").select("id", "size", "crc", "shard", "slot").unionByName(pool)
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"))
+
+
+def shard_linked(nodes: DataFrame, links: DataFrame, *, id_col: str = "id", n_shards: int = 24, slack: float = 0.05, rounds: int = 12) -> DataFrame:
+    """(id, shard) of nodes with any links (a, b) between their ids: each node asks for the shard that holds most of its neighbours, half of the nodes in
+    a round (by hash, so that neighbours don't swap places for ever), and goes under the same quotas. A shard holds at most (1 + slack) times its share, and a node more.
+
+    Ids count once; links of unknown or null ids, loops and repeated links count nothing; a null id has no neighbours, and all rows of it are one node."""
+    spark = nodes.sparkSession
+    ids = nodes.select(F.col(id_col).alias("key")).distinct()
+    total = C.count_rows(ids)
+    parts = buckets(total)
+    ranked = before(ids, [], F.pmod(F.xxhash64("key"), F.lit(parts)), [F.xxhash64("key"), F.col("key")], F.lit(1), "rank")
+    placed, path = C.materialise_at(ranked.select("key", F.pmod("rank", F.lit(n_shards)).cast("int").alias("shard")), "linked")
+    pairs = links.where("a <> b").select("a", "b")
+    both, both_path = C.materialise_at(pairs.union(pairs.select("b", "a")).distinct(), "linked-pairs")
+    shards = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"), (F.ceil(F.lit(total / n_shards * (1 + slack))) + 1).cast("bigint").alias("cap"))
+    for k in range(rounds):
+        room = shards.join(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("load")), "shard", "left").select("shard", (F.col("cap") - F.coalesce("load", F.lit(0))).alias("room"))
+        votes = both.join(placed.select(F.col("key").alias("b"), "shard"), "b").groupBy(F.col("a").alias("key"), F.col("shard").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+        own = F.max(F.when(F.col("target") == F.col("shard"), F.col("n"))).alias("own")
+        best = votes.join(placed, "key").groupBy("key", "shard").agg(F.max(F.struct("n", F.xxhash64("key", "target").alias("tie"), "target")).alias("x"), own)
+        asked = best.where((F.col("x.n") > F.coalesce("own", F.lit(0))) & (F.pmod(F.xxhash64("key", F.lit(k // 2)), F.lit(2)) == k % 2)).select("key", F.lit(1).alias("g"), "shard", F.col("x.target").alias("target"), F.lit(1).cast("bigint").alias("n"))
+        moves, moves_path = C.materialise_at(allowed(asked, room, parts).select("key", F.col("target").alias("new")), "linked-moves")
+        new, new_path = C.materialise_at(placed.join(moves, "key", "left").select("key", F.coalesce("new", "shard").alias("shard")), "linked")
+        moved = C.count_rows(moves)
+        C.discard(spark, path, moves_path)
+        placed, path = new, new_path
+        if not moved and k % 2:
+            break
+    C.discard(spark, both_path)
+    return placed.withColumnRenamed("key", id_col)
+
+
+def cut_links(placed: DataFrame, links: DataFrame, *, id_col: str = "id") -> DataFrame:
+    """(n_links, n_cut): how many links (a, b) join known ids, and how many of these join two shards."""
+    end = lambda c: placed.select(F.col(id_col).alias(c), F.col("shard").alias(f"shard_{c}"))
+    both = links.where("a <> b").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+    return both.agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("shard_a") != F.col("shard_b")).alias("n_cut"))

@@ -212,6 +212,25 @@ def test_shards(spark):
     assert sum(len(x) == 1 for x in pairs.values()) >= 30
 
 
+def test_linked_nodes_move_together(spark):
+    r = random.Random(31)
+    links = set()
+    for group in range(8):
+        inside = range(group * 40, group * 40 + 40)
+        links |= {tuple(sorted(r.sample(inside, 2))) for _ in range(300)}
+    links |= {tuple(sorted(r.sample(range(320), 2))) for _ in range(60)}
+    nodes = spark.createDataFrame([(i, "x") for i in range(320)] + [(5, "x"), (None, "x")], "id bigint, shard string")
+    table = spark.createDataFrame([*links, *list(links)[:20], (3, 3), (None, 4), (1, 9999)], "a bigint, b bigint")
+    start = shards.shard_linked(nodes, table, n_shards=8, rounds=0)
+    out = shards.shard_linked(nodes, table, n_shards=8, slack=0.1, rounds=8)
+    assert sorted(((x.id, 1) for x in out.collect()), key=repr) == sorted(((i, 1) for i in [*range(320), None]), key=repr)
+    sizes = [x["count"] for x in out.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 321 / 8 * 1.1 + 2
+    before, after = (shards.cut_links(x, table).first() for x in (start, out))
+    assert before.n_links == after.n_links == len(links) and after.n_cut < 0.6 * before.n_cut
+    assert shards.shard_linked(nodes.where("false"), table, n_shards=3).count() == 0
+
+
 def test_urls(spark):
     given = ["https://a.NET/x?y", "http://example.net/en/1", "http://www.example.net/de/", "http://example.com/de/2", "http://b.org/fr/", "http://b.org/en/", "x", None, "", "://", "HTTP://Org/fr/x#y", "http://badnet/", "http://h?://q/", "http://h#f", "http://x.example.com/de/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(given)] * 2 + [(None, given[0], "h", 1)], "page_id bigint, url string, host string, score int")
