@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jaccard, pieces, quality, secrets, shards, substrings, toxicity, urls
+from tessera.llm import chat, decontaminate, jaccard, languages, manifest, phrases, pieces, quality, secrets, shards, substrings, toxicity, urls
 
 #: Where the public tokenizer's model lies.
 MODEL = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -69,9 +69,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = languages.identify(docs, languages.learn(docs))
+    return out.select("doc_id", languages.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": manifest.lowered("doc_id", "text")})
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_secret_scans, op3_chat_formatting, op4_ngram_jaccard_join, op5_url_filters, op6_benchmark_decontamination, op7_quality_rules, op8_substring_dedup, op9_sentencepiece, op10_toxicity)
+    for f in (
+        op1_sharding, op2_secret_scans, op3_chat_formatting, op4_ngram_jaccard_join, op5_url_filters, op6_benchmark_decontamination, op7_quality_rules, op8_substring_dedup,
+        op9_sentencepiece, op10_toxicity, op11_phrase_collocations, op12_language_id, op13_merkle_manifest,
+    )
 }
 
 SQL: dict[str, str] = {}
@@ -144,3 +162,56 @@ marked AS (SELECT word.doc_id, word.i, word.w[word.i] AS x FROM word LEFT JOIN (
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM marked GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) ks(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
+over AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c l ON s.lang = l.lang AND l.k > s.k AND 100 * l.a >= 100 * s.a AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ')),
+kept AS (SELECT c.* FROM c ANTI JOIN over USING (lang, phrase)),
+cut AS (SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y JOIN n ON n.lang = cut.lang),
+weak AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM weak
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_transform([0] || range(1, strlen(doc_id::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ascii((doc_id::VARCHAR)[i:i])::BIGINT END),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc FROM documents),
+fields AS (
+  SELECT doc_id, lang, crc, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f, text,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM d),
+leaf AS (
+  SELECT doc_id, lang, sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(array_to_string(f, '') || coalesce(strlen(changed) || ':' || changed, '-')) AS again FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+-- a level holds its runs; the next one is made of their hashes
+lower(lang, level, pos, hash, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (n + 7) // 8 FROM lower WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+sub AS (SELECT lang, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower WHERE n = 1),
+upper(level, pos, hash, n) AS (
+  SELECT 0, pos, subroot, n FROM sub
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, pos // 8, n),
+lower_runs AS (SELECT lang, level, pos // 8 AS run, list(hash ORDER BY pos) AS c FROM lower WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT level, pos // 8 AS run, list(hash ORDER BY pos) AS c FROM upper WHERE n > 1 GROUP BY ALL),
+climb(doc_id, leaf, lang, place, level, pos, hash, sides) AS (
+  SELECT doc_id, leaf, lang, pos, 0, pos, again, '' FROM placed
+  UNION ALL SELECT doc_id, leaf, b.lang, place, b.level + 1, pos // 8, sha256(array_to_string(c[:pos % 8], '') || hash || array_to_string(c[pos % 8 + 2:], '')), sides || array_to_string(c[:pos % 8], '') || array_to_string(c[pos % 8 + 2:], '')
+  FROM climb b JOIN lower_runs r ON r.lang IS NOT DISTINCT FROM b.lang AND r.level = b.level AND r.run = b.pos // 8),
+low AS (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY lang, place ORDER BY level DESC) = 1),
+rise(doc_id, leaf, lang, place, subroot, level, pos, hash, sides) AS (
+  SELECT doc_id, leaf, low.lang, place, subroot, 0, sub.pos, hash, sides FROM low JOIN sub ON sub.lang IS NOT DISTINCT FROM low.lang
+  UNION ALL SELECT doc_id, leaf, b.lang, place, subroot, b.level + 1, pos // 8, sha256(array_to_string(c[:pos % 8], '') || hash || array_to_string(c[pos % 8 + 2:], '')), sides || array_to_string(c[:pos % 8], '') || array_to_string(c[pos % 8 + 2:], '')
+  FROM rise b JOIN upper_runs r ON r.level = b.level AND r.run = b.pos // 8),
+high AS (SELECT * FROM rise QUALIFY row_number() OVER (PARTITION BY lang, place ORDER BY level DESC) = 1),
+root AS (SELECT hash AS root FROM upper WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(sides) AS proof_sha256, hash AS folded_root, hash = root AS verified FROM high, root
+"""
