@@ -8,11 +8,17 @@
 3. A shingle of at most `hot` nodes is joined with itself. A pair is passed over where both nodes have the same shingle just
    before, as it is listed there or earlier; the others meet the length, positional and suffix filter, and each that is left is
    verified once, from the sets themselves. Pairs are dealt to homes, so that a family of near copies brings each set once.
-4. The pairs of a shingle of more nodes are never listed. Its nodes are cut by length into bands (linked sets lie in one band or
-   in neighbouring ones) and by hash into blocks; each two blocks are one piece of work, in which the shared shingles of all pairs are
-   counted at once. A pair is judged at the first such shingle that it shares, and never in step 3. A piece gives each
-   node's number of links and a spanning forest of them, so what it gives grows with its nodes, not with its pairs.
-5. Numbers of links are added up; forests and links make the components.
+4. The nodes of a shingle of more nodes (a hot one) meet leaders. Where they lie in several components, a few leaders from outside its largest one
+   meet all its nodes of other components: first one leader a shingle, then 16. A family of near copies is one component after the first
+   round, for a row a node and shingle. What is left apart is compared in blocks: the nodes outside the largest component with all nodes of the
+   shingle, by their signs only (64 bytes a node). Every pair of two components that has a hot shingle in common and passes the filters is verified,
+   so no link between components is lost; links within a component change nothing.
+5. Links make the components.
+
+With numbers of links (`count`) all pairs of hot shingles have to be judged: step 4 cuts a hot shingle's nodes by length into bands (linked sets lie
+in one band or in neighbouring ones) and by hash into blocks; each two blocks are one piece of work, in which the shared shingles of all
+pairs are counted at once. A pair is judged at the first such shingle that it shares, and never in step 3. The rows of work grow with nodes times blocks
+for each hot shingle, each with the node's set: ask for numbers only where families have thousands of members, not millions.
 
 Nulls, ties and odd rows: a null or wordless text has the empty set and links with nothing; a text of fewer than k words
 is one shingle; equal sets always link; rows of one id stay separate rows; a null id takes part, but a class is named
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -41,6 +47,8 @@ CELLS, SLICES = 1 << 22, 1024
 SIGNS = 8
 #: Shingles of the sets that one piece of work holds, about, and columns of the tables in which shared ones are counted.
 PIECE, COLUMNS = 1 << 21, 8192
+#: Rows of a table of numbers that may be broadcast.
+SMALL = 200_000
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -190,7 +198,12 @@ def listed_pairs(entries: DataFrame, lists: DataFrame, percent: int, scratch: C.
     pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     sign = lists.select("node", "n", "sign").dropDuplicates(["node"])
     pairs = pairs.join(sign.withColumnRenamed("node", "a"), "a").join(sign.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sign").alias("sign2")), "b")
-    pairs = scratch.table(pairs.where(near_sign(percent)).select("a", "b", (F.col("n") + F.col("n2")).alias("size")), "jaccard-pairs")
+    return at_home(pairs.where(near_sign(percent)).select("a", "b", (F.col("n") + F.col("n2")).alias("size")), scratch)
+
+
+def at_home(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(a, b, home, part) of pairs (a, b, size: shingles of both)."""
+    pairs = scratch.table(pairs, "jaccard-pairs")
     # the least neighbour's home: in a family of near copies that is one home for all
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
     homes = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("home"))
@@ -336,11 +349,13 @@ def shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: C.Scratch) -> DataFrame:
+def homeward(pairs: DataFrame) -> DataFrame:
+    """(node, key, band, i, j, low, own): both nodes of each pair where the pair is verified."""
+    return  pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("low"), F.lit(0).alias("own")).distinct()
+
+
+def judged(work: DataFrame, sets: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     """(a, b, n): of each node a the numbers of rows n that it is linked with, to be added up (b null), and links (a, b) that join what is linked."""
-    home = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("low"), F.lit(0).alias("own")).distinct()
-    work = scratch.table(home.unionByName(pieces.withColumnRenamed("token", "key")), "jaccard-work")
-    sets = node_sets(texts, work.select("node"), k)
     rows = work.join(nodes, "node").join(sets, "node").withColumn("b", F.lit(None).cast("bigint"))
     listed = pairs.select(F.col("a").alias("node"), "b", F.col("home").alias("key"), F.lit(-1).alias("band"), F.col("part").alias("i"), F.lit(0).alias("j"))
     key = ["key", "band", "i", "j"]
@@ -374,27 +389,121 @@ def judged(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, nodes: DataFra
     return scratch.table(rows.mapInArrow(run, "a bigint, b bigint, n bigint"), "jaccard-judged")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hot: int = 32, block: int = 512) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (smallest id of the class that links make, its own included) and n_links, the
-    number of other rows it is linked with."""
+def known_components(hot: DataFrame, links: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components (node, comp) of links, and the rows of those hot shingles whose nodes lie in several, with comp and whether they lie outside
+    the shingle's largest component (rest)."""
+    comps = connect(links)
+    placed = scratch.table(hot.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-placed")
+    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+    parts = sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).where(F.col("top.m") < F.col("all"))
+    parts = C.if_small(parts.select("token", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.m")).alias("others")), SMALL)
+    return comps, scratch.table(placed.join(parts, "token").withColumn("rest", F.col("comp") != F.col("main")).drop("main"), "jaccard-apart")
+
+
+def led_pairs(apart: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """(a, b, size): up to `leaders` nodes of each hot shingle from outside its largest component, with its nodes of other components, filtered."""
+    # the same order for all shingles, so that a family has the same leaders at each
+    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
+    first = apart.where("rest").withColumn("nth", nth).where(F.col("nth") <= leaders)
+    first = first.select("token", F.col("node").alias("lead"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("sign").alias("sign2"))
+    met = apart.join(C.if_small(first, SMALL // 16), "token").where(f"comp <> comp2 and {near_size(percent)} and {near_sign(percent)}")
+    return met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), (F.col("n") + F.col("n2")).alias("size")).distinct()
+
+
+def crossed_pairs(apart: DataFrame, percent: int, block: int) -> DataFrame:
+    """The same for all nodes from outside the largest component: blocks of them with blocks of all, by signs in tasks."""
+    wide = 8 * block
+    rows = apart.withColumn("bits", F.ceil(F.col("others") / block).cast("int")).withColumn("whole", F.ceil(F.col("all") / wide).cast("int"))
+    hash_ = F.xxhash64("node")
+    left = rows.where("rest").withColumn("x", F.pmod(hash_, F.col("bits")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("left", F.lit(True))
+    right = rows.withColumn("y", F.pmod(hash_, F.col("whole")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bits") - 1))).withColumn("left", F.lit(False))
+    key = ["token", "x", "y"]
+    work = left.select(*key, "left", "node", "comp", "n", "sign").unionByName(right.select(*key, "left", "node", "comp", "n", "sign"))
+    record = batched("a bigint, b bigint, size bigint")
+
+    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side = [np.array([r[4] for r in held if r[0] == want], np.int64).view(np.uint64).reshape(-1, SIGNS) for want in (True, False)]
+        (node, comp, n), (node2, comp2, n2) = ([np.array([r[c] for r in held if r[0] == want], np.int64) for c in (1, 2, 3)] for want in (True, False))
+        # so many nodes at once that their table has some millions of cells
+        step = max(1, (1 << 21) // max(1, len(node2)))
+        for at in range(0, len(node), step):
+            some = slice(at, at + step)
+            may = (comp[some, None] != comp2) & (100 * np.minimum(n[some, None], n2) >= percent * np.maximum(n[some, None], n2))
+            apart_ = np.zeros(may.shape, np.int64)
+            for w in range(SIGNS):
+                apart_ += np.bitwise_count(side[0][some, w][:, None] ^ side[1][:, w])
+            x, y = np.nonzero(may & ((100 + percent) * apart_ <= (100 - percent) * (n[some, None] + n2)))
+            if len(x):
+                one, two = node[some][x], node2[y]
+                yield record([np.minimum(one, two), np.maximum(one, two), n[some][x] + n2[y]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for token, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, x, y) != at:
+                    yield from pairs(held) if held else ()
+                    at, held = (token, x, y), []
+                held.append(row)
+        yield from pairs(held) if held else ()
+
+    return work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint, size bigint").distinct()
+
+
+def forest(texts: DataFrame, entries: DataFrame, lists: DataFrame, k: int, percent: int, block: int, rounds: tuple[int, ...], scratch: C.Scratch) -> DataFrame:
+    """(node, comp) of each linked node."""
+    spark = texts.sparkSession
+    hot = scratch.table(entries.where("hot").select("token", "node", "n").join(lists.select("node", "sign").dropDuplicates(["node"]), "node"), "jaccard-hot")
+    pairs = listed_pairs(entries, lists, percent, scratch)
+    wanted = scratch.table(hot.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    sets = scratch.table(node_sets(texts, wanted, k), "jaccard-sets")
+    nodes = wanted.select("node", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("array<bigint>").alias("hot"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return judged(homeward(pairs), sets, pairs, nodes, percent, scratch).where("b is not null").select("a", "b")
+
+    found = links(pairs)
+    comps, apart = known_components(hot, found, scratch)
+    for step in (*rounds, None):
+        if not apart.limit(1).count():
+            break
+        new = crossed_pairs(apart, percent, block) if step is None else led_pairs(apart, step, percent)
+        found = found.union(links(at_home(new, scratch)))
+        C.release(spark)
+        if step is None:
+            return connect(found)
+        comps, apart = known_components(hot, found, scratch)
+    return comps
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hot: int = 32, block: int = 512, count: bool = True, rounds: tuple[int, ...] = (1, 16)) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id of the class that links make, its own included) and, with `count`,
+    n_links, the number of other rows it is linked with."""
     texts, scratch = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), C.Scratch(docs.sparkSession)
     rows, cells = measure(texts, k)
     lists = prefixes(texts.select("text"), cells, k, percent, scratch)
     entries = shared_entries(lists, hot, scratch)
-    several = entries.where("hot").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("hot"))
     every = scratch.table(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("name")), "jaccard-sizes")
-    nodes = every.select("node", "size").join(several, "node", "left")
-    found = judged(texts.select("text"), listed_pairs(entries, lists, percent, scratch), block_pieces(entries, percent, block), nodes, k, percent, scratch)
-    others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    comps = connect(found.where("b is not null").select("a", "b"))
-    every = every.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(others, "node", "left")
+    others = None
+    if count:
+        several = entries.where("hot").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("hot"))
+        pairs = listed_pairs(entries, lists, percent, scratch)
+        work = scratch.table(homeward(pairs).unionByName(block_pieces(entries, percent, block).withColumnRenamed("token", "key")), "jaccard-work")
+        found = judged(work, node_sets(texts.select("text"), work.select("node"), k), pairs, every.select("node", "size").join(several, "node", "left"), percent, scratch)
+        others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        comps = connect(found.where("b is not null").select("a", "b"))
+    else:
+        comps = forest(texts.select("text"), entries, lists, k, percent, block, rounds, scratch)
+    every = every.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = every.groupBy("comp").agg(F.min("name").alias("component_id"))
+    every = every.join(others, "node", "left") if count else every.withColumn("others", F.lit(None).cast("bigint"))
     every = C.materialise(every.join(names, "comp").select("node", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-classes")
     scratch.clear()
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    return rows.join(every, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.join(every, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if count else out.drop("n_links")
 
 
 def components(docs: DataFrame, **how) -> DataFrame:
-    """join() without the numbers of links."""
-    return join(docs, **how).drop("n_links")
+    """join() without the numbers of links, for which families of near copies cost rows in proportion to their size."""
+    return join(docs, **how, count=False)
