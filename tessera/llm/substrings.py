@@ -221,7 +221,8 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, window: int, k:
     # a window of a split shard may be resolved in one part only, so a run has one row
     where = C.map_batches(keyed, places, f"id {kind}, text_key bigint, run bigint, start bigint")
     hits = where.join(found, "run").select("id", "text_key", F.transform("found", lambda x: F.struct((F.col("start") + x["first"]).alias("start"), (F.col("start") + x["first"] + x["n"] + window - 1).alias("end"))).alias("spans"))
-    return hits.groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set: rows that are repeated bring the same spans
+    return hits.groupBy("id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 8, hot_runs: int = 10_000) -> DataFrame:
