@@ -1,6 +1,7 @@
 """Secret scans: candidates by rule, false positives removed by a random forest, in DataFrame and SQL functions only.
 
-A candidate is a word with a value of 12 or more key characters that holds a digit or symbol, or any value of 6 or more that is
+A candidate is a word with a value of 12 or more key characters that holds a digit or symbol, a run of letters alone that is long or cased as words are
+not (16 capitals, 16 letters with two changes from small to capital, 28 of any kind), or any value of 6 or more that is
 assigned to a credential's name: `name=value` in one word (quotes allowed, as in JSON; a word with several assignments has a finding
 for each), or with blanks before or after the sign. Its features are its length, character transitions (classes and common letter pairs),
 dictionary coverage, the path it stands in, and the words beside it. The dictionary is the corpus's own: the words that stand in five
@@ -8,7 +9,7 @@ documents or more and in a share of them. The forest is trained from labelled fi
 rule from seeded hashes and words of the dictionary (real keys are not published, so none are copied).
 
 Nulls, ties and odd rows: a null or empty text has no findings; each occurrence is a finding with its word's number; a null
-path counts as none; repeated rows are scanned each; other columns are never read; an empty table has no findings; texts of any length are scanned
+path counts as none; repeated rows are scanned each; redaction meets rows by id and text, so rows of one id (or none) have their own secrets replaced only; other columns are never read; an empty table has no findings; texts of any length are scanned
 whole. Words are numbered from 0, white space at the start makes none.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -32,6 +33,8 @@ RUNS, SAMPLE = "[A-Z]?[a-z]{3,}|[A-Z]{4,}", 500
 FEATURES = ("length", "transitions", "digits", "distinct", "common_pairs", "dictionary", "in_path", "odd_place", "credential", "assigned", "placeholder", "reference")
 
 WORD = r"[A-Za-z0-9+/_=.~-]"
+#: Key characters in a row, and letters alone that words are hardly made of.
+KEY, LETTERS = "[A-Za-z0-9+/_-]{12,}", "[A-Z]{16,}|[A-Za-z]{28,}|(?=[A-Za-z]{16,})[A-Za-z]*[a-z][A-Z][A-Za-z]*[a-z][A-Z]"
 
 #: Assignments: a name, the quotes or brackets that may close it, a sign as a word, a word that starts or ends with one, and
 #: where the next assignment of a word starts.
@@ -41,24 +44,29 @@ ENDS = CREDENTIAL + r"[A-Za-z0-9_.-]*" + QUOTES + r"[=:]>?[\x22\x27(]*$"
 NEXT = r"[,;&?{]+(?=[\x22\x27]?" + NAME + QUOTES + "[=:](?!//))"
 
 
+def text_key(text_col: str) -> Column:
+    """Tells the rows of one id apart by their texts."""
+    return F.xxhash64(F.col(text_col))
+
+
 def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(id, word_no, name, value, before, before2, after, place) of each candidate."""
+    """(id, text_key, word_no, name, value, before, before2, after, place) of each candidate."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")
     # short words fail by their length alone; neighbours are looked at for the few that pass
-    key = r"w[i] rlike '[0-9_+/]' and w[i] rlike '[A-Za-z0-9+/_-]{12,}'"
+    key = f"w[i] rlike '{KEY}' and (w[i] rlike '[0-9_+/]' or w[i] rlike '{LETTERS}')"
     joined = rf"(instr(w[i], '=') > 0 or instr(w[i], ':') > 0) and w[i] rlike r'{ASSIGNED}'"
     signed = rf"w[i - 1] rlike r'[=:]>?[\x22\x27(]*$' and w[i - 1] rlike r'{ENDS}'"
     apart = rf"i > 0 and ({signed} or w[i] rlike r'{OPENS}' and w[i - 1] rlike r'{CREDENTIAL}') or i > 1 and w[i - 1] rlike r'{SIGN}' and w[i - 2] rlike r'{CREDENTIAL}'"
     test = f"i -> length(w[i]) >= 6 and ((length(w[i]) >= 12 and {key}) or ({joined}) or ({apart}))"
     taken = "i -> struct(i - if(w[0] = '', 1, 0) as word_no, w[i] as word, get(w, i - 1) as before, get(w, i - 2) as before2, get(w, i + 1) as after)"
-    rows = docs.select(F.col(id_col).alias("id"), path.alias("place"), F.array(words).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), path.alias("place"), F.array(words).alias("t"))
     # the words are bound once as a lambda's variable; a plain column would be split again for each word
-    rows = rows.select("id", "place", F.expr(f"transform(t, w -> transform(filter(sequence(0, size(w) - 1), {test}), {taken}))[0]").alias("x"))
-    rows = rows.select("id", "place", F.inline("x"))
+    rows = rows.select("id", "text_key", "place", F.expr(f"transform(t, w -> transform(filter(sequence(0, size(w) - 1), {test}), {taken}))[0]").alias("x"))
+    rows = rows.select("id", "text_key", "place", F.inline("x"))
     # a word with several assignments, one of them to a credential's name, is parted before each
     several = F.col("word").rlike(ASSIGNED) & F.col("word").rlike(NEXT)
-    parts = F.filter(F.split("word", NEXT), lambda w: w.rlike(ASSIGNED) | (w.rlike("[0-9_+/]") & w.rlike("[A-Za-z0-9+/_-]{12,}")))
+    parts = F.filter(F.split("word", NEXT), lambda w: w.rlike(ASSIGNED) | (w.rlike(KEY) & (w.rlike("[0-9_+/]") | w.rlike(LETTERS))))
     rows = rows.withColumn("word", F.explode(F.when(several, parts).otherwise(F.array("word"))))
     opens = F.col("word").rlike(OPENS) & F.coalesce(F.col("before").rlike(CREDENTIAL), F.lit(False))
     name = F.when(opens, F.regexp_extract("before", r"([A-Za-z_][A-Za-z0-9_.-]{0,60})\W*$", 1)).otherwise(F.regexp_extract("word", rf"^\W*({NAME}){QUOTES}[=:]", 1))
@@ -137,6 +145,10 @@ def findings(spark: SparkSession, rows: int = 4000, words: list[str] | None = No
         (0, F.rpad(letters(13), 6, "s"), name, F.lit(":")),
         (0, F.initcap(F.rpad(letters(14), 6, "e")), name, F.lit(":")),
         (0, F.concat_ws("-", F.substr(h(15), F.lit(1), F.lit(8)), *(F.substr(h(16), F.lit(1 + 4 * i), F.lit(4)) for i in range(3)), F.substr(h(17), F.lit(1), F.lit(12))), ref, none),
+        (1, F.upper(F.translate(F.substr(h(24), F.lit(1), F.greatest(size, F.lit(20))), "0123456789", "qhznktpwxj")), name, F.lit("=")),
+        (1, F.substr(F.translate(F.concat(base, F.base64(F.unhex(h(25)))), "0123456789+/=", "QxJkZwVbNp"), F.lit(1), F.greatest(size, F.lit(24))), pick(["key", "token", "secret", "credential"], 26), F.lit(":")),
+        (0, F.concat(letters(27), letters(28), letters(29), letters(30), letters(31)), word, none),
+        (0, F.upper(F.concat(letters(32), letters(33), letters(34))), word, none),
         (0, F.concat(letters(18), F.initcap(letters(19)), F.initcap(letters(20)), pick(["1", "2", "_v3", "_10"], 21)), word, none),
     )
     # where labelled findings stand: placeholders mostly in tests and examples, the others anywhere
@@ -161,7 +173,7 @@ def train(labelled: DataFrame, words: DataFrame, *, trees: int = 20, depth: int
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """One row per candidate: id, word_no, name, value, score, secret."""
+    """One row per candidate: id, text_key (hash of the row's text), word_no, name, value, score, secret."""
     words = C.materialise(dictionary(docs, text_col=text_col), "secret-words")
     if labelled is None:
         some = words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
@@ -170,15 +182,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     found = measured(covered(C.materialise(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col), "secret-candidates"), words))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     scored = forest.transform(vectors).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    return scored.select(F.col("id").alias(id_col), F.col("word_no").cast("bigint").alias("word_no"), "name", "value", "score", (F.col("score") >= least).alias("secret"))
+    return scored.select(F.col("id").alias(id_col), "text_key", F.col("word_no").cast("bigint").alias("word_no"), "name", "value", "score", (F.col("score") >= least).alias("secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every value found to be a secret replaced in the texts of its id, the longest first, but not where it is part of a longer word."""
-    values = findings.where("secret").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("__values"))
-    pattern = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    none = F.expr("cast(array() as array<struct<n: int, value: string>>)")
-    docs_in = docs.select(F.struct(*docs.columns).alias("d"))
-    both = docs_in.join(values, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")), "left")
-    text = F.aggregate(F.coalesce("__values", none), F.col(f"d.`{text_col}`"), lambda t, v: F.regexp_replace(t, pattern(v["value"]), F.lit(mark)))
+    """docs with every value found to be a secret replaced in its text, the longest first, but not where it is part of a longer word. Findings meet rows by id
+    and, where they have a text_key, by text."""
+    by_text = "text_key" in findings.columns
+    key = F.col("text_key") if by_text else F.lit(0).cast("bigint")
+    values = findings.where("secret").groupBy(F.col(id_col).alias("__id"), key.alias("__text")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("__values"))
+    quoted = F.transform("__values", lambda v: F.concat(F.lit("\\Q"), F.replace(v["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9])"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), (text_key(text_col) if by_text else F.lit(0).cast("bigint")).alias("__key"))
+    both = rows.join(values, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left")
+    text = F.when(F.col("__values").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.regexp_replace(F.col(f"d.`{text_col}`"), pattern, F.lit(mark)))
     return both.select(*((text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

@@ -60,3 +60,76 @@ def test_a_value_inside_a_longer_word_stays(spark):
     docs = spark.createDataFrame([(1, "password=Zx81qp and aZx81qpb Zx81qp.", 1, 2)], "doc_id bigint, text string, __id int, __values int")
     found = spark.createDataFrame([(1, "Zx81qp", True)], "doc_id bigint, value string, secret boolean")
     assert secrets.redact(docs, found).collect() == [(1, "password=[SECRET] and aZx81qpb [SECRET].", 1, 2)]
+
+
+def test_rows_of_one_id_have_their_own_secrets(spark):
+    """Repeated and null ids: each row is searched for the secrets of its own text only."""
+    rows = [(1, "password=Tr0ub4dor9 stays x9Kq2mZ7pw"), (1, "token=x9Kq2mZ7pw stays Tr0ub4dor9"), (None, "password=Zx81qpTTa"), (None, "see Zx81qpTTa"), (None, None), (1, "password=Tr0ub4dor9 stays x9Kq2mZ7pw")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [(r.doc_id, r.text) for r in secrets.redact(docs, secrets.scan(docs, path_col=None)).collect()]
+    one = (1, "password=[SECRET] stays x9Kq2mZ7pw")
+    assert sorted(out, key=repr) == sorted([one, one, (1, "token=[SECRET] stays Tr0ub4dor9"), (None, "password=[SECRET]"), (None, "see Zx81qpTTa"), (None, None)], key=repr)
+
+
+def test_recall_of_the_gate(spark):
+    """Every form of key is a candidate, letters alone too; most are found to be secrets, and long words are not."""
+    r = random.Random(4)
+    upper, both = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    make = {
+        "capitals": lambda: "AKIA" + "".join(r.choice(upper) for _ in range(16)), "letters": lambda: "".join(r.choice(both) for _ in range(40)),
+        "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), "mixed": lambda: "".join(r.choice(both + "0123456789") for _ in range(32)),
+        "small": lambda: "".join(r.choice(both[:26]) for _ in range(32)),
+    }
+    rows, want = [], {}
+    for i in range(200):
+        form = list(make)[i % len(make)]
+        value = make[form]()
+        rows.append((i, f"some words before the key {value} and after"))
+        want[i] = (form, value)
+    words = ["Donaudampfschifffahrtsgesellschaft", "internationalization", "misunderstandings", "INTERNATIONALIZATION", "getElementByName"]
+    rows += [(1000 + i, f"some words such as {w} in a text") for i, w in enumerate(words)]
+    found = {(x.doc_id, x.value): x.secret for x in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), path_col=None).collect()}
+    share = {f: [(i, v) in found for i, (g, v) in want.items() if g == f] for f in make}
+    assert {f: sum(x) / len(x) for f, x in share.items()} == dict.fromkeys(make, 1.0)
+    assert sum(found[i, v] for i, (_, v) in want.items()) >= 0.8 * len(want)
+    assert not any(yes for (i, _), yes in found.items() if i >= 1000)
+
+
+def plain_forest(model, x):
+    """Mean of the trees' shares of secrets, by walking their printed nodes."""
+    shares = []
+    for tree in model.trees:
+        node = tree._call_java("rootNode")
+        while node.subtreeDepth() > 0:
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        shares.append(stats[1] / sum(stats))
+    return sum(shares) / len(shares)
+
+
+def plain_features(v, covered):
+    """Length, transitions, digits and distinct of a value, by loops."""
+    kind = ["a" if "a" <= c <= "z" else "B" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in v]
+    changes = sum(a != b for a, b in zip(kind, kind[1:]))
+    pairs = sum(f" {v[i : i + 2].lower()} " in secrets.COMMON_PAIRS for i in range(len(v) - 1))
+    return [len(v), changes / len(v), kind.count("0") / len(v), len(set(v)) / len(v), pairs / len(v), covered / len(v)]
+
+
+def test_scores_by_walking_the_trees(spark):
+    """Features by loops and a walk over the fitted trees give each candidate's score."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = secrets.dictionary(docs)
+    known = {r.word for r in words.collect()}
+    model = secrets.train(secrets.findings(spark, words=sorted(known)[:100]), words)
+    found = secrets.measured(secrets.covered(secrets.candidates(docs, id_col="doc_id", text_col="text", path_col="source"), words)).collect()
+    assert found
+    from pyspark.ml.linalg import Vectors
+    import re
+
+    for r in found:
+        covered = sum(len(w) for w in re.findall(secrets.RUNS, r.value) if w.lower() in known)
+        mine = plain_features(r.value, covered)
+        assert [round(r[f], 9) for f in secrets.FEATURES[:6]] == [round(x, 9) for x in mine]
+        x = [r[f] for f in secrets.FEATURES]
+        assert abs(model.predictProbability(Vectors.dense(x))[1] - plain_forest(model, x)) < 1e-9
