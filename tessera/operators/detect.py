@@ -1,10 +1,12 @@
-"""Keypoint detectors by name, suppression and descriptors, as vectorised functions over stacks of tiles.
+"""Keypoint detectors by name, as vectorised functions over tiles.
 
-A detector maps a stack (n, height, width) to scores of the same shape. register() adds one. The names stand for the response that each
-method is built on, at the scales that a tile holds; none is a copy of a library's implementation.
+Corner detectors (harris, min_eigen, hessian, fast) map a stack (n, height, width) to scores of the same shape; their points are what suppression leaves, their descriptor is the
+normalised patch around a point. register() adds one. The others find points of an image themselves, at places between pixels, with size, direction and a
+descriptor of their own: sift, surf and kaze (scale_space), orb and brisk (binary: words of bits), mser (extremal).
 
-Nulls, ties and odd sizes: a tile whose pixel array is null, of another length or holds a null has no keypoints; equal scores go by y, then x; a
-constant tile has no keypoints above 0; `most` is None unless points are to be limited to the best of a tile; an empty table gives no rows.
+Nulls, ties and odd sizes: a tile whose pixel array is null, of another length or holds a null has no keypoints; tiles may differ in size where the table has
+columns height and width; equal scores go by y, then x; a constant tile has no keypoints above 0; `most` is None unless points are to be limited to the best of a tile; an
+empty table gives no rows. Tiles are told apart by the key columns given, of any types; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -14,146 +16,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.operators.spectral import stacked, window_sums
+from tessera.operators import binary, extremal, scale_space
+from tessera.operators.corners import RING, blurred, box, fast, gradients, harris, hessian, hessian_of, min_eigen, padded, structure  # noqa: F401
+from tessera.operators.points import Points, suppress
+from tessera.operators.spectral import stacked
 
+DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast}
+#: Methods that give points with their own descriptors, and those of them whose descriptors are bits.
+FEATURES: dict[str, Callable[..., Points]] = {"sift": scale_space.sift, "surf": scale_space.surf, "kaze": scale_space.kaze, "orb": binary.orb, "brisk": binary.brisk, "mser": extremal.mser}
+BINARY = ("orb", "brisk")
 
-def padded(v: np.ndarray, r: int) -> np.ndarray:
-    return np.pad(v, ((0, 0), (r, r), (r, r)), mode="edge")
 
-
-def box(v: np.ndarray, r: int = 1) -> np.ndarray:
-    return window_sums(padded(v, r), 2 * r + 1, 2 * r + 1)
-
-
-def gradients(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Along y and x; one-sided at the edges."""
-    return np.gradient(v, axis=1), np.gradient(v, axis=2)
-
-
-def blurred(v: np.ndarray, sigma: float) -> np.ndarray:
-    r = max(1, round(3 * sigma))
-    g = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    g /= g.sum()
-    p = padded(v, r)
-    p = sum(w * p[:, i : i + v.shape[1]] for i, w in enumerate(g))
-    return sum(w * p[:, :, i : i + v.shape[2]] for i, w in enumerate(g))
-
-
-def structure(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gy, gx = gradients(v)
-    return box(gx * gx), box(gy * gy), box(gx * gy)
-
-
-def harris(v: np.ndarray, k: float = 0.04) -> np.ndarray:
-    xx, yy, xy = structure(v)
-    return xx * yy - xy * xy - k * (xx + yy) ** 2
-
-
-def min_eigen(v: np.ndarray) -> np.ndarray:
-    xx, yy, xy = structure(v)
-    return (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
-
-
-def hessian_of(v: np.ndarray, weight: float = 0.9) -> np.ndarray:
-    gy, gx = gradients(v)
-    (yy, xy), xx = gradients(gy), gradients(gx)[1]
-    return xx * yy - (weight * xy) ** 2
-
-
-def hessian(v: np.ndarray) -> np.ndarray:
-    """Determinant of the Hessian of the smoothed tile, the response that SURF approximates by boxes."""
-    return hessian_of(box(v) / 9)
-
-
-#: The circle of radius 3 around a pixel, as (x, y), clockwise from the top.
-RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
-
-
-def fast(v: np.ndarray, threshold: float = 0.1, arc: int = 9) -> np.ndarray:
-    """Score of pixels with `arc` adjacent pixels of the circle all brighter or all darker by threshold."""
-    pad = padded(v, 3)
-    diff = np.stack([pad[:, 3 + y : 3 + y + v.shape[1], 3 + x : 3 + x + v.shape[2]] - v for x, y in RING])
-    out = np.zeros_like(v)
-    for sign in (1, -1):
-        over = sign * diff > threshold
-        twice = np.concatenate((over, over[: arc - 1]))
-        run = np.stack([twice[i : i + arc].all(axis=0) for i in range(16)]).any(axis=0)
-        out = np.maximum(out, np.where(run, np.where(over, np.abs(diff) - threshold, 0).sum(axis=0), 0))
-    return out
-
-
-def sift(v: np.ndarray, sigma: float = 1.0, scales: int = 4) -> np.ndarray:
-    """Size of the strongest difference of Gaussians that is an extremum of its 26 neighbours in place and scale."""
-    levels = np.stack([blurred(v, sigma * 2 ** (i / 2)) for i in range(scales + 1)])
-    d = np.diff(levels, axis=0)
-    out = np.zeros_like(v)
-    for s in range(1, len(d) - 1):
-        cube = np.stack([np.lib.stride_tricks.sliding_window_view(padded(x, 1), (3, 3), axis=(1, 2)) for x in d[s - 1 : s + 2]])
-        top, low = cube.max(axis=(0, 4, 5)), cube.min(axis=(0, 4, 5))
-        out = np.maximum(out, np.where((d[s] >= top) | (d[s] <= low), np.abs(d[s]), 0))
-    return out
-
-
-def kaze(v: np.ndarray, steps: int = 4, contrast: float = 0.1) -> np.ndarray:
-    """Hessian after diffusion that stops at edges (Perona and Malik)."""
-    u = v.copy()
-    for _ in range(steps):
-        gy, gx = gradients(u)
-        g = 1 / (1 + (gx * gx + gy * gy) / contrast**2)
-        u = u + 0.2 * (gradients(g * gy)[0] + gradients(g * gx)[1])
-    return hessian_of(u, 1.0)
-
-
-def brisk(v: np.ndarray) -> np.ndarray:
-    """Best circle score of the tile and of the tile smoothed."""
-    return np.maximum(fast(v), fast(box(v) / 9))
-
-
-def orb(v: np.ndarray) -> np.ndarray:
-    """Corners of the circle test, scored by the Harris response."""
-    return np.where(fast(v) > 0, np.maximum(harris(v), 0), 0)
-
-
-def component_labels(mask: np.ndarray) -> np.ndarray:
-    """For each pixel of a stack of masks the smallest place in its 4-connected component; mask.size outside."""
-    none = mask.size
-    labels = np.where(mask, np.arange(none).reshape(mask.shape), none)
-    while True:
-        p = np.pad(labels, ((0, 0), (1, 1), (1, 1)), constant_values=none)
-        near = np.minimum.reduce([p[:, 1:-1, 1:-1], p[:, :-2, 1:-1], p[:, 2:, 1:-1], p[:, 1:-1, :-2], p[:, 1:-1, 2:]])
-        new = np.where(mask, np.append(near.ravel(), none)[near], none)
-        if (new == labels).all():
-            return labels
-        labels = new
-
-
-def mser(v: np.ndarray, levels: int = 16, most: float = 0.25) -> np.ndarray:
-    """Centres of regions below or above a level that hardly grow from the level before to the one after, from 3 pixels to half a tile: 1 / (1 + growth)."""
-    n, h, w = v.shape
-    out = np.zeros_like(v)
-    rows, columns = np.indices((h, w))
-    for u in (v, -v):
-        low, high = u.min(axis=(1, 2)), u.max(axis=(1, 2))
-        steps = low + (high - low) * (np.arange(levels)[:, None] + 0.5) / levels
-        masks = u <= steps[:, :, None, None]
-        labels = [component_labels(m) for m in masks]
-        sizes = [np.bincount(x.ravel(), minlength=u.size + 1) for x in labels]
-        areas = [np.where(m, s[x], 0) for m, s, x in zip(masks, sizes, labels, strict=True)]
-        for t in range(1, levels - 1):
-            before = np.zeros(u.size + 1)
-            np.maximum.at(before, labels[t].ravel(), areas[t - 1].ravel())
-            tops = np.flatnonzero(masks[t].ravel() & (labels[t].ravel() == np.arange(u.size)))
-            size = areas[t].ravel()[tops]
-            growth = (areas[t + 1].ravel()[tops] - before[tops]) / size
-            total = lambda x, t=t: np.bincount(labels[t].ravel(), np.broadcast_to(x, u.shape).ravel(), u.size + 1)[tops]  # noqa: B023, E731
-            good = (growth <= most) & (size >= 3) & (size <= h * w / 2)
-            r, c = (np.rint(total(x)[good] / size[good]).astype(int) for x in (rows, columns))
-            np.maximum.at(out, (tops[good] // (h * w), r, c), 1 / (1 + growth[good]))
-    return out
-
-
-DETECTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"harris": harris, "min_eigen": min_eigen, "hessian": hessian, "fast": fast, "sift": sift, "kaze": kaze, "brisk": brisk, "orb": orb, "mser": mser}
+def NAMES() -> list[str]:  # noqa: N802
+    return [*DETECTORS, *FEATURES]
 
 
 def register(name: str, response: Callable[[np.ndarray], np.ndarray]) -> None:
@@ -163,23 +40,27 @@ def register(name: str, response: Callable[[np.ndarray], np.ndarray]) -> None:
     DETECTORS[name] = response
 
 
-def suppress(points: np.ndarray, scores: np.ndarray, radius: int) -> np.ndarray:
-    """Indexes of the points (x, y) that stay, best first: a point falls to a better one within radius in both axes."""
-    order = np.lexsort((points[:, 0], points[:, 1], -scores))
-    if not len(order):
-        return order
-    taken = np.zeros(points.max(axis=0) + 2 * radius + 1, bool)
-    stay: list[int] = []
-    for i in order.tolist():
-        x, y = points[i]
-        if not taken[x + radius, y + radius]:
-            stay.append(i)
-            taken[x : x + 2 * radius + 1, y : y + 2 * radius + 1] = True
-    return np.array(stay, int)
+def points_of(v: np.ndarray, method: str, *, least: float = 0.0, radius: int = 1, patch: int = 3) -> Points:
+    """Keypoints of one image by name, best first."""
+    if not v.size:
+        return Points.of([], [], [])
+    if method in FEATURES:
+        return FEATURES[method](v, least)
+    s = DETECTORS[method](v[None])[0]
+    y, x = np.nonzero(s > least)
+    points, score = np.stack((x, y), axis=1), s[y, x]
+    stay = suppress(points, score, radius)
+    points, score = points[stay], score[stay]
+    pad = padded(v[None], patch)[0]
+    f = np.array([pad[py : py + 2 * patch + 1, px : px + 2 * patch + 1].ravel() for px, py in points]).reshape(len(stay), (2 * patch + 1) ** 2)
+    f = f - f.mean(axis=1, keepdims=True) if len(f) else f
+    length = np.sqrt((f * f).sum(axis=1, keepdims=True))
+    one = np.ones(len(stay))
+    return Points(points[:, 0].astype(float), points[:, 1].astype(float), score, one, 0 * one, f / np.where(length > 0, length, 1), np.empty((len(stay), 0), np.int64))
 
 
 def responses(tiles: DataFrame, height: int, width: int, methods: list[str]) -> DataFrame:
-    """(tile_id, r, c, a column of scores for each method)."""
+    """(tile_id, r, c, a column of scores for each corner method)."""
     found = {m: DETECTORS[m] for m in methods}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,26 +70,42 @@ def responses(tiles: DataFrame, height: int, width: int, methods: list[str]) ->
             out = {"tile_id": np.repeat(batch["tile_id"].to_numpy()[good], len(p)), "r": np.tile(p // width, len(v)), "c": np.tile(p % width, len(v))}
             yield pd.DataFrame(out | {m: (f(v) if len(v) else v).ravel() for m, f in found.items()})
 
-    return tiles.select("tile_id", "pixels").mapInPandas(run, "tile_id bigint, r int, c int, " + ", ".join(f"{m} double" for m in methods))
+    kind = tiles.schema["tile_id"].dataType.simpleString()
+    return tiles.select("tile_id", "pixels").mapInPandas(run, f"tile_id {kind}, r int, c int, " + ", ".join(f"{m} double" for m in methods))
 
 
-def detect(tiles: DataFrame, height: int, width: int, method: str, *, least: float = 0.0, radius: int = 1, most: int | None = None, patch: int = 3) -> DataFrame:
-    """(tile_id, kp_id, x, y, score, descriptor) of each tile's points above `least`, best first; the descriptor is the normalised patch around it."""
-    response = DETECTORS[method]
+def scale_responses(tiles: DataFrame, height: int, width: int, sigmas: tuple[float, float]) -> DataFrame:
+    """(tile_id, r, c, dog): the tile smoothed by the second sigma less the tile smoothed by the first, the response of which SIFT takes the peaks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good, v = stacked(batch["pixels"].tolist(), height, width)
+            p = np.arange(height * width)
+            dog = blurred(v, sigmas[1]) - blurred(v, sigmas[0]) if len(v) else v
+            yield pd.DataFrame({"tile_id": np.repeat(batch["tile_id"].to_numpy()[good], len(p)), "r": np.tile(p // width, len(v)), "c": np.tile(p % width, len(v)), "dog": dog.ravel()})
+
+    return tiles.select("tile_id", "pixels").mapInPandas(run, f"tile_id {tiles.schema['tile_id'].dataType.simpleString()}, r int, c int, dog double")
+
+
+def detect(tiles: DataFrame, height: int | None, width: int | None, method: str, *, keys: tuple[str, ...] = ("tile_id",), least: float = 0.0, radius: int = 1, most: int | None = None, blocks: int = 1, patch: int = 3) -> DataFrame:
+    """(keys, kp_id, x, y, score, size, angle, descriptor, bits) of each tile's points above `least`, best first. most and blocks: see Points.quota()."""
+    if method not in NAMES():
+        raise ValueError(f"unknown method {method!r}; there are {', '.join(NAMES())}")
+    for name, given in (("height", height), ("width", width)):
+        if name not in tiles.columns:
+            tiles = tiles.withColumn(name, F.lit(given).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             rows = []
-            scores, pads = response(v) if len(v) else v, padded(v, patch) if len(v) else v
-            for tile, s, pad in zip(batch["tile_id"].to_numpy()[good].tolist(), scores, pads, strict=True):
-                y, x = np.nonzero(s > least)
-                points, score = np.stack((x, y), axis=1), s[y, x]
-                for n, i in enumerate(suppress(points, score, radius)[:most].tolist()):
-                    px, py = points[i]
-                    d = pad[py : py + 2 * patch + 1, px : px + 2 * patch + 1].ravel()
-                    d = d - d.mean()
-                    rows.append((tile, n, float(px), float(py), round(float(score[i]), 6), (d / (np.linalg.norm(d) or 1)).tolist()))
-            yield pd.DataFrame(rows, columns=["tile_id", "kp_id", "x", "y", "score", "descriptor"])
-
-    return tiles.select("tile_id", "pixels").mapInPandas(run, "tile_id bigint, kp_id int, x double, y double, score double, descriptor array<double>")
+            for *tile, pixels, h, w in zip(*(batch[c] for c in (*keys, "pixels", "height", "width")), strict=True):
+                good, v = stacked([pixels], int(h), int(w)) if pd.notna(h) and pd.notna(w) else (np.zeros(1, bool), None)
+                if not good[0]:
+                    continue
+                p = points_of(v[0], method, least=least, radius=radius, patch=patch).quota((0, int(h), 0, int(w)), most, blocks)
+                numbers = (np.round(c, 6).tolist() for c in (p.score, p.size, p.angle))
+                rows += [(*tile, n, *r) for n, r in enumerate(zip(p.x.tolist(), p.y.tolist(), *numbers, p.f.tolist(), p.bits.tolist(), strict=True))]
+            yield pd.DataFrame(rows, columns=[*keys, "kp_id", "x", "y", "score", "size", "angle", "descriptor", "bits"])
+
+    kinds = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in keys)
+    return tiles.select(*keys, "pixels", "height", "width").mapInPandas(run, f"{kinds}, kp_id int, x double, y double, score double, size double, angle double, descriptor array<double>, bits array<bigint>")

@@ -32,9 +32,12 @@ def sampled_descriptors(points: DataFrame, coarse: DataFrame, width: int, height
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
     p = p.withColumn("o", corner).withColumn("j", F.col("x0") + F.col("o.a")).withColumn("i", F.col("y0") + F.col("o.b"))
     p = p.withColumn("w", (1 - F.abs(F.col("px") - F.col("j"))) * (1 - F.abs(F.col("py") - F.col("i")))).where((F.col("w") > 0) & F.col("i").between(0, rows - 1) & F.col("j").between(0, columns - 1))
-    parts = p.join(coarse.select("tile_id", "i", "j", "vector"), ["tile_id", "i", "j"]).select("tile_id", "kp_id", "w", F.posexplode("vector").alias("k", "v"))
-    sums = parts.groupBy("tile_id", "kp_id", "k").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    whole = sums.groupBy("tile_id", "kp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("d"))
+    met = p.join(coarse.select("tile_id", "i", "j", "vector"), ["tile_id", "i", "j"])
+    # at most four vectors a point, added up in its row
+    four = met.groupBy("tile_id", "kp_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "w", "vector"))).alias("four"))
+    weighed = lambda x: F.transform(x["vector"], lambda v: x["w"] * v)
+    total = F.aggregate(F.slice("four", F.lit(2), F.lit(3)), weighed(F.get("four", F.lit(0))), lambda t, x: F.zip_with(t, weighed(x), lambda a, b: a + b))
+    whole = four.select("tile_id", "kp_id", total.alias("d"))
     length = F.sqrt(F.aggregate("d", F.lit(0.0), lambda t, v: t + v * v))
     return whole.select("tile_id", "kp_id", F.transform("d", lambda v: F.try_divide(v, length)).alias("descriptor"))
 

@@ -1,11 +1,16 @@
-"""Descriptor matching within pairs: equi-joins on the pair, ranks both ways.
+"""Descriptor matching within pairs: equi-joins on the pair.
 
-All keypoints of a pair of tiles meet, which a quota of keypoints bounds. Nulls and ties: a null descriptor or a null within it gives no distance, and
+Exhaustive matching brings each pair's descriptors to one row a side and takes one product of matrices there (or counts of differing bits), so a pair of K
+points a side costs K rows, never K * K. All keypoints of a pair of tiles meet, which a quota of keypoints bounds. Nulls and ties: a null descriptor or a null within it gives no distance, and
 that candidate is left out; descriptors of different lengths too; equal distances go to the smaller id; a pair without candidates has no matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +31,85 @@ def normal(x: Column) -> Column:
 
 
 def distances(left: DataFrame, right: DataFrame, on: list[str], *, normalised: bool = False) -> DataFrame:
-    """(on, kp1, kp2, d2) of left (on, kp1, f1) and right (on, kp2, f2)."""
+    """(on, kp1, kp2, d2) of left (on, kp1, f1) and right (on, kp2, f2): every pair of points, for small sets."""
     d2 = (unit_distance if normalised else squared_distance)(F.col("f1"), F.col("f2"))
     return left.join(right, on).select(*on, "kp1", "kp2", d2.alias("d2")).where("d2 is not null")
 
 
+def table(rows: list, binary: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the whole descriptors among rows, those as a matrix). The first length that occurs is the length."""
+    kind = np.int64 if binary else float
+    good = [i for i, x in enumerate(rows) if x is not None and not any(v is None for v in x)]
+    size = len(rows[good[0]]) if good else 0
+    good = [i for i in good if len(rows[i]) == size]
+    return np.array(good, int), np.array([np.asarray(rows[i], kind) for i in good], kind).reshape(len(good), size)
+
+
+def gaps(f: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each row of f to each of g: squared, unit (2 - 2 f.g) or hamming (bits that differ)."""
+    if f.shape[1] != g.shape[1]:
+        return np.full((len(f), len(g)), np.inf)
+    if metric == "hamming":
+        f, g = f.view(np.uint64), g.view(np.uint64)  # of a negative number only the bits of its size would be counted
+        return sum((np.bitwise_count(f[:, None, w] ^ g[None, :, w]).astype(np.int64) for w in range(f.shape[1])), np.zeros((len(f), len(g)), np.int64)).astype(float)
+    dot = f @ g.T
+    if metric == "unit":
+        return 2 - 2 * dot
+    near = np.maximum((f * f).sum(axis=1)[:, None] + (g * g).sum(axis=1) - 2 * dot, 0)
+    # a product loses places where both are almost alike: those are taken again, entry by entry
+    scale = np.maximum((f * f).sum(axis=1)[:, None], (g * g).sum(axis=1))
+    for i, j in zip(*np.nonzero(near < 1e-6 * scale), strict=True):
+        near[i, j] = ((f[i] - g[j]) ** 2).sum()
+    return near
+
+
+def best_matches(f: np.ndarray, g: np.ndarray, *, metric: str = "squared", max_ratio: float | None = None, threshold: float | None = None, mutual: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of f, rows of g, distances) that match; rows must stand in the order of their ids, as the first of equals wins."""
+    none = np.empty(0, int), np.empty(0, int), np.empty(0)
+    if not len(f) or not len(g):
+        return none
+    d = gaps(f, g, metric)
+    one = np.arange(len(f))
+    two = d.argmin(axis=1)
+    near = d[one, two]
+    good = np.isfinite(near)
+    if mutual:
+        good &= d.argmin(axis=0)[two] == one
+    if max_ratio is not None and len(g) > 1:
+        second = np.partition(d, 1, axis=1)[:, 1]
+        good &= near <= max_ratio * np.maximum(second, 1e-3)
+    if threshold is not None:
+        good &= near <= threshold
+    return one[good], two[good], near[good]
+
+
+def nearest(left: DataFrame, right: DataFrame, on: list[str], *, metric: str = "squared", max_ratio: float | None = None, threshold: float | None = None, mutual: bool = True) -> DataFrame:
+    """(on, kp1, kp2, d2) of left (on, kp1, f1) and right (on, kp2, f2): matches that are each other's nearest (ties: smaller ids); max_ratio bounds d2 of the
+    nearest against the second nearest of kp1, threshold d2 itself. Without mutual, each kp1 has its nearest. metric: squared, unit or hamming."""
+    if metric not in ("squared", "unit", "hamming"):
+        raise ValueError("metric is squared, unit or hamming")
+
+    def gathered(side: DataFrame, n: int) -> DataFrame:
+        return side.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(f"kp{n}").alias("kp"), F.col(f"f{n}").alias("f")))).alias(f"s{n}")).select(*on, F.col(f"s{n}.kp").alias(f"k{n}"), F.col(f"s{n}.f").alias(f"d{n}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, (k1, d1, k2, d2) in enumerate(zip(batch["k1"], batch["d1"], batch["k2"], batch["d2"], strict=True)):
+                (i, f), (j, g) = table(list(d1), metric == "hamming"), table(list(d2), metric == "hamming")
+                one, two, near = best_matches(f, g, metric=metric, max_ratio=max_ratio, threshold=threshold, mutual=mutual)
+                part = batch[on].iloc[np.full(len(one), n)].reset_index(drop=True)
+                out.append(part.assign(kp1=np.asarray(k1)[i[one]] if len(one) else [], kp2=np.asarray(k2)[j[two]] if len(one) else [], d2=near))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on)
+    ids = f"kp1 {left.schema['kp1'].dataType.simpleString()}, kp2 {right.schema['kp2'].dataType.simpleString()}"
+    return gathered(left, 1).join(gathered(right, 2), on).mapInPandas(run, f"{kinds}, {ids}, d2 double")
+
+
 def mutual_nearest(dist: DataFrame, on: list[str], *, max_ratio: float | None = None, threshold: float | None = None, mutual: bool = True) -> DataFrame:
-    """Matches that are each other's nearest (ties: smaller ids); max_ratio bounds d2 of the nearest against the second nearest of kp1, threshold d2
-    itself. Without mutual, each kp1 has its nearest."""
+    """The same from a table of distances (on, kp1, kp2, d2), such as those of a few candidates a point."""
     ahead = Window.partitionBy(*on, "kp1").orderBy("d2", "kp2")
     back = Window.partitionBy(*on, "kp2").orderBy("d2", "kp1")
     out = dist.withColumn("r1", F.row_number().over(ahead)).withColumn("second", F.lead("d2").over(ahead)).withColumn("r2", F.row_number().over(back))

@@ -30,7 +30,9 @@ def least_squares_shift(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gathered(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, __s): the shifts (m, dx, dy) of each group, sorted."""
+    """(keys, __s): the shifts (m, dx, dy) of each group, sorted; a table that has them already goes on as it is."""
+    if "__s" in matches.columns:
+        return matches
     some = shifts(matches).where("dx is not null and dy is not null")
     return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("m", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")))).alias("__s"))
 

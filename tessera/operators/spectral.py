@@ -56,9 +56,17 @@ def subregion(image: np.ndarray, x: int, y: int) -> np.ndarray:
     return image[max(0, y) : h + min(0, y), max(0, x) : w + min(0, x)]
 
 
+def shared(a: np.ndarray, b: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of a and of b that lie on each other when b is moved by (x, y); the images may differ in size."""
+    r0, r1, c0, c1 = max(0, y), min(a.shape[0], b.shape[0] + y), max(0, x), min(a.shape[1], b.shape[1] + x)
+    if r0 >= r1 or c0 >= c1:
+        return a[:0, :0], b[:0, :0]
+    return a[r0:r1, c0:c1], b[r0 - y : r1 - y, c0 - x : c1 - x]
+
+
 def overlap_ncc(a: np.ndarray, b: np.ndarray, x: int, y: int) -> float:
     """Correlation of the overlap of a with b moved by (x, y); -1 where it is undefined."""
-    p, q = subregion(a, x, y), subregion(b, -x, -y)
+    p, q = shared(a, b, x, y)
     if p.size < 2:
         return -1.0
     p, q = p - p.mean(), q - q.mean()
@@ -68,7 +76,7 @@ def overlap_ncc(a: np.ndarray, b: np.ndarray, x: int, y: int) -> float:
 
 def disambiguate(a: np.ndarray, b: np.ndarray, row: int, col: int, direction: str) -> tuple[int, int, float]:
     """Of the eight shifts that a peak may stand for, the one whose overlap correlates best, the first of equals."""
-    h, w = a.shape
+    h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
     places = [(x, y) for y in (row, h - row) for x in (col, w - col)]
     places += [(-x, y) for x, y in places] if direction == "north" else [(x, -y) for x, y in places]
     values = [round(overlap_ncc(a, b, x, y), 9) for x, y in places]
@@ -90,17 +98,40 @@ def pciam(a: np.ndarray, b: np.ndarray, direction: str, peaks: int = 2) -> tuple
 
 def ncc_shifts(a: np.ndarray, b: np.ndarray, direction: str, overlap: float) -> list[tuple[int, int, float]]:
     """Shifts of pairs of one direction: the strip of b that should overlap is looked for in a somewhat wider strip of a."""
-    h, w = a.shape[1:]
+    (h, w), (hb, wb) = a.shape[1:], b.shape[1:]
     if direction == "north":
         top = max(0, h - round(h * (overlap + 0.1)))
-        off, surfaces = (0, top), normxcorr2(b[:, : max(1, round(h * overlap))], a[:, top:])
+        off, search, template = (0, top), a[:, top:], b[:, : max(1, round(hb * overlap))]
     else:
         left = max(0, w - round(w * (overlap + 0.1)))
-        off, surfaces = (left, 0), normxcorr2(b[:, :, : max(1, round(w * overlap))], a[:, :, left:])
+        off, search, template = (left, 0), a[:, :, left:], b[:, :, : max(1, round(wb * overlap))]
+    # of a larger tile only what fits is looked for
+    surfaces = normxcorr2(template[:, : search.shape[1], : search.shape[2]], search)
     peaks = [first_peak(s) for s in surfaces]
     return [(c + off[0], r + off[1], float(s[r, c])) for s, (r, c) in zip(surfaces, peaks, strict=True)]
 
 
+def shifts(sides: list[tuple[np.ndarray | None, np.ndarray | None]], directions: list[str], method: str, overlap: float) -> list[tuple[int, int, float] | None]:
+    """Shift (x, y) and correlation of each pair of images, None where one is missing. Pairs of equal sizes and direction go through the transforms
+    together; images of different sizes are filled with zeros to a common one for phase correlation only."""
+    out: list[tuple[int, int, float] | None] = [None] * len(sides)
+    kinds: dict[tuple, list[int]] = {}
+    for i, ((a, b), d) in enumerate(zip(sides, directions, strict=True)):
+        if a is not None and b is not None and a.size and b.size:
+            kinds.setdefault((a.shape, b.shape, d), []).append(i)
+    for (one, two, d), at in kinds.items():
+        a, b = (np.stack([sides[i][n] for i in at]) for n in (0, 1))
+        if method == "phase":
+            h, w = max(one[0], two[0]), max(one[1], two[1])
+            full = [np.pad(v, ((0, 0), (0, h - v.shape[1]), (0, w - v.shape[2]))) for v in (a, b)]
+            got = [peak_shift(s, p, q, d) for s, p, q in zip(phase_correlation(*full), a, b, strict=True)]
+        else:
+            got = ncc_shifts(a, b, d, overlap)
+        for i, g in zip(at, got, strict=True):
+            out[i] = g
+    return out
+
+
 def stacked(arrays: list, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(which of the pixel arrays are whole, those as a stack of images)."""
     flat = [None if x is None or len(x) != height * width else np.asarray(x, float) for x in arrays]
@@ -114,20 +145,13 @@ def align(pairs: DataFrame, height: int, width: int, keys: str, method: str = "p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            good, both = stacked([None if a is None or b is None or len(a) != len(b) else np.concatenate((a, b)) for a, b in zip(x["pa"], x["pb"], strict=True)], 2 * height, width)
-            a, b, directions = both[:, :height], both[:, height:], x["direction"].to_numpy()[good]
-            got: list = [None] * len(a)
-            if method == "phase":
-                got = [peak_shift(s, p, q, d) for s, p, q, d in zip(phase_correlation(a, b), a, b, directions, strict=True)]
-            else:
-                for d in ("north", "west"):
-                    at = np.flatnonzero(directions == d)
-                    for i, g in zip(at.tolist(), ncc_shifts(a[at], b[at], d, overlap) if len(at) else [], strict=True):
-                        got[i] = g
+            whole = [tuple(stacked([p], height, width)[1] for p in (pa, pb)) for pa, pb in zip(x["pa"], x["pb"], strict=True)]
+            good = np.array([len(a) == len(b) == 1 for a, b in whole], bool)
+            got = shifts([(a[0], b[0]) if g else (None, None) for (a, b), g in zip(whole, good, strict=True)], x["direction"].tolist(), method, overlap)
             out = x[names].copy()
             for n, (column, kind) in enumerate((("tx", "Int32"), ("ty", "Int32"), ("ncc", "float64"))):
                 values = np.full(len(x), None, object)
-                values[good] = [None if g is None else round(g[n], 6) for g in got]
+                values[good] = [None if g is None else round(g[n], 6) for g, ok in zip(got, good, strict=True) if ok]
                 out[column] = pd.array(values, kind) if kind == "Int32" else pd.Series(values, out.index, dtype=kind)
             yield out
 

@@ -117,7 +117,7 @@ def wavefront(sources: DataFrame, height: int, width: int, alpha: float = 1.0) -
                 "dist": np.concatenate(ways) if ways else np.empty(0),
             })
 
-    return sources.select("tile_id", "kp", "row", "column", "walls").mapInPandas(run, "tile_id bigint, kp bigint, r int, c int, dist double")
+    return sources.select("tile_id", "kp", "row", "column", "walls").mapInPandas(run, f"tile_id {sources.schema['tile_id'].dataType.simpleString()}, kp {sources.schema['kp'].dataType.simpleString()}, r int, c int, dist double")
 
 
 def inverse_field(sources: DataFrame, height: int, width: int) -> DataFrame:

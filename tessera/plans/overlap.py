@@ -52,13 +52,14 @@ def pixels(tiles: DataFrame, width: int) -> DataFrame:
     return tiles.select("tile_id", F.posexplode("pixels").alias("p", "v")).select("tile_id", F.floor(F.col("p") / width).cast("int").alias("r"), (F.col("p") % width).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
 
 
-def shared_pixels(pairs: DataFrame, tiles: DataFrame, size: int, dx: Column, dy: Column) -> DataFrame:
-    """Adds values a (of prev) and b (of cur) where cur, shifted right by dx and down by dy, covers prev; empty if they miss each other.
+def shared_pixels(pairs: DataFrame, tiles: DataFrame, size: int, dx: Column, dy: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds values a (of prev) and b (of cur) where cur, shifted right by dx and down by dy, covers prev; empty if they miss each other. keys: columns that
+    both have, such as the data set, where numbers of tiles are told apart by them.
 
     Both arrays travel once with their pair and the overlap is made by exploding indexes, so no pixel table is shuffled."""
-    one = tiles.select(F.col("tile_id").alias("prev"), F.col("pixels").alias("pa"))
-    two = tiles.select(F.col("tile_id").alias("cur"), F.col("pixels").alias("pb"))
-    both = pairs.join(one, "prev").join(two, "cur").withColumn("dx", dx.cast("int")).withColumn("dy", dy.cast("int"))
+    one = tiles.select(*keys, F.col("tile_id").alias("prev"), F.col("pixels").alias("pa"))
+    two = tiles.select(*keys, F.col("tile_id").alias("cur"), F.col("pixels").alias("pb"))
+    both = pairs.join(one, [*keys, "prev"]).join(two, [*keys, "cur"]).withColumn("dx", dx.cast("int")).withColumn("dy", dy.cast("int"))
     both = both.where((F.abs("dx") < size) & (F.abs("dy") < size))
     both = both.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(0), F.col("dy")), F.least(F.lit(size - 1), size - 1 + F.col("dy")))))
     both = both.withColumn("c", F.explode(F.sequence(F.greatest(F.lit(0), F.col("dx")), F.least(F.lit(size - 1), size - 1 + F.col("dx")))))

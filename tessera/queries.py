@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import queries_features, queries_geometry, queries_pixels, queries_register, queries_warp
+from tessera import queries_detect, queries_features, queries_geometry, queries_pixels, queries_register, queries_sources, queries_warp
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -55,7 +55,7 @@ def mutual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = ["i", "j", "direction"]
     left = pairs.join(rows.select(F.col("tile_id").alias("prev"), F.col("kp").alias("kp1"), F.col("f").alias("f1")), "prev").select(*on, "kp1", "f1")
     right = pairs.join(rows.select(F.col("tile_id").alias("cur"), F.col("kp").alias("kp2"), F.col("f").alias("f2")), "cur").select(*on, "kp2", "f2")
-    return matching.mutual_nearest(matching.distances(left, right, on), on).withColumn("d2", F.round("d2", 6))
+    return matching.nearest(left, right, on).withColumn("d2", F.round("d2", 6))
 
 
 def order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def keypoints(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = detect.detect(tiles(spark, sf_dir), SIZE, SIZE, method)
         corner = {n: F.round(F.get("descriptor", F.lit(i)), 6) + 0.0 for n, i in (("d_first", 0), ("d_centre", 24), ("d_last", 48))}
-        return out.withColumn("score", F.col("score") + 0.0).withColumns(corner).drop("descriptor")
+        return out.withColumn("score", F.col("score") + 0.0).withColumns(corner).drop("descriptor", "size", "angle", "bits")
 
     return run
 
@@ -277,6 +277,6 @@ w AS (SELECT k.*, list_transform(range(49), lambda i: px[least(greatest(y + i //
 u AS (SELECT *, list_transform(v, lambda z: z - list_avg(v)) AS d FROM w), f AS (SELECT *, sqrt(list_inner_product(d, d)) AS len FROM u)
 SELECT tile_id, kp_id, x::DOUBLE AS x, y::DOUBLE AS y, round(s, 6) + 0.0 AS score, round(d[1] / len, 6) + 0.0 AS d_first, round(d[25] / len, 6) + 0.0 AS d_centre, round(d[49] / len, 6) + 0.0 AS d_last FROM f"""
 queries_register.add_sql(SQL)
-for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register):
+for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register, queries_detect, queries_sources):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -3,6 +3,8 @@ a tile are its rows of pixels."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def unit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit descriptors, the nearest against the second nearest by 0.8 at most, and no further than 1.5."""
     left, right = sides(spark, sf_dir)
-    d = matching.distances(left.withColumn("f1", matching.normal(F.col("f1"))), right.withColumn("f2", matching.normal(F.col("f2"))), ON, normalised=True)
-    return rounded(matching.mutual_nearest(d, ON, max_ratio=0.8, threshold=1.5), "d2")
+    left, right = left.withColumn("f1", matching.normal(F.col("f1"))), right.withColumn("f2", matching.normal(F.col("f2")))
+    return rounded(matching.nearest(left, right, ON, metric="unit", max_ratio=0.8, threshold=1.5), "d2")
 
 
 def radius_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def radius_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sides(spark, sf_dir)
-    pairs = matching.mutual_nearest(matching.distances(left, right, ON), ON)
+    pairs = matching.nearest(left, right, ON)
     return rounded(matching.gathered_points(pairs, left, right, ON), "x1", "x2")
 
 
@@ -85,9 +87,10 @@ def heat_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptors at places made from part keys, in a map of 200 x 160 pixels and 25 x 20 vectors."""
-    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(0).alias("tile_id"), F.col("p_partkey").alias("kp_id"), (F.col("p_partkey") * 7 % 200 + 0.25).alias("x"), (F.col("p_partkey") * 11 % 160 + 0.5).alias("y"))
-    out = heads.sampled_descriptors(points, cells(spark, sf_dir).where("i < 20"), 200, 160, 25, 20)
+    """Descriptors at places made from part keys, in a map of 25 vectors a row and as many rows as there are, at 8 pixels a vector."""
+    rows = math.ceil(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() / WIDTH)
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(0).alias("tile_id"), F.col("p_partkey").alias("kp_id"), (F.col("p_partkey") * 7 % 200 + 0.25).alias("x"), (F.col("p_partkey") * 11 % (8 * rows) + 0.5).alias("y"))
+    out = heads.sampled_descriptors(points, cells(spark, sf_dir), 8 * WIDTH, 8 * rows, WIDTH, rows)
     return rounded(out.select("kp_id", F.posexplode("descriptor").alias("k", "v")).where("k % 16 = 0"), "v")
 
 
@@ -165,9 +168,10 @@ k AS (SELECT tile_id, n::INT AS kp_id, kept[n + 1] AS z FROM (SELECT tile_id, ke
 SELECT tile_id, kp_id, z.x AS x, z.y AS y, round(z.s, 8) + 0.0 AS score FROM k WHERE z.x BETWEEN 1 AND 6 AND z.y BETWEEN 1 AND 6
 """
 SQL["sampled_descriptors"] = f"""
-WITH {TILES}, p AS (SELECT p_partkey AS kp_id, (p_partkey * 7 % 200 + 0.25::DOUBLE) * 25 / 200 - 0.5 AS px, (p_partkey * 11 % 160 + 0.5::DOUBLE) * 20 / 160 - 0.5 AS py FROM part),
+WITH {TILES}, h AS (SELECT ceil(count(*) / 25)::BIGINT AS h FROM embeddings),
+p AS (SELECT p_partkey AS kp_id, (p_partkey * 7 % 200 + 0.25::DOUBLE) * 25 / 200 - 0.5 AS px, (p_partkey * 11 % (8 * h) + 0.5::DOUBLE) * h / (8 * h) - 0.5 AS py FROM part, h),
 o AS (SELECT kp_id, floor(px)::INT + a AS j, floor(py)::INT + b AS i, (1 - abs(px - floor(px) - a)) * (1 - abs(py - floor(py) - b)) AS w FROM p, range(2) x(a), range(2) y(b)),
-s AS (SELECT kp_id, k::INT AS k, sum(w * px[k + 1]) AS v FROM o JOIN t USING (i, j), range(64) z(k) WHERE w > 0 AND i < 20 GROUP BY kp_id, k), n AS (SELECT kp_id, sqrt(sum(v * v)) AS len FROM s GROUP BY kp_id)
+s AS (SELECT kp_id, k::INT AS k, sum(w * px[k + 1]) AS v FROM o JOIN t USING (i, j), range(64) z(k) WHERE w > 0 GROUP BY kp_id, k), n AS (SELECT kp_id, sqrt(sum(v * v)) AS len FROM s GROUP BY kp_id)
 SELECT kp_id, k, round(v / nullif(len, 0), 6) + 0.0 AS v FROM s JOIN n USING (kp_id) WHERE k % 16 = 0
 """
 SQL["natural_options"] = r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a flipped grid, 20 rows high, and their numbers either way round."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 500").select(F.col("vec_id").alias("tile_id"), F.col("vec_id").alias("seq"))
-    return O.numbered(O.grid(e, WIDTH, height=20, flipped=True), 20, WIDTH).select("tile_id", "i", "j", "index_im", "row_major", "column_major")
+    """Places of a flipped grid, as many rows high as there are, and their numbers either way round."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("tile_id"), F.col("vec_id").alias("seq"))
+    height = math.ceil(e.count() / WIDTH)
+    return O.numbered(O.grid(e, WIDTH, height=height, flipped=True), height, WIDTH).select("tile_id", "i", "j", "index_im", "row_major", "column_major")
 
 
 def catalogue_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +57,13 @@ def register_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners of whole tiles."""
-    return rounded(registered(spark, sf_dir, "min_eigen", overlap=None, least=1e-4).drop("ncc"), "tx", "ty", "error", "rmse", "ssim")
+    """Corners of whole tiles, and of the halves that neighbours share, as two data sets whose tiles are numbered alike."""
+    whole = registered(spark, sf_dir, "min_eigen", overlap=None, least=1e-4).drop("ncc")
+    both = tiles(spark, sf_dir).withColumn("dataset", F.explode(F.array(F.lit("embeddings"), F.lit("turned"))))
+    both = both.withColumn("pixels", F.when(F.col("dataset") == "turned", F.reverse("pixels")).otherwise(F.col("pixels")))
+    halves = R.register(both, SIZE, SIZE, "min_eigen", overlap=0.5, least=1e-4).drop("ncc")
+    out = whole.withColumn("region", F.lit("whole")).unionByName(halves.withColumn("region", F.lit("half")))
+    return rounded(out, "tx", "ty", "error", "rmse", "ssim")
 
 
 def register_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +85,8 @@ ms AS (SELECT {KEYS}, rmse, CASE WHEN ma <> 0 AND mb <> 0 AND (x * x + y * y) *
 
 SQL: dict[str, str] = {}
 SQL["grid_indexes"] = """
-WITH g AS (SELECT vec_id AS tile_id, (19 - vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j FROM embeddings WHERE vec_id < 500)
-SELECT tile_id, i, j, i * 25 + j + 1 AS index_im, i * 25 + j AS row_major, j * 20 + i AS column_major FROM g
+WITH h AS (SELECT ceil(count(*) / 25)::INT AS h FROM embeddings), g AS (SELECT vec_id AS tile_id, (h - 1 - vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, h FROM embeddings, h)
+SELECT tile_id, i, j, i * 25 + j + 1 AS index_im, i * 25 + j AS row_major, j * h + i AS column_major FROM g
 """
 SQL["catalogue_parameters"] = """
 WITH l AS (SELECT l_partkey AS dataset, count(*) AS n_lines FROM lineitem GROUP BY 1), c AS (SELECT p_partkey AS dataset, p_size % 7 AS htile, p_size % 5 AS vtile, ['bright', 'phase', 'fluorescence', 'other'][p_partkey % 4 + 1] AS kind FROM part)

@@ -104,7 +104,7 @@ def flow_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inverse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a turn with a bend that grows with the row."""
-    bent = turned(spark, sf_dir).where("tile_id < 200").withColumn("x", F.col("x") + 0.013 * F.col("r") * F.col("r") + F.col("tile_id") / 977)
+    bent = turned(spark, sf_dir).withColumn("x", F.col("x") + 0.013 * F.col("r") * F.col("r") + F.col("tile_id") / 977)
     return rounded(warp.inverse_field(bent, SIZE, SIZE), "x", "y")
 
 
@@ -183,7 +183,7 @@ best AS (SELECT tile_id, kp, r, c, min(d) AS d FROM go GROUP BY ALL)
 SELECT px.tile_id, k.kp::BIGINT AS kp, px.r, px.c, coalesce(d, 99999)::INT AS dist FROM px CROSS JOIN range(2) k(kp) LEFT JOIN best ON best.tile_id = px.tile_id AND best.kp = k.kp AND best.r = px.r AND best.c = px.c
 """
 SQL["inverse_fields"] = f"""
-WITH {TURN}, v AS (SELECT tile_id, r, c, x + 0.013::DOUBLE * r * r + tile_id / 977 AS x, y, c + 0.5::DOUBLE AS u, r + 0.5::DOUBLE AS w FROM fl WHERE tile_id < 200),
+WITH {TURN}, v AS (SELECT tile_id, r, c, x + 0.013::DOUBLE * r * r + tile_id / 977 AS x, y, c + 0.5::DOUBLE AS u, r + 0.5::DOUBLE AS w FROM fl),
 t AS (SELECT o.tile_id, p.r AS tr, d.c AS tc, k, o.x AS ox, o.y AS oy, o.u AS ou, o.w AS ow, p.x AS px, p.y AS py, p.u AS pu, p.w AS pw, d.x AS qx, d.y AS qy, d.u AS qu, d.w AS qw
   FROM v p JOIN v d ON d.tile_id = p.tile_id AND d.r = p.r + 1 AND d.c = p.c - 1, range(2) z(k) JOIN v o ON o.tile_id = p.tile_id AND o.r = p.r + k AND o.c = d.c + k),
 s AS (SELECT t.*, i, j, (px - ox) * (qy - oy) - (qx - ox) * (py - oy) AS area, j + 0.5 - ox AS dx, i + 0.5 - oy AS dy FROM t, range(8) a(i), range(8) b(j)),
