@@ -1,20 +1,25 @@
 """Clusters of matches and the weights that they give to pixels.
 
+Pixels go in blocks of 64 x 64 to the points of their tile, which are one row; distances are taken there, and only the results become rows: a block of pixels costs
+its results, never pixels times points. All points of a tile meet each of its blocks, which a quota of keypoints bounds.
+
 Nulls, ties and odd sizes: rows with a null coordinate or cluster take no part; equal distances go to the smaller id; clusters of fewer than k points give
 no k-th distance and no weight; a pixel that no cluster weighs has no rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import rank
+from tessera.operators.ways import UNREACHABLE, steps
 
-#: A geodesic distance from here on means that there is no way.
-UNREACHABLE = 99999
+#: Side of a block of pixels, and cells of a table of distances that is held at once.
+SIDE, CELLS = 64, 1 << 21
 
 
 def distance() -> Column:
@@ -29,33 +34,102 @@ def shares(kth: DataFrame, k: int) -> DataFrame:
     return kth.select("tile_id", "r", "c", "cluster", (F.col("w") / (total + 1e-30)).alias("weight"))
 
 
+def by_blocks(pixels: DataFrame, points: DataFrame, of: Callable, columns: str, *, extra: DataFrame | None = None) -> DataFrame:
+    """(tile_id, r, c, cluster, columns) by a function of (rows r, columns c, clusters, their points' numbers as a list of arrays, x, y, what the tile has in `extra`), which gives
+    (numbers of pixels, numbers of clusters, values ...). Points come in the order of their ids."""
+    block = pixels.select("tile_id", "r", "c").groupBy("tile_id", F.floor(F.col("r") / SIDE).alias("br"), F.floor(F.col("c") / SIDE).alias("bc")).agg(F.collect_list("r").alias("r"), F.collect_list("c").alias("c"))
+    some = points.dropna(subset=["cluster", "x", "y"]).groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("kp", "cluster", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
+    both = block.join(some, "tile_id").select("tile_id", "r", "c", F.col("p.cluster").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    both = both.withColumn("extra", F.lit(None).cast("array<double>")) if extra is None else both.join(extra, "tile_id", "left")
+    names = ["tile_id", "r", "c", "cluster", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tile, r, c, k, x, y, more in zip(*(batch[n] for n in ("tile_id", "r", "c", "k", "x", "y", "extra")), strict=True):
+                r, c, x, y = (np.asarray(v, float) for v in (r, c, x, y))
+                kinds, at = np.unique(np.asarray(k), return_inverse=True)
+                members = [np.flatnonzero(at == i) for i in range(len(kinds))]
+                step = max(1, CELLS // max(len(x), 1))
+                for start in range(0, len(r), step):
+                    some_r, some_c = r[start : start + step], c[start : start + step]
+                    pixel, cluster, *values = of(some_r, some_c, members, at, x, y, more)
+                    yield pd.DataFrame(dict(zip(names, ([tile] * len(pixel), some_r[pixel].astype(int), some_c[pixel].astype(int), kinds[cluster], *values), strict=True)))
+
+    kind = lambda df, n: df.schema[n].dataType.simpleString()
+    return both.mapInPandas(run, f"tile_id {kind(pixels, 'tile_id')}, r {kind(pixels, 'r')}, c {kind(pixels, 'c')}, cluster {kind(points, 'cluster')}, {columns}")
+
+
+def kth_distances(pixels: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(tile_id, r, c, cluster, nearest, farthest): the k-th smallest and k-th largest distance from each pixel to a cluster's points, null for fewer of them."""
+
+    def of(r, c, members, at, x, y, _):
+        d = np.hypot(c[:, None] - x, r[:, None] - y)
+        near, far = np.full((len(r), len(members)), np.nan), np.full((len(r), len(members)), np.nan)
+        for i, m in enumerate(members):
+            if len(m) >= k:
+                order = np.partition(d[:, m], [k - 1, len(m) - k], axis=1)
+                near[:, i], far[:, i] = order[:, k - 1], order[:, len(m) - k]
+        pixel, cluster = (v.ravel() for v in np.indices(near.shape))
+        return pixel, cluster, *(pd.array(np.where(np.isnan(v), None, v).ravel(), "Float64") for v in (near, far))
+
+    return by_blocks(pixels, points, of, "nearest double, farthest double")
+
+
 def density_weights(pixels: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     """(tile_id, r, c, cluster, weight): how dense the cluster's points (tile_id, cluster, kp, x, y) lie around a pixel, (k / n) / (d_k**2 + 1e-30) with the k-th nearest
-    of its n points, as a share of all clusters. All points of a tile meet its pixels."""
-    some = points.dropna(subset=["cluster", "x", "y"])
-    sizes = some.groupBy("tile_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    near = pixels.select("tile_id", "r", "c").join(some, "tile_id").withColumn("d", distance())
-    return shares(rank.kth_nearest(near, ["tile_id", "r", "c", "cluster"], k).join(sizes, ["tile_id", "cluster"]), k)
+    of its n points, as a share of all clusters."""
+
+    def of(r, c, members, at, x, y, _):
+        d = np.hypot(c[:, None] - x, r[:, None] - y)
+        whole = [i for i, m in enumerate(members) if len(m) >= k]
+        w = np.array([(k / len(members[i])) / (np.partition(d[:, members[i]], k - 1, axis=1)[:, k - 1] ** 2 + 1e-30) for i in whole]).reshape(len(whole), len(r)).T
+        w = w / (w.sum(axis=1, keepdims=True) + 1e-30)
+        pixel, cluster = (v.ravel() for v in np.indices(w.shape))
+        return pixel, np.array(whole, int)[cluster], w.ravel()
+
+    return by_blocks(pixels, points, of, "weight double")
 
 
 def vote_weights(pixels: DataFrame, points: DataFrame, width: float, k: int = 5) -> DataFrame:
     """The same by votes: each of the k points nearest to a pixel votes for its cluster with exp(-d**2 / width**2)."""
-    near = pixels.select("tile_id", "r", "c").join(points.dropna(subset=["cluster", "x", "y"]), "tile_id").withColumn("d", distance())
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("tile_id", "r", "c").orderBy("d", "kp"))).where(F.col("place") <= k)
-    votes = near.groupBy("tile_id", "r", "c", "cluster").agg(F.sum(F.exp(-F.col("d") * F.col("d") / width**2)).alias("w"))
-    return votes.select("tile_id", "r", "c", "cluster", (F.col("w") / F.sum("w").over(Window.partitionBy("tile_id", "r", "c"))).alias("weight"))
+
+    def of(r, c, members, at, x, y, _):
+        d = np.hypot(c[:, None] - x, r[:, None] - y)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        votes, said = np.zeros((len(r), len(members))), np.zeros((len(r), len(members)), bool)
+        rows = np.arange(len(r))
+        for column in near.T:
+            votes[rows, at[column]] += np.exp(-(d[rows, column] ** 2) / width**2)
+            said[rows, at[column]] = True
+        total = votes.sum(axis=1)
+        pixel, cluster = np.nonzero(said & (total > 0)[:, None])
+        return pixel, cluster, votes[pixel, cluster] / total[pixel]
+
+    return by_blocks(pixels, points, of, "weight double")
 
 
 def visible(pixels: DataFrame, points: DataFrame, cuts: DataFrame, angle: float = 0.2) -> DataFrame:
     """(tile_id, r, c, cluster, visible): false where a place (r, c) of the cuts lies nearer than the cluster's nearest point and within this angle (radians) of its direction."""
-    near = pixels.select("tile_id", "r", "c").join(points.dropna(subset=["cluster", "x", "y"]), "tile_id").withColumn("d", distance())
-    near = near.groupBy("tile_id", "r", "c", "cluster").agg(F.min(F.struct("d", "kp", "x", "y")).alias("p")).select("tile_id", "r", "c", "cluster", "p.d", (F.col("p.x") - F.col("c")).alias("kx"), (F.col("p.y") - F.col("r")).alias("ky"))
-    both = near.join(cuts.select("tile_id", F.col("r").alias("tr"), F.col("c").alias("tc")), "tile_id", "left")
-    tx, ty = F.col("tc") - F.col("c"), F.col("tr") - F.col("r")
-    far = F.hypot(tx, ty)
-    cosine = (F.col("kx") * tx + F.col("ky") * ty) / ((F.col("d") + 1e-30) * (far + 1e-30))
-    blocked = F.coalesce((F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) < angle) & (far < F.col("d")), F.lit(False))
-    return both.groupBy("tile_id", "r", "c", "cluster").agg((~F.bool_or(blocked)).alias("visible"))
+    places = cuts.groupBy("tile_id").agg(F.flatten(F.collect_list(F.array(F.col("r").cast("double"), F.col("c").cast("double")))).alias("extra"))
+
+    def of(r, c, members, at, x, y, cut):
+        spots = np.asarray([] if cut is None else cut, float).reshape(-1, 2)
+        out = np.ones((len(r), len(members)), bool)
+        for i, m in enumerate(members):
+            d = np.hypot(c[:, None] - x[m], r[:, None] - y[m])
+            best = d.argmin(axis=1)
+            near, kx, ky = d[np.arange(len(r)), best], x[m][best] - c, y[m][best] - r
+            step = max(1, CELLS // max(len(spots), 1))
+            for s in range(0, len(r), step):
+                part = slice(s, s + step)
+                tx, ty = spots[:, 1] - c[part, None], spots[:, 0] - r[part, None]
+                far = np.hypot(tx, ty)
+                cosine = (kx[part, None] * tx + ky[part, None] * ty) / ((near[part, None] + 1e-30) * (far + 1e-30))
+                out[part, i] = ~((np.arccos(np.clip(cosine, -1, 1)) < angle) & (far < near[part, None])).any(axis=1)
+        pixel, cluster = (v.ravel() for v in np.indices(out.shape))
+        return pixel, cluster, out.ravel()
+
+    return by_blocks(pixels, points, of, "visible boolean", extra=places)
 
 
 def nearest_clusters(centres: DataFrame) -> DataFrame:
@@ -66,6 +140,68 @@ def nearest_clusters(centres: DataFrame) -> DataFrame:
     return both.groupBy("tile_id", "cluster").agg(F.min(F.struct("d", "nearest")).alias("x")).select("tile_id", "cluster", F.col("x.nearest").alias("nearest"))
 
 
+def medoids_of(f: np.ndarray, k: int, first: np.ndarray, wall: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, numbers of the centres) of samples f by rounds of k-means whose centres are samples.
+
+    Centres start as the first k of `first`; each cluster's mean (its sum by its size + 1) moves its centre to the sample nearest to it, until nothing changes or k + 1 rounds are
+    done; a cluster without samples has its mean at 0. With walls, distances are ways over pixels around them, between the first two features (x, y), and a sample that no
+    centre reaches has the label -1."""
+    k = min(k, len(f))
+    centres = first[:k]
+
+    def apart(to: np.ndarray) -> np.ndarray:
+        if wall is None:
+            return ((f[:, None] - to) ** 2).sum(axis=2)
+        x, y = (np.clip(np.trunc(f[:, i]).astype(int), 0, wall.shape[1 - i] - 1) for i in (0, 1))
+        ways = [steps(wall, int(t[1]), int(t[0])) for t in to]
+        return np.stack([w[y, x] for w in ways], axis=1).astype(float)
+
+    for _ in range(k + 1):
+        d = apart(f[centres])
+        label = d.argmin(axis=1)
+        if wall is not None:
+            label = np.where(d.min(axis=1) >= UNREACHABLE, -1, label)
+        means = np.array([f[label == i].sum(axis=0) / ((label == i).sum() + 1) for i in range(k)])
+        new = apart(means).argmin(axis=0)
+        if (new == centres).all():
+            break
+        centres = new
+    d = apart(f[centres])
+    label = d.argmin(axis=1)
+    return (label if wall is None else np.where(d.min(axis=1) >= UNREACHABLE, -1, label)), centres
+
+
+def k_medoids(samples: DataFrame, keys: list[str], features: list[str], k: int, *, id_col: str = "m", walls: DataFrame | None = None, height: int = 0, width: int = 0) -> DataFrame:
+    """Samples with their cluster (0 to k - 1; -1 for what no centre reaches) and whether they are its centre, for all keys at once.
+
+    walls: (keys, walls: row-major booleans) of images of height x width, around which distances go; a key without walls takes straight distances. Centres start as the first k by
+    hash of the id. Rows with a null id or feature are left out; a key with fewer samples than k has fewer clusters. The samples of one key, the matches of a
+    pair of images, meet in one task, with all rounds: no round is a job."""
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in samples.columns}
+    some = samples.dropna(subset=[id_col, *features])
+    row = F.struct(F.xxhash64(id_col).alias("__h"), F.col(id_col).alias("__id"), *(F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)), F.struct(*samples.columns).alias("__row"))
+    groups = some.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__s"))
+    groups = groups.join(walls.select(*keys, F.col("walls").alias("__w")), keys, "left") if walls is not None else groups.withColumn("__w", F.lit(None).cast("array<boolean>"))
+    matrix = F.transform("__s", lambda x: F.array(*(x[f"__f{i}"] for i in range(len(features)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for f, w in zip(batch["__f"], batch["__w"], strict=True):
+                wall = np.asarray(w, bool).reshape(height, width) if w is not None and len(w) == height * width else None
+                f = np.array([list(x) for x in f], float)
+                label, centres = medoids_of(f, k, np.arange(len(f)), wall)
+                out.append([(int(c), bool((centres == i).any())) for i, c in enumerate(label)])
+            yield batch.drop(columns=["__f", "__w"]).assign(__l=[[{"cluster": c, "centre": t} for c, t in x] for x in out])
+
+    # rows travel beside their labels and are put together again by place
+    numbered = groups.select(*keys, "__w", matrix.alias("__f"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", __l array<struct<cluster: int, centre: boolean>>"
+    labels = numbered.mapInPandas(run, schema)
+    back = groups.select(*keys, "__s").join(labels, keys).select(F.explode(F.arrays_zip(F.col("__s.__row").alias("row"), F.col("__l").alias("l"))).alias("z"))
+    return back.select("z.row.*", "z.l.cluster", "z.l.centre")
+
+
 def k_means(samples: DataFrame, features: list[str], k: int, *, id_col: str = "id", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, list]:
     """(samples with their cluster, ids of the centres), for one set of samples.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import pixels as P
-from tessera.operators.cluster import UNREACHABLE
+from tessera.operators.ways import UNREACHABLE, filled, steps  # noqa: F401
 
 
 def affine_source(a: Column, r: Column, c: Column) -> Column:
@@ -76,29 +76,10 @@ def flow_colours(flows: DataFrame, alpha: float | None = None) -> DataFrame:
     return sizes.select("tile_id", "r", "c", P.hsv(hue, F.col("s"), F.lit(1.0)).alias("x")).select("tile_id", "r", "c", "x.*")
 
 
-def steps(wall: np.ndarray, row: int, column: int) -> np.ndarray:
-    """Number of steps to each pixel from one, over the four neighbours, around walls."""
-    out = np.full(wall.shape, UNREACHABLE, np.int32)
-    if not (0 <= row < wall.shape[0] and 0 <= column < wall.shape[1]) or wall[row, column]:
-        return out
-    front = np.zeros(wall.shape, bool)
-    front[row, column] = True
-    n = 0
-    while front.any():
-        out[front] = n
-        near = np.zeros(wall.shape, bool)
-        near[1:] |= front[:-1]
-        near[:-1] |= front[1:]
-        near[:, 1:] |= front[:, :-1]
-        near[:, :-1] |= front[:, 1:]
-        front = near & ~wall & (out == UNREACHABLE)
-        n += 1
-    return out
-
-
-def wavefront(sources: DataFrame, height: int, width: int, alpha: float = 1.0) -> DataFrame:
+def wavefront(sources: DataFrame, height: int, width: int, alpha: float = 1.0, fill: bool = False) -> DataFrame:
     """(tile_id, kp, r, c, dist) of sources (tile_id, kp, row, column, walls: row-major array of booleans): the way around the walls, or, below 1, a blend of
-    it (alpha) with the way through them. A wall, and what no way reaches, has 99999. A tile whose walls are null or of another length has no rows."""
+    it (alpha) with the way through them. A wall, and what no way reaches, has 99999. With fill, the pixels of
+    walls take the value of the one above them to the left. A tile whose walls are null or of another length has no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,6 +91,7 @@ def wavefront(sources: DataFrame, height: int, width: int, alpha: float = 1.0) -
                 if alpha != 1:
                     free = steps(np.zeros_like(wall), int(r), int(c))
                     d = (d - free) * alpha + free
+                d = filled(d, wall) if fill else d
                 ways.append(d.ravel())
             p = np.arange(height * width)
             yield pd.DataFrame({

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import queries_detect, queries_features, queries_geometry, queries_pixels, queries_register, queries_sources, queries_warp
+from tessera import queries_detect, queries_features, queries_geometry, queries_models, queries_pixels, queries_register, queries_sources, queries_warp
 from tessera.functions.natural import natural_key
 from tessera.operators import detect, matching, metrics, robust, spectral
 from tessera.plans import overlap as O
@@ -277,6 +277,6 @@ w AS (SELECT k.*, list_transform(range(49), lambda i: px[least(greatest(y + i //
 u AS (SELECT *, list_transform(v, lambda z: z - list_avg(v)) AS d FROM w), f AS (SELECT *, sqrt(list_inner_product(d, d)) AS len FROM u)
 SELECT tile_id, kp_id, x::DOUBLE AS x, y::DOUBLE AS y, round(s, 6) + 0.0 AS score, round(d[1] / len, 6) + 0.0 AS d_first, round(d[25] / len, 6) + 0.0 AS d_centre, round(d[49] / len, 6) + 0.0 AS d_last FROM f"""
 queries_register.add_sql(SQL)
-for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register, queries_detect, queries_sources):
+for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register, queries_detect, queries_sources, queries_models):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -44,8 +44,7 @@ def visible_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kth_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = values(spark, sf_dir).select("tile_id", "r", "c").join(points(spark, sf_dir), "tile_id").withColumn("d", cluster.distance())
-    return rounded(rank.kth_nearest(near, ["tile_id", "r", "c", "cluster"], 3), "nearest", "farthest")
+    return rounded(cluster.kth_distances(values(spark, sf_dir), points(spark, sf_dir), 3), "nearest", "farthest")
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
