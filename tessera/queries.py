@@ -280,3 +280,5 @@ queries_register.add_sql(SQL)
 for part in (queries_pixels, queries_geometry, queries_features, queries_warp, queries_register, queries_detect, queries_sources, queries_models):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
+# the same points by a table function
+SQL["lateral_keypoints"] = f"SELECT tile_id, kp_id, x, y, score FROM ({SQL['keypoints_harris']})"

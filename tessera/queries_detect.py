@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import detect, matching
+from tessera.functions import tables
+from tessera.operators import detect, matching, network
 from tessera.plans import overlap as O
 
 WIDTH, SIZE, BLOCK = 25, 8, 5
@@ -55,8 +58,40 @@ def scale_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("dog", F.round("dog", 8) + 0.0)
 
 
+def lateral_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of each tile by a table function, in SQL text."""
+    tables.register(spark)
+    tiles(spark, sf_dir).createOrReplaceTempView("tessera_tiles")
+    return spark.sql("SELECT t.tile_id, k.kp_id, k.x, k.y, k.score FROM tessera_tiles t, LATERAL detect_points(t.pixels, 8, 8, 'harris', 0.0D) k")
+
+
+def convolved_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two filters of 3 x 3, what is above 0, and the maximum of 2 x 2 of it."""
+    weights = np.array(FILTERS).reshape(2, 1, 3, 3)
+    layers = (network.Layer("conv", weights, np.array([0.1, -0.05])), network.Layer("relu"), network.Layer("pool"))
+
+    def run(batches):
+        for batch in batches:
+            maps = [network.applied(np.asarray(p, float).reshape(SIZE, SIZE, 1), layers) for p in batch["pixels"]]
+            f, r, c = (n.ravel() for n in np.indices((2, SIZE // 2, SIZE // 2)))
+            yield pd.DataFrame({"tile_id": np.repeat(batch["tile_id"].to_numpy(), len(f)), "f": np.tile(f, len(maps)), "r": np.tile(r, len(maps)), "c": np.tile(c, len(maps)), "v": np.concatenate([m.transpose(2, 0, 1).ravel() for m in maps]).round(6) + 0.0})
+
+    return tiles(spark, sf_dir).select("tile_id", "pixels").mapInPandas(run, "tile_id bigint, f int, r int, c int, v double")
+
+
+def network_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoints of images in blocks by a network of seeded weights, a tenth of the published channels."""
+    images = composed(tiles(spark, sf_dir), SIZE, BLOCK).where("height = 40").select(F.col("tile_id").alias("image"), F.lit(0).alias("row"), F.lit(0).alias("col"), "height", "width", "pixels")
+    net = network.two_heads(network.seeded(7, 0.1))
+    cells = network.cells_of_blocks(images, net, 64)
+    out = network.keypoints(cells, 40, 40, least=0.02, border=2)
+    return out.select("tile_id", "kp_id", "x", "y", F.round("score", 6).alias("score"), F.size("descriptor").alias("n"))
+
+
+#: Two filters, row by row.
+FILTERS = ((0.5, 0.25, -0.5, 1.0, 0.5, -1.0, 0.5, 0.25, -0.5), (-0.25, -0.5, -0.25, 0.0, 0.75, 0.0, 0.25, 0.5, 0.25))
 LEAST = {"sift": 0.005, "surf": 1e-5, "kaze": 1e-4, "orb": 0.0, "brisk": 0.0, "mser": 0.5}
-QUERIES = {f.__name__: f for f in (composed_tiles, hamming_matches, scale_responses)} | {f"keypoints_{m}": keypoints(m, v) for m, v in LEAST.items()}
+QUERIES = {f.__name__: f for f in (composed_tiles, hamming_matches, scale_responses, lateral_keypoints, convolved_tiles, network_keypoints)} | {f"keypoints_{m}": keypoints(m, v) for m, v in LEAST.items()}
 
 TILES = "t AS (SELECT vec_id AS tile_id, (vec_id // 25)::INT AS i, (vec_id % 25)::INT AS j, embedding::DOUBLE[] AS px FROM embeddings)"
 PAIRS = (
@@ -86,3 +121,8 @@ WITH {TILES}, g AS (SELECT 0 AS s, * FROM {gauss(1.0)} UNION ALL SELECT 1, * FRO
 b AS (SELECT tile_id, s, r, c, sum(a.w * b.w * px[least(greatest(r + a.k, 0), 7) * 8 + least(greatest(c + b.k, 0), 7) + 1]) AS v FROM t, range(8) y(r), range(8) x(c), g a JOIN g b USING (s) GROUP BY ALL)
 SELECT tile_id, r::INT AS r, c::INT AS c, round(sum(CASE s WHEN 1 THEN v ELSE -v END), 8) + 0.0 AS dog FROM b GROUP BY ALL
 """
+SQL["convolved_tiles"] = f"""
+WITH {TILES}, k AS (SELECT f, a, b, w FROM (VALUES {", ".join(f"({f}, {k // 3 - 1}, {k % 3 - 1}, {w}::DOUBLE)" for f, one in enumerate(FILTERS) for k, w in enumerate(one))}) x(f, a, b, w)),
+s AS (SELECT tile_id, f, r, c, sum(CASE WHEN r + a BETWEEN 0 AND 7 AND c + b BETWEEN 0 AND 7 THEN w * px[(r + a) * 8 + c + b + 1] ELSE 0 END) + CASE f WHEN 0 THEN 0.1::DOUBLE ELSE -0.05::DOUBLE END AS v FROM t, range(8) y(r), range(8) z(c), k GROUP BY tile_id, f, r, c)
+SELECT tile_id, f::INT AS f, (r // 2)::INT AS r, (c // 2)::INT AS c, round(greatest(max(v), 0), 6) + 0.0 AS v FROM s GROUP BY tile_id, f, r // 2, c // 2
+"""

@@ -32,7 +32,7 @@ def png_pixels(data: bytes) -> np.ndarray | None:
     """(height, width, channels) of an 8- or 16-bit PNG without palette or interlace; None for others."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         return None
-    f, body, size = io.BytesIO(data[8:]), b"", None
+    f, body, size = io.BytesIO(data[8:]), [], None
     while len(head := f.read(8)) == 8:
         n, kind = struct.unpack(">I4s", head)
         chunk = f.read(n)
@@ -40,34 +40,36 @@ def png_pixels(data: bytes) -> np.ndarray | None:
         if kind == b"IHDR":
             size = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"IDAT":
-            body += chunk
+            body.append(chunk)
     if size is None or size[2] not in (8, 16) or size[3] not in (0, 2, 4, 6) or size[6]:
         return None
     width, height, depth, kind = size[:4]
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
     step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height + 1, width + 1, step), np.int64)
-    for r, line in enumerate(raw, 1):
-        x = line[1:].reshape(width, step).astype(np.int64)
-        up = out[r - 1]
-        if line[0] == 0:
-            out[r, 1:] = x
-        elif line[0] == 2:
-            out[r, 1:] = (x + up[1:]) & 255
-        elif line[0] == 1:
-            out[r, 1:] = np.cumsum(x, axis=0) & 255
+    raw, line = zlib.decompress(b"".join(body)), width * step
+    if len(raw) < height * (1 + line):
+        raise ValueError("the image is cut off")
+    above, out = bytearray(line), bytearray()
+    for r in range(height):
+        kind, row = raw[r * (1 + line)], raw[r * (1 + line) + 1 : (r + 1) * (1 + line)]
+        if kind in (0, 2):
+            this = bytearray(row) if kind == 0 else bytearray((np.frombuffer(row, np.uint8) + np.frombuffer(above, np.uint8)).tobytes())
+        elif kind == 1:
+            this = bytearray(np.cumsum(np.frombuffer(row, np.uint8).reshape(width, step), axis=0, dtype=np.uint8).tobytes())
         else:
-            for c in range(1, width + 1):
-                a, b, z = out[r, c - 1], up[c], up[c - 1]
-                if line[0] == 3:
-                    guess = (a + b) // 2
+            # a byte needs the one before it, so this goes byte by byte, over plain integers
+            this = bytearray(line)
+            for i, x in enumerate(row):
+                left, up, corner = (this[i - step], above[i], above[i - step]) if i >= step else (0, above[i], 0)
+                if kind == 3:
+                    guess = (left + up) >> 1
                 else:
-                    p = a + b - z
-                    pa, pb, pz = abs(p - a), abs(p - b), abs(p - z)
-                    guess = np.where((pa <= pb) & (pa <= pz), a, np.where(pb <= pz, b, z))
-                out[r, c] = (x[c - 1] + guess) & 255
-    pixels = out[1:, 1:]
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = left if a <= b and a <= c else up if b <= c else corner
+                this[i] = (x + guess) & 255
+        out += this
+        above = this
+    pixels = np.frombuffer(bytes(out), np.uint8).astype(np.int64).reshape(height, width, step)
     return pixels.reshape(height, width, channels) if depth == 8 else pixels.reshape(height, width, channels, 2) @ np.array([256, 1])
 
 
@@ -129,15 +131,18 @@ def grid_counts(catalogue: DataFrame) -> DataFrame:
     return catalogue.withColumn("n_tiles", w * h).withColumn("n_pairs", F.greatest(h - 1, F.lit(0)) * w + h * F.greatest(w - 1, F.lit(0)))
 
 
-def write_results(results: DataFrame, path: str, *, by: tuple[str, ...] = ("dataset",)) -> None:
-    """Results as Parquet, a folder for each data set, so that a reader of one reads no other."""
-    results.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_results(results: DataFrame, path: str, *, by: tuple[str, ...] = ("dataset",), mode: str = "errorifexists", names: dict[str, str] | None = None) -> None:
+    """Results as Parquet, a folder for each data set, so that a reader of one reads no other. names: what data sets are called in the files, where that differs."""
+    if names:
+        called = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        results = results.withColumn("dataset", F.coalesce(F.try_element_at(called, F.col("dataset")), F.col("dataset")))
+    results.write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_mosaic(blocks: DataFrame, index: DataFrame, path: str) -> None:
+def write_mosaic(blocks: DataFrame, index: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A mosaic's pixels (row, col, r, c, v) in folders by block, beside its index as CSV."""
-    blocks.write.mode("overwrite").partitionBy("row", "col").parquet(f"{path}/pixels")
-    index.write.mode("overwrite").option("header", True).csv(f"{path}/index")
+    blocks.write.mode(mode).partitionBy("row", "col").parquet(f"{path}/pixels")
+    index.write.mode(mode).option("header", True).csv(f"{path}/index")
 
 
 def read_mosaic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -195,6 +195,19 @@ def test_wavefront_of_a_wall(spark):
     assert got[4, 1] == (13 + 3) / 2 and len(got) == 64
 
 
+def test_png_filters_of_large_rows():
+    """Filters 3 and 4 of every depth come back to the bit, and quickly enough for real tiles."""
+    import time
+
+    v = np.random.default_rng(3).integers(0, 65536, (300, 400)).astype(np.uint16)
+    start = time.perf_counter()
+    for kind in range(5):
+        assert (images.png_pixels(png(v, 16, kind))[..., 0] == v).all()
+        assert (images.png_pixels(png((v >> 8).astype(np.uint8), 8, kind))[..., 0] == v >> 8).all()
+    assert time.perf_counter() - start < 30
+    assert images.png_pixels(b"none") is None
+
+
 @pytest.mark.parametrize("method", ["phase", "ncc", "harris", "hessian", "sift", "surf", "kaze", "orb", "brisk"])
 def test_registration_recovers_known_shifts(spark, method):
     image = np.random.default_rng(8).random((240, 240))
