@@ -23,6 +23,9 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
+#: Tables in the shared folder that nothing has deleted yet. A result may still read them.
+MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, one is made and set in local mode, and it is an error elsewhere."""
@@ -44,6 +47,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path), path
@@ -54,6 +58,15 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def tidy(spark: SparkSession) -> int:
+    """Delete all tables that operators of this driver have left in the shared folder, for when their results are written; how many."""
+    n = len(MADE)
+    discard(spark, *list(MADE))
+    return n
 
 
 class Scratch:

@@ -193,7 +193,7 @@ def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text
     values = findings.where("secret").groupBy(F.col(id_col).alias("__id"), key.alias("__text")).agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("__values"))
     quoted = F.transform("__values", lambda v: F.concat(F.lit("\\Q"), F.replace(v["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(quoted, "|"), F.lit(")(?![A-Za-z0-9])"))
-    rows = docs.select(F.struct(*docs.columns).alias("d"), (text_key(text_col) if by_text else F.lit(0).cast("bigint")).alias("__key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), (text_key(text_col) if by_text else F.lit(0).cast("bigint")).alias("__key"))
     both = rows.join(values, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left")
     text = F.when(F.col("__values").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.regexp_replace(F.col(f"d.`{text_col}`"), pattern, F.lit(mark)))
     return both.select(*((text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns))

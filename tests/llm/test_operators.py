@@ -410,3 +410,73 @@ def test_empty_tables(spark, nothing):
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
     turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.format_preferences(turns, chat.swapped_answers(turns)).count() == 0
+
+
+def test_tables_are_deleted_once_results_are_written(spark, docs, tmp_path):
+    from tessera.llm import common as C
+
+    C.tidy(spark)
+    shards.shard_rows(docs).write.parquet(str(tmp_path / "out"))
+    left = list(C.MADE)
+    assert left and all(os.path.isdir(p.removeprefix("file://")) for p in left)
+    assert C.tidy(spark) == len(left) and not C.MADE and not any(os.path.exists(p.removeprefix("file://")) for p in left)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    docs.unpersist()
+
+
+def test_spans_of_repeated_rows(spark):
+    """Forty rows of one id and text have the spans of one."""
+    r = random.Random(14)
+    passage = text(r, 60, 9000)
+    rows = [(1, f"{text(r, 10)} {passage}")] * 40 + [(2, f"{passage} {text(r, 12)}")]
+    spans = substrings.find_repeats(frame(spark, rows), id_col="doc_id", text_col="text", window=35, k=8, hot_runs=10_000).collect()
+    assert len(spans) == 2 and all(len(s.spans) <= 5 for s in spans)
+    want = sorted((i, *x) for (i, _), x in zip(rows, brute.repeats_removed([t for _, t in rows]), strict=True))
+    assert got(substrings.remove_repeats(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept") == want
+
+
+def plain_fit(rows, labels, swaps, penalty, ridge, steps, rate=0.1):
+    """The same gradient steps, a row and a cell at a time, over cells that are all kept."""
+    import numpy as np
+
+    cells = sorted({c for r in rows for c in r})
+    w, bias = dict.fromkeys(cells, 0.0), float(np.log(np.mean(labels) / (1 - np.mean(labels))))
+    m, s, bm, bs = dict.fromkeys(cells, 0.0), dict.fromkeys(cells, 0.0), 0.0, 0.0
+    for t in range(1, steps + 1):
+        grad = {c: ridge * w[c] for c in cells}
+        errors = []
+        for r, y in zip(rows, labels, strict=True):
+            e = 1 / (1 + math.exp(-(sum(w[c] for c in r) + bias))) - y
+            errors.append(e)
+            for c in r:
+                grad[c] += e / len(rows)
+        for i, other in swaps:
+            change = sum(w[c] for c in rows[i]) - sum(w.get(c, 0.0) for c in other)
+            for c in rows[i]:
+                grad[c] += 2 * penalty / len(swaps) * change
+            for c in other:
+                if c in grad:
+                    grad[c] -= 2 * penalty / len(swaps) * change
+        for c in cells:
+            m[c], s[c] = 0.9 * m[c] + 0.1 * grad[c], 0.99 * s[c] + 0.01 * grad[c] ** 2
+            w[c] -= rate * (m[c] / (1 - 0.9**t)) / (math.sqrt(s[c] / (1 - 0.99**t)) + 1e-6)
+        e = sum(errors) / len(errors)
+        bm, bs = 0.9 * bm + 0.1 * e, 0.99 * bs + 0.01 * e * e
+        bias -= rate * (bm / (1 - 0.9**t)) / (bs / (1 - 0.99**t)) ** 0.5 if bs else 0
+    return w, bias
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_toxicity_against_plain_gradient_steps(penalty):
+    import numpy as np
+
+    r = random.Random(16)
+    labels = [i % 3 == 0 for i in range(60)]
+    # toxic rows mostly hold 1 and 2, and the identity term 3, the others its counterpart 4
+    rows = [sorted({c for c in ([1, 2, 3] if y else [4, 5, 6]) if r.random() < 0.9} | {r.choice([7, 8])}) for y in labels]
+    swaps = [(i, sorted({4 if c == 3 else 3 if c == 4 else c for c in x})) for i, x in enumerate(rows) if 3 in x or 4 in x]
+    weights, bias = toxicity.fit([np.array(x) for x in rows], np.array(labels, float), [(i, np.array(x)) for i, x in swaps], penalty=penalty, ridge=1e-3, steps=25, least_z=-1.0)
+    want, want_bias = plain_fit(rows, [float(y) for y in labels], swaps, penalty, 1e-3, 25)
+    assert bias == pytest.approx(want_bias, abs=1e-5) and all(weights[c] == pytest.approx(v, abs=1e-4) for c, v in want.items())
+    gap = abs(weights[3] - weights[4])
+    assert gap < 0.2 if penalty else gap > 0.8

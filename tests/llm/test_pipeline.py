@@ -85,3 +85,16 @@ def test_whole_run_against_brute_force(spark, tmp_path):
 def test_run_of_empty_tables(spark, tmp_path):
     write_tables(spark, str(tmp_path), [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    """Columns named like those that stages use, a map, and no n_chars: none is lost or changed."""
+    r = random.Random(8)
+    base, other = text(r), text(r)
+    kind = "doc_id bigint, text string, lang string, `__key` string, `key` int, `row` string, `d` double, `__id` int, tags map<string,int>, `a.b` string, component_id int"
+    rows = [(i, t, "en", f"k{i}", i, "r", 0.5, 7, {"x": i}, "dot", 3) for i, t in ((1, base), (2, base), (3, other), (None, None))]
+    docs = spark.createDataFrame(rows, kind)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted((rows[i] for i in (0, 2, 3)), key=repr)
+    out = corpus_pipeline.secret_scans(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(rows, key=repr)
