@@ -9,8 +9,8 @@
    before, as it is listed there or earlier; the others meet the length, positional and suffix filter, and each that is left is
    verified once, from the sets themselves. Pairs are dealt to homes, so that a family of near copies brings each set once.
 4. The nodes of a shingle of more nodes (a hot one) meet leaders. Where they lie in several components, a few leaders from outside its largest one
-   meet all its nodes of other components: first one leader a shingle, then 16. A family of near copies is one component after the first
-   round, for a row a node and shingle. What is left apart is compared in blocks: the nodes outside the largest component with all nodes of the
+   (nodes of most hot shingles first) meet all its nodes of other components: first one leader a shingle, then 16. A family of near copies is one component
+   after the first round, for a row a node and shingle. What is left apart is compared in blocks: the nodes outside the largest component with all nodes of the
    shingle, by their signs only (64 bytes a node). Every pair of two components that has a hot shingle in common and passes the filters is verified,
    so no link between components is lost; links within a component change nothing.
 5. Links make the components.
@@ -402,8 +402,8 @@ def known_components(hot: DataFrame, links: DataFrame, scratch: C.Scratch) -> tu
 
 def led_pairs(apart: DataFrame, leaders: int, percent: int) -> DataFrame:
     """(a, b, size): up to `leaders` nodes of each hot shingle from outside its largest component, with its nodes of other components, filtered."""
-    # the same order for all shingles, so that a family has the same leaders at each
-    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
+    # those of most hot shingles first: of a family's members the one that the others were made from shares most with them, and leads at each shingle
+    nth = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), F.xxhash64("node"), "node"))
     first = apart.where("rest").withColumn("nth", nth).where(F.col("nth") <= leaders)
     first = first.select("token", F.col("node").alias("lead"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("sign").alias("sign2"))
     met = apart.join(C.if_small(first, SMALL // 16), "token").where(f"comp <> comp2 and {near_size(percent)} and {near_sign(percent)}")
@@ -450,10 +450,17 @@ def crossed_pairs(apart: DataFrame, percent: int, block: int) -> DataFrame:
     return work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint, size bigint").distinct()
 
 
+def hot_nodes(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, token, n, sign, degree: how many hot shingles the node has) of each hot shingle's nodes."""
+    hot = entries.where("hot").select("token", "node", "n")
+    degrees = hot.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return hot.join(degrees, "node").join(lists.select("node", "sign").dropDuplicates(["node"]), "node")
+
+
 def forest(texts: DataFrame, entries: DataFrame, lists: DataFrame, k: int, percent: int, block: int, rounds: tuple[int, ...], scratch: C.Scratch) -> DataFrame:
     """(node, comp) of each linked node."""
     spark = texts.sparkSession
-    hot = scratch.table(entries.where("hot").select("token", "node", "n").join(lists.select("node", "sign").dropDuplicates(["node"]), "node"), "jaccard-hot")
+    hot = scratch.table(hot_nodes(entries, lists), "jaccard-hot")
     pairs = listed_pairs(entries, lists, percent, scratch)
     wanted = scratch.table(hot.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "jaccard-wanted")
     sets = scratch.table(node_sets(texts, wanted, k), "jaccard-sets")

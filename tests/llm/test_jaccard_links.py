@@ -61,7 +61,7 @@ def test_leaders_find_all_components(spark):
     r.shuffle(rows)
     want = sorted((i, *c) for (i, _), c in zip(rows, brute.classes(rows, 4, 85), strict=True))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
-    for how in ({}, {"hot": 2}, {"hot": 2, "rounds": (), "block": 3}, {"hot": 1, "rounds": (2, 40)}):
+    for how in ({"hot": 2}, {"hot": 2, "rounds": (), "block": 3}, {"hot": 1, "rounds": (2, 40)}):
         got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.components(docs, **how).collect())
         assert got == want, how
 
@@ -82,7 +82,7 @@ def test_work_grows_with_a_family(spark):
         nodes, cells = jaccard.measure(docs.withColumnRenamed("doc_id", "id"), 4)
         lists = jaccard.prefixes(docs.select("text"), cells, 4, 85, scratch)
         entries = jaccard.shared_entries(lists, 32, scratch)
-        hot = entries.where("hot").select("token", "node", "n").join(lists.select("node", "sign").dropDuplicates(["node"]), "node")
+        hot = jaccard.hot_nodes(entries, lists)
         _, apart = jaccard.known_components(hot, spark.createDataFrame([], "a bigint, b bigint"), scratch)
         led = jaccard.led_pairs(apart, 1, 85)
         n = led.count()
