@@ -30,6 +30,7 @@ REFERENCE = "(?i)^.{0,2}(commit|sha|sha1|sha256|md5|checksum|digest|hash|revisio
 COMMON_PAIRS = " th he in er an re nd on en at ou ed ha to or it is hi es ng as te et of al de se le sa si ar ve ra ld ur ei ch un ie ti io ai eu oi au em nt ue ad os ci qu "
 #: Letter runs of a value that the dictionary is asked for, and words of the dictionary that labelled findings are made of at most.
 RUNS, SAMPLE = "[A-Z]?[a-z]{3,}|[A-Z]{4,}", 500
+HEX = "0123456789abcdef"
 FEATURES = ("length", "transitions", "digits", "distinct", "common_pairs", "dictionary", "in_path", "odd_place", "credential", "assigned", "placeholder", "reference")
 
 WORD = r"[A-Za-z0-9+/_=.~-]"
@@ -145,10 +146,11 @@ def findings(spark: SparkSession, rows: int = 4000, words: list[str] | None = No
         (0, F.rpad(letters(13), 6, "s"), name, F.lit(":")),
         (0, F.initcap(F.rpad(letters(14), 6, "e")), name, F.lit(":")),
         (0, F.concat_ws("-", F.substr(h(15), F.lit(1), F.lit(8)), *(F.substr(h(16), F.lit(1 + 4 * i), F.lit(4)) for i in range(3)), F.substr(h(17), F.lit(1), F.lit(12))), ref, none),
-        (1, F.upper(F.translate(F.substr(h(24), F.lit(1), F.greatest(size, F.lit(20))), "0123456789", "qhznktpwxj")), name, F.lit("=")),
-        (1, F.substr(F.translate(F.concat(base, F.base64(F.unhex(h(25)))), "0123456789+/=", "QxJkZwVbNp"), F.lit(1), F.greatest(size, F.lit(24))), pick(["key", "token", "secret", "credential"], 26), F.lit(":")),
-        (0, F.concat(letters(27), letters(28), letters(29), letters(30), letters(31)), word, none),
-        (0, F.upper(F.concat(letters(32), letters(33), letters(34))), word, none),
+        # letters alone: keys of capitals, and names and long words in the letters of real ones
+        (1, F.concat(F.lit("AK"), F.substr(F.translate(h(24), HEX, "QHZNKTPWXJVBGLMD"), F.lit(1), pick([14, 16, 18, 24], 25))), pick(["key", "token", "with", "the"], 26), none),
+        (0, F.initcap(F.substr(F.translate(h(27), HEX, "johnsmatrewkiley"), F.lit(1), pick([6, 7, 8, 9], 28))), name, F.lit(":")),
+        (0, F.initcap(F.substr(F.translate(h(29), HEX, "enirstadhulcgmof"), F.lit(1), pick([16, 24, 30, 36], 30))), word, none),
+        (0, F.upper(F.substr(F.translate(h(31), HEX, "enirstadhulcgmof"), F.lit(1), pick([16, 20, 24, 30], 32))), word, none),
         (0, F.concat(letters(18), F.initcap(letters(19)), F.initcap(letters(20)), pick(["1", "2", "_v3", "_10"], 21)), word, none),
     )
     # where labelled findings stand: placeholders mostly in tests and examples, the others anywhere
