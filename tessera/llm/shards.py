@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents of equal text are linked. They start in shards by the hash of their id; in each round every group names the shard that
+Documents of equal text are linked. They start in shards by the hash of their row (as the table is laid out); in each round every group names the shard that
 holds most of it and has room, and its members elsewhere move there under quotas: what two shards ask of each other is
 swapped, the rest goes as far as the receiving shard has room. Members of a group in one shard are alike, so rounds work on counts
 (group, shard, n): at most `n_shards` rows a group, however large it is. Unlinked documents fill what room is left, so
