@@ -4,7 +4,8 @@ Of every `window - k + 1` consecutive k-word hashes the smallest is kept as a fi
 `window` words shares a fingerprint; hits are extended word by word to the whole shared span. Items shorter than
 the window are looked up as one sequence of their own length.
 
-Benchmarks are taken in blocks of bounded bytes, each broadcast and held against all documents.
+A benchmark of at most `block_bytes` is broadcast as an index of its fingerprints. A larger one is never held in one place: fingerprints of documents
+and items are joined by shuffles, documents being read once whatever the benchmark's size.
 
 Nulls, ties and odd rows: a null or empty text has no words (n_words 0, no hits); a null item text is no item; items
 of equal text all count; a null item id marks words but is never listed; repeated item ids are listed once;
@@ -14,12 +15,11 @@ benchmark no hits; texts of any length are judged whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -102,33 +102,111 @@ class Index:
             found.add(self.ids[item])
 
 
-def blocked(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The items as (i, t), and how many blocks of about block_bytes they make."""
+def items_of(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, bool]:
+    """The items as (i, t), and whether they are few enough for one index."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    return items, max(1, math.ceil(total / block_bytes))
+    return items, total <= block_bytes
 
 
-def block_of(items: DataFrame, blocks: int, b: int) -> list[tuple[str | None, str]]:
-    return [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
+def index_of(items: DataFrame, window: int, k: int) -> C.Shared:
+    return C.Shared(items.sparkSession, Index([(r.i, r.t) for r in items.collect()], window, k))
+
+
+def words_of(text: bytes | None) -> np.ndarray:
+    return C.word_hashes((text or b"").translate(C.ALNUM).split())
+
+
+def prints(h: np.ndarray, sizes: list[int], window: int, k: int, seen: C.Bitmap | None) -> list[dict]:
+    """Windows of these sizes by their fingerprint (the smallest k-word hash; of what is shorter than a window a hash of the whole), where it may be known."""
+    out = []
+    for n in sizes:
+        if len(h) < n:
+            continue
+        whole = C.gram_hashes(h, n)
+        low = C.sliding_min(C.gram_hashes(h, k), window - k + 1) if n == window else C.mix(whole ^ np.uint64(n))
+        at = np.arange(len(low)) if seen is None else np.flatnonzero(seen.holds(low))
+        at = at[np.argsort(low[at], kind="stable")]
+        for part in np.split(at, np.flatnonzero(low[at][1:] != low[at][:-1]) + 1) if len(at) else []:
+            out.append({"size": n, "print": int(low[part[0]].view(np.int64)), "starts": part.tolist(), "windows": whole[part].view(np.int64).tolist()})
+    return out
+
+
+def fingerprints(texts: DataFrame, window: int, k: int, sizes: list[int] | None = None, seen: C.Shared | None = None) -> DataFrame:
+    """(id, n_words, prints) of each (id, text). Without sizes a text is an item: its windows are all of full length, or it is one."""
+    kind = texts.schema.fields[0].dataType.simpleString()
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        hashed = [words_of(t) for t in C.text_bytes(batch.column(1))]
+        known = seen and seen.value
+        found = [prints(h, sizes or [min(window, len(h))] * (len(h) > 0), window, k, known) for h in hashed]
+        return {"id": batch.column(0), "n_words": [len(h) for h in hashed], "prints": found}
+
+    return C.map_batches(texts, rows, f"id {kind}, n_words bigint, prints array<struct<size: int, print: bigint, starts: array<int>, windows: array<bigint>>>", at_once=256)
+
+
+#: Parts of a key that many documents share; the other side of a join is repeated for each.
+SALTS = 16
+
+
+def salted(table: DataFrame) -> DataFrame:
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """(row, n_hit, hit_spans) of (row, start, end): spans that overlap or touch are one."""
+    earlier = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = hits.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))
+    spans = fresh.withColumn("span", F.sum("fresh").over(earlier.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+
+
+def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """(id, n_words, n_hit, item_ids, hit_spans) of each (id, text), for benchmarks of any size.
+
+    Documents are read once. Their fingerprints that a bitmap of the items' lets through are joined with the items' fingerprints; the windows of those
+    that are found are then joined with the items' windows, so that a common phrase of k words costs a row for each place and not for each pair."""
+    bench = C.materialise(fingerprints(items, window, k), "item-prints").select(F.col("id").alias("item"), F.explode("prints").alias("x")).select("item", "x.*")
+    known = bench.select("size", "print").distinct()
+    seen = C.Shared(docs.sparkSession, C.Bitmap(known, "print"))
+    sizes = sorted(r.size for r in bench.select("size").distinct().collect())  # `window` of them at most
+    if not sizes:
+        sizes = [window]
+    found = C.materialise(fingerprints(docs, window, k, sizes, seen).withColumn("row", F.monotonically_increasing_id()), "document-prints")
+    seen.unpersist()
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+    shared = found.select("row", salt, F.explode("prints").alias("x")).select("row", "salt", "x.*").join(salted(known), ["size", "print", "salt"], "left_semi")
+    key = ["size", "print", "window"]
+    places = shared.select("row", "salt", "size", "print", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("row", "salt", "size", "print", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
+    whole = bench.select("item", "size", "print", F.explode("windows").alias("window")).distinct()
+    hits = C.materialise(places.join(salted(whole.select(key).distinct()), [*key, "salt"], "left_semi"), "shared-windows")
+    spans = merged_spans(hits.select("row", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("size")).cast("bigint").alias("end")))
+    named = hits.select("row", "salt", *key).distinct().join(salted(whole.where("item is not null")), [*key, "salt"])
+    ids = named.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    none = lambda name, kind: F.coalesce(name, F.expr(f"cast(array() as {kind})")).alias(name)
+    return found.select("row", "id", "n_words").join(spans, "row", "left").join(ids, "row", "left").select(
+        "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), none("item_ids", "array<string>"), none("hit_spans", "array<struct<start: bigint, end: bigint>>")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs without any hit, with all their columns."""
-    items, blocks = blocked(benchmark, item_col, item_text_col, block_bytes)
-    at = docs.columns.index(text_col)
-    for b in range(blocks):
-        index = C.Shared(docs.sparkSession, Index(block_of(items, blocks, b), window, k))
+    items, few = items_of(benchmark, item_col, item_text_col, block_bytes)
+    if not few:
+        row = "row"
+        while row in map(str.lower, docs.columns):
+            row += "_"
+        numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        hit = joined(numbered.select(row, text_col), items, window, k).where("n_hit > 0").select(F.col("id").alias(row))
+        return numbered.join(hit, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    at, index = docs.columns.index(text_col), index_of(items, window, k)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words = [C.word_hashes((t or b"").translate(C.ALNUM).split()) for t in C.text_bytes(batch.column(at))]
-                yield batch.filter(pa.array([not index.value.hits(h)[0] for h in words], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not index.value.hits(words_of(t))[0] for t in C.text_bytes(batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-        if b + 1 < blocks:
-            docs = C.materialise(docs, "decontaminate")
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def decontaminate(
@@ -144,56 +222,27 @@ def decontaminate(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per document: its id, n_words, n_hit, item_ids (sorted strings) and hit_spans ([start, end) in words)."""
-    spark = docs.sparkSession
-    items, blocks = blocked(benchmark, item_col, item_text_col, block_bytes)
+    items, few = items_of(benchmark, item_col, item_text_col, block_bytes)
+    if not few:
+        return joined(docs.select(id_col, text_col), items, window, k).withColumnRenamed("id", id_col)
+    index = index_of(items, window, k)
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        out: dict = {"id": batch.column(0), "n_words": [], "n_hit": [], "item_ids": [], "hit_spans": []}
+        for text in C.text_bytes(batch.column(1)):
+            h = words_of(text)
+            spans, found = index.value.hits(h)
+            merged: list[list[int]] = []
+            for s, e in sorted(spans):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(e, merged[-1][1])
+                else:
+                    merged.append([s, e])
+            out["n_words"].append(len(h))
+            out["n_hit"].append(sum(e - s for s, e in merged))
+            out["item_ids"].append(sorted({i for i in found if i is not None}))
+            out["hit_spans"].append([{"start": s, "end": e} for s, e in merged])
+        return out
+
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text_key bigint, n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<struct<start: bigint, end: bigint>>"
-    parts, keyed = [], docs.select(id_col, text_col, F.xxhash64(text_col))
-    for b in range(blocks):
-        index = C.Shared(spark, Index(block_of(items, blocks, b), window, k))
-
-        def rows(batch: pa.RecordBatch, index=index) -> dict:
-            out: dict = {"id": batch.column(0), "text_key": batch.column(2), "n_words": [], "n_hit": [], "item_ids": [], "hit_spans": []}
-            for text in C.text_bytes(batch.column(1)):
-                h = C.word_hashes((text or b"").translate(C.ALNUM).split())
-                spans, found = index.value.hits(h)
-                merged: list[list[int]] = []
-                for s, e in sorted(spans):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(e, merged[-1][1])
-                    else:
-                        merged.append([s, e])
-                out["n_words"].append(len(h))
-                out["n_hit"].append(sum(e - s for s, e in merged))
-                out["item_ids"].append(sorted({i for i in found if i is not None}))
-                out["hit_spans"].append([{"start": s, "end": e} for s, e in merged])
-            return out
-
-        part = C.map_batches(keyed, rows, schema)
-        if blocks > 1:
-            part = C.materialise(part.withColumn("row", F.lit(b)), "decontaminate")
-            index.unpersist()
-        parts.append(part)
-    if blocks == 1:
-        return parts[0].drop("text_key").withColumnRenamed("id", id_col)
-    return merge_blocks(parts).withColumnRenamed("id", id_col)
-
-
-def merge_blocks(parts: list[DataFrame]) -> DataFrame:
-    """One row per document of what each block of items found. Rows of one id are told apart by their texts; rows of one text are alike in every block."""
-    from pyspark.sql import Window
-
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text_key", "row").orderBy("n_words")))
-
-    def union(spans: F.Column) -> F.Column:
-        return F.aggregate(
-            F.array_sort(F.flatten(spans)),
-            F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-
-    merged = every.groupBy("id", "text_key", "nth").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), union(F.collect_list("hit_spans")).alias("hit_spans"))
-    return merged.select("id", "n_words", F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), "item_ids", "hit_spans")
+    return C.map_batches(docs.select(id_col, text_col), rows, f"id {kind}, n_words bigint, n_hit bigint, item_ids array<string>, hit_spans array<struct<start: bigint, end: bigint>>").withColumnRenamed("id", id_col)

@@ -81,12 +81,27 @@ def test_decontaminate(spark, docs):
     for i, t in rows:
         n, _, found = brute.contaminated(t, named)
         want.append((i, n, brute.contaminated(t, items)[1], found))
-    for block in (16 << 20, 200):
+    spans = {}
+    for block in (16 << 20, 0):
         out = decontaminate.decontaminate(docs, bench, block_bytes=block)
+        spans[block] = got(out, "doc_id", "n_hit", "hit_spans")
         assert got(out, "doc_id", "n_words", "n_hit", "item_ids") == sorted(want, key=repr)
         kept = decontaminate.clean(docs, bench, block_bytes=block)
         assert kept.columns == docs.columns
         assert got(kept, "doc_id", "text") == sorted(((i, t) for i, t in rows if not brute.contaminated(t, items)[1]), key=repr)
+    assert spans[0] == spans[16 << 20]
+
+
+def test_decontaminate_joined_grows_in_proportion(spark):
+    """A 5-word phrase that all documents and items hold, in other windows each: places, not pairs, are joined."""
+    r = random.Random(11)
+    phrase = "one of the most common"
+    rows = [(i, f"{text(r, 9, 10**8)} {phrase} {text(r, 9, 10**8)}") for i in range(400)]
+    items = [(i, f"{text(r, 9, 10**8)} {phrase} {text(r, 9, 10**8)}") for i in range(300)] + [(300, rows[7][1]), (301, rows[7][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    out = decontaminate.decontaminate(frame(spark, rows), bench, block_bytes=0)
+    assert [tuple(x) for x in out.where("n_hit > 0").select("doc_id", "n_hit", "item_ids").collect()] == [(7, 23, ["300", "301"])]
+
 
 
 @pytest.mark.parametrize(("hot_runs", "levels"), [(10_000, 3), (2, 3), (0.01, 1), (0.001, 3)])
