@@ -135,6 +135,16 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Rows that travel to Python together, unless the session says otherwise. Spark's own 10,000 are tens of MB of long texts, held several times over by each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list | pa.Array]], schema: str | StructType, at_once: int = 10_000
 ) -> DataFrame:
@@ -153,6 +163,7 @@ def map_batches(
                     schema=target,
                 )
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -206,6 +206,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
         for batch in batches:
             yield batch.filter(pa.array([not index.value.hits(words_of(t))[0] for t in C.text_bytes(batch.column(at))], pa.bool_()))
 
+    C.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

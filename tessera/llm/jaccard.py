@@ -107,6 +107,7 @@ def measure(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n bigint, node bigint, slice int, counts binary"
     record = batched(schema)
+    C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held, size = np.zeros(CELLS, np.uint32), [], 0
