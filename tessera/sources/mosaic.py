@@ -128,7 +128,7 @@ def size(spark: SparkSession, path: str) -> DataFrame:
 
 def patches(images_: DataFrame, patch: int, step: int) -> DataFrame:
     """(image, n, x, y, height, width, pixels): a batch of overlapping patches of each of several images (image, height, width, pixels), numbered row by row, their
-    values divided by 255; at the far edges patches lie against the edge, and images smaller than a patch are one patch."""
+    values divided by 255 and nulls null; at the far edges patches lie against the edge, and images smaller than a patch are one patch."""
 
     def starts(n: int) -> list[int]:
         return [*range(0, max(n - patch, 0), step), max(n - patch, 0)]
@@ -142,7 +142,7 @@ def patches(images_: DataFrame, patch: int, step: int) -> DataFrame:
                     continue
                 v = np.asarray(pixels, float).reshape(int(h), int(w)) / 255
                 spots = [(y, x) for y in starts(int(h)) for x in starts(int(w))]
-                rows = [(name, n, x, y, *(p := v[y : y + patch, x : x + patch]).shape, p.ravel().tolist()) for n, (y, x) in enumerate(spots)]
+                rows = [(name, n, x, y, *(p := v[y : y + patch, x : x + patch]).shape, [None if q != q else q for q in p.ravel().tolist()]) for n, (y, x) in enumerate(spots)]
                 yield pd.DataFrame(rows, columns=["image", "n", "x", "y", "height", "width", "pixels"])
 
     return images_.select("image", "height", "width", "pixels").mapInPandas(run, f"image {kind}, n int, x int, y int, height int, width int, pixels array<double>")

@@ -29,6 +29,6 @@ def torn(spark, tmp_path):
     return tmp_path
 
 
-@pytest.mark.parametrize("name", ["composed_tiles"])
+@pytest.mark.parametrize("name", ["composed_tiles", "batch_patches"])
 def test_blocks_that_a_row_of_tiles_ends_in(spark, torn, name):
     beside_sql(spark, torn, name)
