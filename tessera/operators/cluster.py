@@ -135,7 +135,9 @@ def visible(pixels: DataFrame, points: DataFrame, cuts: DataFrame, angle: float
 def nearest_clusters(centres: DataFrame) -> DataFrame:
     """(tile_id, cluster, nearest): for each centre (tile_id, cluster, x, y) the other one nearest to it, those at its own place left out."""
     other = centres.select("tile_id", F.col("cluster").alias("nearest"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    # a plain root, as hypot() rounds otherwise and would part what is equally far
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    d = F.sqrt(dx * dx + dy * dy)
     both = centres.join(other, "tile_id").where(F.col("cluster") != F.col("nearest")).withColumn("d", d).where("d > 0")
     return both.groupBy("tile_id", "cluster").agg(F.min(F.struct("d", "nearest")).alias("x")).select("tile_id", "cluster", F.col("x.nearest").alias("nearest"))
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import cluster
 
 
 def rows(found) -> list[tuple]:
@@ -32,3 +33,11 @@ def torn(spark, tmp_path):
 @pytest.mark.parametrize("name", ["composed_tiles", "batch_patches"])
 def test_blocks_that_a_row_of_tiles_ends_in(spark, torn, name):
     beside_sql(spark, torn, name)
+
+
+def test_nearest_clusters_measure_as_sql_does(spark):
+    """Centres that are 85 / 9 away by either square, which a plain root and hypot() round to different orders."""
+    centres = spark.createDataFrame([(0, 0, 3.6666666666666665, 0.0), (0, 2, 6.0, 2.0), (0, 3, 3.0, 3.0)], "tile_id long, cluster int, x double, y double")
+    wanted = duckdb.sql("SELECT arg_min(b, sqrt((3.6666666666666665::DOUBLE - x) ** 2 + (0.0::DOUBLE - y) ** 2)) FROM (VALUES (2, 6.0::DOUBLE, 2.0::DOUBLE), (3, 3.0, 3.0)) v(b, x, y)").fetchall()
+    found = {r.cluster: r.nearest for r in cluster.nearest_clusters(centres).collect()}
+    assert found[0] == wanted[0][0] == 3
