@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import binary, extremal, scale_space
 from tessera.operators.corners import RING, blurred, box, fast, gradients, harris, hessian, hessian_of, min_eigen, padded, structure  # noqa: F401
+from tessera.operators.parts import parts
 from tessera.operators.points import Points, suppress
 from tessera.operators.spectral import stacked
 
@@ -64,7 +65,7 @@ def responses(tiles: DataFrame, height: int, width: int, methods: list[str]) ->
     found = {m: DETECTORS[m] for m in methods}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             good, v = stacked(batch["pixels"].tolist(), height, width)
             p = np.arange(height * width)
             out = {"tile_id": np.repeat(batch["tile_id"].to_numpy()[good], len(p)), "r": np.tile(p // width, len(v)), "c": np.tile(p % width, len(v))}
@@ -78,7 +79,7 @@ def scale_responses(tiles: DataFrame, height: int, width: int, sigmas: tuple[flo
     """(tile_id, r, c, dog): the tile smoothed by the second sigma less the tile smoothed by the first, the response of which SIFT takes the peaks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             good, v = stacked(batch["pixels"].tolist(), height, width)
             p = np.arange(height * width)
             dog = blurred(v, sigmas[1]) - blurred(v, sigmas[0]) if len(v) else v
@@ -96,7 +97,7 @@ def detect(tiles: DataFrame, height: int | None, width: int | None, method: str,
             tiles = tiles.withColumn(name, F.lit(given).cast("int"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for *tile, pixels, h, w in zip(*(batch[c] for c in (*keys, "pixels", "height", "width")), strict=True):
                 good, v = stacked([pixels], int(h), int(w)) if pd.notna(h) and pd.notna(w) else (np.zeros(1, bool), None)
@@ -104,7 +105,7 @@ def detect(tiles: DataFrame, height: int | None, width: int | None, method: str,
                     continue
                 p = points_of(v[0], method, least=least, radius=radius, patch=patch).quota((0, int(h), 0, int(w)), most, blocks)
                 numbers = (np.round(c, 6).tolist() for c in (p.score, p.size, p.angle))
-                rows += [(*tile, n, *r) for n, r in enumerate(zip(p.x.tolist(), p.y.tolist(), *numbers, p.f.tolist(), p.bits.tolist(), strict=True))]
+                rows += [(*tile, n, *r) for n, r in enumerate(zip(p.x.tolist(), p.y.tolist(), *numbers, p.f, p.bits, strict=True))]
             yield pd.DataFrame(rows, columns=[*keys, "kp_id", "x", "y", "score", "size", "angle", "descriptor", "bits"])
 
     kinds = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in keys)
