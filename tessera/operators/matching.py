@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.parts import parts
+
 
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
@@ -93,15 +95,16 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], *, metric: str = "
         return side.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(f"kp{n}").alias("kp"), F.col(f"f{n}").alias("f")))).alias(f"s{n}")).select(*on, F.col(f"s{n}.kp").alias(f"k{n}"), F.col(f"s{n}.f").alias(f"d{n}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
+        for batch in parts(batches):
+            pair, kp1, kp2, gap = [], [], [], []
             for n, (k1, d1, k2, d2) in enumerate(zip(batch["k1"], batch["d1"], batch["k2"], batch["d2"], strict=True)):
                 (i, f), (j, g) = table(list(d1), metric == "hamming"), table(list(d2), metric == "hamming")
                 one, two, near = best_matches(f, g, metric=metric, max_ratio=max_ratio, threshold=threshold, mutual=mutual)
-                part = batch[on].iloc[np.full(len(one), n)].reset_index(drop=True)
-                out.append(part.assign(kp1=np.asarray(k1)[i[one]] if len(one) else [], kp2=np.asarray(k2)[j[two]] if len(one) else [], d2=near))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                pair += [n] * len(one)
+                kp1 += [k1[a] for a in i[one]]
+                kp2 += [k2[a] for a in j[two]]
+                gap.append(near)
+            yield batch[on].iloc[pair].reset_index(drop=True).assign(kp1=kp1, kp2=kp2, d2=np.concatenate(gap))
 
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on)
     ids = f"kp1 {left.schema['kp1'].dataType.simpleString()}, kp2 {right.schema['kp2'].dataType.simpleString()}"
