@@ -11,14 +11,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Statuses of a fit.
 FITTED, FEW_MATCHES, FEW_INLIERS = 0, 1, 2
+#: Distances of maps and matches that are taken at once.
+NEAR = 1 << 14
 
 
 def shifts(matches: DataFrame) -> DataFrame:
@@ -68,6 +73,34 @@ def msac_shift(matches: DataFrame, keys: list[str], *, max_distance: float = 1.5
     return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) <= cap, least)
 
 
+def all_pairs(m: pa.Array, dx: pa.Array, dy: pa.Array, most: float, pairs: int) -> pa.Array:
+    """Of each group's sorted shifts the best hypothesis of two matches, as ransac_shift() takes it: struct(n: less the inliers, ssr, m1, m2, hx, hy). Null for fewer than two matches and for
+    more than `pairs` pairs of them. Groups of one size are scored together."""
+    size = np.asarray(pc.fill_null(m.value_lengths(), 0))
+    first = np.cumsum(size) - size
+    number, x, y = m.flatten(), dx.flatten().to_numpy(zero_copy_only=False), dy.flatten().to_numpy(zero_copy_only=False)
+    rank = np.cumsum(np.concatenate(([0], np.asarray(pc.fill_null(pc.not_equal(number[1:], number[:-1]), True), int)))) if len(number) else np.empty(0, int)
+    votes, ssr, hx, hy, a, b = np.zeros(len(size), np.int32), np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    whole = (size >= 2) & (size * (size - 1) // 2 <= pairs)
+    for n in np.unique(size[whole]):
+        rows, (i, j) = np.flatnonzero(size == n), np.triu_indices(n, 1)
+        step = max(1, NEAR // (n * len(i)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            place = first[some, None] + np.arange(n)
+            u, v, r = x[place], y[place], rank[place]
+            cx, cy = (u[:, i] + u[:, j]) / 2, (v[:, i] + v[:, j]) / 2
+            d = (u[:, None] - cx[..., None]) ** 2 + (v[:, None] - cy[..., None]) ** 2
+            near = d < most
+            count, total = -near.sum(axis=2), np.round(np.where(near, d, 0).sum(axis=2), 9)
+            best = np.lexsort((cy, cx, r[:, j], r[:, i], total, count), axis=1)[:, 0]
+            row = np.arange(len(some))
+            votes[some], ssr[some], hx[some], hy[some] = count[row, best], total[row, best], cx[row, best], cy[row, best]
+            a[some], b[some] = place[row, i[best]], place[row, j[best]]
+    one, two = (number.take(pa.array(k, mask=~whole)) for k in (a, b))
+    return pa.StructArray.from_arrays([pa.array(votes), pa.array(ssr), one, two, pa.array(hx), pa.array(hy)], names=["n", "ssr", "m1", "m2", "hx", "hy"], mask=pa.array(~whole))
+
+
 def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0, least: int = 2, trials: int = 2000, valid: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each two matches are a hypothesis (their mean shift); most inliers wins, then least squared residuals, then the first.
 
@@ -86,8 +119,13 @@ def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0,
         return both(at(F.least(i, j)), at(F.greatest(i, j)))
 
     some = F.transform(F.sequence(F.lit(1), F.lit(trials)), picked)
-    pairs = F.when(n < 2, F.slice(F.transform("__s", lambda x: both(x, x)), F.lit(1), F.lit(0))).when(n * (n - 1) / 2 <= trials, every).otherwise(some)
-    groups = gathered(matches, keys).withColumn("__h", pairs)
+    groups = gathered(matches, keys)
+    # small groups are scored by the batch; conditions on a hypothesis are columns, and so are the trials of large ones
+    kind = groups.schema["__s"].dataType.elementType["m"].dataType.simpleString()
+    small = F.arrow_udf(lambda m, dx, dy: all_pairs(m, dx, dy, float(threshold) ** 2, trials), f"struct<n: int, ssr: double, m1: {kind}, m2: {kind}, hx: double, hy: double>")
+    none = F.slice(F.transform("__s", lambda x: both(x, x)), F.lit(1), F.lit(0))
+    pairs = F.when(n < 2, none).when(n * (n - 1) / 2 <= trials, none if valid is None else every).otherwise(some)
+    groups = groups.withColumn("__h", pairs)
     if valid is not None:
         groups = groups.withColumn("__h", F.filter("__h", valid))
     most = F.lit(float(threshold) ** 2)
@@ -100,7 +138,8 @@ def ransac_shift(matches: DataFrame, keys: list[str], *, threshold: float = 1.0,
         total = F.aggregate("__s", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ssr")), vote)
         return F.struct(total["n"].alias("n"), F.round(total["ssr"], 9).alias("ssr"), h["m1"].alias("m1"), h["m2"].alias("m2"), h["hx"].alias("hx"), h["hy"].alias("hy"))
 
-    best = groups.withColumn("__b", F.array_min(F.transform("__h", score)))
+    best = F.array_min(F.transform("__h", score))
+    best = groups.withColumn("__b", best if valid is not None else F.coalesce(small(F.col("__s.m"), F.col("__s.dx"), F.col("__s.dy")), best))
     return refit(best, keys, lambda x, hx, hy: squared(x, hx, hy) < most, least)
 
 
@@ -129,16 +168,34 @@ def fitted_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (np.linalg.pinv(np.column_stack((p, np.ones(len(p))))) @ q).T
 
 
+@lru_cache(1024)
+def drawn_triples(n: int, trials: int, seed: int) -> np.ndarray:
+    """`trials` triples of n points: the first three of as many random orders. Groups of one size have the same, so they are kept."""
+    return np.argpartition(np.random.default_rng(seed).random((trials, n)), (0, 1, 2), axis=1)[:, :3].copy()
+
+
 def affine_inliers(p: np.ndarray, q: np.ndarray, *, threshold: float = 3.0, trials: int = 512, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(map, inliers): the best of `trials` triples, all tried at once, then refitted from its inliers while their number grows. Fewer than three
     points: no motion, all inliers."""
     if len(p) < 3:
         return np.eye(2, 3), np.ones(len(p), bool)
-    triples = np.argsort(np.random.default_rng(seed).random((trials, len(p))), axis=1)[:, :3] if len(p) > 3 else np.array([[0, 1, 2]])
+    triples = drawn_triples(len(p), trials, seed) if len(p) > 3 else np.array([[0, 1, 2]])
     h = np.column_stack((p, np.ones(len(p))))
     maps = np.linalg.pinv(h[triples]) @ q[triples]
-    near = np.linalg.norm(h @ maps - q, axis=2) < threshold
-    inliers = near[near.sum(axis=1).argmax()]
+    # some maps at a time, so that their distances stay in the processor's cache
+    sides, some = [np.column_stack((h, q[:, k])).T for k in (0, 1)], max(1, NEAR // len(p))
+    votes, inliers = -1, None
+    for at in range(0, len(maps), some):
+        part = maps[at : at + some]
+        d, e = (np.column_stack((part[:, :, k], np.full(len(part), -1.0))) @ sides[k] for k in (0, 1))
+        d *= d
+        e *= e
+        d += e
+        near = np.sqrt(d, out=d) < threshold
+        counts = np.count_nonzero(near, axis=1)
+        best = int(counts.argmax())
+        if counts[best] > votes:
+            votes, inliers = int(counts[best]), near[best]
     count = -1
     while inliers.sum() > max(count, 2):
         count = int(inliers.sum())
@@ -156,16 +213,24 @@ def affine_clusters(matches: DataFrame, keys: list[str], *, clusters: int = 1, t
     names = ["m00", "m01", "m02", "m10", "m11", "m12"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows.dropna(subset=["x1", "y1", "x2", "y2"]).sort_values(["m", "x1", "y1", "x2", "y2"])
-        total, out = len(left), []
+        v, number = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["m"].to_numpy()
+        whole = ~np.isnan(v).any(axis=1)
+        v, number = v[whole], number[whole]
+        place = number
+        if number.dtype.kind not in "iuf":
+            place = pd.factorize(number, sort=True)[0]
+            place = np.where(place < 0, len(place), place)
+        order = np.lexsort((*v.T[::-1], place))
+        v, number = v[order], number[order]
+        total, out = len(v), []
         for k in range(clusters):
-            if len(left) < least:
+            if len(v) < least:
                 break
-            m, inside = affine_inliers(left[["x1", "y1"]].to_numpy(float), left[["x2", "y2"]].to_numpy(float), threshold=threshold, trials=trials)
+            m, inside = affine_inliers(v[:, :2], v[:, 2:], threshold=threshold, trials=trials)
             if inside.sum() < least:
                 break
-            out.append([*rows[keys].iloc[0], k, total, int(inside.sum()), *m.ravel().tolist(), left["m"].to_numpy()[inside].tolist()])
-            left = left[~inside]
+            out.append([*rows[keys].iloc[0], k, total, int(inside.sum()), *m.ravel().tolist(), number[inside].tolist()])
+            v, number = v[~inside], number[~inside]
         return pd.DataFrame(out, columns=[*keys, "cluster", "n_match", "n_inlier", *names, "members"])
 
     kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in keys)
