@@ -20,6 +20,8 @@ from tessera.operators.ways import UNREACHABLE, steps
 
 #: Side of a block of pixels, and cells of a table of distances that is held at once.
 SIDE, CELLS = 64, 1 << 21
+#: Rows of results that are handed on at once.
+ROWS = 1 << 14
 
 
 def distance() -> Column:
@@ -34,29 +36,41 @@ def shares(kth: DataFrame, k: int) -> DataFrame:
     return kth.select("tile_id", "r", "c", "cluster", (F.col("w") / (total + 1e-30)).alias("weight"))
 
 
-def by_blocks(pixels: DataFrame, points: DataFrame, of: Callable, columns: str, *, extra: DataFrame | None = None) -> DataFrame:
+def by_blocks(pixels: DataFrame, points: DataFrame, of: Callable, columns: str, *, extra: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """(tile_id, r, c, cluster, columns) by a function of (rows r, columns c, clusters, their points' numbers as a list of arrays, x, y, what the tile has in `extra`), which gives
-    (numbers of pixels, numbers of clusters, values ...). Points come in the order of their ids."""
+    (numbers of pixels, numbers of clusters, values ...). Points come in the order of their ids. extra: a row a tile, or without tile_id one row for all. whole: of is given each
+    member's cluster in place of the points' numbers of clusters, and gives values of pixels alone."""
     block = pixels.select("tile_id", "r", "c").groupBy("tile_id", F.floor(F.col("r") / SIDE).alias("br"), F.floor(F.col("c") / SIDE).alias("bc")).agg(F.collect_list("r").alias("r"), F.collect_list("c").alias("c"))
     some = points.dropna(subset=["cluster", "x", "y"]).groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("kp", "cluster", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
     both = block.join(some, "tile_id").select("tile_id", "r", "c", F.col("p.cluster").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    both = both.withColumn("extra", F.lit(None).cast("array<double>")) if extra is None else both.join(extra, "tile_id", "left")
-    names = ["tile_id", "r", "c", "cluster", *(c.split()[0] for c in columns.split(", "))]
+    both = both.withColumn("extra", F.lit(None).cast("array<double>")) if extra is None else both.join(extra, "tile_id", "left") if "tile_id" in extra.columns else both.crossJoin(F.broadcast(extra))
+    names = ["tile_id", "r", "c", *([] if whole else ["cluster"]), *(c.split()[0] for c in columns.split(", "))]
+
+    def table(batch: pd.DataFrame, held: list[list]) -> pd.DataFrame:
+        n, *rest = (pd.concat([pd.Series(h[i]) for h in held], ignore_index=True) for i in range(len(names)))
+        return pd.DataFrame(dict(zip(names, (batch["tile_id"].to_numpy()[n], *rest), strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for tile, r, c, k, x, y, more in zip(*(batch[n] for n in ("tile_id", "r", "c", "k", "x", "y", "extra")), strict=True):
+            held = []
+            for n, r, c, k, x, y, more in zip(range(len(batch)), *(batch[n] for n in ("r", "c", "k", "x", "y", "extra")), strict=True):
                 r, c, x, y = (np.asarray(v, float) for v in (r, c, x, y))
                 kinds, at = np.unique(np.asarray(k), return_inverse=True)
                 members = [np.flatnonzero(at == i) for i in range(len(kinds))]
                 step = max(1, CELLS // max(len(x), 1))
                 for start in range(0, len(r), step):
                     some_r, some_c = r[start : start + step], c[start : start + step]
-                    pixel, cluster, *values = of(some_r, some_c, members, at, x, y, more)
-                    yield pd.DataFrame(dict(zip(names, ([tile] * len(pixel), some_r[pixel].astype(int), some_c[pixel].astype(int), kinds[cluster], *values), strict=True)))
+                    pixel, *values = of(some_r, some_c, members, kinds if whole else at, x, y, more)
+                    values = values if whole else [kinds[values[0]], *values[1:]]
+                    held.append([np.full(len(pixel), n), some_r[pixel].astype(int), some_c[pixel].astype(int), *values])
+                    if sum(len(h[0]) for h in held) >= ROWS:
+                        yield table(batch, held)
+                        held = []
+            if held:
+                yield table(batch, held)
 
     kind = lambda df, n: df.schema[n].dataType.simpleString()
-    return both.mapInPandas(run, f"tile_id {kind(pixels, 'tile_id')}, r {kind(pixels, 'r')}, c {kind(pixels, 'c')}, cluster {kind(points, 'cluster')}, {columns}")
+    return both.mapInPandas(run, f"tile_id {kind(pixels, 'tile_id')}, r {kind(pixels, 'r')}, c {kind(pixels, 'c')}, {'' if whole else f"cluster {kind(points, 'cluster')}, "}{columns}")
 
 
 def kth_distances(pixels: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -90,6 +104,27 @@ def density_weights(pixels: DataFrame, points: DataFrame, k: int = 5) -> DataFra
     return by_blocks(pixels, points, of, "weight double")
 
 
+def density_field(pixels: DataFrame, points: DataFrame, maps: DataFrame, k: int = 5) -> DataFrame:
+    """(tile_id, r, c, x, y): warp.field() of density_weights() and the clusters' maps (maybe tile_id; cluster, m00 to m12), taken where a pixel's weights are, so that no row for a
+    pixel and a cluster is dealt out again. Clusters without a map count nothing; pixels that no cluster with a map weighs have no rows."""
+    names = [f"m{i}{j}" for i in range(2) for j in range(3)]
+    keys = [c for c in ("tile_id",) if c in maps.columns]
+    extra = maps.groupBy(*keys).agg(F.collect_list(F.struct("cluster", F.array(*(F.col(n).cast("double") for n in names)).alias("m"))).alias("extra"))
+
+    def of(r, c, members, kinds, x, y, some):
+        d = np.hypot(c[:, None] - x, r[:, None] - y)
+        w = {kinds[i]: (k / len(m)) / (np.partition(d[:, m], k - 1, axis=1)[:, k - 1] ** 2 + 1e-30) for i, m in enumerate(members) if len(m) >= k}
+        total = sum(w.values()) + 1e-30
+        moved = [[w[a["cluster"]] / total * (m[0] * (c + 0.5) + m[1] * (r + 0.5) + m[2]) for m in np.array(a["m"], float).reshape(2, 3)] for a in (() if some is None else some) if a["cluster"] in w]
+        if not moved:
+            return np.empty(0, int), np.empty(0), np.empty(0)
+        # what a map doesn't say is left out, as a sum leaves out nulls
+        place = [sum(np.nan_to_num(p) for p in parts) + np.where(np.all([np.isnan(p) for p in parts], axis=0), np.nan, 0.0) for parts in zip(*moved, strict=True)]
+        return np.arange(len(r)), *(pd.array(np.where(np.isnan(p), None, p), "Float64") if np.isnan(p).any() else p for p in place)
+
+    return by_blocks(pixels, points, of, "x double, y double", extra=extra, whole=True)
+
+
 def vote_weights(pixels: DataFrame, points: DataFrame, width: float, k: int = 5) -> DataFrame:
     """The same by votes: each of the k points nearest to a pixel votes for its cluster with exp(-d**2 / width**2)."""
 

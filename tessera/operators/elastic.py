@@ -74,7 +74,7 @@ def inliers(matches: DataFrame, maps: DataFrame) -> DataFrame:
 
 def generated_field(pixels: DataFrame, points: DataFrame, maps: DataFrame, *, k: int = 5) -> DataFrame:
     """(tile_id, r, c, x, y): the maps (cluster, m00 to m12) averaged at each pixel by how dense the clusters' points (tile_id, cluster, kp, x, y) lie around it."""
-    return warp.field(cluster.density_weights(pixels, points, k), maps.select(*[c for c in ("tile_id",) if c in maps.columns], "cluster", *MAP))
+    return cluster.density_field(pixels, points, maps.select(*[c for c in ("tile_id",) if c in maps.columns], "cluster", *MAP), k)
 
 
 def generated_field_around_walls(pixels: DataFrame, points: DataFrame, maps: DataFrame, walls: DataFrame, height: int, width: int, *, k: int = 5, alpha: float = 1.0, fill: bool = False) -> DataFrame:

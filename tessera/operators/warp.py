@@ -28,7 +28,10 @@ def field(weights: DataFrame, maps: DataFrame) -> DataFrame:
 
     weights without rows for a pixel leave it out."""
     names = [f"m{i}{j}" for i in range(2) for j in range(3)]
-    both = weights.join(maps.select(*[k for k in ("tile_id",) if k in maps.columns], "cluster", F.struct(*names).alias("a")), [k for k in ("tile_id", "cluster") if k in maps.columns])
+    keys = [k for k in ("tile_id", "cluster") if k in maps.columns]
+    some = maps.select(*keys, F.struct(*names).alias("a"))
+    # maps for all tiles are a few rows: weights dealt out by cluster would meet in as few tasks
+    both = weights.join(some if "tile_id" in keys else F.broadcast(some), keys)
     both = both.withColumn("p", affine_source(F.col("a"), F.col("r"), F.col("c")))
     return both.groupBy("tile_id", "r", "c").agg(F.sum(F.col("weight") * F.col("p.x")).alias("x"), F.sum(F.col("weight") * F.col("p.y")).alias("y"))
 

@@ -69,7 +69,7 @@ def maps(spark: SparkSession) -> DataFrame:
 
 
 def whole_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warp.field(cluster.density_weights(values(spark, sf_dir), points(spark, sf_dir).withColumn("x", F.col("x") + 0.25), k=3), maps(spark))
+    return cluster.density_field(values(spark, sf_dir), points(spark, sf_dir).withColumn("x", F.col("x") + 0.25), maps(spark), k=3)
 
 
 def weighted_field(spark: SparkSession, sf_dir: str) -> DataFrame:
