@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.parts import parts
 from tessera.operators.robust import FEW_INLIERS, FEW_MATCHES, FITTED, chance
 
 
@@ -94,7 +95,7 @@ def projective(p: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
     sound = np.isfinite(rows).all(axis=(1, 2))
     out = np.full((len(p), 3, 3), np.nan)
     if sound.any():
-        _, s, vt = np.linalg.svd(rows[sound], full_matrices=True)
+        _, s, vt = np.linalg.svd(rows[sound], full_matrices=rows.shape[1] < 9)
         h = np.linalg.inv(tb[sound]) @ vt[:, -1].reshape(-1, 3, 3) @ ta[sound]
         last = h[:, 2, 2]
         good = (s[:, 7] > 1e-9 * s[:, 0]) & (np.abs(last) > 1e-12)
@@ -173,7 +174,7 @@ def ransac(
     groups = some.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(f"__{c}") for c in ("m", "x1", "y1", "x2", "y2", "w", "s")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for m, x1, y1, x2, y2, w, s in zip(*(batch[f"__{c}"] for c in ("m", "x1", "y1", "x2", "y2", "w", "s")), strict=True):
                 p, q, w = np.column_stack((x1, y1)), np.column_stack((x2, y2)), np.asarray(w, float)
