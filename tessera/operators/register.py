@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import detect, matching, metrics, robust, spectral
-from tessera.operators.parts import parts
+from tessera.operators.parts import parts as in_parts
 from tessera.plans import overlap as O
 
 KEYS = ["dataset", "i", "j", "direction"]
@@ -81,7 +81,7 @@ def by_correlation(tiles: DataFrame, method: str, overlap: float) -> DataFrame:
     pairs = neighbours(tiles).select(*KEYS, "pa", "ha", "wa", "pb", "hb", "wb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts(batches):
+        for x in in_parts(batches):
             sides = [(image(pa, ha, wa), image(pb, hb, wb)) for pa, ha, wa, pb, hb, wb in zip(*(x[c] for c in ("pa", "ha", "wa", "pb", "hb", "wb")), strict=True)]
             got = spectral.shifts(sides, x["direction"].tolist(), method, overlap)
             rows = [(None, None, None, 1) if g is None else (float(g[0]), float(g[1]), round(g[2], 6), 0) for g in got]
@@ -119,7 +119,7 @@ def region_points(tiles: DataFrame, method: str, overlap: float | None, *, least
     kind = tiles.schema["dataset"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in parts(batches):
+        for batch in in_parts(batches):
             out = []
             for dataset, pixels, h, w, bound, parts in zip(*(batch[c] for c in ("dataset", "pixels", "height", "width", "least", "regions")), strict=True):
                 v = image(pixels, h, w)
@@ -148,7 +148,7 @@ def by_features(tiles: DataFrame, method: str, overlap: float | None, *, max_rat
     metric = "hamming" if method in detect.BINARY else "squared"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts(batches):
+        for x in in_parts(batches):
             rows = []
             for f1, f2, x1, y1, x2, y2 in zip(*(x[c] for c in (("b1", "b2") if metric == "hamming" else ("f1", "f2"))), x["x1"], x["y1"], x["x2"], x["y2"], strict=True):
                 (_, f), (_, g) = matching.table(list(f1), metric == "hamming"), matching.table(list(f2), metric == "hamming")
@@ -169,7 +169,7 @@ def measured(found: DataFrame, tiles: DataFrame, height: int | None = None, widt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sides = ["pa", "ha", "wa", "pb", "hb", "wb"]
-        for x in parts(batches):
+        for x in in_parts(batches):
             got = [overlap_measures(image(pa, ha, wa), image(pb, hb, wb), tx, ty) for pa, ha, wa, pb, hb, wb, tx, ty in zip(*(x[c] for c in sides), x["tx"], x["ty"], strict=True)]
             yield x.drop(columns=sides).assign(rmse=pd.Series([r for r, _ in got], x.index, dtype=float), ssim=pd.Series([s for _, s in got], x.index, dtype=float))
 
