@@ -146,7 +146,8 @@ class Found:
 
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
     """urls (block, url and others) with score."""
-    found = block_keys(urls.select("block", "url")).join(model, ["key", "what"])
+    # Spark takes the keys for about as large as the URLs that they are made of, and so would broadcast millions of them
+    found = block_keys(urls.select("block", "url")).hint("merge").join(model, ["key", "what"])
     out = pa.schema([*to_arrow_schema(urls.schema), pa.field("score", pa.float64())])
 
     def score(rows: pa.Table, held: pa.Table) -> pa.Table:

@@ -48,3 +48,15 @@ def test_url_models_hold_all_grams(spark, monkeypatch):
     assert len(got) == len(rows)
     for (i, score), (j, u) in zip(got, sorted(rows, key=repr), strict=True):
         assert i == j and score == pytest.approx(want[u], rel=1e-9, abs=1e-12)
+
+
+def test_url_models_and_keys_are_not_broadcast(spark):
+    # the keys of a block are many times its URLs, so the driver must hold neither them nor the models, whatever Spark estimates
+    rows = [(i, f"http://h{i}.{('org/fr', 'net', 'com')[i % 3]}/{i * 7919}") for i in range(300)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    begun = {x.executionId() for x in (store.executionsList().apply(i) for i in range(store.executionsList().size()))}
+    assert len(urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()) == 300
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(store.executionsList().size())) if x.executionId() not in begun]
+    assert not any("Broadcast" in x for x in plans)
+    assert any("SortMergeJoin" in x for x in plans)
